@@ -117,3 +117,15 @@ class lay:
         plan = plan.withColumn("block_words", block.cast("long"))
         slots = F.ceil(total / F.col("block_words"))
         self.plan = plan.withColumn("slots", F.when(total > 0, slots + 2 * F.ceil(F.log2(slots + 1)) + F.ceil(slots / 50)).otherwise(F.lit(0)).cast("long"))
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = 1.0, most: int = 3) -> DataFrame:
+    """``docs`` with each row as often as :func:`mix` reads it: whole laps, and once more if a lap ends inside it.
+
+    Rows that the mix does not reach go, as do rows without words.  Ids are taken to name rows; rows that repeat an id and a size are
+    read alike.
+    """
+    taken = mix(docs, id_col, text_col, source_col, share, most).where("taken > 0")
+    times = taken.select(F.col(id_col).alias("__id"), F.ceil(F.col("taken") / F.col("size")).cast("int").alias("__times")).groupBy("__id").agg(F.max("__times").alias("__times"))
+    out = docs.join(times.hint("shuffle_hash"), docs[id_col].eqNullSafe(F.col("__id")))
+    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).drop("__id", "__times", "__copy")

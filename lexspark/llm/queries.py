@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexspark.llm import exact_dedup, mixing, secrets, simhash
-from lexspark.llm.common import table
+from lexspark.llm.common import fold, table
 
 
 def tokenizer_path(name: str) -> str:
@@ -38,7 +38,44 @@ def op10_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"), keep="largest").drop("__same")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op4_secrets, op7_mixing, op8_bpe, op10_exact)}
+def op2_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexspark.llm import token_count
+
+    return token_count.token_counts(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model")).select("doc_id", "n_tokens")
+
+
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexspark.llm import langid
+
+    docs = table(spark, sf_dir, "documents")
+    held_out = fold(F.col("doc_id"), 3) == 1
+    model = langid.fit(docs.where(~held_out).select("doc_id", "text", "lang"))
+    out = langid.predict(docs.select("doc_id", "text", F.coalesce(held_out, F.lit(False)).alias("held_out")), model)
+    return out.select("doc_id", "held_out", "language.lang_pred", "language.score", "language.margin", "language.rejected")
+
+
+def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexspark.llm import substring
+
+    return substring.repeated_passages(table(spark, sf_dir, "documents"))
+
+
+def op6_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexspark.llm import vectors
+
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexspark.llm import toxicity
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    taught = docs.select("doc_id", "text").join(labels.where(fold(F.col("doc_id"), 4) != 2).select("doc_id", "toxic"), "doc_id")
+    out = toxicity.score(docs.select("doc_id", "text", F.coalesce(fold(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out")), toxicity.train(taught))
+    return out.select("doc_id", "held_out", F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.3).cast("int").alias("predicted"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_tokens, op3_language, op4_secrets, op5_substrings, op6_vectors, op7_mixing, op8_bpe, op9_toxicity, op10_exact)}
 
 WORDS_SQL = "len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))"
 
