@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from lexspark.plans import segment_queries
+
+QUERIES: dict = {**segment_queries.QUERIES}
+ORACLES: dict[str, str] = {**segment_queries.ORACLES}
