@@ -7,9 +7,10 @@ vocabulary file rather than assuming it.  Only cuts after such an ASCII byte and
 byte that is not white space are used: normalisation (composition, lower case, collapse of white
 space) and the pre-tokeniser's pattern never reach across them.
 
-A text is cut at certain places into fragments of at least ``fragment`` bytes (longer where no cut
-is certain), the fragments are encoded one by one, and the ids are concatenated.  Texts of any
-length thus need memory for a few fragments and for their own ids.
+A text is cut at certain places into fragments of at least ``least`` characters (longer where no cut is
+certain), the fragments are encoded one by one, and the ids are concatenated.  :class:`Encoder`
+cuts at every certain place; its fragments repeat a lot, so it encodes each new one once and
+remembers up to a bounded number of short ones.
 """
 
 from __future__ import annotations
@@ -53,6 +54,28 @@ def certain_left_bytes(path: str) -> bytes:
     return bytes(b for b in BLANK if b not in lefts)
 
 
+#: Letters and digits of the Latin script, and ASCII marks.  Not U+0130: its lower case ends in a combining mark.
+LATIN = "0-9A-Za-z\\u00C0-\\u00D6\\u00D8-\\u00F6\\u00F8-\\u012F\\u0131-\\u024F"
+MARKS = "!\"#$%&()*+,./:;<=>?@[\\]^`{|}~-"
+
+
+def mark_cuts(path: str) -> str:
+    """Marks that are in no token together with a Latin letter or digit: a cut between the two is certain where the pre-tokeniser parts words from marks too.
+
+    Empty if the vocabulary's pre-tokeniser does not.  The apostrophe is never among them.
+    """
+    with open(path, encoding="utf-8") as f:
+        whole = json.load(f)
+    pre = json.dumps(whole.get("pre_tokenizer") or {})
+    if "[\\\\p{L}]+|[\\\\p{N}]|[^\\\\s\\\\p{L}\\\\p{N}]+" not in pre:
+        return ""
+    to_byte, suffix = byte_of_char(), whole["model"].get("end_of_word_suffix") or ""
+    tokens = [bytes(to_byte[c] for c in t.removesuffix(suffix) if c in to_byte).decode("utf-8", "ignore") for t in whole["model"]["vocab"]]
+    met = re.compile(f"[{LATIN}]([{re.escape(MARKS)}])|([{re.escape(MARKS)}])[{LATIN}]")
+    seen = {g for t in tokens for m in met.finditer(t) for g in m.groups() if g}
+    return "".join(c for c in MARKS if c not in seen)
+
+
 @lru_cache(maxsize=4)
 def _loaded(path: str):
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -88,27 +111,83 @@ def decode(ids: list[int], path: str) -> str:
     return _loaded(path)[0].decode(ids, skip_special_tokens=False)
 
 
-def _ids_batches(path: str, least: int):
+class Encoder:
+    """Encodes texts fragment by fragment, cut at every certain place."""
+
+    def __init__(self, path: str, most: int = 1_000_000, longest: int = 48):
+        self.tok, cut = _loaded(path)
+        left = certain_left_bytes(path).decode("ascii")
+        self.fragment = re.compile(f"[^{re.escape(left)}]+") if left else None
+        marks = re.escape(mark_cuts(path))
+        # a cut between a Latin letter or digit and such a mark, in either order
+        self.inner = re.compile(f"(?<=[{LATIN}])(?=[{marks}])|(?<=[{marks}])(?=[{LATIN}])") if marks else None
+        with open(path, encoding="utf-8") as f:
+            self.special = [t["content"] for t in json.load(f).get("added_tokens", [])]
+        self.number = list(range(self.tok.get_vocab_size(True)))  # one object an id, shared by all that is remembered
+        self.known: dict[str, tuple[int, ...]] = {}
+        self.most, self.longest = most, longest
+
+    def cut(self, text: str) -> list[str]:
+        parts = self.fragment.findall(text)
+        if self.inner is None or any(x in text for x in self.special):  # a special token is found before any cut
+            return parts
+        out = []
+        for p in parts:
+            if p.isalnum():
+                out.append(p)
+            else:
+                out += self.inner.split(p)
+        return out
+
+    def encode(self, texts: list[str]) -> Iterator[list[int]]:
+        """Ids of each text in order.  White space that a cut leaves behind has no ids, as in the whole text."""
+        if self.fragment is None:
+            yield from (e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False))
+            return
+        parts = [self.cut(t) for t in texts]
+        number = self.number
+        new = list({f for p in parts for f in p if f not in self.known})
+        found = dict(zip(new, (tuple([number[i] for i in e.ids]) for e in self.tok.encode_batch_fast(new, add_special_tokens=False))))
+        room = self.most - len(self.known)
+        self.known.update([x for x in found.items() if len(x[0]) <= self.longest][: max(0, room)])
+        known = self.known
+        for p in parts:
+            yield [i for f in p for i in (known[f] if f in known else found[f])]
+
+
+@lru_cache(maxsize=2)
+def _encoder(path: str) -> Encoder:
+    return Encoder(path)
+
+
+def _groups(texts, chars: int = 1 << 20) -> Iterator[list[str]]:
+    """Runs of texts of about ``chars`` characters together."""
+    held, n = [], 0
+    for t in texts:
+        held.append(t or "")
+        n += len(held[-1])
+        if n >= chars:
+            yield held
+            held, n = [], 0
+    if held:
+        yield held
+
+
+def _ids_batches(path: str):
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            out = []
-            for text in texts:
-                ids = encode(text or "", path, least)
-                out.append((ids, decode(ids, path)))
-            yield pd.DataFrame({"ids": [i for i, _ in out], "decoded": [d for _, d in out]})
+            ids = [x for g in _groups(texts) for x in _encoder(path).encode(g)]
+            yield pd.DataFrame({"ids": ids, "decoded": [decode(x, path) for x in ids]})
 
     return run
 
 
-def _digest_batches(path: str, least: int):
+def _digest_batches(path: str):
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        names: dict[int, str] = {}
+        names = [str(i) for i in range(_loaded(path)[0].get_vocab_size(True))]
         for texts in batches:
             n, a, b = [], [], []
-            for text in texts:
-                ids = encode(text or "", path, least)
-                for i in set(ids).difference(names):
-                    names[i] = str(i)
+            for ids in (x for g in _groups(texts) for x in _encoder(path).encode(g)):
                 n.append(len(ids))
                 a.append(hashlib.sha256(" ".join([names[i] for i in ids]).encode()).hexdigest())
                 b.append(hashlib.sha256(decode(ids, path).encode()).hexdigest())
@@ -117,19 +196,19 @@ def _digest_batches(path: str, least: int):
     return run
 
 
-def bpe_encode(docs: DataFrame, path: str, text_col: str = "text", fragment: int = FRAGMENT) -> DataFrame:
+def bpe_encode(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     """``docs`` with ``bpe``: a struct of ``ids`` and ``decoded``.
 
     A null or empty text has no ids and decodes to the empty string.  Every text is encoded whole.
     ``path`` is the tokenizer file on the executors.  An existing column ``bpe`` is replaced.
     """
-    fn = _iter_udf(_ids_batches(path, fragment), "ids array<int>, decoded string")
+    fn = _iter_udf(_ids_batches(path), "ids array<int>, decoded string")
     return docs.withColumn("bpe", fn(F.coalesce(F.col(text_col), F.lit(""))))
 
 
-def bpe_digests(docs: DataFrame, path: str, text_col: str = "text", fragment: int = FRAGMENT) -> DataFrame:
+def bpe_digests(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     """``docs`` with ``bpe``: n_tokens and the digests of ids and decoded text, made where the ids are, so that neither leaves its task."""
-    fn = _iter_udf(_digest_batches(path, fragment), "n_tokens long, ids_sha256 string, decoded_sha256 string")
+    fn = _iter_udf(_digest_batches(path), "n_tokens long, ids_sha256 string, decoded_sha256 string")
     return docs.withColumn("bpe", fn(F.coalesce(F.col(text_col), F.lit(""))))
 
 
