@@ -117,3 +117,62 @@ def judge_issues(answers: DataFrame, floor: float = 0.35) -> DataFrame:
     confidence = F.when(F.col("_o").isNull(), 0.1).otherwise(F.coalesce(get("confidence").try_cast("double"), F.lit(0.0)))
     rows = held.withColumn("confidence", confidence).where(F.col("_o").isNull() | (F.coalesce(get("pass"), F.lit("false")) != "true"))
     return rows.select("doc_id", "rule_id", F.when(F.col("confidence") > floor, "fail").otherwise("insufficient_context").alias("status"), F.coalesce(get("severity_level"), get("severity"), F.when(F.col("_o").isNull(), "轻度"), F.lit("中度")).alias("severity"), "confidence")
+
+
+def offline_judge(plans: DataFrame) -> DataFrame:
+    """``response`` of every plan without a model: a constant failure of low confidence."""
+    return plans.withColumn("response", F.lit('{"pass": false, "severity_level": "轻度", "confidence": 0.1}'))
+
+
+def with_judge(plans: DataFrame, judge) -> DataFrame:
+    """``response`` and ``error`` from ``judge(prompt) -> str``, called inside the tasks; a call that fails fails its own row only."""
+    import pandas as pd
+
+    def run(batches):
+        for batch in batches:
+            texts, errors = [], []
+            for prompt in batch["prompt"]:
+                try:
+                    texts.append(judge(prompt))
+                    errors.append(None)
+                except Exception as e:  # noqa: BLE001  whatever the caller's judge raises is noted on its row
+                    texts.append(None)
+                    errors.append(str(e)[:200])
+            yield batch.assign(response=pd.Series(texts, index=batch.index, dtype=object), error=pd.Series(errors, index=batch.index, dtype=object))
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plans.schema)
+    return plans.mapInPandas(run, f"{fields}, response string, error string")
+
+
+def prompt(strategy: Column, title: Column, content: Column, context: Column) -> Column:
+    """What the judge is asked."""
+    return F.concat_ws("\n", F.concat(F.lit("strategy: "), strategy), F.concat(F.lit("rule: "), title), content, F.lit("text:"), F.coalesce(context, F.lit("")))
+
+
+def judged(plans: DataFrame, judge=None) -> DataFrame:
+    """Issues of the plans that are not skipped."""
+    asked = plans.where("strategy <> 'skip'")
+    answers = offline_judge(asked) if judge is None else with_judge(asked, judge)
+    return judge_issues(answers.select("doc_id", F.col("chunk_id").alias("rule_id"), "response"))
+
+
+def run_review(docs: DataFrame, scopes: DataFrame, rules: DataFrame, max_rounds: int = 2, judge=None) -> DataFrame:
+    """(doc_id, rule_id, status, round): a first round by scope; documents left with missing context are judged again with their whole text.
+
+    ``max_rounds`` bounds the loop; each round is one more branch of the plan.
+    """
+    whole = scopes.where("scope <> 'end'").groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("scope", "text"))), lambda x: x["text"]), "\n\n").alias("_all"))
+    out, todo = None, docs.select("doc_id")
+    for i in range(1, max_rounds + 1):
+        want = F.broadcast(rules.select("chunk_id", "scope", "analysis_mode", "title", "content"))
+        plan = todo.crossJoin(want)
+        if i == 1:
+            plan = plan.join(scopes.select("doc_id", "scope", F.col("text").alias("_text")), ["doc_id", "scope"], "left")
+        else:
+            plan = plan.join(whole.withColumnRenamed("_all", "_text"), "doc_id", "left")
+        plan = plan.withColumn("strategy", strategy(F.col("analysis_mode"), F.length(F.coalesce("_text", F.lit("")))))
+        plan = plan.withColumn("prompt", prompt(F.col("strategy"), F.col("title"), F.col("content"), F.substring("_text", 1, 2200)))
+        found = judged(plan.select("doc_id", "chunk_id", "strategy", "prompt"), judge).withColumn("round", F.lit(i))
+        out = found if out is None else out.unionByName(found)
+        todo = docs.select("doc_id").join(found.where("status = 'insufficient_context'").select("doc_id"), "doc_id", "left_semi")
+    return out.select("doc_id", "rule_id", "status", "round")
