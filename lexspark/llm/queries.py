@@ -127,4 +127,12 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id, co
   row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC) = 1 AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents"""
 
-ORACLES: dict[str, str] = {"op4_secrets": OP4_SQL, "op7_mixing": OP7_SQL, "op10_exact": OP10_SQL}
+OP6_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+r AS (SELECT vec_id, vec_id AS node FROM embeddings UNION SELECT r.vec_id, p.b FROM r JOIN p ON p.a = r.node),
+n AS (SELECT a AS vec_id, count(*) AS n_links FROM p GROUP BY a)
+SELECT vec_id, coalesce(any_value(n.n_links), 0) AS n_links, min(node) AS component_id, vec_id = min(node) AS kept FROM r LEFT JOIN n USING (vec_id) GROUP BY vec_id"""
+
+ORACLES: dict[str, str] = {"op6_vectors": OP6_SQL, "op4_secrets": OP4_SQL, "op7_mixing": OP7_SQL, "op10_exact": OP10_SQL}
