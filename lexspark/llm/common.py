@@ -37,3 +37,12 @@ def fold(doc_id: Column, n: int) -> Column:
 def shuffled(doc_id: Column) -> Column:
     """A fixed order that has nothing to do with the ids."""
     return F.xxhash64(doc_id.cast("string"), F.lit("sample"))
+
+
+def thinned(df: DataFrame, key: Column, want: int, total: Column | int) -> DataFrame:
+    """About twice ``want`` of ``total`` rows, those with the smallest ``key`` (a hash), or all if there are fewer.
+
+    A bounded sample is then taken from what is left: without this, every task would send ``want`` rows.
+    """
+    share = F.least(F.lit(1.0), F.lit(2.0 * want + 100) / F.greatest(F.lit(1), total if isinstance(total, Column) else F.lit(total)))
+    return df.where((key / F.lit(2.0**64) + 0.5) <= share)

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexspark.llm.common import shuffled
+from lexspark.llm.common import shuffled, thinned
 
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 UNKNOWN = "und"
@@ -82,8 +82,12 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_
     """
     rows = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("k", "id"))
+    counts = {r["lang"]: r["count"] for r in rows.groupBy(F.col(lang_col).alias("lang")).count().collect()}  # a row a language
+    if not counts:
+        return Model((), ())
+    total = F.create_map(*[F.lit(x) for p in counts.items() for x in p])[F.col("lang")]
     rows = rows.select(F.col(lang_col).alias("lang"), F.substring(text_col, 1, chars).alias("text"), F.col(id_col).alias("id"), shuffled(F.col(id_col)).alias("k"))
-    sample = rows.withColumn("r", rank).where(F.col("r") <= docs_per_lang).select("lang", "text", "k", "id").toPandas().sort_values(["lang", "k", "id"])
+    sample = thinned(rows, F.col("k"), docs_per_lang, total).withColumn("r", rank).where(F.col("r") <= docs_per_lang).select("lang", "text", "k", "id").toPandas().sort_values(["lang", "k", "id"])
     langs = sorted(set(sample["lang"]))
     seen: dict[str, Counter] = {}
     for lang, text in zip(sample["lang"], sample["text"]):

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexspark.llm.common import cut
+from lexspark.llm.common import cut, thinned
 from lexspark.llm.components import connected_components
 
 SEED = 42
@@ -182,7 +182,7 @@ def links(classes: DataFrame, radius: int = 3, sample_rows: int = 32768, shard_r
     ``sample_rows`` bounds the fingerprints that the two trees are fitted to; every row is routed.
     """
     total = classes.count()
-    picked = classes.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(sample_rows).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
+    picked = thinned(classes.select("fp"), F.xxhash64("fp"), sample_rows, total).orderBy(F.xxhash64("fp"), "fp").limit(sample_rows).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
     low, reach = np.uint64(0xFFFFFFFF), radius // 2
     trees = [fit_tree(picked & low, total, shard_rows, reach), fit_tree(picked >> np.uint64(32), total, shard_rows, reach)]
 

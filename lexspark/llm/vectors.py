@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexspark.llm.common import cut
+from lexspark.llm.common import cut, thinned
 from lexspark.llm.components import connected_components
 from lexspark.llm.simhash import unite
 
@@ -142,7 +142,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     classes = cut(rows.where("ok").groupBy("label", "v").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).withColumn("cls", F.xxhash64("label", "v")))
     sized = classes.groupBy(F.size("v").alias("dims"), "label").count().groupBy("dims").agg(F.max("count").alias("most"))
     biggest = {r["dims"]: r["most"] for r in sized.orderBy(F.desc("most")).limit(64).collect()}  # a row a vector length
-    sample = classes.select("v").orderBy("cls").limit(sample_rows).toPandas()["v"]
+    sample = thinned(classes.select("v", "cls"), F.col("cls"), sample_rows, classes.count()).orderBy("cls").limit(sample_rows).toPandas()["v"]
     trees: dict[tuple[int, int], Node] = {}
     radius = lambda dims, s: float(np.sqrt(2 * (1 - threshold) * (s.stop - s.start) / dims + 2 * SLACK))
     for dims, most in biggest.items():
