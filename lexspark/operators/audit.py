@@ -131,22 +131,25 @@ def heading_facts(facts: DataFrame) -> DataFrame:
 def align_toc(toc: DataFrame, headings: DataFrame) -> DataFrame:
     """(doc_id, toc_idx, heading_idx): each contents row, in order, takes the first free heading with its key, else with its title."""
 
-    def one(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left, right = left.sort_values("idx"), right.sort_values("idx")
-        doc = (left if len(left) else right)["doc_id"].iloc[0]
-        free, out = dict.fromkeys(right["idx"].tolist()), []
+    # own names on the right: both sides may come from the same table, whose columns a projection above could then confuse
+    right = headings.select(*[F.col(c).alias(f"h_{c}") for c in ("doc_id", "idx", "key", "title")])
+
+    def one(rows: pd.DataFrame, heads: pd.DataFrame) -> pd.DataFrame:
+        rows, heads = rows.sort_values("idx"), heads.sort_values("h_idx")
+        doc = rows["doc_id"].iloc[0] if len(rows) else heads["h_doc_id"].iloc[0]
+        free, out = dict.fromkeys(heads["h_idx"].tolist()), []
         by_key, by_title = {}, {}
-        for i, k, t in zip(right["idx"], right["key"], right["title"]):
+        for i, k, t in zip(heads["h_idx"], heads["h_key"], heads["h_title"]):
             by_key.setdefault(k, []).append(i)
             by_title.setdefault(t, []).append(i)
-        for i, k, t in zip(left["idx"], left["key"], left["title"]):
+        for i, k, t in zip(rows["idx"], rows["key"], rows["title"]):
             hit = next((h for h in [*by_key.get(k, []), *by_title.get(t, [])] if h in free), None)
             free.pop(hit, None)
             out.append((doc, i, hit))
         out += [(doc, None, h) for h in free]
         return pd.DataFrame(out, columns=["doc_id", "toc_idx", "heading_idx"])
 
-    return toc.groupBy("doc_id").cogroup(headings.groupBy("doc_id")).applyInPandas(one, "doc_id long, toc_idx int, heading_idx int")
+    return toc.select("doc_id", "idx", "key", "title").groupBy("doc_id").cogroup(right.groupBy("h_doc_id")).applyInPandas(one, "doc_id long, toc_idx int, heading_idx int")
 
 
 def page_estimate(rows: DataFrame, break_col: str = "is_break", table_col: str = "in_table") -> DataFrame:

@@ -93,7 +93,7 @@ _R = {"pass": "true, \"confidence\": 0.9", "fail": "false, \"confidence\": 0.8",
 
 
 @query(f"""{_I} SELECT doc_id, rule_name AS rule_id, CASE WHEN status = 'fail' THEN 'fail' ELSE 'insufficient_context' END AS status,
-CASE WHEN status IN ('fail', 'warn', 'info') THEN '中度' ELSE '轻度' END AS severity, CASE status WHEN 'fail' THEN 0.8 WHEN 'warn' THEN 0.35 WHEN 'info' THEN 0.0 ELSE 0.1 END AS confidence FROM i WHERE status <> 'pass'""")
+CASE WHEN status IN ('fail', 'warn', 'info') THEN '中度' ELSE '轻度' END AS severity, (CASE status WHEN 'fail' THEN 0.8 WHEN 'warn' THEN 0.35 WHEN 'info' THEN 0.0 ELSE 0.1 END)::DOUBLE AS confidence FROM i WHERE status <> 'pass'""")
 def judge_issues(spark, sf_dir):
     """Answers in a fence, in running text, and unreadable ones."""
     answer = F.lit("no answer")
