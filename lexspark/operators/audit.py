@@ -158,3 +158,8 @@ def page_estimate(rows: DataFrame, break_col: str = "is_break", table_col: str =
     opened = F.col(table_col) & ~F.coalesce(F.lag(table_col).over(_by_order()), F.lit(False))
     rows = rows.withColumn("_open", opened)
     return rows.withColumns({"page": 1 + F.sum((F.col(break_col) & ~F.col(table_col)).cast("int")).over(run), "table_breaks": F.sum((F.col(break_col) & F.col(table_col)).cast("int")).over(run), "tables": F.sum(F.col("_open").cast("int")).over(run)}).drop("_open")
+
+
+def facts_summary(facts: DataFrame) -> DataFrame:
+    """Facts and characters by document and kind."""
+    return facts.groupBy("doc_id", "kind").agg(F.count(F.lit(1)).alias("facts"), F.sum(F.length(F.coalesce("text_excerpt", F.lit("")))).cast("long").alias("chars"))

@@ -118,3 +118,16 @@ def rules_hash(rules: DataFrame) -> DataFrame:
     """SHA-256 of a book's rules in order."""
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_id", "content"))), lambda x: x["content"]), "\n")
     return rules.groupBy("doc_id").agg(F.sha2(text, 256).alias("rules_hash"), F.count(F.lit(1)).alias("n_rules"))
+
+
+def rule_headings(lines: DataFrame) -> DataFrame:
+    """(doc_id, rule_id, rule_name, text): the other form of a book, a rule at each H2 to H6; the id stands in the title or is counted."""
+    order = Window.partitionBy("doc_id").orderBy("line_no")
+    pattern = r"^#{2,6}[\x09-\x0D\x20]*([^#\x09-\x0D\x20].*?)[\x09-\x0D\x20]*$"
+    rows = lines.withColumn("_title", T.strip(F.regexp_extract("line", pattern, 1)))
+    rows = rows.withColumn("_n", F.sum((F.col("_title") != "").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))).where("_n > 0")
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("_title") == "", F.struct("line_no", "line")))), lambda x: x["line"]), "\n")
+    rules = rows.groupBy("doc_id", "_n").agg(F.max("_title").alias("_title"), T.strip(body).alias("text"))
+    own = F.upper(F.regexp_extract("_title", r"(?i)([A-Z]{1,4}[-_][0-9]{1,4})", 1))
+    name = T.strip(F.regexp_replace("_title", r"^[\[【]?[A-Za-z0-9_.-]+[\]】]?[\x09-\x0D\x20]*", ""))
+    return rules.select("doc_id", F.coalesce(F.nullif(own, F.lit("")), F.format_string("R-%03d", "_n")).alias("rule_id"), F.coalesce(F.nullif(name, F.lit("")), "_title").alias("rule_name"), "text")

@@ -168,3 +168,38 @@ def units(scopes: DataFrame, parts: DataFrame) -> DataFrame:
     front = scopes.where(F.col("scope").isin("cover", "toc")).select("doc_id", F.when(F.col("scope") == "cover", -2).otherwise(-1).alias("_o"), "scope", F.col("scope").alias("heading"), "text")
     both = front.unionByName(parts.select("doc_id", F.col("ord").alias("_o"), "scope", "heading", "text"))
     return both.withColumn("ord", F.row_number().over(_doc().orderBy("_o"))).drop("_o")
+
+
+#: Words of headings for documents that the line rules find no sections in, in order of precedence.  Fixed values.
+FALLBACK_WORDS = (
+    ("scope", ("范围",)),
+    ("normative_references", ("规范性引用", "引用文件")),
+    ("terms_definitions", ("术语", "定义")),
+    ("toc", ("目次", "目录")),
+    ("foreword", ("前言",)),
+    ("cover", ("封面",)),
+)
+
+
+def fallback_split(rows: DataFrame) -> DataFrame:
+    """(doc_id, scope, text): the first region of each class, regions opened by Markdown headings; without headings all is ``other_body``."""
+    mark = r"^#{1,6}[\x09-\x0D\x20]+(.+?)[\x09-\x0D\x20]*$"
+    rows = rows.withColumn("_title", T.strip(F.regexp_extract("line", mark, 1)))
+    rows = rows.withColumn("_sec", F.sum((F.col("_title") != "").cast("int")).over(_so_far()))
+    rows = rows.withColumn("_none", F.max("_sec").over(_doc()) == 0).where("_none or _sec > 0")
+    regions = rows.groupBy("doc_id", "_sec").agg(F.max("_title").alias("_title"), T.strip(_joined("line", "line_no", "\n")).alias("text"))
+    scope = F.lit("other_body")
+    for name, words in reversed(FALLBACK_WORDS):
+        test = F.lit(False)
+        for w in words:
+            test = test | F.col("_title").contains(w)
+        scope = F.when(test, name).otherwise(scope)
+    return regions.groupBy("doc_id", scope.alias("scope")).agg(F.min_by("text", "_sec").alias("text"))
+
+
+def body_headings(texts: DataFrame) -> DataFrame:
+    """(doc_id, line_no, heading) of a body text: lines with a heading mark or a number in front."""
+    rows = lines(texts).withColumn("_held", T.strip(F.col("line")))
+    marked = F.col("_held").startswith("#")
+    head = T.squeeze(F.when(marked, F.regexp_replace("_held", r"^#[\x09-\x0D\x20]*", "")).otherwise(F.col("_held")))
+    return rows.where(marked | F.col("_held").rlike(r"^[0-9]+(\.[0-9]+)*[\x09-\x0D\x20]+")).select("doc_id", "line_no", head.alias("heading")).where("heading <> ''")

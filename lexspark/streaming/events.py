@@ -100,3 +100,32 @@ def stream_corpus(spark: SparkSession, path: str, schema: str = "path string, mo
     """Each new file of a folder once, as text; the query's checkpoint remembers what was read."""
     raw = spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", glob).load(path)
     return raw.select(F.element_at(F.split("path", "/"), -1).alias("file_name"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
+
+
+def unwrap_messages(rows: DataFrame, depth: int = 4) -> DataFrame:
+    """(seq, message_id, tool, content): tool messages inside ``data`` (JSON), at most ``depth`` objects deep.
+
+    A message is an object's ``kwargs`` or ``lc_kwargs``, or an object that names a tool itself;
+    content that is not a JSON object, or the text of one, is dropped.
+    """
+    level = rows.select("seq", F.explode(F.array("data")).alias("o"))
+    found = None
+    for _ in range(depth):
+        level = level.where(F.try_parse_json("o").isNotNull())
+        inner = F.coalesce(F.get_json_object("o", "$.kwargs"), F.get_json_object("o", "$.lc_kwargs"), F.col("o"))
+        get = lambda c, k: F.get_json_object(c, f"$.{k}")
+        here = level.select("seq", inner.alias("m"))
+        tool = F.coalesce(get("m", "name"), get("m", "tool_name"), get("m", "additional_kwargs.name"), get("m", "additional_kwargs.tool_name"))
+        part = here.select("seq", get("m", "id").alias("message_id"), tool.alias("tool"), get("m", "content").alias("content")).where("tool is not null and ltrim(content) like '{%'").where(F.try_parse_json("content").isNotNull())
+        found = part if found is None else found.unionByName(part)
+        children = F.coalesce(F.from_json("o", "array<string>"), F.map_values(F.from_json("o", "map<string,string>")))
+        level = level.select("seq", F.explode(children).alias("o")).where("ltrim(o) like '{%' or ltrim(o) like '[%'")
+    return found.distinct()
+
+
+def progress_rows(counts: DataFrame, stage: str) -> DataFrame:
+    """Start and end events of an extraction stage, with its counts as extras; ``counts`` has trace_id, started, ended and one column a count."""
+    extras = [c for c in counts.columns if c not in ("trace_id", "started", "ended")]
+    made = F.create_map(*[x for c in extras for x in (F.lit(c), F.col(c).cast("string"))]) if extras else F.create_map().cast("map<string,string>")
+    ends = F.array(F.struct(F.lit(f"meta.{stage}.start").alias("type"), F.col("started").alias("created_at"), F.create_map().cast("map<string,string>").alias("extras")), F.struct(F.lit(f"meta.{stage}.end").alias("type"), F.col("ended").alias("created_at"), made.alias("extras")))
+    return counts.select("trace_id", F.lit("metadata").alias("component"), F.explode(ends).alias("e")).select("trace_id", "component", "e.*")
