@@ -25,6 +25,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BLANK = b" \t\n\r\x0b\x0c"
 FRAGMENT = 16384
@@ -114,7 +115,7 @@ def decode(ids: list[int], path: str) -> str:
 class Encoder:
     """Encodes texts fragment by fragment, cut at every certain place."""
 
-    def __init__(self, path: str, most: int = 1_000_000, longest: int = 48):
+    def __init__(self, path: str, most: int = 400_000, longest: int = 48):
         self.tok, cut = _loaded(path)
         left = certain_left_bytes(path).decode("ascii")
         self.fragment = re.compile(f"[^{re.escape(left)}]+") if left else None
@@ -173,11 +174,16 @@ def _groups(texts, chars: int = 1 << 20) -> Iterator[list[str]]:
         yield held
 
 
-def _ids_batches(path: str):
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
-            ids = [x for g in _groups(texts) for x in _encoder(path).encode(g)]
-            yield pd.DataFrame({"ids": ids, "decoded": [decode(x, path) for x in ids]})
+def _ids_rows(path: str, text_col: str, rows: int = 64):
+    import pyarrow as pa
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, rows):  # ids and text of a few rows at a time
+                part = batch.slice(k, rows)
+                ids = [x for g in _groups(part.column(text_col).to_pylist()) for x in _encoder(path).encode(g)]
+                made = pa.StructArray.from_arrays([pa.array(ids, pa.list_(pa.int32())), pa.array([decode(x, path) for x in ids], pa.string())], ["ids", "decoded"])
+                yield pa.RecordBatch.from_arrays([*part.columns, made], [*part.schema.names, "bpe"])
 
     return run
 
@@ -202,8 +208,10 @@ def bpe_encode(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     A null or empty text has no ids and decodes to the empty string.  Every text is encoded whole.
     ``path`` is the tokenizer file on the executors.  An existing column ``bpe`` is replaced.
     """
-    fn = _iter_udf(_ids_batches(path), "ids array<int>, decoded string")
-    return docs.withColumn("bpe", fn(F.coalesce(F.col(text_col), F.lit(""))))
+    rest = docs.drop("bpe")
+    made = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
+    schema = T.StructType([*rest.schema.fields, T.StructField("bpe", made)])
+    return rest.mapInArrow(_ids_rows(path, text_col), schema)
 
 
 def bpe_digests(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
