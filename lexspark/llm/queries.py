@@ -70,8 +70,8 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexspark.llm import toxicity
 
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    taught = docs.select("doc_id", "text").join(labels.where(fold(F.col("doc_id"), 4) != 2).select("doc_id", "toxic"), "doc_id")
-    out = toxicity.score(docs.select("doc_id", "text", F.coalesce(fold(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out")), toxicity.train(taught))
+    model = toxicity.train(docs, labels.where(fold(F.col("doc_id"), 4) != 2))
+    out = toxicity.score(docs.select("doc_id", "text", F.coalesce(fold(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out")), model)
     return out.select("doc_id", "held_out", F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.3).cast("int").alias("predicted"))
 
 
