@@ -19,6 +19,10 @@ from pyspark.sql import functions as F
 GEAR = np.random.default_rng(20240229).integers(0, 1 << 32, 256, dtype=np.uint32)
 
 
+#: Above the number of words that a chunk of ``longest`` bytes can have.
+SHAPE = 65536
+
+
 def gear(data: np.ndarray) -> np.ndarray:
     """The rolling hash at every byte, by doubling: a window of 2m is two windows of m."""
     h = GEAR[data]
@@ -51,7 +55,11 @@ def chunk_ends(data: np.ndarray, average: int = 20, shortest: int = 8, longest:
 
 
 def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", average: int = 20, shortest: int = 8, longest: int = 256) -> DataFrame:
-    """(doc_id, i, start, end, words, digest): the chunks of every whole text; positions are bytes of its UTF-8 form."""
+    """(doc_id, start, shape, digest): the chunks of every whole text.
+
+    ``start`` is a byte of its UTF-8 form; ``shape`` holds the size in bytes and the number of words
+    in one number (size * SHAPE + words), since there are many rows.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
@@ -59,7 +67,7 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", aver
         for batch in batches:
             for lo in range(0, len(batch), 64):
                 part = batch.iloc[lo : lo + 64]
-                cols: list[list] = [[], [], [], [], [], []]
+                cols: list[list] = [[], [], [], []]
                 for doc, text in zip(part["doc_id"], part["text"]):
                     raw = text.encode("utf-8", "surrogatepass")
                     if not raw:
@@ -71,16 +79,14 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", aver
                     ends = chunk_ends(data, average, shortest, longest)
                     begin = [0, *ends[:-1]]
                     cols[0].append(np.full(len(ends), doc, np.int64))
-                    cols[1].append(np.arange(len(ends), dtype=np.int32))
-                    cols[2].append(np.array(begin, np.int64))
-                    cols[3].append(np.array(ends, np.int64))
-                    cols[4].append((seen[ends] - seen[begin]).astype(np.int32))
-                    cols[5].append(np.array([xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(begin, ends)], np.uint64).view(np.int64))
+                    cols[1].append(np.array(begin, np.int64))
+                    cols[2].append((np.diff([0, *ends]) * SHAPE + seen[ends] - seen[begin]).astype(np.int64))
+                    cols[3].append(np.array([xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(begin, ends)], np.uint64).view(np.int64))
                 if cols[0]:
-                    yield pd.DataFrame(dict(zip(("doc_id", "i", "start", "end", "words", "digest"), map(np.concatenate, cols))))
+                    yield pd.DataFrame(dict(zip(("doc_id", "start", "shape", "digest"), map(np.concatenate, cols))))
 
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInPandas(run, "doc_id long, i int, start long, end long, words int, digest long")
+    return rows.mapInPandas(run, "doc_id long, start long, shape long, digest long")
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 25, average: int = 20) -> DataFrame:
@@ -96,8 +102,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     found = chunks(docs, id_col, text_col, average)
     small = found.select("digest", "doc_id").groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
     again = small.where("first < last").select("digest", "first")
-    marked = found.join(again, "digest").select("doc_id", "i", "start", "end", "words", "first").dropDuplicates(["doc_id", "i", "start", "end", "first"])
-    run = Window.partitionBy("doc_id").orderBy("i", "start", "first")
+    marked = found.join(again, "digest").select("doc_id", "start", (F.col("start") + F.floor(F.col("shape") / SHAPE)).alias("end"), (F.col("shape") % SHAPE).alias("words"), "first").dropDuplicates(["doc_id", "start", "end", "first"])
+    run = Window.partitionBy("doc_id").orderBy("start", "end", "first")
     parts = marked.withColumn("_new", F.when(F.col("start") == F.lag("end").over(run), 0).otherwise(1))
     parts = parts.withColumn("_run", F.sum("_new").over(run.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     runs = parts.groupBy("doc_id", "_run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").cast("long").alias("n_words"), F.array_sort(F.collect_set("first")).alias("first_doc_ids"), F.min(F.col("first") == F.col("doc_id")).alias("kept"))
