@@ -77,17 +77,21 @@ def schedule(plan: DataFrame) -> DataFrame:
     return ranked.where(F.col("rank") * F.col("block_words") < F.ceil("target")).select("slot", "source", "rank", "block_words")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = 1.0, most: int = 3, slots_per_root: int = 8, seed: str = "mix") -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = 1.0, most: int = 3, slots_per_root: int = 8, seed: str = "mix", full: bool = False) -> DataFrame:
     """One row a document: ``id_col, source, size, source_size, target, taken``.
 
     ``taken`` is the number of the document's words that the schedule reads, repeats counted, at
     most ``most`` times ``size``.  A null text has size 0 and takes 0; a null source is a source of
     its own, last in order; a source without words has target 0.  Repeated rows are laid on the line
-    one after the other.  An empty table gives an empty result.
+    one after the other.  An empty table gives an empty result.  With ``full`` a source whose share of the
+    slots ends short of its target is read on through its next blocks until the target, so no source is left out.
     """
     laid = lay(docs, id_col, text_col, source_col, share, most, slots_per_root, seed)
     plan = laid.plan
-    taken = schedule(plan).groupBy("source").agg((F.count(F.lit(1)) * F.first("block_words")).alias("_read"))
+    if full:  # the slots set the order only: every source's reads end at its target
+        taken = plan.select("source", F.ceil("target").alias("_read"))
+    else:
+        taken = schedule(plan).groupBy("source").agg((F.count(F.lit(1)) * F.first("block_words")).alias("_read"))
     got = plan.join(taken.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
     got = got.select(F.col("source").alias("_s"), "source_size", "target", F.least(F.coalesce("_read", F.lit(0)), F.ceil("target"), F.lit(most) * F.col("source_size")).cast("long").alias("_read"))
     offs = laid.buckets.join(got, F.col("source").eqNullSafe(F.col("_s"))).drop("source").withColumnRenamed("_bucket", "_b")
@@ -119,13 +123,13 @@ class lay:
         self.plan = plan.withColumn("slots", F.when(total > 0, slots + 2 * F.ceil(F.log2(slots + 1)) + F.ceil(slots / 50)).otherwise(F.lit(0)).cast("long"))
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = 1.0, most: int = 3) -> DataFrame:
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = 1.0, most: int = 3, full: bool = False) -> DataFrame:
     """``docs`` with each row as often as :func:`mix` reads it: whole laps, and once more if a lap ends inside it.
 
     Rows that the mix does not reach go, as do rows without words.  Ids are taken to name rows; rows that repeat an id and a size are
     read alike.
     """
-    taken = mix(docs, id_col, text_col, source_col, share, most).where("taken > 0")
+    taken = mix(docs, id_col, text_col, source_col, share, most, full=full).where("taken > 0")
     times = taken.select(F.col(id_col).alias("__id"), F.ceil(F.col("taken") / F.col("size")).cast("int").alias("__times")).groupBy("__id").agg(F.max("__times").alias("__times"))
     out = docs.join(times.hint("shuffle_hash"), docs[id_col].eqNullSafe(F.col("__id")))
     return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).drop("__id", "__times", "__copy")
