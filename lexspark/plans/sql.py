@@ -46,7 +46,7 @@ def numbered(x: str) -> str:
 BARE = ", ".join(f"'{t}'" for t in T.BARE_TITLES)
 END = ", ".join(f"'{t}'" for t in T.END_SCOPES)
 BODY = ", ".join(f"'{t}'" for t in T.BODY_SCOPES)
-CORPUS = std_corpus.SQL.replace("{documents}", "documents")
+CORPUS = std_corpus.DUCK_SQL
 LINES = f"""corpus AS ({CORPUS}),
 parts AS (SELECT doc_id, string_split_regex(text, '{NL}') AS p FROM corpus),
 ln AS (SELECT doc_id, unnest(range(1, len(p) + 1)) AS line_no, unnest(p) AS line FROM (SELECT doc_id, CASE WHEN p[len(p)] = '' THEN p[:len(p) - 1] ELSE p END AS p FROM parts))"""
