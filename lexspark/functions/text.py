@@ -12,6 +12,8 @@ BARE_TITLES = ("目次", "目录", "前言", "引言", "参考文献", "索引")
 SCOPES = ("cover", "toc", "foreword", "introduction", "scope", "normative_references", "terms_definitions", "symbols_abbreviations", "other_body", "appendix", "references", "index", "end")
 BODY_SCOPES = ("scope", "normative_references", "terms_definitions", "symbols_abbreviations", "other_body")
 END_SCOPES = ("appendix", "index", "references")
+#: Sections that end the contents.  Fixed values.
+OPENERS = ("foreword", "introduction", "scope", "normative_references", "terms_definitions", "symbols_abbreviations", "appendix", "index", "references")
 #: Heading keywords in order of precedence: (scope, whether the keyword must start the key, keyword).  Fixed values.
 HEADING_RULES = (
     ("foreword", True, "前言"),
@@ -30,6 +32,10 @@ STATUSES = {"pass": "pass", "fail": "fail", "warn": "warn", "insufficient_contex
 MIME_TYPES = {"md": "text/markdown", "json": "application/json", "jsonl": "application/x-ndjson", "txt": "text/plain", "pdf": "application/pdf", "docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document", "png": "image/png", "jpg": "image/jpeg"}
 
 
+#: What a heading key leaves out.  Fixed values: keys must equal on both sides of every comparison.
+KEY_MARKS = r"：:，,。；;（）()\[\]【】《》\-—"
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, f"^{BLANK}+|{BLANK}+$", "")
 
@@ -39,46 +45,85 @@ def squeeze(c: Column) -> Column:
     return strip(F.regexp_replace(c, f"{BLANK}+", " "))
 
 
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` names it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def heading_key(c: Column) -> Column:
-    """A heading without marks, white space and punctuation."""
-    bare = F.regexp_replace(F.regexp_replace(strip(c), r"^[#\x09-\x0D\x20]+", ""), f"{BLANK}+", "")
-    return F.regexp_replace(bare, r"[：:，,。；;（）()\[\]【】《》\-—]+", "")
+    """A heading without marks, white space and punctuation, in one pass."""
+    return F.regexp_replace(c, f"^{BLANK}*[#\\x09-\\x0D\\x20]*|[{BLANK[1:-1]}{KEY_MARKS}]+", "")
 
 
 def heading_content(line: Column) -> Column:
     """Text of a Markdown heading or of a bare title, else empty."""
-    held = strip(line)
-    marked = F.regexp_extract(held, r"^#{1,6}[\x09-\x0D\x20]*(.+)$", 1)
-    return F.when(held.rlike(r"^#{1,6}[\x09-\x0D\x20]*.+$"), strip(marked)).when(held.isin(*BARE_TITLES), held).otherwise(F.lit(""))
+    return bound(strip(line), _heading_of)
 
 
-def classify(heading: Column) -> Column:
-    """Scope of a heading, or null."""
-    key = F.regexp_replace(heading_key(heading), r"^[0-9]+(?:\.[0-9]+)*", "")
+def _heading_of(held: Column) -> Column:
+    return F.when(held.startswith("#"), strip(F.regexp_extract(held, r"^#{1,6}[\x09-\x0D\x20]*(.+)$", 1))).when(held.isin(*BARE_TITLES), held).otherwise(F.lit(""))
+
+
+def _scope_of(key: Column) -> Column:
+    """Scope of a heading key without its number, or null."""
     found = F.lit(None).cast("string")
     for scope, at_start, word in reversed(HEADING_RULES):
         found = F.when(key.startswith(word) if at_start else key.contains(word), scope).otherwise(found)
     return found
 
 
+def _unnumbered(key: Column) -> Column:
+    return F.regexp_replace(key, r"^[0-9]+(?:\.[0-9]+)*", "")
+
+
+def classify(heading: Column) -> Column:
+    """Scope of a heading, or null."""
+    return bound(_unnumbered(heading_key(heading)), _scope_of)
+
+
 def is_toc_title(heading: Column) -> Column:
     return heading_key(heading).rlike("^(目次|目录)")
 
 
 def is_toc_entry(c: Column) -> Column:
     """Ends in a page number, roman or arabic, after white space."""
-    return squeeze(c).rlike(r"(?i) (?:[IVXLCM]+|[0-9]+)$")
+    return c.rlike(f"(?i)[^{BLANK[1:-1]}]{BLANK}+(?:[IVXLCM]+|[0-9]+){BLANK}*$")
 
 
 def is_numbered(c: Column) -> Column:
     return c.rlike(r"^[0-9]+(?:\.[0-9]+)*[\x09-\x0D\x20]+.+$")
 
 
-def is_boundary(line: Column) -> Column:
-    """Whether a line of the body opens a section."""
-    held, head = strip(line), heading_content(line)
-    marked = classify(head).isNotNull() | heading_key(head).rlike(r"^[0-9]") | ~head.rlike("[。！？；;：:]$")
-    return F.when(held == "", False).when(head != "", marked).otherwise(is_numbered(held))
+def line_marks(line: Column) -> Column:
+    """What the segmentation asks of a line, each part computed once.
+
+    ``held`` without white space at its ends, ``head`` (text of a heading), ``kind`` (its scope), ``toc_title``, ``code``
+    (T contents, Q running text in a heading, H heading, P running text, N other, blank for a blank line), ``opens`` (a
+    heading that can end the contents), ``plain`` (a line that can begin a body without contents), ``cut`` (opens a section).
+    """
+
+    def with_kind(held: Column, head: Column, key: Column, kind: Column) -> Column:
+        marked, prose = head != "", held.rlike("[。！？；;：:]$") | (F.length(held) >= 30)
+        toc_title, numbered = marked & key.rlike("^(目次|目录)"), key.rlike("^[0-9]")
+        entry = F.when(marked, is_toc_entry(head)).otherwise(is_toc_entry(held))
+        toc_like = entry | held.rlike(r"(?i)\.{3,}[\x09-\x0D\x20]*(?:[0-9]+|[IVXLCM]+)$")
+        title = marked & (kind.isNotNull() | numbered)
+        code = F.when(toc_title | toc_like, "T").when(title & prose, "Q").when(title, "H").when(prose, "P").otherwise("N")
+        return F.struct(
+            held.alias("held"),
+            head.alias("head"),
+            kind.alias("kind"),
+            toc_title.alias("toc_title"),
+            code.alias("code"),
+            (marked & ~toc_title & F.coalesce(kind.isin(*OPENERS), F.lit(False)) & ~is_toc_entry(head)).alias("opens"),
+            F.when(marked, ~toc_title & kind.isNotNull()).otherwise(is_numbered(held) & ~is_toc_entry(held)).alias("plain"),
+            F.when(marked, kind.isNotNull() | numbered | ~head.rlike("[。！？；;：:]$")).otherwise(is_numbered(held)).alias("cut"),
+        )
+
+    no, none = F.lit(False), F.lit(None).cast("string")
+    blank = F.struct(F.lit("").alias("held"), F.lit("").alias("head"), none.alias("kind"), no.alias("toc_title"), F.lit(" ").alias("code"), no.alias("opens"), no.alias("plain"), no.alias("cut"))
+    of_head = lambda held, head: bound(heading_key(head), lambda key: bound(F.when(head != "", _scope_of(_unnumbered(key))), lambda kind: with_kind(held, head, key, kind)))
+    return bound(strip(line), lambda held: F.when(held == "", blank).otherwise(bound(_heading_of(held), lambda head: of_head(held, head))))
 
 
 def strip_page(c: Column) -> Column:

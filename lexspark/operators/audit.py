@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexspark.functions import text as T
@@ -23,15 +23,15 @@ def facts(zoned: DataFrame) -> DataFrame:
     role = (
         F.when(F.col("_toc_title"), "toc_title")
         .when(F.col("zone") == "toc", "toc_entry")
-        .when((F.col("_head") != "") & F.col("_class").isin("foreword", "introduction", "references", "index"), "front_title")
-        .when((F.col("_head") != "") & (F.col("_class") == "appendix"), "appendix_title")
+        .when((F.col("_head") != "") & F.col("_kind").isin("foreword", "introduction", "references", "index"), "front_title")
+        .when((F.col("_head") != "") & (F.col("_kind") == "appendix"), "appendix_title")
         .when(head.rlike(r"^[0-9]+(?:\.[0-9]+)+"), "clause")
         .when((F.col("_head") != "") & head.rlike("^[0-9]+ "), "chapter")
         .when(F.col("_head") != "", "chapter")
         .otherwise("paragraph")
     )
     rows = zoned.where("_held <> ''").withColumn("idx", F.row_number().over(Window.partitionBy("doc_id").orderBy("line_no"))).withColumn("role", role)
-    sets = F.when(F.col("_toc_title"), "toc").when(F.col("role").isin("front_title", "appendix_title", "chapter"), F.coalesce("_class", F.lit("other_body")))
+    sets = F.when(F.col("_toc_title"), "toc").when(F.col("role").isin("front_title", "appendix_title", "chapter"), F.coalesce("_kind", F.lit("other_body")))
     scope = F.coalesce(F.last(sets, ignorenulls=True).over(_by_order().rowsBetween(Window.unboundedPreceding, Window.currentRow)), F.lit("cover"))
     return rows.select("doc_id", "idx", F.lit("paragraph").alias("kind"), "role", scope.alias("scope"), F.when(F.col("role") != "paragraph", head).alias("display_heading"), F.substring(held, 1, 300).alias("text_excerpt"))
 
@@ -40,35 +40,67 @@ def _heading():
     return F.coalesce(F.nullif("display_heading", F.lit("")), F.col("text_excerpt"))
 
 
+CLAUSE = r"^([0-9]+(?:\.[0-9]+)+)[\x09-\x0D\x20]*(.*)$"
+
+
+def checked(facts: DataFrame) -> DataFrame:
+    """Paragraphs with what every check finds, in one pass over a document's rows: ``looked`` and ``found``, a map of check -> reason.
+
+    ``chapters``: chapter numbers that do not go on from the last numbered chapter, from 1.  ``deep`` and ``clauses``: clauses
+    deeper than five levels, and every clause of a level where some have a title and some have none; terms are exempt.
+    ``dangling``: a paragraph between a chapter and its first clause, or between a clause and a deeper one (the reason stands on
+    that paragraph); terms and symbols are exempt.  ``lists`` never fails a row, as its rule is stated.
+    """
+    w = _by_order()
+    rows = facts.where("kind = 'paragraph'").withColumn("_h", _heading())
+    style = F.coalesce(F.col("style_name"), F.lit("")) if "style_name" in facts.columns else F.lit("")
+    chapter, terms = F.col("role") == "chapter", F.col("scope") == "terms_definitions"
+    clause = (F.col("role") == "clause") & ~terms
+    rows = rows.withColumns({
+        "_n": F.when(chapter, F.nullif(F.regexp_extract("_h", r"^([0-9]+)[\x09-\x0D\x20]+.+$", 1), F.lit("")).try_cast("int")),
+        "_number": F.when(clause, F.regexp_extract("_h", CLAUSE, 1)),
+        "_titled": F.when(clause & F.col("_h").rlike(CLAUSE), T.strip(F.regexp_extract("_h", CLAUSE, 2)) != ""),
+        "_level": T.heading_level(F.col("_h")),
+        "_list": style.contains("列项") | F.col("text_excerpt").rlike(MARKER),
+    })
+    rows = rows.withColumns({
+        "_depth": F.when(F.col("_titled").isNotNull(), F.size(F.split("_number", r"\."))),
+        "_due": F.coalesce(F.last("_n", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + 1,
+        "_role0": F.lag("role").over(w),
+        "_scope0": F.lag("scope").over(w),
+        "_level0": F.lag("_level").over(w),
+        "_next": F.first(F.when(F.col("role").isin("clause", "chapter"), F.struct("role", "_level")), ignorenulls=True).over(w.rowsBetween(1, 6)),
+    })
+    level = Window.partitionBy("doc_id", "_depth")
+    mixed = F.col("_depth").isNotNull() & F.bool_or("_titled").over(level) & ~F.bool_and("_titled").over(level)
+    after = F.col("_role0").isin("chapter", "clause") & ~F.col("_scope0").isin("terms_definitions", "symbols_abbreviations") & (F.col("role") == "paragraph") & (F.col("scope") == F.col("_scope0")) & (F.col("_next.role") == "clause")
+    reasons = {
+        "chapters": F.when(chapter & F.col("_n").isNull(), "no number").when(chapter & (F.col("_n") != F.col("_due")), F.format_string("number %d, due %d", "_n", "_due")),
+        "deep": F.when(F.col("_depth") > 5, F.format_string("depth %d", "_depth")),
+        "clauses": F.when(mixed, F.format_string("titles differ at level %d", "_depth")),
+        "dangling": F.when(after & ((F.col("_role0") == "chapter") | (F.col("_next._level") > F.col("_level0"))), F.concat(F.lit("after "), "_role0")),
+    }
+    found = F.map_filter(F.create_map(*[x for k, v in reasons.items() for x in (F.lit(k), v)]), lambda k, v: v.isNotNull())
+    looked = F.array_compact(F.array(F.when(chapter, "chapters"), F.when(clause, "clauses"), F.lit("dangling"), F.when(F.col("_list"), "lists")))
+    return rows.select("doc_id", "idx", found.alias("found"), looked.alias("looked"))
+
+
+def _failures(facts: DataFrame, *names: str) -> DataFrame:
+    """Failures (doc_id, idx, reason) of some checks."""
+    rows = checked(facts).select("doc_id", "idx", F.explode("found").alias("_k", "reason"))
+    return rows.where(F.col("_k").isin(*names)).drop("_k")
+
+
 def check_chapters(facts: DataFrame) -> DataFrame:
-    """Failures (doc_id, idx, reason) of chapter numbers that do not go on from the last numbered chapter, from 1."""
-    rows = facts.where("kind = 'paragraph' and role = 'chapter'").withColumn("_n", F.nullif(F.regexp_extract(_heading(), r"^([0-9]+)[\x09-\x0D\x20]+.+$", 1), F.lit("")).cast("int"))
-    due = F.coalesce(F.last("_n", ignorenulls=True).over(_by_order().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + 1
-    rows = rows.withColumn("_due", due)
-    return rows.where("_n is null or _n <> _due").select("doc_id", "idx", F.when(F.col("_n").isNull(), "no number").otherwise(F.format_string("number %d, due %d", "_n", "_due")).alias("reason"))
+    return _failures(facts, "chapters")
 
 
 def check_clauses(facts: DataFrame) -> DataFrame:
-    """Clauses deeper than five levels, and every clause of a level where some have a title and some have none; terms are exempt."""
-    pattern = r"^([0-9]+(?:\.[0-9]+)+)[\x09-\x0D\x20]*(.*)$"
-    rows = facts.where("kind = 'paragraph' and role = 'clause' and scope <> 'terms_definitions'").where(_heading().rlike(pattern))
-    rows = rows.withColumn("_level", F.size(F.split(F.regexp_extract(_heading(), pattern, 1), r"\."))).withColumn("_titled", T.strip(F.regexp_extract(_heading(), pattern, 2)) != "")
-    level = Window.partitionBy("doc_id", "_level")
-    mixed = F.bool_or("_titled").over(level) & ~F.bool_and("_titled").over(level)
-    deep = rows.where("_level > 5").select("doc_id", "idx", F.format_string("depth %d", "_level").alias("reason"))
-    return deep.unionByName(rows.withColumn("_mixed", mixed).where("_mixed").select("doc_id", "idx", F.format_string("titles differ at level %d", "_level").alias("reason")))
+    return _failures(facts, "deep", "clauses")
 
 
 def check_dangling(facts: DataFrame) -> DataFrame:
-    """Paragraphs between a chapter and its first clause, or between a clause and a deeper one; terms and symbols are exempt."""
-    w = _by_order()
-    rows = facts.where("kind = 'paragraph'").withColumn("_level", T.heading_level(_heading()))
-    rows = rows.withColumns({"_role1": F.lead("role").over(w), "_scope1": F.lead("scope").over(w), "_idx1": F.lead("idx").over(w)})
-    ahead = w.rowsBetween(2, 7)
-    nxt = F.first(F.when(F.col("role").isin("clause", "chapter"), F.struct("role", "_level")), ignorenulls=True).over(ahead)
-    rows = rows.withColumn("_next", nxt)
-    hit = F.col("role").isin("chapter", "clause") & ~F.col("scope").isin("terms_definitions", "symbols_abbreviations") & (F.col("_role1") == "paragraph") & (F.col("_scope1") == F.col("scope")) & (F.col("_next.role") == "clause")
-    return rows.where(hit & ((F.col("role") == "chapter") | (F.col("_next._level") > F.col("_level")))).select("doc_id", F.col("_idx1").alias("idx"), F.concat(F.lit("after "), "role").alias("reason"))
+    return _failures(facts, "dangling")
 
 
 def list_items(facts: DataFrame) -> DataFrame:
@@ -77,37 +109,33 @@ def list_items(facts: DataFrame) -> DataFrame:
     return facts.where("kind = 'paragraph'").where(style.contains("列项") | F.col("text_excerpt").rlike(MARKER))
 
 
+def _check_of(key: Column) -> Column:
+    table = {"chapters": "chapters", "deep": "clauses", "clauses": "clauses", "dangling": "dangling", "lists": "lists"}
+    return F.create_map(*[F.lit(x) for k, v in table.items() for x in (k, CHECKS[v])])[key]
+
+
 def evaluations(facts: DataFrame) -> DataFrame:
-    """(doc_id, rule_id, checked, failed) of every check, zero where a document has nothing to check."""
-    asked = {
-        "chapters": (facts.where("role = 'chapter'"), check_chapters(facts)),
-        "clauses": (facts.where("role = 'clause' and scope <> 'terms_definitions'"), check_clauses(facts)),
-        "dangling": (facts, check_dangling(facts)),
-        "lists": (list_items(facts), None),
-    }
-    rows = None
-    for name, (checked, failed) in asked.items():
-        for frame, c, f in ((checked, 1, 0), (failed, 0, 1)):
-            if frame is not None:
-                part = frame.select("doc_id", F.lit(CHECKS[name]).alias("rule_id"), F.lit(c).alias("c"), F.lit(f).alias("f"))
-                rows = part if rows is None else rows.unionByName(part)
-    return rows.groupBy("doc_id", "rule_id").agg(F.sum("c").alias("checked"), F.sum("f").alias("failed"))
-
-
-def failures_to_issues(failed: DataFrame, check: str, most: int = 20) -> DataFrame:
-    """Numbered issues of the first ``most`` failures of each document: the cap is part of the rule."""
-    n = F.row_number().over(Window.partitionBy("doc_id").orderBy("idx", "reason"))
+    """(doc_id, rule_id, checked, failed) of every check that a document has rows for."""
+    both = F.concat(F.transform("looked", lambda k: F.struct(_check_of(k).alias("rule_id"), F.lit(1).alias("c"), F.lit(0).alias("f"))), F.transform(F.map_keys("found"), lambda k: F.struct(_check_of(k).alias("rule_id"), F.lit(0).alias("c"), F.lit(1).alias("f"))))
+    rows = checked(facts).select("doc_id", F.explode(both).alias("e"))
+    return rows.groupBy("doc_id", "e.rule_id").agg(F.sum("e.c").alias("checked"), F.sum("e.f").alias("failed"))
+
+
+def failures_to_issues(failed: DataFrame, most: int = 20) -> DataFrame:
+    """Numbered issues of the first ``most`` failures of each document and rule: the cap is part of the rule.  ``failed`` has doc_id, rule_id, idx, reason."""
+    n = F.row_number().over(Window.partitionBy("doc_id", "rule_id").orderBy("idx", "reason"))
     rows = failed.withColumn("_n", n).where(F.col("_n") <= most)
-    rule = CHECKS[check]
-    return rows.select("doc_id", F.concat(F.lit(rule + "-"), F.lpad(F.col("_n").cast("string"), 3, "0")).alias("issue_id"), F.lit(rule).alias("rule_id"), "idx", "reason", F.lit("fail").alias("status"), F.lit("中度").alias("severity"))
+    return rows.select("doc_id", F.concat("rule_id", F.lit("-"), F.lpad(F.col("_n").cast("string"), 3, "0")).alias("issue_id"), "rule_id", "idx", "reason", F.lit("fail").alias("status"), F.lit("中度").alias("severity"))
 
 
-def format_issues(facts: DataFrame) -> DataFrame:
-    """The format track: issues of all checks."""
-    out = failures_to_issues(check_chapters(facts), "chapters")
-    for name, fn in (("clauses", check_clauses), ("dangling", check_dangling)):
-        out = out.unionByName(failures_to_issues(fn(facts), name))
-    return out
+def format_issues(facts: DataFrame, docs: DataFrame | None = None) -> DataFrame:
+    """The format track: issues of all row checks, and with ``docs`` one ``info`` issue for each document without facts."""
+    failed = checked(facts).select("doc_id", "idx", F.explode("found").alias("_k", "reason")).withColumn("rule_id", _check_of(F.col("_k"))).drop("_k")
+    out = failures_to_issues(failed)
+    if docs is None:
+        return out
+    none = docs.select("doc_id").join(facts.select("doc_id"), "doc_id", "left_anti")
+    return out.unionByName(none.select("doc_id", F.lit("DOCX-FMT-000-001").alias("issue_id"), F.lit("DOCX-FMT-000").alias("rule_id"), F.lit(None).cast("int").alias("idx"), F.lit("no paragraph facts").alias("reason"), F.lit("info").alias("status"), F.lit("提示").alias("severity")))
 
 
 def toc_entries(facts: DataFrame) -> DataFrame:

@@ -14,23 +14,31 @@ def targets(rules: DataFrame) -> DataFrame:
     return rules.select(F.explode(asked).alias("target"), "chunk_id", "title", "content", "ord").where("target <> ''")
 
 
-def coverage_issues(docs: DataFrame, scopes: DataFrame, rules: DataFrame) -> DataFrame:
-    """One ``warn`` issue for each required scope that a document has no text in; the first rule that asks for it names it.
+def _lacking(docs: DataFrame, held: DataFrame, asked: DataFrame) -> DataFrame:
+    """(doc_id, scope) and what ``asked`` says of the scope, for each asked scope that a document has no text in.
 
-    The required scopes are a handful whatever the corpus, so they go to every task; the documents meet
-    the scopes that they have once, by an anti-join on (doc_id, scope).
+    ``held`` has one row a document with its ``scopes`` as an array, so documents meet it once by id; the
+    asked scopes are a handful whatever the corpus and go to every task.
     """
+    want = asked.agg(F.collect_set("scope").alias("_want"))
+    none = F.array().cast("array<string>")
+    rows = docs.select("doc_id").join(held, "doc_id", "left").crossJoin(F.broadcast(want))
+    rows = rows.select("doc_id", F.explode(F.array_except("_want", F.coalesce("scopes", none))).alias("scope"))
+    return rows.join(F.broadcast(asked), "scope")
+
+
+def coverage_issues(docs: DataFrame, held: DataFrame, rules: DataFrame) -> DataFrame:
+    """One ``warn`` issue for each required scope that a document has no text in (``held``: doc_id, scopes); the first rule that asks for it names it."""
     first = targets(rules).groupBy(F.col("target").alias("scope")).agg(F.min_by("chunk_id", "ord").alias("rule_id"), F.min_by("title", "ord").alias("rule_name"), F.min_by("content", "ord").alias("expected"))
-    missing = docs.select("doc_id").crossJoin(F.broadcast(first)).join(scopes.select("doc_id", "scope"), ["doc_id", "scope"], "left_anti")
+    missing = _lacking(docs, held, first)
     no = F.row_number().over(Window.partitionBy("doc_id").orderBy("scope"))
     issue = F.concat(F.lit("COVERAGE-"), "rule_id", F.lit("-"), F.lpad(no.cast("string"), 3, "0"))
     return missing.withColumn("issue_id", issue).withColumns({"status": F.lit("warn"), "severity": F.lit("中度"), "confidence": F.lit(0.6), "audit_track": F.lit("content_llm")})
 
 
-def presence_issues(docs: DataFrame, rules: DataFrame, scopes: DataFrame) -> DataFrame:
-    """Local rules whose scope has no text in a document."""
-    want = rules.where("analysis_mode = 'local'").select(F.col("chunk_id").alias("rule_id"), "scope", "ord")
-    lacks = docs.select("doc_id").crossJoin(F.broadcast(want)).join(scopes.select("doc_id", "scope"), ["doc_id", "scope"], "left_anti")
+def presence_issues(docs: DataFrame, rules: DataFrame, held: DataFrame) -> DataFrame:
+    """Local rules whose scope has no text in a document (``held``: doc_id, scopes)."""
+    lacks = _lacking(docs, held, rules.where("analysis_mode = 'local'").select(F.col("chunk_id").alias("rule_id"), "scope", "ord"))
     return lacks.withColumn("status", F.lit("insufficient_context")).withColumn("issue_no", F.row_number().over(Window.partitionBy("doc_id").orderBy("ord")))
 
 
@@ -39,11 +47,11 @@ def strategy(mode: Column, context: Column, least: int = 40, most: int = 3600) -
     return F.when(mode.isin("full_document", "cross_section"), mode).when((mode == "deterministic") | (context < least), "skip").when((mode == "local") & (context > most), "window").otherwise("single")
 
 
-def plans(docs: DataFrame, rules: DataFrame, scopes: DataFrame) -> DataFrame:
-    """(doc_id, chunk_id, strategy): every document with every rule, by the length of the rule's scope."""
+def plans(docs: DataFrame, rules: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(doc_id, chunk_id, strategy): every document with every rule, by the length of the rule's scope (``sizes``: doc_id, sizes, a map)."""
     want = F.broadcast(rules.select("chunk_id", "scope", "analysis_mode"))
-    met = docs.select("doc_id").crossJoin(want).join(scopes.select("doc_id", "scope", F.length("text").alias("_n")), ["doc_id", "scope"], "left")
-    return met.withColumn("strategy", strategy(F.col("analysis_mode"), F.coalesce("_n", F.lit(0))))
+    met = docs.select("doc_id").join(sizes, "doc_id", "left").crossJoin(want)
+    return met.withColumn("strategy", strategy(F.col("analysis_mode"), F.coalesce(F.element_at("sizes", F.col("scope")), F.lit(0)))).drop("sizes")
 
 
 def within_budget(parts: DataFrame, limit: int) -> DataFrame:

@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 from lexspark.functions import text as T
 
 NEWLINE = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]"
-#: Sections that end the contents.
-OPENERS = ("foreword", "introduction", "scope", "normative_references", "terms_definitions", "symbols_abbreviations", "appendix", "index", "references")
-
 
 def _doc():
     return Window.partitionBy("doc_id")
@@ -57,25 +54,16 @@ def paragraphs(rows: DataFrame) -> DataFrame:
 
 def _joined(value: str, order: str, sep: str) -> Column:
     """Values of a group joined in order."""
-    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda x: x[value]), sep)
+    return F.array_join(F.sort_array(F.collect_list(F.struct(order, value))).getField(value), sep)
+
+
+def _whole():
+    return _by_line().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
 
 
 def marked_lines(rows: DataFrame) -> DataFrame:
-    """Lines with what the following steps ask of each: one pass, no shuffle beyond the document's own."""
-    line = F.col("line")
-    held, head = T.strip(line), T.heading_content(line)
-    rows = rows.withColumn("_head", head).withColumn("_held", held)
-    head, held = F.col("_head"), F.col("_held")
-    rows = rows.withColumn("_class", F.when(head != "", T.classify(head))).withColumn("_toc_title", (head != "") & T.is_toc_title(head))
-    kind = F.col("_class")
-    toc_like = T.is_toc_entry(F.when(head != "", head).otherwise(held)) | held.rlike(r"(?i)\.{3,}[\x09-\x0D\x20]*(?:[0-9]+|[IVXLCM]+)$")
-    prose = held.rlike("[。！？；;：:]$") | (F.length(held) >= 30)
-    title = (head != "") & (kind.isNotNull() | T.heading_key(head).rlike("^[0-9]"))
-    code = F.when(held == "", "").when((head != "") & F.col("_toc_title"), "T").when(toc_like, "T").when(title & prose, "Q").when(title, "H").when(prose, "P").otherwise("N")
-    ahead = F.array_join(F.collect_list("_code").over(_by_line().rowsBetween(1, 30)), "")
-    opens = (head != "") & ~F.col("_toc_title") & kind.isin(*OPENERS)
-    plain = F.when(head != "", ~F.col("_toc_title") & kind.isNotNull()).otherwise(T.is_numbered(held) & ~T.is_toc_entry(held))
-    return rows.withColumn("_code", code).withColumn("_opens", opens & ~T.is_toc_entry(head)).withColumn("_plain", plain).withColumn("_ahead", F.substring(ahead, 1, 12))
+    """Lines with their marks (:func:`text.line_marks`), before any shuffle."""
+    return rows.withColumn("_m", T.line_marks(F.col("line"))).select("*", *[F.col(f"_m.{f}").alias(f"_{f}") for f in ("held", "head", "kind", "toc_title", "code", "opens", "plain", "cut")]).drop("_m")
 
 
 def zones(rows: DataFrame) -> DataFrame:
@@ -84,48 +72,71 @@ def zones(rows: DataFrame) -> DataFrame:
     With contents, the body starts at the first opening heading after their title whose next lines
     look like a body: of up to 12 non-blank lines among the next 30, running text before any contents
     row says yes; a heading or two contents rows say no.  Without, it starts at the first classified heading
-    or numbered line.
+    or numbered line.  A document's lines are shuffled and sorted once; its codes are one string, which only opening
+    headings look into.
     """
-    rows = marked_lines(rows)
-    seen = F.col("_ahead")
-    real = F.when(seen.rlike("^[NH]*[PQ]"), True).when(seen.rlike("^[NH]*T[TN]*[HQ]"), False).when(seen.rlike("^[NH]*T[TN]*P"), True).otherwise(F.length(F.regexp_replace(seen, "[^T]", "")) < 2)
-    rows = rows.withColumn("_toc", F.min(F.when(F.col("_toc_title"), F.col("line_no"))).over(_doc()))
-    start = F.when(F.col("_toc").isNull(), F.min(F.when(F.col("_plain"), F.col("line_no"))).over(_doc())).otherwise(F.min(F.when(F.col("_opens") & real & (F.col("line_no") > F.col("_toc")), F.col("line_no"))).over(_doc()))
-    rows = rows.withColumn("_body", F.coalesce(start, F.lit(2**31 - 1)))
-    return rows.withColumn("zone", F.when(F.col("line_no") >= F.col("_body"), "body").when(F.col("line_no") >= F.col("_toc"), "toc").otherwise("cover"))
+    rows = marked_lines(rows).withColumn("_codes", F.array_join(F.collect_list("_code").over(_whole()), ""))
+    rows = rows.withColumn("_toc", F.min(F.when(F.col("_toc_title"), F.col("line_no"))).over(_whole()))
+    ahead = F.substring(F.replace(F.substring(F.col("_codes"), F.col("line_no") + 1, F.lit(30)), F.lit(" "), F.lit("")), 1, 12)
+    real = lambda seen: F.when(seen.rlike("^[NH]*[PQ]"), True).when(seen.rlike("^[NH]*T[TN]*[HQ]"), False).when(seen.rlike("^[NH]*T[TN]*P"), True).otherwise(F.length(F.regexp_replace(seen, "[^T]", "")) < 2)
+    starts = F.when(F.col("_toc").isNull(), F.col("_plain")).otherwise(F.when(F.col("_opens") & (F.col("line_no") > F.col("_toc")), T.bound(ahead, real)))
+    rows = rows.withColumn("_body", F.coalesce(F.min(F.when(starts, F.col("line_no"))).over(_whole()), F.lit(2**31 - 1)))
+    return rows.withColumn("zone", F.when(F.col("line_no") >= F.col("_body"), "body").when(F.col("line_no") >= F.col("_toc"), "toc").otherwise("cover")).drop("_codes")
 
 
-def sections(zoned: DataFrame) -> DataFrame:
-    """(doc_id, ord, scope, heading, text, line_start, line_end) of the body.
+def pieces(zoned: DataFrame) -> DataFrame:
+    """(doc_id, _sec, zone, scope, heading, text, line_start, line_end): cover (-2), contents (-1) and the sections of the body in order, without blank ones.
 
     Appendix, index and references pass their scope on to unclassified sections that follow, until
-    a classified one.  Blank sections are dropped and the rest numbered anew.
+    a classified one.  One grouping on the document's own partitioning gives all of them.
     """
-    body = zoned.where("zone = 'body'").withColumn("_cut", T.is_boundary(F.col("line")))
-    body = body.withColumn("_sec", F.sum(F.col("_cut").cast("int")).over(_so_far()))
-    first = F.row_number().over(Window.partitionBy("doc_id", "_sec").orderBy("line_no")) == 1
-    body = body.withColumn("_first", first)
-    parts = body.groupBy("doc_id", "_sec").agg(
+    body = F.col("zone") == "body"
+    sec = F.when(body, F.sum(F.when(body, F.col("_cut")).cast("int")).over(_so_far())).otherwise(F.when(F.col("zone") == "cover", -2).otherwise(-1))
+    parts = zoned.withColumn("_sec", sec).groupBy("doc_id", "_sec", "zone").agg(
         T.strip(_joined("line", "line_no", "\n")).alias("text"),
-        F.max(F.when(F.col("_first"), F.when(F.col("_head") != "", F.col("_head")).otherwise(F.col("_held")))).alias("heading"),
+        F.min_by(F.when(F.col("_head") != "", F.col("_head")).otherwise(F.col("_held")), "line_no").alias("heading"),
+        F.min_by("_kind", "line_no").alias("_own"),
         F.max("_cut").alias("_any"),
         F.min("line_no").alias("line_start"),
         F.max(F.when(F.col("_held") != "", F.col("line_no"))).alias("line_end"),
     ).where("text <> ''")
-    headless = F.max(F.col("_any").cast("int")).over(_doc()) == 0  # no section opens at all: one section without a heading
-    parts = parts.withColumn("_none", headless).withColumn("_own", T.classify(F.col("heading")))
+    own = F.when(F.col("zone") == "body", F.col("_own"))
+    own = F.when(own.isNull() & (F.col("zone") == "body"), T.classify(F.col("heading"))).otherwise(own)
+    parts = parts.withColumn("_own", own)
+    headless = F.max(F.when(F.col("zone") == "body", F.col("_any").cast("int"))).over(_doc()) == 0  # no section opens at all: one section without a heading
     before = _doc().orderBy("_sec").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    last = F.last("_own", ignorenulls=True).over(before)
-    scope = F.when(F.col("_none"), "other_body").otherwise(F.coalesce("_own", F.when(last.isin(*T.END_SCOPES), last), F.lit("other_body")))
-    return parts.select("doc_id", F.row_number().over(_doc().orderBy("_sec")).alias("ord"), scope.alias("scope"), F.when(F.col("_none"), "").otherwise(F.col("heading")).alias("heading"), "text", "line_start", "line_end")
+    parts = parts.withColumn("_none", headless).withColumn("_last", F.last("_own", ignorenulls=True).over(before))
+    scope = F.when(F.col("zone") != "body", F.col("zone")).when(F.col("_none"), "other_body").otherwise(F.coalesce("_own", F.when(F.col("_last").isin(*T.END_SCOPES), F.col("_last")), F.lit("other_body")))
+    heading = F.when((F.col("zone") == "body") & ~F.col("_none"), F.col("heading")).otherwise("")
+    return parts.select("doc_id", "_sec", "zone", scope.alias("scope"), heading.alias("heading"), "text", "line_start", "line_end")
 
 
-def scope_text(zoned: DataFrame, parts: DataFrame) -> DataFrame:
+def _numbered(parts: DataFrame) -> DataFrame:
+    return parts.select("doc_id", F.row_number().over(_doc().orderBy("_sec")).alias("ord"), "scope", "heading", "text", "line_start", "line_end")
+
+
+def sections(zoned: DataFrame) -> DataFrame:
+    """(doc_id, ord, scope, heading, text, line_start, line_end) of the body (:func:`pieces`), numbered anew without blank ones."""
+    return _numbered(pieces(zoned).where("zone = 'body'"))
+
+
+def scope_text(zoned: DataFrame) -> DataFrame:
     """(doc_id, scope, text) of every scope that has text; ``end`` gathers appendix, index and references."""
-    front = zoned.where("zone <> 'body'").groupBy("doc_id", F.col("zone").alias("scope")).agg(T.strip(_joined("line", "line_no", "\n")).alias("text")).where("text <> ''")
-    end = parts.where(F.col("scope").isin(*T.END_SCOPES)).withColumn("scope", F.lit("end"))
-    body = parts.unionByName(end).groupBy("doc_id", "scope").agg(_joined("text", "ord", "\n\n").alias("text"))
-    return front.unionByName(body)
+    scope = F.explode(F.when(F.col("scope").isin(*T.END_SCOPES), F.array("scope", F.lit("end"))).otherwise(F.array("scope")))
+    return pieces(zoned).select("doc_id", "_sec", "text", scope.alias("scope")).groupBy("doc_id", "scope").agg(_joined("text", "_sec", "\n\n").alias("text"))
+
+
+def held_scopes(zoned: DataFrame) -> DataFrame:
+    """(doc_id, scopes): the scopes that have text, one row a document that has any."""
+    held = pieces(zoned).groupBy("doc_id").agg(F.collect_set("scope").alias("scopes"))
+    return held.withColumn("scopes", F.when(F.arrays_overlap("scopes", F.array(*[F.lit(s) for s in T.END_SCOPES])), F.array_append("scopes", F.lit("end"))).otherwise(F.col("scopes")))
+
+
+def scope_sizes(zoned: DataFrame) -> DataFrame:
+    """(doc_id, sizes): characters of each scope's text as a map, without gathering the texts."""
+    scope = F.explode(F.when(F.col("scope").isin(*T.END_SCOPES), F.array("scope", F.lit("end"))).otherwise(F.array("scope")))
+    n = pieces(zoned).select("doc_id", F.length("text").alias("n"), scope.alias("scope")).groupBy("doc_id", "scope").agg((F.sum("n") + 2 * (F.count(F.lit(1)) - 1)).alias("n"))
+    return n.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("scope", "n"))).alias("sizes"))
 
 
 def body_text(parts: DataFrame) -> DataFrame:
@@ -163,11 +174,9 @@ def restrict(scopes: DataFrame, keys: list[str], partial: bool = False) -> DataF
     return kept.groupBy("doc_id").agg(_joined("text", "_o", "\n\n").alias("text"))
 
 
-def units(scopes: DataFrame, parts: DataFrame) -> DataFrame:
+def units(zoned: DataFrame) -> DataFrame:
     """Cover, contents, then sections, numbered in that order."""
-    front = scopes.where(F.col("scope").isin("cover", "toc")).select("doc_id", F.when(F.col("scope") == "cover", -2).otherwise(-1).alias("_o"), "scope", F.col("scope").alias("heading"), "text")
-    both = front.unionByName(parts.select("doc_id", F.col("ord").alias("_o"), "scope", "heading", "text"))
-    return both.withColumn("ord", F.row_number().over(_doc().orderBy("_o"))).drop("_o")
+    return _numbered(pieces(zoned)).withColumn("heading", F.when(F.col("scope").isin("cover", "toc"), F.col("scope")).otherwise(F.col("heading"))).select("doc_id", "ord", "scope", "heading", "text")
 
 
 #: Words of headings for documents that the line rules find no sections in, in order of precedence.  Fixed values.

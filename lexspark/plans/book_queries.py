@@ -127,5 +127,5 @@ def review_loop(spark, sf_dir):
 
     docs = std_corpus(spark, sf_dir)
     zoned = S.zones(S.lines(docs))
-    scopes = S.scope_text(zoned, S.sections(zoned))
+    scopes = S.scope_text(zoned)
     return review.run_review(docs.select("doc_id"), scopes, rules(spark))

@@ -32,8 +32,7 @@ def _zoned(spark, sf_dir):
 
 
 def _scopes(spark, sf_dir):
-    zoned = _zoned(spark, sf_dir)
-    return S.scope_text(zoned, S.sections(zoned))
+    return S.scope_text(_zoned(spark, sf_dir))
 
 
 _REQ = f"rules AS ({Q.RULES}), targets AS (SELECT unnest(CASE WHEN targets = '' THEN [scope] ELSE string_split(targets, ',') END) AS scope, chunk_id, title, content, ord FROM rules), required AS (SELECT scope, arg_min(chunk_id, ord) AS rule_id, arg_min(title, ord) AS rule_name FROM targets GROUP BY scope)"
@@ -43,14 +42,14 @@ _COVER = f"{_REQ}, missing AS (SELECT c.doc_id, r.scope, r.rule_id, r.rule_name
 @query(Q.over_sections("SELECT rule_id, scope, count(*) AS documents FROM missing GROUP BY rule_id, scope", _COVER))
 def coverage_warnings(spark, sf_dir):
     """rules' required scopes that documents lack, counted by rule."""
-    found = review.coverage_issues(std_corpus(spark, sf_dir).select("doc_id"), _scopes(spark, sf_dir), rules(spark))
+    found = review.coverage_issues(std_corpus(spark, sf_dir).select("doc_id"), S.held_scopes(_zoned(spark, sf_dir)), rules(spark))
     return found.groupBy("rule_id", "scope").agg(F.count(F.lit(1)).alias("documents"))
 
 
 @query(Q.over_sections("SELECT doc_id, scope, rule_id, rule_name, 'COVERAGE-' || rule_id || '-' || lpad(row_number() OVER (PARTITION BY doc_id ORDER BY scope)::VARCHAR, 3, '0') AS issue_id, 'warn' AS status FROM missing", _COVER))
 def coverage_issues(spark, sf_dir):
     """One warning for each required scope that a document lacks."""
-    return review.coverage_issues(std_corpus(spark, sf_dir).select("doc_id"), _scopes(spark, sf_dir), rules(spark)).select("doc_id", "scope", "rule_id", "rule_name", "issue_id", "status")
+    return review.coverage_issues(std_corpus(spark, sf_dir).select("doc_id"), S.held_scopes(_zoned(spark, sf_dir)), rules(spark)).select("doc_id", "scope", "rule_id", "rule_name", "issue_id", "status")
 
 
 @query(Q.over_lines("SELECT doc_id, line_no, line FROM ln"))
@@ -137,9 +136,7 @@ def restricted_view(spark, sf_dir):
 @query(Q.over_sections("SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY o) AS ord, scope, heading FROM (SELECT doc_id, CASE scope WHEN 'cover' THEN -2 ELSE -1 END AS o, scope, scope AS heading FROM scopes WHERE scope IN ('cover', 'toc') UNION ALL SELECT doc_id, ord, scope, heading FROM sections)"))
 def ordered_units(spark, sf_dir):
     """D24."""
-    zoned = _zoned(spark, sf_dir)
-    parts = S.sections(zoned)
-    return S.units(S.scope_text(zoned, parts), parts).select("doc_id", "ord", "scope", "heading")
+    return S.units(_zoned(spark, sf_dir)).select("doc_id", "ord", "scope", "heading")
 
 
 _BUDGET = """SELECT doc_id, string_agg(ord::VARCHAR, ',' ORDER BY ord) AS taken, sum(n)::BIGINT AS chars FROM (
@@ -161,7 +158,7 @@ _PRESENT = f"rules AS ({Q.RULES}), want AS (SELECT * FROM rules WHERE analysis_m
 @query(Q.over_sections("SELECT doc_id, chunk_id AS rule_id, scope, 'insufficient_context' AS status, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS issue_no FROM lacks", _PRESENT))
 def presence_issues(spark, sf_dir):
     """Local rules whose scope has no text."""
-    return review.presence_issues(std_corpus(spark, sf_dir).select("doc_id"), rules(spark), _scopes(spark, sf_dir)).select("doc_id", "rule_id", "scope", "status", "issue_no")
+    return review.presence_issues(std_corpus(spark, sf_dir).select("doc_id"), rules(spark), S.held_scopes(_zoned(spark, sf_dir))).select("doc_id", "rule_id", "scope", "status", "issue_no")
 
 
 _PLAN = f"rules AS ({Q.RULES}), plan AS (SELECT c.doc_id, r.chunk_id, r.analysis_mode, coalesce(length(s.text), 0) AS n FROM corpus c CROSS JOIN rules r LEFT JOIN scopes s ON s.doc_id = c.doc_id AND s.scope = r.scope)"
@@ -170,7 +167,7 @@ _PLAN = f"rules AS ({Q.RULES}), plan AS (SELECT c.doc_id, r.chunk_id, r.analysis
 @query(Q.over_sections("SELECT chunk_id, CASE WHEN analysis_mode = 'full_document' THEN 'full_document' WHEN analysis_mode = 'cross_section' THEN 'cross_section' WHEN analysis_mode = 'deterministic' OR n < 40 THEN 'skip' WHEN n > 3600 THEN 'window' ELSE 'single' END AS strategy, count(*) AS plans FROM plan GROUP BY ALL", _PLAN))
 def strategy_counts(spark, sf_dir):
     """How each rule would be judged, by context length."""
-    plans = review.plans(std_corpus(spark, sf_dir).select("doc_id"), rules(spark), _scopes(spark, sf_dir))
+    plans = review.plans(std_corpus(spark, sf_dir).select("doc_id"), rules(spark), S.scope_sizes(_zoned(spark, sf_dir)))
     return plans.groupBy("chunk_id", "strategy").agg(F.count(F.lit(1)).alias("plans"))
 
 

@@ -161,5 +161,5 @@ def test_judges(spark):
 def test_odd_corpora(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "\n\n"), (4, "no heading at all"), (5, "# 目次\n1 范围 1\n# 1 范围\n内容。\n")], "doc_id long, text string")
     zoned = S.zones(S.lines(df))
-    assert {(r.doc_id, r.scope) for r in S.scope_text(zoned, S.sections(zoned)).collect()} == {(4, "cover"), (5, "toc"), (5, "scope")}
+    assert {(r.doc_id, r.scope) for r in S.scope_text(zoned).collect()} == {(4, "cover"), (5, "toc"), (5, "scope")}
     assert S.sections(zoned.limit(0)).collect() == []
