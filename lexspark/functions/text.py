@@ -6,6 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 BLANK = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{3000}]"
+#: The same characters as a string.
+BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u3000"
 #: Titles that are headings without a mark.  Fixed values.
 BARE_TITLES = ("目次", "目录", "前言", "引言", "参考文献", "索引")
 #: Scope keys in canonical order.  Fixed values.
@@ -37,7 +39,7 @@ KEY_MARKS = r"：:，,。；;（）()\[\]【】《》\-—"
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{BLANK}+|{BLANK}+$", "")
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def squeeze(c: Column) -> Column:
@@ -102,11 +104,13 @@ def line_marks(line: Column) -> Column:
     heading that can end the contents), ``plain`` (a line that can begin a body without contents), ``cut`` (opens a section).
     """
 
-    def with_kind(held: Column, head: Column, key: Column, kind: Column) -> Column:
-        marked, prose = head != "", held.rlike("[。！？；;：:]$") | (F.length(held) >= 30)
+    def with_kind(held: Column, last: Column, head: Column, key: Column, kind: Column) -> Column:
+        marked, stop = head != "", last.isin(*"。！？；;：:")
+        prose = stop | (F.length(held) >= 30)
         toc_title, numbered = marked & key.rlike("^(目次|目录)"), key.rlike("^[0-9]")
-        entry = F.when(marked, is_toc_entry(head)).otherwise(is_toc_entry(held))
-        toc_like = entry | held.rlike(r"(?i)\.{3,}[\x09-\x0D\x20]*(?:[0-9]+|[IVXLCM]+)$")
+        # a heading ends as its line does, and only a line that ends in a digit or a roman numeral can be a contents row
+        entry = last.rlike("(?i)[IVXLCM0-9]") & F.when(marked, is_toc_entry(head)).otherwise(is_toc_entry(held))
+        toc_like = entry | (last.rlike("(?i)[IVXLCM0-9]") & held.rlike(r"(?i)\.{3,}[\x09-\x0D\x20]*(?:[0-9]+|[IVXLCM]+)$"))
         title = marked & (kind.isNotNull() | numbered)
         code = F.when(toc_title | toc_like, "T").when(title & prose, "Q").when(title, "H").when(prose, "P").otherwise("N")
         return F.struct(
@@ -115,15 +119,16 @@ def line_marks(line: Column) -> Column:
             kind.alias("kind"),
             toc_title.alias("toc_title"),
             code.alias("code"),
-            (marked & ~toc_title & F.coalesce(kind.isin(*OPENERS), F.lit(False)) & ~is_toc_entry(head)).alias("opens"),
-            F.when(marked, ~toc_title & kind.isNotNull()).otherwise(is_numbered(held) & ~is_toc_entry(held)).alias("plain"),
-            F.when(marked, kind.isNotNull() | numbered | ~head.rlike("[。！？；;：:]$")).otherwise(is_numbered(held)).alias("cut"),
+            (marked & ~toc_title & F.coalesce(kind.isin(*OPENERS), F.lit(False)) & ~entry).alias("opens"),
+            F.when(marked, ~toc_title & kind.isNotNull()).otherwise(is_numbered(held) & ~entry).alias("plain"),
+            F.when(marked, kind.isNotNull() | numbered | ~stop).otherwise(is_numbered(held)).alias("cut"),
         )
 
     no, none = F.lit(False), F.lit(None).cast("string")
     blank = F.struct(F.lit("").alias("held"), F.lit("").alias("head"), none.alias("kind"), no.alias("toc_title"), F.lit(" ").alias("code"), no.alias("opens"), no.alias("plain"), no.alias("cut"))
-    of_head = lambda held, head: bound(heading_key(head), lambda key: bound(F.when(head != "", _scope_of(_unnumbered(key))), lambda kind: with_kind(held, head, key, kind)))
-    return bound(strip(line), lambda held: F.when(held == "", blank).otherwise(bound(_heading_of(held), lambda head: of_head(held, head))))
+    of_head = lambda held, last, head: bound(heading_key(head), lambda key: bound(F.when(head != "", _scope_of(_unnumbered(key))), lambda kind: with_kind(held, last, head, key, kind)))
+    of_line = lambda held: bound(F.right(held, F.lit(1)), lambda last: bound(_heading_of(held), lambda head: of_head(held, last, head)))
+    return bound(strip(line), lambda held: F.when(held == "", blank).otherwise(of_line(held)))
 
 
 def strip_page(c: Column) -> Column:

@@ -7,7 +7,15 @@ from pyspark.sql import functions as F
 
 from lexspark.functions import text as T
 
-NEWLINE = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]"
+#: What ends a line besides \\n, and \\r\\n as one.
+OTHER_BREAKS = "\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
+
+
+def _split_lines(text: Column) -> Column:
+    """A text's lines, split at a single character: other line breaks, where there are any, become that first."""
+    plain = F.when(text.rlike(f"[{OTHER_BREAKS}]"), F.translate(F.replace(text, F.lit("\r\n"), F.lit("\n")), OTHER_BREAKS, "\n" * len(OTHER_BREAKS))).otherwise(text)
+    return T.bound(F.split(plain, "\n", -1), lambda p: F.when(F.element_at(p, -1) == "", F.slice(p, F.lit(1), F.size(p) - 1)).otherwise(p))
+
 
 def _doc():
     return Window.partitionBy("doc_id")
@@ -23,9 +31,7 @@ def _so_far():
 
 def lines(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(doc_id, line_no, line), numbered from 1; a text's closing line break opens no line, null has none."""
-    parts = F.split(F.col(text_col), NEWLINE, -1)
-    parts = F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
-    return docs.select("doc_id", F.posexplode(parts).alias("_i", "line")).select("doc_id", (F.col("_i") + 1).alias("line_no"), "line")
+    return docs.select("doc_id", F.posexplode(_split_lines(F.col(text_col))).alias("_i", "line")).select("doc_id", (F.col("_i") + 1).alias("line_no"), "line")
 
 
 def slice_lines(rows: DataFrame, start: int | None = None, end: int | None = None) -> DataFrame:
@@ -62,7 +68,7 @@ def _whole():
 
 
 def marked_lines(rows: DataFrame) -> DataFrame:
-    """Lines with their marks (:func:`text.line_marks`), before any shuffle."""
+    """Lines with their marks (:func:`text.line_marks`)."""
     return rows.withColumn("_m", T.line_marks(F.col("line"))).select("*", *[F.col(f"_m.{f}").alias(f"_{f}") for f in ("held", "head", "kind", "toc_title", "code", "opens", "plain", "cut")]).drop("_m")
 
 
@@ -72,10 +78,10 @@ def zones(rows: DataFrame) -> DataFrame:
     With contents, the body starts at the first opening heading after their title whose next lines
     look like a body: of up to 12 non-blank lines among the next 30, running text before any contents
     row says yes; a heading or two contents rows say no.  Without, it starts at the first classified heading
-    or numbered line.  A document's lines are shuffled and sorted once; its codes are one string, which only opening
+    or numbered line.  A document's bare lines are shuffled once, before anything is computed of them; its codes are one string, which only opening
     headings look into.
     """
-    rows = marked_lines(rows).withColumn("_codes", F.array_join(F.collect_list("_code").over(_whole()), ""))
+    rows = marked_lines(rows.repartition("doc_id")).withColumn("_codes", F.array_join(F.collect_list("_code").over(_whole()), ""))
     rows = rows.withColumn("_toc", F.min(F.when(F.col("_toc_title"), F.col("line_no"))).over(_whole()))
     ahead = F.substring(F.replace(F.substring(F.col("_codes"), F.col("line_no") + 1, F.lit(30)), F.lit(" "), F.lit("")), 1, 12)
     real = lambda seen: F.when(seen.rlike("^[NH]*[PQ]"), True).when(seen.rlike("^[NH]*T[TN]*[HQ]"), False).when(seen.rlike("^[NH]*T[TN]*P"), True).otherwise(F.length(F.regexp_replace(seen, "[^T]", "")) < 2)
