@@ -27,10 +27,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexspark.llm.common import cut, thinned
+from lexspark.llm.common import cut, meet, thinned
 from lexspark.llm.components import connected_components
 
 SEED = 42
@@ -58,13 +58,10 @@ def fingerprint(text: str | None, words: int = 3, step: int = 65536) -> int:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
     """(doc_id, fp): fp is the fingerprint's bits as a signed long."""
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def typed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series(np.array([fingerprint(t, words) for t in texts], dtype=np.uint64).view(np.int64))
 
-    def typed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        return run(batches)
-
     return docs.select(F.col(id_col).alias("doc_id"), F.pandas_udf(typed, "long")(F.coalesce(F.col(text_col), F.lit(""))).alias("fp"))
 
 
@@ -180,10 +177,24 @@ def forest(values: np.ndarray, home: np.ndarray, radius: int, block: int = 256)
     return values[child], values[parent[child]]
 
 
+def shard_forest(half: np.ndarray, other: np.ndarray, values: np.ndarray, home: np.ndarray, radius: int, shard_rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning links of one shard.  A shard above ``shard_rows`` is divided again by a tree fitted to what it holds, so its work does not grow with the square of its rows."""
+    if len(values) <= 2 * shard_rows:
+        return forest(values, home, radius)
+    tree = fit_tree(half, len(half), shard_rows, radius // 2)
+    idx, shard, own = route(tree, half, other, radius // 2)
+    order = np.argsort(shard, kind="stable")
+    idx, own = idx[order], own[order]
+    edges = np.flatnonzero(np.diff(shard[order], prepend=-1))
+    parts = [forest(values[i], h, radius) for i, h in zip(np.split(idx, edges[1:]), np.split(own, edges[1:]))]
+    return np.concatenate([a for a, _ in parts]), np.concatenate([b for _, b in parts])
+
+
 def links(classes: DataFrame, radius: int = 3, sample_rows: int = 32768, shard_rows: int = 2048) -> DataFrame:
     """(a, b): links between distinct fingerprints that span every component.
 
-    ``sample_rows`` bounds the fingerprints that the two trees are fitted to; every row is routed.
+    ``sample_rows`` bounds the fingerprints that the two trees are fitted to; every row is routed.  Shards that
+    stay too large for that sample are divided again inside their tasks, by what they hold (:func:`shard_forest`).
     """
     total = classes.count()
     picked = thinned(classes.select("fp"), F.xxhash64("fp"), sample_rows, total).orderBy(F.xxhash64("fp"), "fp").limit(sample_rows).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
@@ -198,7 +209,10 @@ def links(classes: DataFrame, radius: int = 3, sample_rows: int = 32768, shard_r
                 yield pd.DataFrame({"tree": np.full(len(idx), t, np.int32), "shard": shard, "fp": fp[idx].view(np.int64), "home": home})
 
     def search(part: pd.DataFrame) -> pd.DataFrame:
-        a, b = forest(part["fp"].to_numpy(np.int64).view(np.uint64), part["home"].to_numpy(bool), radius)
+        fp = part["fp"].to_numpy(np.int64).view(np.uint64)
+        halves = (fp & low, fp >> np.uint64(32))
+        t = int(part["tree"].iloc[0])
+        a, b = shard_forest(halves[t], halves[1 - t], fp, part["home"].to_numpy(bool), radius, shard_rows)
         return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
 
     dealt = classes.select("fp").mapInPandas(deal, "tree int, shard long, fp long, home boolean")
@@ -216,14 +230,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     fps = cut(fingerprints(docs, id_col, text_col, words))
     classes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = connected_components(links(classes, radius))
-    labelled = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    smallest = labelled.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = labelled.join(smallest, "root").select("fp", "component_id")
-    out = fps.join(named, "fp")
+    n = classes.count()
+    named = cut(named_components(classes, "fp", connected_components(links(classes, radius)), n))
+    out = meet(fps, named, ["fp"], n)
     return out.select(F.col("doc_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def named_components(classes: DataFrame, key: str, roots: DataFrame, n: int) -> DataFrame:
+    """(key, component_id): the smallest ``first`` of each class's component.  ``classes`` has key, first and ``n`` rows."""
+    labelled = cut(classes.select(key, "first").join(roots.withColumnRenamed("node", key), key, "left").select(key, "first", F.coalesce("root", key).alias("root")))
+    smallest = labelled.groupBy("root").agg(F.min("first").alias("component_id"))
+    return meet(labelled, smallest, ["root"], n).select(key, "component_id")
+
+
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
     """Hashes of the shingles that :func:`fingerprint` counts, repeats included; no words: none."""
     import xxhash
@@ -319,30 +338,52 @@ def route_wide(tree: np.ndarray, words: np.ndarray) -> np.ndarray:
     return at
 
 
-def nearest_forest(words: np.ndarray, radius: int, block: int = 256) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the pairs within ``radius``, closest first (indices)."""
-    n, found = len(words), []
-    for k in range(0, n, block):
-        part, rest = words[k : k + block], words[k:]
-        d = np.bitwise_count(part[:, None, 0] ^ rest[None, :, 0]) + np.bitwise_count(part[:, None, 1] ^ rest[None, :, 1])
-        a, b = np.nonzero(d <= radius)
-        a, b, d = a[b > a], b[b > a], d[a[b > a], b[b > a]]
-        found.append((a + k, b + k, d))
-    a, b, d = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (zip(*found) if found else ((), (), ())))
+def smallest_forest(n: int, a: np.ndarray, b: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A spanning forest of the pairs, closest first: rounds in which every tree takes its closest pair."""
     order = np.argsort(d, kind="stable")
-    a, b, parent, out = a[order], b[order], np.arange(n), []
+    a, b, d, parent, out = a[order], b[order], d[order], np.arange(n), []
     while True:
         apart = parent[a] != parent[b]
-        a, b = a[apart], b[apart]
+        a, b, d = a[apart], b[apart], d[apart]
         if not len(a):
             break
         best = np.full(n, len(a))
         for side in (a, b):
             np.minimum.at(best, parent[side], np.arange(len(a)))
         pick = np.unique(best[best < len(a)])
-        out.append((a[pick], b[pick]))
+        out.append((a[pick], b[pick], d[pick]))
         unite(parent, a[pick], b[pick])
-    return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (zip(*out) if out else ((), ())))
+    return tuple(np.concatenate(x) for x in zip(*out)) if out else (a, b, d)
+
+
+def nearest_forest(words: np.ndarray, radius: int, block: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the pairs within ``radius``, closest first (indices).
+
+    A block's pairs are put together with the forest so far and thinned to a forest at once, so memory holds a block's pairs and no more.
+    """
+    n = len(words)
+    a, b, d = (np.zeros(0, np.int64) for _ in range(3))
+    for k in range(0, n, block):
+        part, rest = words[k : k + block], words[k:]
+        gap = np.bitwise_count(part[:, None, 0] ^ rest[None, :, 0]) + np.bitwise_count(part[:, None, 1] ^ rest[None, :, 1])
+        gap[np.tril_indices(len(part), 0, n - k)] = 255  # each pair once
+        i, j = np.nonzero(gap <= radius)
+        if len(i):
+            a, b, d = smallest_forest(n, np.concatenate((a, i + k)), np.concatenate((b, j + k)), np.concatenate((d, gap[i, j])))
+    return a, b
+
+
+def local_forest(words: np.ndarray, radius: int, shard_rows: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`nearest_forest` of a shard; one above ``shard_rows`` is divided again by a tree fitted to what it holds."""
+    if len(words) <= 2 * shard_rows:
+        return nearest_forest(words, radius)
+    shard = route_wide(fit_wide(words, len(words), shard_rows, seed), words)
+    order = np.argsort(shard, kind="stable")
+    found = []
+    for idx in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
+        a, b = nearest_forest(words[idx], radius)
+        found.append((idx[a], idx[b]))
+    return np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
 
 
 def wide_links(classes: DataFrame, radius: int = 30, recall: float = 0.98, sample_rows: int = 32768, shard_rows: int = 2048) -> DataFrame:
@@ -366,7 +407,7 @@ def wide_links(classes: DataFrame, radius: int = 30, recall: float = 0.98, sampl
                 yield pd.DataFrame({"tree": np.full(len(batch), t, np.int32), "shard": route_wide(tree, words), "node": batch["node"], "w0": batch["w0"], "w1": batch["w1"]})
 
     def search(part: pd.DataFrame) -> pd.DataFrame:
-        a, b = nearest_forest(np.ascontiguousarray(part[["w0", "w1"]].to_numpy(np.int64)).view(np.uint64), radius)
+        a, b = local_forest(np.ascontiguousarray(part[["w0", "w1"]].to_numpy(np.int64)).view(np.uint64), radius, shard_rows, int(part["tree"].iloc[0]))
         node = part["node"].to_numpy(np.int64)
         return pd.DataFrame({"a": node[a], "b": node[b]})
 
@@ -374,14 +415,19 @@ def wide_links(classes: DataFrame, radius: int = 30, recall: float = 0.98, sampl
     return dealt.groupBy("tree", "shard").applyInPandas(search, "a long, b long")
 
 
-def similar_links(docs: DataFrame, text_col: str, words: int, radius: int, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """(nodes, links): a node (``xxhash64`` of the text) a distinct text, and the verified links (a, b) between nodes.
+def text_key(text: Column) -> list[Column]:
+    """Two independent 64-bit hashes that name a text."""
+    return [F.xxhash64(text).alias("h1"), F.xxhash64(F.lit("second"), text).alias("h2")]
+
+
+def similar_links(docs: DataFrame, id_col: str, text_col: str, words: int, radius: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """(nodes, links): a node (node, h1, h2, first) a distinct text, and the verified links (a, b) between nodes.
 
     A link counts if the Jaccard similarity of the two texts' shingles, repeats counted, is at least ``similarity``,
     or if their fingerprints differ in at most ``radius`` bits and the sets of their shingles are that similar.
     """
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def typed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             rows = []
             for t in texts:
@@ -390,32 +436,30 @@ def similar_links(docs: DataFrame, text_col: str, words: int, radius: int, simil
                 rows.append((majority(h), majority(own), majority(mixed_bits(own))) if len(h) else (0, 0, 0))
             yield pd.DataFrame(np.array(rows, np.uint64).reshape(-1, 3).view(np.int64), columns=["fp", "w0", "w1"])
 
-    def typed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        return run(batches)
-
     text = F.coalesce(F.col(text_col), F.lit(""))
-    nodes = docs.select(F.xxhash64(text).alias("node"), F.pandas_udf(typed, "fp long, w0 long, w1 long")(text).alias("f")).select("node", "f.*")
-    nodes = cut(nodes.distinct())
+    rows = docs.select(F.col(id_col).alias("id"), *text_key(text), F.pandas_udf(typed, "fp long, w0 long, w1 long")(text).alias("f"))
+    nodes = rows.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.first("f").alias("f"))
+    # the number is written with the table, so it is one whatever happens to a task
+    nodes = cut(nodes.select(F.monotonically_increasing_id().alias("node"), "h1", "h2", "first", "f.*"))
+    n = nodes.count()
     narrow = cut(nodes.groupBy("fp").agg(F.min("node").alias("first")))
     near = links(narrow.select("fp"), radius)
     near = near.join(narrow.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(narrow.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b").select("x", "y")
-    near = near.union(nodes.join(narrow, "fp").select("first", "node"))
+    near = near.union(meet(nodes.select("fp", "node"), narrow, ["fp"], n).select("first", "node"))
     wide = cut(nodes.groupBy("w0", "w1").agg(F.min("node").alias("node")))
-    far = wide_links(wide).union(nodes.join(wide.withColumnRenamed("node", "first"), ["w0", "w1"]).select("first", "node"))
+    far = wide_links(wide).union(meet(nodes.select("w0", "w1", "node"), wide.withColumnRenamed("node", "first"), ["w0", "w1"], n).select("first", "node"))
     pairs = near.select("x", "y", F.lit(True).alias("close")).union(far.select("a", "b", F.lit(False))).where("x <> y")
     pairs = cut(pairs.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.max("close").alias("close")))
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("end")).distinct()
-    held = docs.select(F.xxhash64(text).alias("end"), text.alias("t")).join(ends.hint("shuffle_hash"), "end", "left_semi")
-    held = cut(held.dropDuplicates(["end"]))
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = nodes.select("node", "h1", "h2").join(ends, "node", "left_semi")
+    held = docs.select(*text_key(text), text.alias("t")).join(wanted.hint("shuffle_hash"), ["h1", "h2"])
+    held = cut(held.select("node", "t").dropDuplicates(["node"]))
 
-    def compare(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    def compared(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for a, b in batches:
             yield pd.DataFrame([jaccards(x, y, words) for x, y in zip(a, b)], columns=["counted", "sets"])
 
-    def compared(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        return compare(batches)
-
-    both = pairs.join(held.select(F.col("end").alias("a"), F.col("t").alias("ta")), "a").join(held.select(F.col("end").alias("b"), F.col("t").alias("tb")), "b")
+    both = pairs.join(held.select(F.col("node").alias("a"), F.col("t").alias("ta")), "a").join(held.select(F.col("node").alias("b"), F.col("t").alias("tb")), "b")
     both = both.select("a", "b", "close", F.pandas_udf(compared, "counted double, sets double")("ta", "tb").alias("j"))
     return nodes, both.where((F.col("j.counted") >= similarity) | (F.col("close") & (F.col("j.sets") >= similarity))).select("a", "b")
 
@@ -423,12 +467,12 @@ def similar_links(docs: DataFrame, text_col: str, words: int, radius: int, simil
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, radius: int = 3, similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs`` with one document of each group of verified near copies (:func:`similar_links`), the one with the smallest id.
 
-    A row whose id is null stays only if its component has no other; rows that repeat an id all stay or go together.
+    A row whose id is null stays only if its component has no other; rows that repeat an id all stay or go together.  Null and
+    empty texts are equal texts.  Other columns may have any names.
     """
-    _, found = similar_links(docs, text_col, words, radius, similarity)
-    roots = connected_components(found)
-    node = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    rows = docs.select(F.col(id_col).alias("id"), node.alias("node")).join(roots, "node", "left").select("id", F.coalesce("root", "node").alias("root"))
-    smallest = rows.groupBy("root").agg(F.min("id").alias("component_id"))
-    gone = rows.join(smallest, "root").where("id <> component_id").select(F.col("id").alias("__gone")).distinct()
-    return docs.join(gone.hint("shuffle_hash"), docs[id_col] == F.col("__gone"), "left_anti")
+    nodes, found = similar_links(docs, id_col, text_col, words, radius, similarity)
+    n = nodes.count()
+    names = cut(nodes.select("node", "h1", "h2", "first").join(named_components(nodes.select("node", "first"), "node", connected_components(found), n), "node"))
+    rows = cut(docs.select(F.col(id_col).alias("id"), *text_key(F.coalesce(F.col(text_col), F.lit("")))))
+    gone = meet(rows, names.select("h1", "h2", "component_id"), ["h1", "h2"], n).where("id is null and component_id is not null or id <> component_id").select("id").distinct()
+    return docs.join(gone.hint("shuffle_hash"), docs[id_col].eqNullSafe(gone["id"]), "left_anti")

@@ -23,9 +23,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexspark.llm.common import cut, thinned
+from lexspark.llm.common import cut, meet, thinned
 from lexspark.llm.components import connected_components
-from lexspark.llm.simhash import unite
+from lexspark.llm.simhash import named_components, unite
 
 SLACK = 1e-9
 
@@ -105,13 +105,13 @@ def search(x: np.ndarray, home: np.ndarray, count: np.ndarray, b: int, threshold
     homes = np.nonzero(home)[0]
     sub, width = y[:, parts[b]], (y[:, parts[b]] ** 2).sum(axis=1)
     links, parent = np.zeros(n, np.int64), np.arange(n)
-    for lo in range(0, n, step):
-        rows = np.arange(lo, min(lo + step, n))
-        near = width[rows, None] + width[None, homes] - 2 * (sub[rows] @ sub[homes].T) <= budget[b] + SLACK
+    for lo, at in ((lo, at) for lo in range(0, n, step) for at in range(0, len(homes), most)):
+        rows, own = np.arange(lo, min(lo + step, n)), homes[at : at + most]
+        near = width[rows, None] + width[None, own] - 2 * (sub[rows] @ sub[own].T) <= budget[b] + SLACK
         # two that are at home here meet once
-        near &= ~home[rows, None] | (rows[:, None] < homes[None, :])
+        near &= ~home[rows, None] | (rows[:, None] < own[None, :])
         i, j = np.nonzero(near)
-        i, j = rows[i], homes[j]
+        i, j = rows[i], own[j]
         for k in range(0, len(i), most):
             p, q = i[k : k + most], j[k : k + most]
             gap = (y[p] - y[q]) ** 2
@@ -139,10 +139,15 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     sound = F.col("v").isNotNull() & F.forall("v", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))) & F.exists("v", lambda e: e != 0)
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"), F.col(label_col).alias("label"))
     rows = rows.withColumn("ok", F.coalesce(sound & F.col("label").isNotNull(), F.lit(False)))
-    classes = cut(rows.where("ok").groupBy("label", "v").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).withColumn("cls", F.xxhash64("label", "v")))
-    sized = classes.groupBy(F.size("v").alias("dims"), "label").count().groupBy("dims").agg(F.max("count").alias("most"))
-    biggest = {r["dims"]: r["most"] for r in sized.orderBy(F.desc("most")).limit(64).collect()}  # a row a vector length
-    sample = thinned(classes.select("v", "cls"), F.col("cls"), sample_rows, classes.count()).orderBy("cls").limit(sample_rows).toPandas()["v"]
+    # a class's number is written with the table, so it is one whatever happens to a task
+    classes = cut(rows.where("ok").groupBy("label", "v").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).withColumn("cls", F.monotonically_increasing_id()))
+    n = classes.count()
+    order = F.xxhash64("cls")
+    sample = thinned(classes.select("v", "cls"), order, sample_rows, n).orderBy(order, "cls").limit(sample_rows).toPandas()["v"]
+    # a tree for each vector length that the sample has, by the size of its largest label; a length too rare for the sample is one shard
+    lengths = sorted({len(v) for v in sample})
+    sized = classes.groupBy(F.size("v").alias("dims"), "label").count().where(F.col("dims").isin(lengths)).groupBy("dims").agg(F.max("count").alias("most"))
+    biggest = {r["dims"]: r["most"] for r in sized.collect()}
     trees: dict[tuple[int, int], Node] = {}
     radius = lambda dims, s: float(np.sqrt(2 * (1 - threshold) * (s.stop - s.start) / dims + 2 * SLACK))
     for dims, most in biggest.items():
@@ -151,13 +156,17 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         for b, s in enumerate(blocks(dims, block_dims)):
             trees[dims, b] = fit_tree(y[:, s], most, shard_rows, radius(dims, s))
 
+    # single precision travels as it is; it is compared in double
+    kind = np.float32 if "float" in dict(classes.dtypes)["v"] else np.float64
+
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             size = batch["v"].map(len)
             for dims, part in batch.groupby(size):
                 x = np.stack(part["v"].to_numpy()).astype(np.float64)
+                sent = x.astype(kind)
                 y = (x / np.sqrt((x * x).sum(axis=1))[:, None]) @ rotation(dims)
-                raw = [v.tobytes() for v in x]
+                raw = [v.tobytes() for v in sent]
                 pick = part["cls"].to_numpy(np.int64).view(np.uint64)
                 for b, s in enumerate(blocks(dims, block_dims)):
                     tree = trees.get((dims, b), Node(shard=0))
@@ -165,7 +174,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
                     yield pd.DataFrame({"label": part["label"].to_numpy()[idx], "dims": np.full(len(idx), dims, np.int32), "block": np.full(len(idx), b, np.int32), "shard": shard, "home": home, "cls": part["cls"].to_numpy()[idx], "n": part["n"].to_numpy()[idx], "x": [raw[i] for i in idx]})
 
     def join(part: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack([np.frombuffer(v, np.float64) for v in part["x"]])
+        x = np.stack([np.frombuffer(v, kind) for v in part["x"]]).astype(np.float64)
         cls = part["cls"].to_numpy(np.int64)
         links, parent = search(x, part["home"].to_numpy(bool), part["n"].to_numpy(np.int64), int(part["block"].iloc[0]), threshold, block_dims)
         hit = links > 0
@@ -175,10 +184,10 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     met = cut(dealt.groupBy("label", "dims", "block", "shard").applyInPandas(join, "cls long, links long, root long"))
     links = met.groupBy("cls").agg(F.sum("links").alias("links"))
     roots = connected_components(met.select(F.col("cls").alias("a"), F.col("root").alias("b")))
-    known = classes.join(links, "cls", "left").join(roots, classes["cls"] == roots["node"], "left").select("cls", "label", "v", "rep", "n", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "cls").alias("root"))
-    names = known.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = known.join(names, "root").select(F.col("label").alias("_l"), F.col("v").alias("_v"), "component_id", (F.col("links") + F.col("n") - 1).alias("n_links"))
+    known = cut(classes.join(links, "cls", "left").select("cls", F.col("rep").alias("first"), "label", "v", "n", F.coalesce("links", F.lit(0)).alias("links")))
+    names = named_components(known, "cls", roots, n)
+    named = known.join(names, "cls").select("label", "v", "component_id", (F.col("links") + F.col("n") - 1).alias("n_links"))
     # equality of arrays in the join ignores the sign of zero, as grouping does
-    good = rows.where("ok").join(named, (F.col("label") == F.col("_l")) & (F.col("v") == F.col("_v"))).select("id", "n_links", "component_id")
+    good = meet(rows.where("ok").select("id", "label", "v"), named, ["label", "v"], n, small=0).select("id", "n_links", "component_id")
     alone = rows.where("not ok").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return good.unionByName(alone).select(F.col("id").alias(id_col), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))

@@ -9,6 +9,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from lexspark.llm import components, exact_dedup, simhash, vectors
+from lexspark.llm.common import meet
 
 
 def closure(nodes, edges):
@@ -94,15 +95,74 @@ def test_near_duplicates_of_texts(spark):
     assert simhash.near_duplicates(df.limit(0)).collect() == []
 
 
-def test_components_are_exact(spark):
-    rng = random.Random(3)
-    edges = [(i, i + 1) for i in range(0, 60)] + [(100, 100 + i) for i in range(50)] + [(rng.randint(200, 260), rng.randint(200, 260)) for _ in range(40)] + [(5, 5)]
-    got = {r.node: r.root for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+def shuffled_chain(n):
+    names = list(range(n))
+    random.Random(n).shuffle(names)
+    return list(zip(names, names[1:]))
+
+
+GRAPHS = {
+    "mixed": [(i, i + 1) for i in range(0, 60)] + [(100, 100 + i) for i in range(50)] + [(random.Random(i).randint(200, 260), random.Random(-i - 1).randint(200, 260)) for i in range(40)] + [(5, 5)],
+    "chain": shuffled_chain(1000),
+    "long chain": shuffled_chain(10000),
+    "sorted path": [(i, i + 1) for i in range(10000)],
+    "comb": [(i, i + 1) for i in range(300)] + [(i, 1000 + i) for i in range(300)],
+    "star": [(1000, i) for i in range(2000) if i != 1000],
+}
+
+
+@pytest.mark.parametrize("graph", GRAPHS)
+def test_components_are_exact(spark, graph):
+    edges, rounds = GRAPHS[graph], []
+    got = {r.node: r.root for r in components.connected_components(spark.createDataFrame(edges, "a long, b long"), rounds).collect()}
     nodes = {x for a, b in edges if a != b for x in (a, b)}
     assert got == closure(nodes, [e for e in edges if e[0] != e[1]])
+    assert len(rounds) <= 2 * np.log2(len(nodes))
+
+
+@pytest.mark.parametrize("graph", ["mixed", "star"])
+def test_components_beyond_broadcast(spark, graph):
+    """With no table small enough to broadcast whole, only the hot nodes' rows are."""
+    edges = GRAPHS[graph]
+    got = {r.node: r.root for r in components.connected_components(spark.createDataFrame(edges, "a long, b long"), small=0).collect()}
+    assert got == closure({x for a, b in edges if a != b for x in (a, b)}, [e for e in edges if e[0] != e[1]])
+
+
+def test_components_of_nothing(spark):
     assert components.connected_components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
+def test_meet_keeps_every_row(spark):
+    left = spark.createDataFrame([(i, 7 if i % 2 else i) for i in range(2000)], "id long, k long")
+    right = spark.createDataFrame([(i, f"v{i}") for i in range(1500)], "k long, v string")
+    want = sorted((k, i, f"v{k}" if k < 1500 else None) for i, k in ((i, 7 if i % 2 else i) for i in range(2000)))
+    for small in (0, 1 << 17):
+        got = meet(left, right, ["k"], 1500, "left", small=small).select("k", "id", "v").collect()
+        assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+def test_a_large_shard_is_divided_again():
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 1 << 63, 3000, dtype=np.uint64)
+    fps = np.unique(np.concatenate([base, base[:800] ^ np.uint64(1 << 5), base[:500] ^ np.uint64((1 << 40) | 8)]))
+    low = np.uint64(0xFFFFFFFF)
+    pairs = [p for halves in ((fps & low, fps >> np.uint64(32)), (fps >> np.uint64(32), fps & low)) for p in zip(*(x.tolist() for x in simhash.shard_forest(*halves, fps, np.ones(len(fps), bool), 3, 200)))]
+    near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 3
+    want = closure(fps.tolist(), [(int(fps[i]), int(fps[j])) for i, j in zip(*np.nonzero(near))])
+    assert closure(fps.tolist(), pairs) == want
+
+
+def test_nearest_forest_by_blocks():
+    rng = np.random.default_rng(10)
+    base = rng.integers(0, 1 << 63, (60, 2), dtype=np.uint64)
+    words = np.concatenate([base, *(base[:20] ^ (np.uint64(1) << rng.integers(0, 63, (20, 2), dtype=np.uint64)) for _ in range(15))])
+    d = np.bitwise_count(words[:, None, :] ^ words[None, :, :]).sum(axis=2)
+    want = closure(range(len(words)), list(zip(*np.nonzero(d <= 30))))
+    for block in (16, 4096):
+        a, b = simhash.nearest_forest(words, 30, block)
+        assert len(a) == len(words) - len(set(want.values())) and closure(range(len(words)), list(zip(a.tolist(), b.tolist()))) == want
+
+
 @pytest.mark.parametrize("keep", ["smallest", "largest"])
 def test_exact_groups(spark, keep):
     rows = [(1, "a", None), (2, "a", "x"), (3, "A", "y"), (4, None, "z"), (5, "", "z"), (6, "long " * 5000, "s"), (7, "long " * 5000, "s"), (2, "a", "x"), (None, "n", "q"), (8, "a ", "q")]
