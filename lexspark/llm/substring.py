@@ -1,10 +1,17 @@
 """Substring deduplication by content-defined chunking.
 
-A gear hash rolls over the UTF-8 bytes of a text: h = 2 h + G[byte] in 32 bits, so h depends on the last 32
-bytes only.  A chunk ends where h is below 2**32 / ``average``, at least ``shortest`` bytes after the chunk's start, and
-at ``longest`` at the latest; after an insertion the ends fall back into step with the content.
-Chunks are told apart by a 64-bit digest.  A chunk that occurs in several documents is repeated;
-consecutive repeated chunks of a document form a passage, reported from ``min_words`` words on.
+A gear hash rolls over the UTF-8 bytes of a text: h = 2 h + G[byte] in 16 bits, so h depends on the last 16
+bytes only.  A chunk ends where h is the smallest of the ``reach`` values before and after it, and ``longest`` bytes from its start at
+the latest; an end inside a character moves to the character's end.  (Against a threshold on h this keeps chunks of much the
+same size, so less of a repeated text's ends lies in chunks that reach beyond it.)  After an insertion the ends fall back into
+step with the content.
+
+Chunks are equal if their size, number of words and 96 bits of hash agree.  Of equal chunks one place *owns* the content: the
+first in the smallest document.  Every other place is a repeat, in the same document or another.  Consecutive chunks of a
+document that occur more than once form a run, as long as all of them are owned here or all elsewhere; each whole run lies inside
+a repeated text, up to one chunk from its ends.
+
+Only repeats are ever cut out, and a chunk's owner is never a repeat, so whatever is cut still stands somewhere.
 """
 
 from __future__ import annotations
@@ -16,107 +23,153 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-GEAR = np.random.default_rng(20240229).integers(0, 1 << 32, 256, dtype=np.uint32)
+GEAR = np.random.default_rng(20240229).integers(0, 1 << 16, 256, dtype=np.uint16)
 
-
-#: Above the number of words that a chunk of ``longest`` bytes can have.
-SHAPE = 65536
+#: Parts of a chunk's shape: 32 bits of hash, its size and its number of words, which ``longest`` bounds.
+PART = 1 << 12
 
 
 def gear(data: np.ndarray) -> np.ndarray:
     """The rolling hash at every byte, by doubling: a window of 2m is two windows of m."""
     h = GEAR[data]
-    for m in (1, 2, 4, 8, 16):
+    for m in (1, 2, 4, 8):
         shifted = np.zeros_like(h)
-        shifted[m:] = h[:-m] if m < len(h) else 0
-        h = h + (shifted << np.uint32(m))
+        shifted[m:] = h[:-m]
+        h = h + (shifted << np.uint16(m))
     return h
 
 
-def chunk_ends(data: np.ndarray, average: int = 20, shortest: int = 8, longest: int = 256) -> list[int]:
-    """Exclusive end of every chunk; the last is the text's end."""
-    marks = np.nonzero(gear(data) < np.uint32((1 << 32) // average))[0] + 1
+def smallest_before(h: np.ndarray, reach: int) -> np.ndarray:
+    """The smallest of the ``reach`` values before each one, by doubling; the largest number where there is none."""
+    most = np.iinfo(h.dtype).max
+
+    def shifted(x: np.ndarray, by: int) -> np.ndarray:
+        return np.concatenate((np.full(min(by, len(x)), most, x.dtype), x[: max(0, len(x) - by)]))
+
+    low, span = shifted(h, 1), 1
+    while 2 * span <= reach:
+        low, span = np.minimum(low, shifted(low, span)), 2 * span
+    return np.minimum(low, shifted(low, reach - span)) if span < reach else low
+
+
+def chunk_ends(data: np.ndarray, reach: int = 12, longest: int = 256) -> list[int]:
+    """Exclusive end of every chunk, never inside a character; the last is the text's end."""
+    h = gear(data)
+    marks = np.nonzero((h < smallest_before(h, reach)) & (h <= smallest_before(h[::-1], reach)[::-1]))[0] + 1
     ends, at, n = [], 0, len(data)
+    first = np.append((data & 0xC0) != 0x80, True)  # where a character starts, and the text's end
+
+    def close(end: int) -> int:
+        while not first[end]:
+            end += 1
+        ends.append(end)
+        return end
+
     for m in marks.tolist():
-        if m - at < shortest:
-            continue
         while m - at > longest:
-            at += longest
-            ends.append(at)
-        if m - at >= shortest:
-            ends.append(m)
-            at = m
+            at = close(at + longest)
+        if m > at:
+            at = close(m)
     while n - at > longest:
-        at += longest
-        ends.append(at)
+        at = close(at + longest)
     if at < n:
         ends.append(n)
     return ends
 
 
-def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", average: int = 20, shortest: int = 8, longest: int = 256) -> DataFrame:
+def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = 12, longest: int = 256) -> DataFrame:
     """(doc_id, start, shape, digest): the chunks of every whole text.
 
-    ``start`` is a byte of its UTF-8 form; ``shape`` holds the size in bytes and the number of words
-    in one number (size * SHAPE + words), since there are many rows.
+    ``start`` is a byte of its UTF-8 form; ``digest`` is 64 bits of a 128-bit hash of the bytes, ``shape`` 32 more, the size in bytes and the
+    number of words that begin in it, in one number, since there are many rows.  Null and empty texts have no chunks; ids may be of any type.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
 
+        digest = xxhash.xxh3_128_digest
         for batch in batches:
             for lo in range(0, len(batch), 64):
                 part = batch.iloc[lo : lo + 64]
-                cols: list[list] = [[], [], [], []]
-                for doc, text in zip(part["doc_id"], part["text"]):
+                rows, starts, sizes, words, hashes = [], [], [], [], []
+                for row, text in enumerate(part["text"]):
                     raw = text.encode("utf-8", "surrogatepass")
                     if not raw:
                         continue
                     data = np.frombuffer(raw, np.uint8)
                     blank = (data == 32) | ((data >= 9) & (data <= 13))
-                    starts = ~blank & np.concatenate(([True], blank[:-1]))
-                    seen = np.concatenate(([0], np.cumsum(starts)))
-                    ends = chunk_ends(data, average, shortest, longest)
+                    seen = np.concatenate(([0], np.cumsum(~blank & np.concatenate(([True], blank[:-1])))))
+                    ends = chunk_ends(data, reach, longest)
                     begin = [0, *ends[:-1]]
-                    cols[0].append(np.full(len(ends), doc, np.int64))
-                    cols[1].append(np.array(begin, np.int64))
-                    cols[2].append((np.diff([0, *ends]) * SHAPE + seen[ends] - seen[begin]).astype(np.int64))
-                    cols[3].append(np.array([xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(begin, ends)], np.uint64).view(np.int64))
-                if cols[0]:
-                    yield pd.DataFrame(dict(zip(("doc_id", "start", "shape", "digest"), map(np.concatenate, cols))))
-
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInPandas(run, "doc_id long, start long, shape long, digest long")
-
-
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 25, average: int = 20) -> DataFrame:
-    """One row a passage: ``doc_id, start, end, n_words, first_doc_ids, kept``.
-
-    A passage is a run of chunks that each occur in at least two documents, with ``min_words`` words
-    or more.  Whole chunks lie up to one chunk inside the repeated text at either end, so a repeated
-    text of 50 words shows a run of about 40.  ``first_doc_ids`` are the smallest ids that hold its
-    chunks; ``kept`` marks the copy that stays (all its chunks occur here first), the others are
-    to be cut out with :func:`without_repeats`.  Repeats inside one document, null and empty texts
+                    rows.append(np.full(len(ends), row))
+                    starts.append(np.array(begin, np.int64))
+                    sizes.append(np.diff([0, *ends]))
+                    words.append(seen[ends] - seen[begin])
+                    hashes += [digest(raw[a:b]) for a, b in zip(begin, ends)]
+                if rows:
+                    h = np.frombuffer(b"".join(hashes), "<i8").reshape(-1, 2)
+                    shape = ((h[:, 1] & 0xFFFFFFFF) * PART + np.concatenate(sizes)) * PART + np.concatenate(words)
+                    yield pd.DataFrame({"doc_id": part["doc_id"].iloc[np.concatenate(rows)].to_numpy(), "start": np.concatenate(starts), "shape": shape, "digest": h[:, 0]})
+
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return rows.mapInPandas(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, start long, shape long, digest long")
+
+
+def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = 12) -> DataFrame:
+    """(doc_id, start, end, words, owner, kept): every chunk whose content stands in more than one place; ``kept`` is the place that owns it.
+
+    Rows that share an id hold one document: a place that they both have counts once.  Rows with a null id are left out.  A
+    content's places are counted by partial sums before the shuffle, and places meet their content in a join that adaptive
+    execution may split, so a chunk that a third of all documents share is in no single task.
+    """
+    found = chunks(docs.where(F.col(id_col).isNotNull()), id_col, text_col, reach)
+    key = ["digest", "shape"]
+    again = found.groupBy(*key).agg(F.min("doc_id").alias("owner"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    met = found.join(again, key).select("doc_id", "start", *key, "owner", "n").repartition("doc_id")
+    same = Window.partitionBy("doc_id", *key)  # within one document
+    here = met.withColumns({"here": F.count(F.lit(1)).over(same), "first": F.min("start").over(same), "last": F.max("start").over(same)})
+    more = here.where("owner <> doc_id or n > here or first <> last")
+    end = F.col("start") + F.shiftrightunsigned("shape", 12).bitwiseAND(PART - 1)
+    kept = (F.col("owner") == F.col("doc_id")) & (F.col("start") == F.col("first"))
+    return more.select("doc_id", "start", end.alias("end"), F.col("shape").bitwiseAND(PART - 1).alias("words"), "owner", kept.alias("kept"))
+
+
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 25, reach: int = 12) -> DataFrame:
+    """One row a passage: ``id_col, start, end, n_words, first_doc_id, kept``.
+
+    A passage is a run of chunks that each stand in more than one place, all owned here (``kept``: this is the copy that
+    stays) or all owned elsewhere (to be cut out with :func:`without_repeats`), with ``min_words`` words or more.  ``start`` and
+    ``end`` are bytes of the text's UTF-8 form, at character starts.  Whole chunks lie up to one chunk inside
+    the repeated text at either end, so a repeated text of 50 words shows a run of about 40.  ``first_doc_id`` is the smallest
+    document that owns a chunk of it.  Repeats inside one document count.  Null and empty texts
     and rows with a null id give no passage; rows that share an id count as one document.
     """
-    found = chunks(docs, id_col, text_col, average)
-    small = found.select("digest", "doc_id").groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    again = small.where("first < last").select("digest", "first")
-    marked = found.join(again, "digest").select("doc_id", "start", (F.col("start") + F.floor(F.col("shape") / SHAPE)).alias("end"), (F.col("shape") % SHAPE).alias("words"), "first").dropDuplicates(["doc_id", "start", "end", "first"])
-    run = Window.partitionBy("doc_id").orderBy("start", "end", "first")
-    parts = marked.withColumn("_new", F.when(F.col("start") == F.lag("end").over(run), 0).otherwise(1))
+    run = Window.partitionBy("doc_id").orderBy("start", "end", "owner", "kept")
+    parts = repeated_chunks(docs, id_col, text_col, reach)
+    # rows that repeat a place (an id given twice) follow each other: the first stands for all
+    parts = parts.withColumn("_twin", F.coalesce((F.col("start") == F.lag("start").over(run)) & (F.col("end") == F.lag("end").over(run)) & (F.col("owner") == F.lag("owner").over(run)), F.lit(False))).where("not _twin")
+    joins = (F.col("start") == F.lag("end").over(run)) & (F.col("kept") == F.lag("kept").over(run))
+    parts = parts.withColumn("_new", F.when(joins, 0).otherwise(1))
     parts = parts.withColumn("_run", F.sum("_new").over(run.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    runs = parts.groupBy("doc_id", "_run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").cast("long").alias("n_words"), F.array_sort(F.collect_set("first")).alias("first_doc_ids"), F.min(F.col("first") == F.col("doc_id")).alias("kept"))
-    return runs.where(F.col("n_words") >= min_words).select(F.col("doc_id").alias(id_col), "start", "end", "n_words", "first_doc_ids", "kept")
+    runs = parts.groupBy("doc_id", "_run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").cast("long").alias("n_words"), F.min("owner").alias("first_doc_id"), F.bool_and("kept").alias("kept"))
+    return runs.where(F.col("n_words") >= min_words).select(F.col("doc_id").alias(id_col), "start", "end", "n_words", "first_doc_id", "kept")
 
 
 def without_repeats(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the passages that are not kept cut out of their texts."""
-    gone = passages.where(~F.col("kept")).groupBy(F.col(id_col).alias("_cut_id")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("_cuts"))
-    raw = F.encode(F.col(text_col), "UTF-8")
-    state = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("text"))
+    """``docs`` with the passages that are not kept cut out of their texts.
+
+    What a passage repeats stays where it is owned, so no chunk disappears from the whole corpus.  Rows that share
+    an id may hold different texts and stay as they are.  A null text stays null.  Other columns
+    may have any names.
+    """
+    twice = docs.groupBy(F.col(id_col)).count().where("count > 1").select(id_col)
+    gone = passages.where(~F.col("kept")).join(twice, id_col, "left_anti").groupBy(F.col(id_col).alias("id")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("cuts"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).join(gone, F.col(f"row.`{id_col}`") == F.col("id"), "left")
+    text = F.col(f"row.`{text_col}`")
+    raw = F.encode(text, "UTF-8")
+    state = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("parts"))
     piece = lambda a, b: F.decode(F.substring(raw, (a + 1).cast("int"), (b - a).cast("int")), "UTF-8")
-    left = F.aggregate("_cuts", state, lambda s, c: F.struct(c["end"].alias("at"), F.concat(s["text"], piece(s["at"], c["start"])).alias("text")))
-    whole = F.concat(left["text"], piece(left["at"], F.octet_length(F.col(text_col)).cast("long")))
-    out = docs.join(gone, docs[id_col] == gone["_cut_id"], "left")
-    return out.withColumn(text_col, F.when(F.col("_cuts").isNull(), F.col(text_col)).otherwise(whole)).drop("_cut_id", "_cuts")
+    left = F.aggregate("cuts", state, lambda s, c: F.struct(c["end"].alias("at"), F.array_append(s["parts"], piece(s["at"], c["start"])).alias("parts")))
+    whole = F.concat(F.array_join(left["parts"], ""), piece(left["at"], F.octet_length(text).cast("long")))
+    new = F.when(F.col("cuts").isNull() | text.isNull(), text).otherwise(whole)
+    return rows.select(*[new.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns])

@@ -130,7 +130,7 @@ def test_chunks_follow_content(spark):
     data = np.frombuffer(text, np.uint8)
     h, want = 0, []
     for b in data:
-        h = (2 * h + int(substring.GEAR[b])) & 0xFFFFFFFF
+        h = (2 * h + int(substring.GEAR[b])) & 0xFFFF
         want.append(h)
     assert substring.gear(data).tolist() == want
     ends = substring.chunk_ends(data)
@@ -139,27 +139,90 @@ def test_chunks_follow_content(spark):
     assert len({e - 9 for e in moved} & set(ends)) > 0.95 * len(ends)
 
 
+def plain_passages(rows, min_words=25):
+    """Repeated passages by dictionaries over whole chunk bytes."""
+    docs = {}
+    for i, t in rows:
+        if i is not None and t:
+            docs.setdefault(i, set()).add(t)
+    places, where = {}, {}
+    for i, texts in docs.items():
+        for t in texts:
+            raw = t.encode()
+            ends = substring.chunk_ends(np.frombuffer(raw, np.uint8))
+            for a, b in zip([0, *ends[:-1]], ends):
+                places.setdefault(i, set()).add((a, b, raw[a:b]))
+                where.setdefault(raw[a:b], set()).add((i, a))
+    out = []
+    for i, own in places.items():
+        run = []
+        for a, b, chunk in [*sorted(own), (None, None, None)]:
+            at = where.get(chunk, ())
+            kept = (i, a) == min(at) if at else None
+            if run and (len(at) < 2 or a != run[-1][1] or kept != run[-1][2]):
+                out.append((i, run[0][0], run[-1][1], sum(r[3] for r in run), min(r[4] for r in run), run[0][2]))
+                run = []
+            if len(at) > 1:
+                starts = [k for k in range(a, b) if raw_of(rows, i)[k : k + 1].strip() and (k == 0 or not raw_of(rows, i)[k - 1 : k].strip())]
+                run.append((a, b, kept, len(starts), min(at)[0]))
+    return sorted(r for r in out if r[3] >= min_words)
+
+
+def raw_of(rows, i):
+    return next(t for j, t in rows if j == i and t).encode()
+
+
 def test_repeated_passages(spark):
     rng = random.Random(9)
-    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyzé") for _ in range(rng.randint(2, 9)))
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyzé中文") for _ in range(rng.randint(2, 9)))
     text = lambda n: " ".join(word() for _ in range(n))
     passage = [text(55) for _ in range(12)]
     rows = [(i, text(rng.randint(60, 400))) for i in range(60)]
     for k, p in enumerate(passage):
         for i in (3 * k, 3 * k + 1):
             rows[i] = (i, text(rng.randint(0, 100)) + " " + p + " " + text(rng.randint(0, 100)))
-    rows += [(70, None), (71, ""), (None, passage[0]), (72, "x" * 30000), (73, rows[50][1][:60])]
-    df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, digest int")
-    got = substring.repeated_passages(df).collect()
-    assert {r.doc_id for r in got} == {i for k in range(12) for i in (3 * k, 3 * k + 1)}
-    for r in got:
-        cut = dict(rows)[r.doc_id].encode()[r.start : r.end].decode(errors="ignore")
-        assert cut in dict(rows)[r.first_doc_ids[0]] and r.kept == (r.doc_id % 3 == 0)
-    left = substring.without_repeats(df, substring.repeated_passages(df)).collect()
-    assert len(left) == len(rows) and {r.doc_id for r in left if r.text != dict(rows)[r.doc_id] and r.doc_id is not None} == {3 * k + 1 for k in range(12)}
+    long = text(600)
+    rows += [(101, long[: len(long) // 2]), (102, long), (103, long[len(long) // 3 :])]  # neighbours in a run that different documents own
+    rows += [(104, passage[0] + " " + text(40) + " " + passage[0]), (105, "".join(rng.choice("中文字符没有空格") for _ in range(900)))]
+    rows += [(106, rows[-1][1]), (70, None), (71, ""), (None, passage[0]), (72, "x" * 30000), (73, rows[50][1][:60]), (74, rows[51][1]), (74, rows[51][1])]
+    df = spark.createDataFrame([(i, t, 1, "c") for i, t in rows], "doc_id long, text string, digest int, cuts string")
+    found = substring.repeated_passages(df)
+    got = sorted((r.doc_id, r.start, r.end, r.n_words, r.first_doc_id, r.kept) for r in found.collect())
+    assert got == plain_passages(rows)
+    assert {i for k in range(12) for i in (3 * k, 3 * k + 1)} <= {r[0] for r in got}
+    left = [r.text for r in substring.without_repeats(df, found).collect()]
+    assert len(left) == len(rows) and sum(len(t or "") for t in left) < sum(len(t or "") for _, t in rows) - 1000
+    # whatever was cut still stands somewhere
+    whole = "\0".join(t or "" for t in left).encode()
+    for _, t in rows:
+        if t:
+            raw = t.encode()
+            ends = substring.chunk_ends(np.frombuffer(raw, np.uint8))
+            assert all(raw[a:b] in whole for a, b in zip([0, *ends[:-1]], ends))
+    named = spark.createDataFrame([(f"d{i}", t) for i, t in rows[:6]], "name string, body string")
+    assert {r.name for r in substring.repeated_passages(named, "name", "body").collect()} == {"d0", "d1", "d3", "d4"}
     assert substring.repeated_passages(df.limit(0)).collect() == []
 
 
+def test_short_words_are_caught():
+    """A repeated passage of 51 very short words shows 25 of them nearly always."""
+    rng = random.Random(4)
+    text = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(1, 5))) for _ in range(n)).encode()
+    missed = 0
+    for _ in range(400):
+        p = text(51)
+        parts = []
+        for t in (text(40) + b" " + p + b" " + text(40), text(25) + b" " + p + b" " + text(30)):
+            ends = substring.chunk_ends(np.frombuffer(t, np.uint8))
+            parts.append([t[a:b] for a, b in zip([0, *ends[:-1]], ends)])
+        run = best = 0
+        for c in parts[0]:
+            run = run + len(c.split()) if c in set(parts[1]) else 0
+            best = max(best, run)
+        missed += best < 25
+    assert missed <= 2
+
+
 def test_language(spark):
     rng = random.Random(10)
     parts = {"aa": ["tha", "ing", "er", "wo", "st"], "bb": ["eau", "oi", "que", "lé", "ç"], "cc": ["sch", "ung", "ein", "ö", "pf"]}
