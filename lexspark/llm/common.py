@@ -61,6 +61,16 @@ def meet(left: DataFrame, right: DataFrame, keys: list[str], right_rows: int, ho
     return near.unionByName(left.join(hot, keys, "left_anti").join(right, keys, how))
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names that no column of ``df`` has, in any case of letters."""
+    held, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in held:
+            n += "_"
+        out.append(n)
+    return out
+
+
 def fold(doc_id: Column, n: int) -> Column:
     """crc32 of the id written as text, modulo n."""
     return F.crc32(doc_id.cast("string")) % n

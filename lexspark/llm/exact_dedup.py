@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexspark.llm.common import fresh
+
 KEY = ("_digest", "_check")
 
 
@@ -74,14 +76,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", bits: int = 4, levels: int = 2) -> DataFrame:
-    """The rows of ``docs`` that stay, with their own columns: one row of each distinct text.
-
-    Names of other columns are free, these included that the operator uses inside (they start with
-    an underscore only within :func:`exact_groups`, which never sees the other columns).
-    """
-    groups = exact_groups(docs, id_col, text_col, keep, bits, levels).where("kept").select(F.col(id_col).alias("__stay_id"), F.col("text_sha256").alias("__stay_sha"), "__same")
-    same = F.col(id_col).eqNullSafe(F.col("__stay_id")) & (F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256) == F.col("__stay_sha"))
+    """The rows of ``docs`` that stay, with their own columns, whatever their names: one row of each distinct text."""
+    stay, sha, same = fresh(docs, "stay_id", "stay_sha", "same")
+    groups = exact_groups(docs, id_col, text_col, keep, bits, levels).where("kept").select(F.col(id_col).alias(stay), F.col("text_sha256").alias(sha), F.col("__same").alias(same))
+    met = F.col(id_col).eqNullSafe(F.col(stay)) & (F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256) == F.col(sha))
     # both branches read the one shuffle of the texts; only rows that are repeated whole pass the second
-    once = docs.join(groups.where("__same = 1").hint("shuffle_hash"), same, "left_semi")
-    more = docs.join(groups.where("__same > 1").hint("shuffle_hash"), same, "left_semi").dropDuplicates([id_col, text_col])
+    once = docs.join(groups.where(F.col(same) == 1).hint("shuffle_hash"), met, "left_semi")
+    more = docs.join(groups.where(F.col(same) > 1).hint("shuffle_hash"), met, "left_semi").dropDuplicates([id_col, text_col])
     return once.unionByName(more)

@@ -25,7 +25,7 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "first_slot")
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,19 +108,20 @@ l AS (SELECT *, (sum(source_size) OVER ()::DOUBLE * 1.0::DOUBLE - 3 * coalesce(s
         / (sum(weight) OVER (ORDER BY source_size::DOUBLE / weight, source IS NULL, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS level FROM w),
 f AS (SELECT arg_min(level, source_size::DOUBLE / weight) AS level FROM l WHERE level * weight < 3.0::DOUBLE * source_size),
 t AS (SELECT w.*, least(3.0::DOUBLE * source_size, coalesce(f.level * weight, 3.0::DOUBLE * source_size)) AS target FROM w LEFT JOIN f ON true),
-b AS (SELECT *, sum(target) OVER () AS total, sum(target) OVER (ORDER BY source IS NULL, source) AS hi, row_number() OVER (ORDER BY source IS NULL, source) AS r, count(*) OVER () AS c FROM t),
-g AS (SELECT *, greatest(1, ceil(sqrt(total) / 8))::BIGINT AS block FROM b),
-n AS (SELECT *, ceil(total / block) AS slots0 FROM g),
-x AS (SELECT *, (slots0 + 2 * ceil(log2(slots0 + 1)) + ceil(slots0 / 50))::BIGINT AS slots, (hi - target) / total AS lo_u, CASE WHEN r = c THEN 2.0 ELSE hi / total END AS hi_u FROM n WHERE total > 0),
-u AS (SELECT ((k + 1) * 0.6180339887498949::DOUBLE) % 1.0::DOUBLE AS u FROM (SELECT unnest(range(0, (SELECT max(slots) FROM x))) AS k)),
-j AS (SELECT x.source, count(*) AS j FROM u JOIN x ON u.u >= lo_u AND u.u < hi_u GROUP BY x.source),
-q AS (SELECT t.source, t.source_size, t.target, least(coalesce(j.j, 0) * coalesce(x.block, 1), ceil(t.target)::BIGINT, 3 * t.source_size) AS reads
-      FROM t LEFT JOIN x ON t.source IS NOT DISTINCT FROM x.source LEFT JOIN j ON t.source IS NOT DISTINCT FROM j.source),
-o AS (SELECT d.*, q.source_size, q.target, q.reads, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos
-      FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source)
-SELECT doc_id, size, source_size, target,
-  (CASE WHEN source_size > 0 THEN (reads // source_size) * size + greatest(0, least(reads % source_size - pos, size)) ELSE 0 END)::BIGINT AS taken
-FROM o"""
+c AS (SELECT *, greatest(target / greatest(1.0::DOUBLE, ceil(sqrt(sum(target) OVER ()) / 8)), least(target, 64.0::DOUBLE)) AS due FROM t),
+e AS (SELECT *, sum(due) OVER () AS everything, sum(due) OVER (ORDER BY source IS NULL, source COLLATE "C" ROWS UNBOUNDED PRECEDING) AS upto, row_number() OVER (ORDER BY source IS NULL, source COLLATE "C") = count(*) OVER () AS last FROM c),
+g AS (SELECT *, CASE WHEN everything > 0 THEN ceil(log2(everything))::INT ELSE -1 END AS bits FROM e),
+x AS (SELECT source, source_size, target, bits, (upto - due) / everything AS lo, CASE WHEN last THEN 2.0::DOUBLE ELSE upto / everything END AS hi, CASE WHEN due > 0 THEN target / (due / everything * (1::BIGINT << bits)) ELSE 0.0::DOUBLE END AS block FROM g WHERE bits >= 0),
+n AS (SELECT max(bits) AS bits FROM x),
+u AS (SELECT k, list_sum([((k >> b) & 1) << (bits - 1 - b) for b in range(0, bits)])::DOUBLE / (1::BIGINT << bits) AS u FROM n, unnest(range(0, 1::BIGINT << bits)) AS r(k)),
+j AS (SELECT x.source, u.k AS slot, row_number() OVER (PARTITION BY x.source ORDER BY u.k) - 1 AS rank FROM u JOIN x ON coalesce(u.u, 0) >= lo AND coalesce(u.u, 0) < hi WHERE block > 0),
+q AS (SELECT t.source, t.source_size, t.target, x.block, least(floor(coalesce(m.n, 0) * x.block)::BIGINT, 3 * t.source_size) AS reads
+      FROM t LEFT JOIN x ON t.source IS NOT DISTINCT FROM x.source LEFT JOIN (SELECT source, count(*) AS n FROM j GROUP BY source) m ON t.source IS NOT DISTINCT FROM m.source),
+o AS (SELECT d.*, q.source_size, q.target, q.block, coalesce(q.reads, 0) AS reads, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos
+      FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source),
+w2 AS (SELECT *, (CASE WHEN source_size > 0 THEN (reads // source_size) * size + greatest(0, least(reads % source_size - pos, size)) ELSE 0 END)::BIGINT AS taken FROM o)
+SELECT doc_id, size, source_size, target, taken, j.slot AS first_slot
+FROM w2 LEFT JOIN j ON taken > 0 AND w2.source IS NOT DISTINCT FROM j.source AND j.rank = ceil((pos + 1) / block)::BIGINT - 1"""
 
 OP10_SQL = """
 SELECT doc_id, max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id, count(*) OVER (PARTITION BY coalesce(text, '')) AS group_size,

@@ -14,6 +14,8 @@ import hashlib
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexspark.llm.common import cut, meet
+
 #: kind -> (Java pattern, characters that the match, or its group 2, must have).  Fixed values.
 RULES = {
     "assign": ("(?i)(password|passwd|secret|token|api_?key)[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 12),
@@ -23,7 +25,6 @@ RULES = {
 #: What the scan runs: the length goes into the pattern where a match is a maximal run, so that short runs are never built.
 SCAN = {"assign": RULES["assign"][0], "access": "AKIA[A-Z0-9]{14,}", "hex": "[0-9a-f]{16,}"}
 KINDS = tuple(RULES)
-SALTS = 16
 
 
 def version(kind: str) -> str:
@@ -85,8 +86,7 @@ def report(found: dict[str, DataFrame], id_col: str = "doc_id") -> DataFrame:
     live = found["findings"].where(F.col("rule").isin([version(k) for k in KINDS]))
     item = F.struct("start", order[F.col("kind")].alias("o"), F.concat_ws(":", "kind", "start", "end").alias("s"))
     per = live.groupBy("blob").agg(*[F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in KINDS], F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["s"]), ",").alias("spans"))
-    # few blobs have findings; each is laid out once a salt, so that the paths of a much copied one spread over many tasks
-    per = per.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    paths = found["paths"].withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
-    out = paths.join(per, ["blob", "_salt"], "left")
+    per, paths = cut(per), cut(found["paths"])
+    # the paths of a much copied blob meet its findings by broadcast, all others by shuffle
+    out = meet(paths, per, ["blob"], per.count(), "left")
     return out.select(F.col("id").alias(id_col), *[F.coalesce(f"n_{k}", F.lit(0)).cast("long").alias(f"n_{k}") for k in KINDS], F.coalesce("spans", F.lit("")).alias("spans"))

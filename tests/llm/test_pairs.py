@@ -166,7 +166,7 @@ def test_nearest_forest_by_blocks():
 @pytest.mark.parametrize("keep", ["smallest", "largest"])
 def test_exact_groups(spark, keep):
     rows = [(1, "a", None), (2, "a", "x"), (3, "A", "y"), (4, None, "z"), (5, "", "z"), (6, "long " * 5000, "s"), (7, "long " * 5000, "s"), (2, "a", "x"), (None, "n", "q"), (8, "a ", "q")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, _digest string")
+    df = spark.createDataFrame(rows, "doc_id long, text string, stay_id string")
     got = exact_dedup.exact_groups(df, keep=keep).collect()
     assert len(got) == len(rows)
     pick = min if keep == "smallest" else max
@@ -177,7 +177,7 @@ def test_exact_groups(spark, keep):
         assert r.keep_id == (pick([i for i in ids if i is not None]) if any(i is not None for i in ids) else None)
     assert sum(r.kept for r in got) == len({t or "" for _, t, _ in rows})
     stay = exact_dedup.exact_dedup(df, keep=keep).collect()
-    assert len(stay) == len({t or "" for _, t, _ in rows}) and set(stay[0].asDict()) == {"doc_id", "text", "_digest"}
+    assert len(stay) == len({t or "" for _, t, _ in rows}) and set(stay[0].asDict()) == {"doc_id", "text", "stay_id"}
     assert exact_dedup.exact_groups(df.limit(0)).collect() == [] and exact_dedup.exact_dedup(df.limit(0)).collect() == []
 
 
