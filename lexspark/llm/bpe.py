@@ -10,7 +10,8 @@ space) and the pre-tokeniser's pattern never reach across them.
 A text is cut at certain places into fragments of at least ``least`` characters (longer where no cut is
 certain), the fragments are encoded one by one, and the ids are concatenated.  :class:`Encoder`
 cuts at every certain place; its fragments repeat a lot, so it encodes each new one once and
-remembers up to a bounded number of short ones.
+remembers up to a bounded number of short ones.  A word is cut too, between letters whose pair of bytes is in no token; what stands
+before such a cut is encoded without the mark of a word's end.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -77,6 +79,46 @@ def mark_cuts(path: str) -> str:
     return "".join(c for c in MARKS if c not in seen)
 
 
+#: Letters of the Latin script that lower case and composition leave as they are.
+LOWER = [chr(c) for c in (*range(0x61, 0x7B), *range(0xDF, 0xF7), *range(0xF8, 0x100))]
+#: Words of such letters, in either case: one run of letters for any pre-tokeniser, before and after normalisation.
+PLAIN_WORD = re.compile("[" + "".join(c + (c.upper() if len(c.upper()) == 1 and c.upper().lower() == c else "") for c in LOWER) + "]+")
+
+
+def letter_cuts(path: str) -> re.Pattern | None:
+    """Places inside a word where a cut is certain: between two letters whose bytes on either side stand in no token together.
+
+    Only where the vocabulary's pre-tokeniser keeps runs of letters whole; only letters of :data:`LOWER`, in either case.
+    """
+    with open(path, encoding="utf-8") as f:
+        whole = json.load(f)
+    if "[\\\\p{L}]+|[\\\\p{N}]|[^\\\\s\\\\p{L}\\\\p{N}]+" not in json.dumps(whole.get("pre_tokenizer") or {}):
+        return None
+    pairs = inner_pairs(whole["model"]["vocab"], whole["model"].get("end_of_word_suffix") or "")
+    rules = []
+    for left in LOWER:
+        right = [c for c in LOWER if (left.encode()[-1], c.encode()[0]) not in pairs]
+        if right:
+            both = lambda cs: "".join({x for c in cs for x in (c, c.upper()) if len(x) == 1 and x.lower() == c})
+            rules.append(f"(?<=[{both([left])}])(?=[{both(right)}])")
+    return re.compile("|".join(rules)) if rules else None
+
+
+@lru_cache(maxsize=4)
+def _inner(path: str):
+    """The same tokeniser without the mark of a word's end: for what stands before a cut inside a word."""
+    from tokenizers import Tokenizer
+
+    with open(path, encoding="utf-8") as f:
+        whole = json.load(f)
+    whole["model"]["end_of_word_suffix"] = None
+    whole["post_processor"] = None
+    tok = Tokenizer.from_str(json.dumps(whole))
+    tok.no_truncation()
+    tok.no_padding()
+    return tok
+
+
 @lru_cache(maxsize=4)
 def _loaded(path: str):
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -122,6 +164,8 @@ class Encoder:
         marks = re.escape(mark_cuts(path))
         # a cut between a Latin letter or digit and such a mark, in either order
         self.inner = re.compile(f"(?<=[{LATIN}])(?=[{marks}])|(?<=[{marks}])(?=[{LATIN}])") if marks else None
+        self.letters = letter_cuts(path)
+        self.before = _inner(path) if self.letters else None
         with open(path, encoding="utf-8") as f:
             self.special = [t["content"] for t in json.load(f).get("added_tokens", [])]
         self.number = list(range(self.tok.get_vocab_size(True)))  # one object an id, shared by all that is remembered
@@ -148,7 +192,10 @@ class Encoder:
         parts = [self.cut(t) for t in texts]
         number = self.number
         new = list({f for p in parts for f in p if f not in self.known})
-        found = dict(zip(new, (tuple([number[i] for i in e.ids]) for e in self.tok.encode_batch_fast(new, add_special_tokens=False))))
+        cuts = [self.letters.split(f) if self.letters and PLAIN_WORD.fullmatch(f) else [f] for f in new]
+        last = self.tok.encode_batch_fast([c[-1] for c in cuts], add_special_tokens=False)
+        head = iter(self.before.encode_batch_fast([x for c in cuts for x in c[:-1]], add_special_tokens=False) if self.letters else ())
+        found = {f: tuple([number[i] for e in (*islice(head, len(c) - 1), z) for i in e.ids]) for f, c, z in zip(new, cuts, last)}
         room = self.most - len(self.known)
         self.known.update([x for x in found.items() if len(x[0]) <= self.longest][: max(0, room)])
         known = self.known

@@ -5,24 +5,25 @@ lower case and with everything but letters folded to spaces, is encoded by zstan
 smallest encoding names the language.  Long texts are encoded in blocks whose sizes are added
 up, so that every part of a text leans on the dictionary and memory stays bounded.
 
-Lines that occur in more than one language of the sample (licences, boilerplate), or more than once, teach nothing about a
-language and stay out of the dictionaries.
+Lines that occur in more than one language of the sample (licences, boilerplate) teach nothing about a
+language and stay out of the dictionaries; a line that one language repeats goes in once.
+
+A text is rejected when its margin between the two smallest encodings is narrow.  How narrow is read off rows of the sample that no
+dictionary has: at most a stated share of those that are named rightly is rejected.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexspark.llm.common import shuffled, thinned
+from lexspark.llm.common import cut, shuffled, thinned
 
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 UNKNOWN = "und"
@@ -40,6 +41,7 @@ class Model:
     content: tuple[bytes, ...]
     block: int = 4096
     level: int = 3
+    min_margin: float = 0.0
 
     def compressors(self):
         import zstandard as zs
@@ -75,50 +77,61 @@ def classify(text: str | None, model: Model, compressors) -> tuple[str, float, f
     return model.langs[order[0]], 1.0 - 0.5 * float(np.exp(-40.0 * margin)), float(margin)
 
 
-def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", docs_per_lang: int = 1500, chars: int = 1500, dict_bytes: int = 131072) -> Model:
-    """Fit to at most ``docs_per_lang`` rows of each language, ``chars`` characters of each, in a fixed shuffled order.
+def pieces_of(text: str, longest: int = 400) -> list[str]:
+    """The letters of a text's lines, long lines in consecutive pieces: together all of the text."""
+    held = (letters(line) for line in text.split("\n"))
+    return [line[k : k + longest] for line in held for k in range(0, len(line), longest)]
+
+
+def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", docs_per_lang: int = 1500, dict_bytes: int = 131072, most_langs: int = 256, rejected_share: float = 0.002) -> Model:
+    """Fit to at most ``docs_per_lang`` rows of each of the ``most_langs`` most frequent languages, in a fixed shuffled order.
 
-    Rows whose text or language is null are left out.  These three parameters bound what reaches the driver.
+    Three quarters of the rows make the dictionaries: lines of their whole texts are drawn by hash, up to ``dict_bytes`` a language, and
+    only those reach the driver.  The last quarter sets ``min_margin``: at most ``rejected_share`` of its rightly named texts have a smaller one.
+    Rows whose text or language is null are left out.
     """
     rows = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("k", "id"))
-    counts = {r["lang"]: r["count"] for r in rows.groupBy(F.col(lang_col).alias("lang")).count().collect()}  # a row a language
-    if not counts:
+    found = rows.groupBy(F.col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(most_langs).collect()
+    if not found:
         return Model((), ())
+    counts = {r["lang"]: r["count"] for r in found}
     total = F.create_map(*[F.lit(x) for p in counts.items() for x in p])[F.col("lang")]
-    rows = rows.select(F.col(lang_col).alias("lang"), F.substring(text_col, 1, chars).alias("text"), F.col(id_col).alias("id"), shuffled(F.col(id_col)).alias("k"))
-    sample = thinned(rows, F.col("k"), docs_per_lang, total).withColumn("r", rank).where(F.col("r") <= docs_per_lang).select("lang", "text", "k", "id").toPandas().sort_values(["lang", "k", "id"])
-    langs = sorted(set(sample["lang"]))
-    seen: dict[str, Counter] = {}
-    for lang, text in zip(sample["lang"], sample["text"]):
-        for line in text.split("\n"):
-            if line := letters(line):
-                seen.setdefault(line, Counter())[lang] += 1
-    content = []
-    for lang in langs:
-        own = sorted((x for x, c in seen.items() if c == {lang: 1}), key=lambda x: hashlib.md5(x.encode()).digest())
-        content.append(b" ".join(x[:400].encode() for x in own)[:dict_bytes])
-    return Model(tuple(langs), tuple(content))
-
-
-def predict(docs: DataFrame, model: Model, text_col: str = "text", min_margin: float = 0.001) -> DataFrame:
+    rows = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("id"), shuffled(F.col(id_col)).alias("k")).where(F.col("lang").isin(*counts))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("k", "id", F.xxhash64("text")))
+    sample = cut(thinned(rows, F.col("k"), docs_per_lang, total).withColumn("r", rank).where(F.col("r") <= docs_per_lang))
+
+    def typed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([pieces_of(t) for t in texts], dtype=object)
+
+    taught = (F.col("r") % 4 != 0) | (total < 8)  # of a language of a few rows all are for the dictionary
+    lines = sample.where(taught).select("lang", F.explode(F.pandas_udf(typed, "array<string>")("text")).alias("line"))
+    own = lines.groupBy("line").agg(F.min("lang").alias("lang"), F.max("lang").alias("other")).where("lang = other")
+    upto = F.sum(F.octet_length("line") + 1).over(Window.partitionBy("lang").orderBy("h", "line"))
+    drawn = own.select("lang", "line", F.xxhash64("line", F.lit("line")).alias("h")).withColumn("upto", upto).where(F.col("upto") <= dict_bytes).toPandas().sort_values(["h", "line"])
+    langs = sorted(counts)
+    held = {lang: part["line"].tolist() for lang, part in drawn.groupby("lang")}
+    model = Model(tuple(langs), tuple(b" ".join(x.encode() for x in held.get(lang, [])) for lang in langs))
+    margins = predict(sample.where(~taught), model).where("language.lang_pred = lang").agg(F.percentile("language.margin", F.lit(rejected_share)).alias("m")).first()["m"]
+    return replace(model, min_margin=float(margins or 0.0))
+
+
+def predict(docs: DataFrame, model: Model, text_col: str = "text", min_margin: float | None = None) -> DataFrame:
     """``docs`` with ``language``: a struct of lang_pred, score, margin, rejected.
 
     A null text, or one without a letter, is ``und`` and rejected; so is a text whose margin is
-    below ``min_margin`` (at the default: two languages that tie).  Only the text is read; every text
+    below ``min_margin`` (by default the model's own), and one that two languages fit equally.  Only the text is read; every text
     is encoded whole.  An existing column ``language`` is replaced.
     """
+    least = model.min_margin if min_margin is None else min_margin
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def typed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         compressors = model.compressors()
         for texts in batches:
             found = [classify(t, model, compressors) for t in texts]
             margin = np.array([m for _, _, m in found], dtype=float)
             lang = [x for x, _, _ in found]
-            yield pd.DataFrame({"lang_pred": pd.Series(lang, dtype=object), "score": np.array([s for _, s, _ in found], dtype=float), "margin": margin, "rejected": (margin < min_margin) | (np.array(lang, dtype=object) == UNKNOWN)})
-
-    def typed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        return run(batches)
+            yield pd.DataFrame({"lang_pred": pd.Series(lang, dtype=object), "score": np.array([s for _, s, _ in found], dtype=float), "margin": margin, "rejected": (margin < least) | (margin == 0) | (np.array(lang, dtype=object) == UNKNOWN)})
 
     fn = F.pandas_udf(typed, "lang_pred string, score double, margin double, rejected boolean")
     return docs.withColumn("language", fn(F.coalesce(F.col(text_col), F.lit(""))))

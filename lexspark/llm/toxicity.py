@@ -24,11 +24,12 @@ from pyspark.sql import functions as F
 
 from lexspark.llm.common import shuffled, thinned
 
-WORD = re.compile(r"\w+")
+#: A run of more than 64 word characters is read in consecutive pieces of 64.
+WORD = re.compile(r"\w{1,64}")
 
 
 def grams(word: str, buckets: int) -> list[int]:
-    marked = f"<{word[:64]}>"
+    marked = f"<{word}>"
     out = [zlib.crc32(marked.encode()) % buckets]
     for n in range(3, 6):
         out += [zlib.crc32(marked[i : i + n].encode()) % buckets for i in range(len(marked) - n + 1)]
@@ -220,21 +221,21 @@ def label_sample(labels: DataFrame, totals: dict[int, int], label_col: str = "to
     return out
 
 
-def train(docs: DataFrame, labels: DataFrame | None = None, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id", sample_rows: int = 2500, chars: int = 8000) -> Model:
-    """Fit to at most ``sample_rows`` labelled rows of each class, ``chars`` characters of each.
+def train(docs: DataFrame, labels: DataFrame | None = None, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id", sample_rows: int = 2500) -> Model:
+    """Fit to the whole texts of at most ``sample_rows`` labelled rows of each class.
 
     ``labels`` (id, label) may come apart from the texts; its sample is then drawn first and only the
-    sampled texts leave their tasks, without a shuffle.  Rows with a null label are left out; a null text is empty.  The two
-    parameters bound what reaches the driver.  Three quarters train; the rest calibrates, with the
-    classes weighted as they occur.
+    sampled texts leave their tasks.  Rows with a null label are left out; a null text is empty; an id that several
+    rows have stands for one of them.  ``sample_rows`` bounds what reaches the driver.  Three quarters train; the rest calibrates, on whole texts
+    as they are scored, with the classes weighted as they occur.
     """
     source = docs if labels is None else labels
     totals = class_totals(source, label_col)
     if not totals:
         return fit([], np.zeros(0, np.int64))
-    sample = label_sample(source, totals, label_col, id_col, sample_rows).dropDuplicates(["id"])
-    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.substring(text_col, 1, chars), F.lit("")).alias("text"))
-    rows = texts.join(F.broadcast(sample), "id").toPandas().drop_duplicates("id").sort_values("id")  # two bounded classes
+    sample = label_sample(source, totals, label_col, id_col, sample_rows).groupBy("id").agg(F.max("y").alias("y"))
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
+    rows = texts.join(F.broadcast(sample), "id").groupBy("id").agg(F.max("y").alias("y"), F.min("text").alias("text")).toPandas().sort_values("id")  # two bounded classes
     rows = rows.iloc[np.random.default_rng(5).permutation(len(rows))]
     y, chosen = rows["y"].to_numpy(np.int64), rows["text"].tolist()
     weight = np.array([totals[v] / max(1, int((y == v).sum())) for v in y])
@@ -250,12 +251,9 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     values, bias, window = model.values(), float(model.bias[1] - model.bias[0]), model.window
     held = docs.sparkSession.sparkContext.broadcast(values)  # buckets x 4 bytes, fixed
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def typed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         scorer = Scorer(held.value, bias, window)
         for texts in batches:
             yield pd.Series([scorer.score(t) for t in texts], dtype=float)
 
-    def typed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        return run(batches)
-
     return docs.withColumn("toxicity", F.pandas_udf(typed, "double")(F.coalesce(F.col(text_col), F.lit(""))))

@@ -1,6 +1,9 @@
 """The pipeline, stage by stage, against plain Python."""
 
+import hashlib
+import math
 import random
+import re
 
 import public_tokenizers
 import xxhash
@@ -38,6 +41,40 @@ def fingerprint(text, n=5):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
+def plain_mix(rows, least=64.0):
+    """How often each document is read, by loops over sources, slots and words."""
+    size = {i: len([w for w in re.split("[ \t-\r]+", t) if w]) for i, t, _ in rows}
+    names = sorted({s for _, _, s in rows}, key=lambda s: (s is None, s or ""))
+    total = {s: sum(size[i] for i, _, x in rows if x == s) for s in names}
+    weight = {s: k % 3 + 1 for k, s in enumerate(names)}
+    free, target = set(names), {}
+    while True:
+        left = sum(total.values()) - sum(3 * total[s] for s in names if s not in free)
+        over = {s for s in free if left * weight[s] / sum(weight[x] for x in free) > 3 * total[s]}
+        if not over:
+            break
+        free -= over
+    target = {s: left * weight[s] / sum(weight[x] for x in free) if s in free else 3.0 * total[s] for s in names}
+    common = max(1, math.ceil(math.sqrt(sum(target.values())) / 8))
+    due = {s: max(target[s] / common, min(target[s], least)) for s in names}
+    bits = math.ceil(math.log2(sum(due.values())))
+    slots = dict.fromkeys(names, 0)
+    edges, at = [], 0.0
+    for s in names:
+        edges.append((at / sum(due.values()), (at + due[s]) / sum(due.values()) if s != names[-1] else 2.0, s))
+        at += due[s]
+    for k in range(1 << bits):
+        u = int(f"{k:0{bits}b}"[::-1], 2) / (1 << bits)
+        slots[next(s for lo, hi, s in edges if lo <= u < hi)] += 1
+    taken = dict.fromkeys(size, 0)
+    for s in names:
+        block = target[s] / (due[s] / sum(due.values()) * (1 << bits))
+        line = [i for _, i in sorted((hashlib.sha256(f"mix:{i}".encode()).hexdigest()[:16], i) for i, _, x in rows if x == s) for _ in range(size[i])]
+        for k in range(min(math.floor(slots[s] * block), 3 * total[s])):
+            taken[line[k % len(line)]] += 1
+    return {i: math.ceil(n / size[i]) for i, n in taken.items() if n}
+
+
 def test_pipeline_against_plain_python(spark, tmp_path):
     rows = corpus()
     schema = "doc_id long, text string, lang string, source string"
@@ -52,7 +89,7 @@ def test_pipeline_against_plain_python(spark, tmp_path):
             assert now.columns == docs.columns
     model = langid.fit(docs.where(fold(docs["doc_id"], 3) != 1))
     compressors = model.compressors()
-    left = {i: t for i, t, _, _ in rows if (c := langid.classify(t, model, compressors))[0] != "und" and c[2] >= 0.001}
+    left = {i: t for i, t, _, _ in rows if (c := langid.classify(t, model, compressors))[0] != "und" and c[2] > 0 and c[2] >= model.min_margin}
     assert {r.doc_id for r in steps["language"]} == set(left) and len(left) > 320
     first = {}
     for i in sorted(left):
@@ -79,7 +116,7 @@ def test_pipeline_against_plain_python(spark, tmp_path):
     for r in steps["mix"]:
         assert r.text == texts[r.doc_id]
         copies[r.doc_id] = copies.get(r.doc_id, 0) + 1
-    assert set(copies) <= kept and max(copies.values()) <= 3
+    assert copies == plain_mix([(i, t, s) for i, t, _, s in rows if i in kept])
     lib = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     assert len(steps["bpe"]) == len(steps["mix"])
     for r in steps["bpe"]:

@@ -39,6 +39,13 @@ def test_bpe_is_the_library(spark):
     for r in bpe.bpe_digests(df, WORD_BPE).collect():
         ids = lib.encode(texts[r.doc_id] or "", add_special_tokens=False).ids
         assert r.bpe.n_tokens == len(ids) and r.bpe.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+        assert r.bpe.decoded_sha256 == hashlib.sha256(lib.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+    # words with certain cuts inside: what stands before a cut has no mark of a word's end
+    letters = [x for c in bpe.LOWER for x in (c, c.upper()) if len(x) == 1]
+    odd = ["".join(rng.choice(letters) for _ in range(rng.randint(2, 12))) + rng.choice(["", "'s", "\u0301", ",", "İ"]) for _ in range(3000)]
+    cuts = bpe.letter_cuts(WORD_BPE)
+    assert sum(len(cuts.split(w)) > 1 for w in odd) > 500
+    assert list(bpe.Encoder(WORD_BPE).encode([" ".join(odd), *odd])) == [lib.encode(t, add_special_tokens=False).ids for t in [" ".join(odd), *odd]]
     assert bpe.bpe_digests(df.limit(0), WORD_BPE).collect() == []
 
 
@@ -260,6 +267,27 @@ def test_language(spark):
     for i in (900, 901, 902):
         assert got[i].lang_pred == "und" and got[i].score == 0 and got[i].rejected
     assert got[903].lang_pred == "aa" and all(0 <= x.score <= 1 for x in got.values())
+    # each row against a plain encoder: a fresh compressor a text, blocks one by one
+    import zstandard as zs
+
+    for i, t, _ in rows[:40]:
+        folded = " ".join(re.findall(r"[^\W\d_]+", t.lower())).encode()
+        sizes = {}
+        for lang, content in zip(model.langs, model.content):
+            p = zs.ZstdCompressionParameters.from_level(3, source_size=4096, dict_size=max(map(len, model.content)), min_match=3, strategy=zs.STRATEGY_LAZY, write_content_size=0, write_checksum=0, write_dict_id=0)
+            d = zs.ZstdCompressionDict(content, dict_type=zs.DICT_TYPE_RAWCONTENT)
+            d.precompute_compress(compression_params=p)
+            sizes[lang] = sum(len(zs.ZstdCompressor(dict_data=d, compression_params=p).compress(folded[k : k + 4096])) for k in range(0, len(folded), 4096))
+        first, second = sorted(sizes.values())[:2]
+        assert got[i].lang_pred == min(sizes, key=lambda x: (sizes[x], x)) and abs(got[i].margin - (second - first) / second) < 1e-12
+        assert got[i].rejected == (first == second or got[i].margin < model.min_margin)
+    assert sum(got[i].rejected for i, _ in held) <= 0.06 * len(held)
+    # a language that consists of copies has a dictionary, whole texts are read, long lines in pieces
+    copies = spark.createDataFrame([(i, "eauque lé oi ç\n" * 40 + "x" * 900, "bb") for i in range(40)] + [(i, text("aa", 50), "aa") for i in range(40, 80)], "doc_id long, text string, lang string")
+    assert b"eauque" in dict(zip(*(lambda m: (m.langs, m.content))(langid.fit(copies))))["bb"]
+    assert "".join(langid.pieces_of("x" * 900)) == "x" * 900
+    mixed = langid.predict(spark.createDataFrame([(1, text("aa", 60) + " " + text("bb", 60))], "doc_id long, text string"), model, min_margin=0.2).first().language
+    assert mixed.rejected
     assert langid.classify("abc", langid.Model((), ()), [])[0] == "und"
     assert langid.predict(df.limit(0), model).collect() == []
 
@@ -277,6 +305,15 @@ def test_toxicity(spark):
     assert all(0 <= s <= 1 for s in got.values()) and got[900] == got[901]
     misspelt = toxicity.Scorer(model.values(), float(model.bias[1] - model.bias[0]), model.window)
     assert misspelt.score(text(20, "scummbags")) > misspelt.score(text(20, "")) and toxicity.windows(3, 16) == [(0, 3)]
+    # each row against a plain scorer: every gram of every word, every window
+    for i, t, _ in rows[:60]:
+        words = [w for run in re.findall(r"\w+", t.lower()) for w in (run[k : k + 64] for k in range(0, len(run), 64))]
+        vec = [np.mean([model.table[g] @ (model.weights[:, 1] - model.weights[:, 0]) for g in toxicity.grams(w, len(model.table))]) for w in words]
+        best = max(sum(vec[a:b]) / max(b - a, model.window // 4) for a, b in toxicity.windows(len(words), model.window)) + model.bias[1] - model.bias[0]
+        assert abs(got[i] - 1 / (1 + np.exp(-best))) < 1e-4
+    assert misspelt.score("x" * 64 + "scumbags") > misspelt.score("x" * 64) and toxicity.WORD.findall("y" * 130) == ["y" * 64, "y" * 64, "yy"]
+    twice = df.where("doc_id < 450").union(df.where("doc_id < 20"))
+    assert toxicity.train(twice).table.shape == model.table.shape
     assert toxicity.score(df.limit(0), model).collect() == []
 
 
