@@ -254,6 +254,20 @@ def backoff(attempt: Column, first: float, most: float, factor: float) -> Column
     return F.least(F.lit(first) * F.pow(F.lit(factor), attempt - 1), F.lit(most))
 
 
+def safe_long(c: Column) -> Column:
+    """A whole number, or null."""
+    return strip(c).try_cast("long")
+
+
+def safe_double(c: Column) -> Column:
+    return strip(c).try_cast("double")
+
+
+def safe_bool(c: Column) -> Column:
+    """True for 1, true, yes, y and on in any case; false for everything else, null included."""
+    return F.coalesce(F.lower(strip(c)).isin("1", "true", "yes", "y", "on"), F.lit(False))
+
+
 def truncate_bytes(c: Column, n: int) -> Column:
     """At most n bytes of UTF-8, no character cut in two."""
     head = F.substring(F.encode(c, "UTF-8"), 1, n)

@@ -13,12 +13,17 @@ MULTI = ("引用文件", "术语", "起草单位", "起草人", "发布单位",
 
 
 def find_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, cls, txt, start_pos): the default extractor, by pattern: the number, the number it replaces, and cited numbers."""
+    """(doc_id, cls, txt, start_pos): the default extractor, by pattern: the number, the number it replaces, and cited numbers, each with its own start."""
     number = r"[A-Z]{2,4}(?:/[A-Z])? ?[0-9]+(?:\.[0-9]+)*[-—–][0-9]{4}"
     found = None
-    for cls, pattern in (("标准号", f"标准正式编号：({number})"), ("代替标准号", f"代替({number})"), ("引用文件", f"(?<!：)(?<!替)({number})")):
-        at = F.regexp_instr("text", F.lit(pattern))
-        rows = docs.select("doc_id", F.lit(cls).alias("cls"), F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(1))).alias("txt"), F.nullif(at, F.lit(0)).alias("start_pos"))
+    for cls, lead, pattern in (("标准号", "标准正式编号：", f"标准正式编号：({number})"), ("代替标准号", "代替", f"代替({number})"), ("引用文件", "", f"(?<!：)(?<!替)({number})")):
+        # a match starts after the gap before it and all that precedes; the captured text after the words that lead to it
+        gaps, hits = F.split("text", pattern, -1), F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
+        rows = docs.where(F.col("text").rlike(pattern)).select("doc_id", F.posexplode(F.arrays_zip(F.slice(gaps, F.lit(1), F.size(hits)).alias("gap"), hits.alias("hit"))).alias("_i", "_m"))
+        run = Window.partitionBy("doc_id").orderBy("_i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        end = F.sum(F.length("_m.gap") + F.length("_m.hit")).over(run)
+        start = end - F.length("_m.hit") + 1 + len(lead)
+        rows = rows.select("doc_id", F.lit(cls).alias("cls"), F.substring(F.col("_m.hit"), F.lit(len(lead) + 1), F.length("_m.hit")).alias("txt"), start.cast("int").alias("start_pos"))
         found = rows if found is None else found.unionByName(rows)
     return found
 

@@ -164,23 +164,34 @@ def judged(plans: DataFrame, judge=None) -> DataFrame:
     return judge_issues(answers.select("doc_id", F.col("chunk_id").alias("rule_id"), "response"))
 
 
-def run_review(docs: DataFrame, scopes: DataFrame, rules: DataFrame, max_rounds: int = 2, judge=None) -> DataFrame:
+def windows(text: Column, size: int = 2200) -> Column:
+    """Consecutive windows of a text: together the whole of it; an empty text is one."""
+    return F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.length(text) - 1) / size)).cast("int")), lambda i: F.substring(text, i * size + 1, F.lit(size)))
+
+
+def run_review(docs: DataFrame, scopes: DataFrame, rules: DataFrame, max_rounds: int = 2, judge=None, budget: int = 2200) -> DataFrame:
     """(doc_id, rule_id, status, round): a first round by scope; documents left with missing context are judged again with their whole text.
 
+    What is judged by ``window``, and every text of a later round, is read in consecutive windows of ``budget`` characters; a rule fails if
+    it fails in any.  Otherwise the judge reads the first ``budget`` characters of the scope, which is the rule's local context.
     ``max_rounds`` bounds the loop; each round is one more branch of the plan.
     """
-    whole = scopes.where("scope <> 'end'").groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("scope", "text"))), lambda x: x["text"]), "\n\n").alias("_all"))
+    whole = scopes.where("scope <> 'end'").groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_list(F.struct("scope", "text"))).getField("text"), "\n\n").alias("_all"))
     out, todo = None, docs.select("doc_id")
+    want = F.broadcast(rules.select("chunk_id", "scope", "analysis_mode", "title", "content"))
     for i in range(1, max_rounds + 1):
-        want = F.broadcast(rules.select("chunk_id", "scope", "analysis_mode", "title", "content"))
         plan = todo.crossJoin(want)
         if i == 1:
             plan = plan.join(scopes.select("doc_id", "scope", F.col("text").alias("_text")), ["doc_id", "scope"], "left")
         else:
             plan = plan.join(whole.withColumnRenamed("_all", "_text"), "doc_id", "left")
-        plan = plan.withColumn("strategy", strategy(F.col("analysis_mode"), F.length(F.coalesce("_text", F.lit("")))))
-        plan = plan.withColumn("prompt", prompt(F.col("strategy"), F.col("title"), F.col("content"), F.substring("_text", 1, 2200)))
-        found = judged(plan.select("doc_id", "chunk_id", "strategy", "prompt"), judge).withColumn("round", F.lit(i))
+        plan = plan.withColumn("_text", F.coalesce("_text", F.lit("")))
+        plan = plan.withColumn("strategy", strategy(F.col("analysis_mode"), F.length("_text"))).where("strategy <> 'skip'")
+        parts = windows(F.col("_text"), budget)
+        plan = plan.withColumn("_part", F.explode(parts if i > 1 else F.when(F.col("strategy") == "window", parts).otherwise(F.array(F.substring("_text", 1, budget)))))
+        plan = plan.withColumn("prompt", prompt(F.col("strategy"), F.col("title"), F.col("content"), F.col("_part")))
+        found = judged(plan.select("doc_id", "chunk_id", "strategy", "prompt"), judge)
+        found = found.groupBy("doc_id", "rule_id").agg(F.when(F.bool_or(F.col("status") == "fail"), "fail").otherwise("insufficient_context").alias("status")).withColumn("round", F.lit(i))
         out = found if out is None else out.unionByName(found)
         todo = docs.select("doc_id").join(found.where("status = 'insufficient_context'").select("doc_id"), "doc_id", "left_semi")
     return out.select("doc_id", "rule_id", "status", "round")

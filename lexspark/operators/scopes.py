@@ -20,6 +20,9 @@ ALIASES = {
     "索引": "index", "index": "index", "结束": "end", "end": "end",
 }
 
+#: Scopes that a widened review looks in.  Fixed values.
+WIDENED = ("cover", "toc", "foreword", "scope", "normative_references", "terms_definitions", "other_body", "appendix", "end")
+
 
 def normalize_keys(keys: Column) -> Column:
     """Keys trimmed, put in their canonical form, without blanks and repeats, in order of first use."""
@@ -83,6 +86,26 @@ def retrieve_rules(scopes: DataFrame, hits: DataFrame, rules: DataFrame, k: int
     return met.withColumn("_f", first).where("_f = 1").select("doc_id", "chunk_id", F.col("scope").alias("matched_scope"), "rank")
 
 
+def full_document_rules(docs: DataFrame, rules: DataFrame) -> DataFrame:
+    """(doc_id, chunk_id, matched_scope): every document with the rules of the whole document, which are a book's few."""
+    whole = rules.where("analysis_mode = 'full_document'").select("chunk_id", F.lit("full_document").alias("matched_scope"))
+    return docs.select("doc_id").crossJoin(F.broadcast(whole))
+
+
+def retrieve_again(docs: DataFrame, hits: DataFrame, rules: DataFrame, k: int = 8) -> DataFrame:
+    """(doc_id, chunk_id, matched_scope) of a widened review: the best k rules of each scope in :data:`WIDENED` that aim at it, whether
+    or not a document has that scope, and the rules of the whole document; all of them match the full document.
+
+    The rules are the same for every document: at most k a scope, so they go to every task.
+    """
+    aimed = rules.where("analysis_mode <> 'full_document'").select("chunk_id", F.col("scope").alias("_own"), "target_scopes")
+    best = Window.partitionBy("scope").orderBy(F.desc("score"), "chunk_id")
+    top = hits.where(F.col("scope").isin(*WIDENED)).withColumn("_rank", F.row_number().over(best)).where(F.col("_rank") <= k).join(aimed, "chunk_id")
+    fits = (F.size("target_scopes") == 0) | F.array_contains("target_scopes", F.col("scope")) | (F.col("_own") == F.col("scope"))
+    section = docs.select("doc_id").crossJoin(F.broadcast(top.where(fits).select("chunk_id").distinct().withColumn("matched_scope", F.lit("full_document"))))
+    return section.unionByName(full_document_rules(docs, rules))
+
+
 def keyword_search(queries: DataFrame, rules: DataFrame, hits: DataFrame) -> DataFrame:
     """Score 0.5 for rules that hold any word of a query which has no hit; the words meet the rules' own words, not every rule."""
     bare = queries.join(hits.select("query_id").distinct(), "query_id", "left_anti")
@@ -96,11 +119,8 @@ def positional_cosine(q: Column, d: Column) -> Column:
     return F.aggregate(F.zip_with(q, d, lambda a, b: F.coalesce(a, F.lit(0.0)) * F.coalesce(b, F.lit(0.0))), F.lit(0.0), lambda s, v: s + v)
 
 
-def build_context(plans: DataFrame, units: DataFrame, limit: int = 2200) -> DataFrame:
-    """(doc_id, chunk_id, context): units of a rule's targets in order within the budget; without any, front matter, then end matter, then the first unit's head.
-
-    ``plans`` has doc_id, chunk_id, targets; ``units`` has doc_id, ord, scope, heading, text.
-    """
+def context_units(plans: DataFrame, units: DataFrame, limit: int = 2200) -> DataFrame:
+    """The units that :func:`build_context` takes for each (doc_id, chunk_id), with ``_best``: 0 a target, 1 front matter, 2 end matter, 3 the first unit."""
     body = F.array(*[F.lit(s) for s in T.BODY_SCOPES])
     wants_body = F.arrays_overlap("targets", body) | F.array_contains("targets", "body")
     met = plans.select("doc_id", "chunk_id", "targets").join(units.where(T.strip(F.col("text")) != ""), "doc_id")
@@ -113,6 +133,14 @@ def build_context(plans: DataFrame, units: DataFrame, limit: int = 2200) -> Data
     n = F.length("text")
     kept = kept.withColumn("_i", F.row_number().over(w)).withColumn("_sum", F.sum(n).over(run))
     over = F.when(F.col("_best") == 0, (F.col("_sum") > limit) & (F.col("_i") > 1)).when(F.col("_best") == 3, F.col("_i") > 1).otherwise((F.col("_sum") - n > limit))
-    kept = kept.withColumn("_over", F.max(over.cast("int")).over(run)).where("_over = 0")
+    return kept.withColumn("_over", F.max(over.cast("int")).over(run)).where("_over = 0").drop("_over", "_i", "_sum", "_tier")
+
+
+def build_context(plans: DataFrame, units: DataFrame, limit: int = 2200) -> DataFrame:
+    """(doc_id, chunk_id, context): units of a rule's targets in order within the budget; without any, front matter, then end matter, then the first unit's head.
+
+    ``plans`` has doc_id, chunk_id, targets; ``units`` has doc_id, ord, scope, heading, text.
+    """
+    kept = context_units(plans, units, limit)
     piece = F.when(F.col("_best") == 3, F.substring("text", 1, limit)).otherwise(F.concat(F.lit("## "), F.coalesce(F.nullif("heading", F.lit("")), "scope"), F.lit("\n"), "text"))
     return kept.groupBy("doc_id", "chunk_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", piece.alias("p")))), lambda x: x["p"]), "\n\n").alias("context"))

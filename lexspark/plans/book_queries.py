@@ -69,7 +69,7 @@ def short_texts(spark, sf_dir):
     return docs.where(T.truncate_bytes(F.col("text"), 100) == F.col("text")).select("doc_id", F.length("text").cast("long").alias("chars"))
 
 
-@query()
+@query("SELECT doc_id, text, strlen(text)::INT AS bytes FROM (SELECT doc_id, CASE WHEN strlen(text) <= 1000 THEN text ELSE substr(text, 1, list_max(list_filter(range(249, 1001), lambda k: strlen(substr(text, 1, k)) <= 1000))) END AS text FROM documents)")
 def truncated_texts(spark, sf_dir):
     """Every text cut at 1000 bytes, no character cut in two."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -120,7 +120,10 @@ def filled_blanks(spark, sf_dir):
     return cover.select("doc_id", F.col("replaced").alias("replaced0")).join(got.withColumnRenamed("v", "filled"), "doc_id")
 
 
-@query()
+_ROUND = "CASE WHEN analysis_mode IN ('full_document', 'cross_section') THEN true WHEN analysis_mode = 'deterministic' THEN false ELSE n >= 40 END"
+
+
+@query(Q.over_sections(f"SELECT doc_id, chunk_id AS rule_id, 'insufficient_context' AS status, 1::INT AS round FROM one WHERE {_ROUND} UNION ALL SELECT w.doc_id, r.chunk_id, 'insufficient_context', 2 FROM (SELECT doc_id, sum(length(text)) + 2 * (count(*) - 1) AS n FROM scopes WHERE scope <> 'end' GROUP BY doc_id) w CROSS JOIN rules r WHERE w.doc_id IN (SELECT doc_id FROM one WHERE {_ROUND}) AND {_ROUND}", f"rules AS ({Q.RULES}), one AS (SELECT c.doc_id, r.chunk_id, r.analysis_mode, coalesce(length(s.text), 0) AS n FROM corpus c CROSS JOIN rules r LEFT JOIN scopes s ON s.doc_id = c.doc_id AND s.scope = r.scope)"))
 def review_loop(spark, sf_dir):
     """Plans judged offline, then judged again in full where context was missing."""
     from lexspark.sources.std_corpus import rules

@@ -145,16 +145,21 @@ def dangling_failures(spark, sf_dir):
     return audit.check_dangling(_facts(spark, sf_dir))
 
 
-@query()
+_FAILED = "(" + " UNION ALL ".join(f"SELECT doc_id, idx, reason, '{rule}' AS rule_id FROM ({ORACLES[q]})" for q, rule in (("chapter_failures", "DOCX-FMT-001"), ("clause_failures", "DOCX-FMT-002"), ("dangling_failures", "DOCX-FMT-003"))) + ")"
+_LOOKED = _over_facts("SELECT doc_id, unnest([CASE WHEN role = 'chapter' THEN 'DOCX-FMT-001' END, CASE WHEN role = 'clause' AND scope <> 'terms_definitions' THEN 'DOCX-FMT-002' END, 'DOCX-FMT-003', CASE WHEN regexp_matches(text_excerpt, '^(——|·|[a-z]）|[0-9]+）)') THEN 'DOCX-FMT-004' END]) AS rule_id FROM facts")
+
+
+@query(f"SELECT doc_id, rule_id, sum(c)::BIGINT AS checked, sum(f)::BIGINT AS failed FROM (SELECT doc_id, rule_id, 1 AS c, 0 AS f FROM ({_LOOKED}) WHERE rule_id IS NOT NULL UNION ALL SELECT doc_id, rule_id, 0, 1 FROM {_FAILED}) GROUP BY ALL")
 def format_evaluations(spark, sf_dir):
     """Checked and failed rows of every check."""
     return audit.evaluations(_facts(spark, sf_dir))
 
 
-@query()
+@query(f"SELECT doc_id, rule_id || '-' || lpad(n::VARCHAR, 3, '0') AS issue_id, rule_id, idx, reason, 'fail' AS status, '中度' AS severity FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, rule_id ORDER BY idx, reason) AS n FROM {_FAILED}) WHERE n <= 20")
 def format_issues(spark, sf_dir):
     """C6, C7."""
-    return audit.format_issues(_facts(spark, sf_dir))
+    facts = _facts(spark, sf_dir)
+    return audit.format_issues(facts, std_corpus(spark, sf_dir))
 
 
 @query()

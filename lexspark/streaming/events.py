@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lexspark.operators.records import artifacts_of
+
 COMMON = ("type", "trace_id", "component", "created_at", "job_id")
 #: (node, status) -> type.  Fixed values.
 EVENT_TYPES = {
@@ -129,3 +131,10 @@ def progress_rows(counts: DataFrame, stage: str) -> DataFrame:
     made = F.create_map(*[x for c in extras for x in (F.lit(c), F.col(c).cast("string"))]) if extras else F.create_map().cast("map<string,string>")
     ends = F.array(F.struct(F.lit(f"meta.{stage}.start").alias("type"), F.col("started").alias("created_at"), F.create_map().cast("map<string,string>").alias("extras")), F.struct(F.lit(f"meta.{stage}.end").alias("type"), F.col("ended").alias("created_at"), made.alias("extras")))
     return counts.select("trace_id", F.lit("metadata").alias("component"), F.explode(ends).alias("e")).select("trace_id", "component", "e.*")
+
+
+def tool_events(results: DataFrame, spec: DataFrame) -> DataFrame:
+    """(id, ord, event, virtual_path): for each finished tool (id, tool, result) an ``artifact.created`` for every artifact its result names, then ``tool.completed``."""
+    made = artifacts_of(results, spec).withColumn("ord", F.row_number().over(Window.partitionBy("id").orderBy("type", "virtual_path")) - 1)
+    made = made.select("id", "ord", F.lit("artifact.created").alias("event"), "virtual_path")
+    return made.unionByName(results.select("id", F.lit(1).alias("ord"), F.lit("tool.completed").alias("event"), F.lit(None).cast("string").alias("virtual_path")))
