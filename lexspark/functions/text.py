@@ -280,3 +280,26 @@ def front_matter(text: Column) -> Column:
     at = F.regexp_instr(text, F.lit(mark))
     head = F.substring(text, 1, F.greatest(at - 1, F.lit(0)))
     return F.when((at > 0) & (strip(head) != ""), head).otherwise(text)
+
+
+#: Words by which a cover's header says what it is.  Fixed values.
+ICS_WORD, CCS_WORD, REPLACED_WORDS = "国际标准分类", "中国标准文献分类", ("代替", "替代")
+HIERARCHY_WORDS = ("中华人民共和国国家标准", "国家标准化指导性技术文件", "行业标准", "地方标准")
+
+
+def header_kind(c: Column) -> Column:
+    """What a block of a cover's header is: ics, ccs, replaced, hierarchy, number, code, or null.  First that fits, in this order."""
+    held = F.upper(squeeze(c))
+    tight = F.replace(held, F.lit(" "), F.lit(""))
+    number = held.rlike(r"^[A-Z]{1,6}[0-9]{0,3}(?:/[A-Z]{1,8}[0-9]{0,3})? [0-9]+(?:\.[0-9]+)*[—-](?:[0-9]{4}|[0-9]{2})")
+    level = F.lit(False)
+    for w in HIERARCHY_WORDS:
+        level = level | held.contains(w)
+    return (
+        F.when(held.startswith("ICS") | held.contains(ICS_WORD), "ics")
+        .when(held.startswith("CCS") | held.contains(CCS_WORD) | tight.rlike(r"^[A-Z]{1,3}[0-9]{1,3}(?:\.[0-9]+)?$"), "ccs")
+        .when(held.contains(REPLACED_WORDS[0]) | held.contains(REPLACED_WORDS[1]), "replaced")
+        .when(level, "hierarchy")
+        .when(number, "number")
+        .when(tight.rlike(r"^[A-Z]{1,6}(?:/[A-Z]{1,6})?$"), "code")
+    )

@@ -157,27 +157,35 @@ def heading_facts(facts: DataFrame) -> DataFrame:
 
 
 def align_toc(toc: DataFrame, headings: DataFrame) -> DataFrame:
-    """(doc_id, toc_idx, heading_idx): each contents row, in order, takes the first free heading with its key, else with its title."""
+    """(doc_id, toc_idx, heading_idx): each contents row, in order, takes the first free heading that shares a bookmark with it, else one with its key, else with its title.
+
+    Bookmarks are looked at where both sides have an array ``bookmarks``.
+    """
+    marks = ["bookmarks"] if "bookmarks" in toc.columns and "bookmarks" in headings.columns else []
 
     # own names on the right: both sides may come from the same table, whose columns a projection above could then confuse
-    right = headings.select(*[F.col(c).alias(f"h_{c}") for c in ("doc_id", "idx", "key", "title")])
+    right = headings.select(*[F.col(c).alias(f"h_{c}") for c in ("doc_id", "idx", "key", "title", *marks)])
 
     def one(rows: pd.DataFrame, heads: pd.DataFrame) -> pd.DataFrame:
         rows, heads = rows.sort_values("idx"), heads.sort_values("h_idx")
         doc = rows["doc_id"].iloc[0] if len(rows) else heads["h_doc_id"].iloc[0]
         free, out = dict.fromkeys(heads["h_idx"].tolist()), []
-        by_key, by_title = {}, {}
+        by_key, by_title, by_mark = {}, {}, {}
+        for i, held in zip(heads["h_idx"], heads["h_bookmarks"] if marks else ()):
+            for b in () if held is None else held:
+                by_mark.setdefault(b, []).append(i)
         for i, k, t in zip(heads["h_idx"], heads["h_key"], heads["h_title"]):
             by_key.setdefault(k, []).append(i)
             by_title.setdefault(t, []).append(i)
-        for i, k, t in zip(rows["idx"], rows["key"], rows["title"]):
-            hit = next((h for h in [*by_key.get(k, []), *by_title.get(t, [])] if h in free), None)
+        for i, k, t, own in zip(rows["idx"], rows["key"], rows["title"], rows["bookmarks"] if marks else [None] * len(rows)):
+            shared = sorted(h for b in (() if own is None else own) for h in by_mark.get(b, []))
+            hit = next((h for h in [*shared, *by_key.get(k, []), *by_title.get(t, [])] if h in free), None)
             free.pop(hit, None)
             out.append((doc, i, hit))
         out += [(doc, None, h) for h in free]
         return pd.DataFrame(out, columns=["doc_id", "toc_idx", "heading_idx"])
 
-    return toc.select("doc_id", "idx", "key", "title").groupBy("doc_id").cogroup(right.groupBy("h_doc_id")).applyInPandas(one, "doc_id long, toc_idx int, heading_idx int")
+    return toc.select("doc_id", "idx", "key", "title", *marks).groupBy("doc_id").cogroup(right.groupBy("h_doc_id")).applyInPandas(one, "doc_id long, toc_idx int, heading_idx int")
 
 
 def page_estimate(rows: DataFrame, break_col: str = "is_break", table_col: str = "in_table") -> DataFrame:

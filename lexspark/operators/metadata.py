@@ -87,6 +87,21 @@ def cover_fields(text: Column) -> dict[str, Column]:
     return {"number": T.standard_number(own), "replaced": T.standard_number(old), "hierarchy": level}
 
 
+def header_records(blocks: DataFrame, texts: DataFrame) -> DataFrame:
+    """(doc_id, ics, ccs, replaced, hierarchy, number, code): the cover record, by the first header block of each kind.
+
+    ``blocks`` has doc_id, page_idx, idx, text (the first page counts); ``texts`` (doc_id, text) gives number, replaced
+    number and hierarchy where the header lacks them.  Every document of ``texts`` has a row.
+    """
+    kinds = ("ics", "ccs", "replaced", "hierarchy", "number", "code")
+    rows = blocks.where("page_idx = 0").withColumn("_kind", T.header_kind(F.col("text")))
+    first = rows.where("_kind is not null").groupBy("doc_id").agg(*[F.min_by(F.when(F.col("_kind") == k, T.squeeze(F.col("text"))), F.when(F.col("_kind") == k, F.col("idx"))).alias(f"_{k}") for k in kinds])
+    both = texts.select("doc_id", *[c.alias(k) for k, c in cover_fields(F.col("text")).items()]).join(first, "doc_id", "left")
+    own = {"ics": T.strip(F.regexp_replace("_ics", "(?i)^ICS[:：]?", "")), "ccs": T.strip(F.regexp_replace("_ccs", "(?i)^CCS[:：]?", "")), "number": T.standard_number(F.col("_number")), "replaced": T.standard_number(F.col("_replaced")), "hierarchy": F.col("_hierarchy"), "code": F.col("_code")}
+    rest = {"number": F.col("number"), "replaced": F.col("replaced"), "hierarchy": F.col("hierarchy")}
+    return both.select("doc_id", *[F.coalesce(F.nullif(own[k], F.lit("")), *([rest[k]] if k in rest else []), F.lit("")).alias(k) for k in kinds])
+
+
 def unique_names(rows: DataFrame, directory: str, stem: str, order: str) -> DataFrame:
     """``rows`` with ``unique_stem``: the second and later of a name in a directory get _2, _3 ..."""
     n = F.row_number().over(Window.partitionBy(directory, stem).orderBy(order))

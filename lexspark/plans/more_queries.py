@@ -477,3 +477,15 @@ _NUMBER = "[A-Z]{2,4}(?:/[A-Z])? ?[0-9]+(?:\\.[0-9]+)*[-—–][0-9]{4}"
 def found_spans(spark, sf_dir):
     """Numbers that the default extractor finds, each at its own place."""
     return metadata.find_spans(std_corpus(spark, sf_dir)).where("cls <> '引用文件'")
+
+
+@query("""WITH p AS (SELECT page_id, page_id % 5 AS k FROM pages) SELECT page_id AS doc_id, '67.080.' || page_id AS ics, CASE WHEN k = 0 THEN 'B 31' WHEN k = 1 THEN 'X01' ELSE '' END AS ccs, CASE WHEN k = 3 THEN 'GB/T 7-1999' WHEN k = 4 THEN 'GB/T 15034-1994' ELSE '' END AS replaced,
+CASE WHEN k = 2 THEN '中华人民共和国国家标准' WHEN k = 3 THEN '国家标准' ELSE '' END AS hierarchy, CASE WHEN k = 3 THEN 'GB/T 8-2001' WHEN k IN (0, 2) THEN 'GB/T ' || page_id || '-2009' ELSE '' END AS number, CASE WHEN k = 1 THEN 'GB' ELSE '' END AS code FROM p""")
+def header_records(spark, sf_dir):
+    """the cover record from header blocks, then from the text."""
+    s, k = F.col("page_id").cast("string"), F.col("page_id") % 5
+    number = F.concat(F.lit("GB/T "), s, F.lit("—2009"))
+    texts = F.array(F.concat(F.lit("ICS 67.080."), s), F.when(k == 0, "B 31").when(k == 1, "CCS X01").when(k == 2, "中华人民共和国国家标准").otherwise("no kind of header"), F.when(k.isin(0, 2), number).when(k == 1, "GB").when(k == 4, "代替 GB/T 15034—1994").otherwise("2009年"))
+    blocks = _table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.lit(0).alias("page_idx"), F.posexplode(texts).alias("idx", "text"))
+    body = F.when(k == 3, "GB/T 8—2001\n代替GB/T 7—1999").otherwise("")
+    return metadata.header_records(blocks, _table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), body.alias("text")))

@@ -31,3 +31,41 @@ def test_hooks(spark):
     assert hooks.summarise(iss, lambda p: f"{len(p.splitlines())} {p[:2]}").first().summary == "32 r0"
     facts = spark.createDataFrame([(1, "paragraph", "ab"), (1, "paragraph", None)], "doc_id int, kind string, text_excerpt string")
     assert [(r.facts, r.chars) for r in audit.facts_summary(facts).collect()] == [(2, 2)]
+
+
+def test_headers_of_a_cover(spark):
+    from pyspark.sql import functions as F
+
+    from lexspark.functions import text as T
+
+    cases = {"ICS 67.080.10": "ics", "B 31": "ccs", "CCS B31": "ccs", "GB": "code", "中华人民共和国国家标准": "hierarchy", "GB/T 15034—2009": "number", "代替 GB/T 15034—1994": "replaced", "plain words": None}
+    df = spark.createDataFrame(list(cases.items()), "t string, kind string")
+    assert {r.t: r.k for r in df.select("t", T.header_kind(F.col("t")).alias("k")).collect()} == cases
+
+
+def test_alignment_prefers_bookmarks(spark):
+    from lexspark.operators import audit
+
+    toc = spark.createDataFrame([(1, 1, "a", "a", ["m2"]), (1, 2, "a", "a", []), (1, 3, "x", "b", None)], "doc_id long, idx int, key string, title string, bookmarks array<string>")
+    heads = spark.createDataFrame([(1, 10, "a", "a", ["m1"]), (1, 11, "q", "q", ["m2", "m3"]), (1, 12, "b2", "b", [])], "doc_id long, idx int, key string, title string, bookmarks array<string>")
+    assert sorted((r.toc_idx, r.heading_idx) for r in audit.align_toc(toc, heads).collect()) == [(1, 11), (2, 10), (3, 12)]
+    plain = audit.align_toc(toc.drop("bookmarks"), heads).collect()
+    assert {(r.toc_idx, r.heading_idx) for r in plain} == {(1, 10), (2, None), (3, 12), (None, 11)}
+
+
+def test_windows_hold_the_whole_text(spark):
+    from pyspark.sql import functions as F
+
+    from lexspark.operators import review
+
+    for n in (0, 1, 2200, 2201, 9000):
+        got = spark.range(1).select(review.windows(F.lit(("abc" * n)[:n]))).first()[0]
+        assert "".join(got) == ("abc" * n)[:n] and len(got) == max(1, -(-n // 2200))
+
+
+def test_documents_without_facts(spark):
+    from lexspark.operators import audit
+
+    facts = spark.createDataFrame([(1, 1, "paragraph", "chapter", "scope", "2 范围", "2 范围")], "doc_id long, idx int, kind string, role string, scope string, display_heading string, text_excerpt string")
+    got = {(r.doc_id, r.rule_id, r.status) for r in audit.format_issues(facts, spark.range(3).selectExpr("id as doc_id")).collect()}
+    assert got == {(1, "DOCX-FMT-001", "fail"), (0, "DOCX-FMT-000", "info"), (2, "DOCX-FMT-000", "info")}
