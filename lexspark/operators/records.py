@@ -66,7 +66,7 @@ def download_url(thread: Column, artifact: Column, base: str = "") -> Column:
 
 
 def review_response(issues: DataFrame, artifacts: DataFrame, with_report: bool = False) -> DataFrame:
-    """(doc_id, status, passed, artifacts, report?): the public answer to a review."""
+    """(doc_id, status, passed, artifacts): the public answer to a review; with its report, a row a page (page, report)."""
     from lexspark.operators import review
 
     out = review.verdict(issues).withColumn("status", F.lit("success")).join(artifact_map(artifacts), "doc_id", "left")

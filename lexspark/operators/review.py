@@ -104,10 +104,12 @@ def issue_digest(issues: DataFrame) -> DataFrame:
     return total.join(tops, "doc_id", "left").join(thin, "doc_id", "left").withColumn("insufficient", F.coalesce("insufficient", F.lit("")))
 
 
-def render_report(issues: DataFrame) -> DataFrame:
-    """Text of a document's issues in order."""
+def render_report(issues: DataFrame, per_page: int = 500) -> DataFrame:
+    """(doc_id, page, report): text of a document's issues in order, on numbered pages of at most ``per_page`` issues, so no value grows with a document."""
     line = F.format_string("%d. [%s] %s：%s", F.col("ord"), F.col("status"), F.col("rule_name"), F.col("scope"))
-    return issues.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", line.alias("s")))), lambda x: x["s"]), "\n").alias("report"))
+    page = F.floor((F.row_number().over(Window.partitionBy("doc_id").orderBy("ord")) - 1) / per_page) + 1
+    rows = issues.select("doc_id", "ord", line.alias("s"), page.cast("int").alias("page"))
+    return rows.groupBy("doc_id", "page").agg(F.array_join(F.sort_array(F.collect_list(F.struct("ord", "s"))).getField("s"), "\n").alias("report"))
 
 
 def judge_object(response: Column) -> Column:

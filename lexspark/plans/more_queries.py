@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -489,3 +491,59 @@ def header_records(spark, sf_dir):
     blocks = _table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.lit(0).alias("page_idx"), F.posexplode(texts).alias("idx", "text"))
     body = F.when(k == 3, "GB/T 8—2001\n代替GB/T 7—1999").otherwise("")
     return metadata.header_records(blocks, _table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), body.alias("text")))
+
+
+def _written(spark) -> str:
+    """A new folder below the warehouse, which driver and executors share."""
+    return f"{spark.conf.get('spark.sql.warehouse.dir')}/lexspark-{uuid.uuid4().hex}"
+
+
+@query(f"WITH {Q.LINES}, {book_queries._BOOK} SELECT doc_id || '/' || chunk_id AS chunk_id, title, scope, content, 'local' AS analysis_mode, scope AS targets FROM chunks")
+def saved_rules(spark, sf_dir):
+    """Rules written as an index and read back, what they lack filled in."""
+    book = rulebook.rule_chunks(S.lines(std_corpus(spark, sf_dir)))
+    book = book.withColumn("chunk_id", F.concat_ws("/", F.col("doc_id").cast("string"), "chunk_id")).drop("doc_id", "source_ref")
+    path = _written(spark)
+    sinks.save_index(book, path)
+    return files.load_index(spark, path).select("chunk_id", "title", "scope", "content", "analysis_mode", F.array_join("target_scopes", ",").alias("targets"))
+
+
+@query("SELECT c_custkey AS id, CASE c_custkey % 3 WHEN 0 THEN '国家标准' WHEN 1 THEN '地方标准' ELSE '行业标准' END AS category FROM customer")
+def category_folders(spark, sf_dir):
+    """Records written by category and read back by folder."""
+    k = F.col("c_custkey")
+    number = F.when(k % 3 == 0, "GB 1-2020").when(k % 3 == 1, "DB11 2-2020").otherwise("JB 3-2020")
+    path = _written(spark)
+    sinks.write_by_category(_table(spark, sf_dir, "customer").select(k.alias("id"), T.category(number, F.lit("")).alias("category")), path)
+    return spark.read.schema("id long, category string").json(path)
+
+
+@query("SELECT o_orderkey AS input, o_orderstatus <> 'F' AS success FROM orders")
+def run_log(spark, sf_dir):
+    """K5: a log appended to twice, a row an input."""
+    rows = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("input"), (F.col("o_orderstatus") != "F").alias("success"))
+    path = _written(spark)
+    sinks.append_run_log(rows.where("input % 2 = 0"), path)
+    sinks.append_run_log(rows.where("input % 2 = 1"), path)
+    return spark.read.schema("input long, success boolean").json(path)
+
+
+@query("SELECT event_id, 'j' || user_id % 4 AS job_id, CASE event_id % 2 WHEN 0 THEN 'pass' ELSE 'fail' END AS status FROM events")
+def written_reviews(spark, sf_dir):
+    """Issues written a folder a job and read back."""
+    rows = _table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("j"), (F.col("user_id") % 4).cast("string")).alias("job_id"), F.when(F.col("event_id") % 2 == 0, "pass").otherwise("fail").alias("status"))
+    path = _written(spark)
+    sinks.write_review(rows, path)
+    return spark.read.schema("event_id long, status string, job_id string").json(path)
+
+
+@query("SELECT c_nationkey::VARCHAR AS doc_id, 'ICS' AS cls, 'n' || c_custkey AS txt, CASE WHEN c_custkey % 2 = 0 THEN (c_custkey % 1000)::INT END AS start_pos FROM customer")
+def written_spans(spark, sf_dir):
+    """Annotated records written as JSON lines and read back as spans."""
+    k = F.col("c_custkey")
+    place = F.when(k % 2 == 0, F.struct((k % 1000).cast("int").alias("start_pos"), F.lit(0).alias("end_pos")))
+    item = F.struct(F.lit("ICS").alias("extraction_class"), F.concat(F.lit("n"), k.cast("string")).alias("extraction_text"), place.alias("char_interval"))
+    rows = _table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("string").alias("doc_id"), F.array(item).alias("extractions"))
+    path = _written(spark)
+    sinks.write_metadata({"annotated": rows}, ["annotated", "annotated"], path)
+    return files.read_spans(spark, f"{path}/annotated").select("doc_id", "cls", "txt", "start_pos")

@@ -31,9 +31,7 @@ FROM {customer}
 
 
 def _view(spark: SparkSession, sf_dir: str, sql: str, name: str) -> DataFrame:
-    text = sql.replace("{{", "<<").replace("}}", ">>").replace("VARCHAR(20)", "STRING").replace(f"{{{name}}}", "src").replace("<<", "{").replace(">>", "}")
-    spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView("_lexspark_src")
-    return spark.sql(text.replace("FROM src", "FROM _lexspark_src"))
+    return spark.sql(sql.replace("VARCHAR(20)", "STRING"), **{name: spark.read.parquet(f"{sf_dir}/{name}.parquet")})
 
 
 def issues(spark: SparkSession, sf_dir: str) -> DataFrame:
