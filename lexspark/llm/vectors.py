@@ -49,18 +49,20 @@ class Node:
 
 
 def fit_tree(sample: np.ndarray, total: float, shard_rows: int, radius: float) -> Node:
-    """Splits at medians of the widest coordinates; a node that most balls would cross is dealt by hash instead."""
+    """Splits at medians of the widest coordinates; a node that most balls would cross is dealt by hash instead.
+
+    Below the sample's resolution shards stay larger than ``shard_rows``: :func:`divided` divides them by what they hold.
+    """
     shards = iter(range(1 << 62))
 
     def grow(x: np.ndarray, est: float) -> Node:
-        if est <= shard_rows:
+        if est <= shard_rows or len(x) < 16:
             return Node(shard=next(shards))
-        if len(x) >= 16:
-            axis = int(np.argmax(x.std(axis=0)))
-            at = float(np.median(x[:, axis]))
-            low = x[:, axis] <= at
-            if 0 < low.sum() < len(x) and (np.abs(x[:, axis] - at) <= radius).mean() < 0.9:
-                return Node(axis=axis, at=at, children=[grow(x[low], est / 2), grow(x[~low], est / 2)])
+        axis = int(np.argmax(x.std(axis=0)))
+        at = float(np.median(x[:, axis]))
+        low = x[:, axis] <= at
+        if 0 < low.sum() < len(x) and (np.abs(x[:, axis] - at) <= radius).mean() < 0.9:
+            return Node(axis=axis, at=at, children=[grow(x[low], est / 2), grow(x[~low], est / 2)])
         return Node(axis=-1, children=[Node(shard=next(shards)) for _ in range(int(np.ceil(est / shard_rows)))])
 
     return grow(sample, total)
@@ -94,8 +96,33 @@ def route(tree: Node, x: np.ndarray, pick: np.ndarray, radius: float) -> tuple[n
     return idx[keep], shard[keep], home[keep]
 
 
-def search(x: np.ndarray, home: np.ndarray, count: np.ndarray, b: int, threshold: float, block_dims: int, step: int = 256, most: int = 65536) -> tuple[np.ndarray, np.ndarray]:
-    """Link counts of one shard's vectors and the root of each in the shard's spanning forest."""
+def ball(threshold: float, dims: int, part: slice) -> float:
+    """How far apart two linked vectors may lie in a block that is within its budget."""
+    return float(np.sqrt(2 * (1 - threshold) * (part.stop - part.start) / dims + 2 * SLACK))
+
+
+def divided(x: np.ndarray, home: np.ndarray, count: np.ndarray, b: int, threshold: float, block_dims: int, shard_rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`search` of one shard; one above ``2 * shard_rows`` is divided again by a tree fitted to what it holds.
+
+    Two of its vectors meet in exactly one part, visitors as well; of two visitors neither is at home here, so they are left to other shards.
+    """
+    if len(x) <= 2 * shard_rows:
+        return search(x, home, home, count, b, threshold, block_dims)
+    part = blocks(x.shape[1], block_dims)[b]
+    y = (x / np.sqrt((x * x).sum(axis=1))[:, None]) @ rotation(x.shape[1])[:, part]
+    radius = ball(threshold, x.shape[1], part)
+    idx, shard, own = route(fit_tree(y, len(x), shard_rows, radius), y, np.arange(len(x), dtype=np.uint64), radius)
+    links, parent, order = np.zeros(len(x), np.int64), np.arange(len(x)), np.argsort(shard, kind="stable")
+    for at in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
+        i = idx[at]
+        n, roots = search(x[i], own[at], home[i], count[i], b, threshold, block_dims)
+        links[i] += n
+        unite(parent, i.copy(), i[roots])
+    return links, parent
+
+
+def search(x: np.ndarray, home: np.ndarray, settled: np.ndarray, count: np.ndarray, b: int, threshold: float, block_dims: int, step: int = 256, most: int = 65536) -> tuple[np.ndarray, np.ndarray]:
+    """Link counts of the vectors and the root of each in the spanning forest: every vector against those at ``home``; of a pair one at least is ``settled``."""
     n, total = len(x), 2 * (1 - threshold)
     norm = np.sqrt((x * x).sum(axis=1))
     unit = x / norm[:, None]
@@ -110,6 +137,8 @@ def search(x: np.ndarray, home: np.ndarray, count: np.ndarray, b: int, threshold
         near = width[rows, None] + width[None, own] - 2 * (sub[rows] @ sub[own].T) <= budget[b] + SLACK
         # two that are at home here meet once
         near &= ~home[rows, None] | (rows[:, None] < own[None, :])
+        if not settled[own].all():
+            near &= settled[rows, None] | settled[None, own]
         i, j = np.nonzero(near)
         i, j = rows[i], own[j]
         for k in range(0, len(i), most):
@@ -134,7 +163,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     components link with nothing.  Equal vectors of a label form one class before the search, so
     copies are counted and never paired.  Repeated rows count each; a null id is never a
     component's name unless it has no other.  Other columns are ignored.  ``sample_rows`` bounds the
-    rows that the trees are fitted to; every row is routed.
+    rows that the trees are fitted to; every row is routed, and a shard that is too large for that sample, or of a vector
+    length that it lacks, is divided again inside its task.
     """
     sound = F.col("v").isNotNull() & F.forall("v", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))) & F.exists("v", lambda e: e != 0)
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"), F.col(label_col).alias("label"))
@@ -149,12 +179,11 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     sized = classes.groupBy(F.size("v").alias("dims"), "label").count().where(F.col("dims").isin(lengths)).groupBy("dims").agg(F.max("count").alias("most"))
     biggest = {r["dims"]: r["most"] for r in sized.collect()}
     trees: dict[tuple[int, int], Node] = {}
-    radius = lambda dims, s: float(np.sqrt(2 * (1 - threshold) * (s.stop - s.start) / dims + 2 * SLACK))
     for dims, most in biggest.items():
         held = [np.asarray(v, float) for v in sample if len(v) == dims]
         y = np.array([v / np.sqrt((v * v).sum()) for v in held]).reshape(-1, dims) @ rotation(dims)
         for b, s in enumerate(blocks(dims, block_dims)):
-            trees[dims, b] = fit_tree(y[:, s], most, shard_rows, radius(dims, s))
+            trees[dims, b] = fit_tree(y[:, s], most, shard_rows, ball(threshold, dims, s))
 
     # single precision travels as it is; it is compared in double
     kind = np.float32 if "float" in dict(classes.dtypes)["v"] else np.float64
@@ -170,13 +199,13 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
                 pick = part["cls"].to_numpy(np.int64).view(np.uint64)
                 for b, s in enumerate(blocks(dims, block_dims)):
                     tree = trees.get((dims, b), Node(shard=0))
-                    idx, shard, home = route(tree, y[:, s], pick, radius(dims, s))
+                    idx, shard, home = route(tree, y[:, s], pick, ball(threshold, dims, s))
                     yield pd.DataFrame({"label": part["label"].to_numpy()[idx], "dims": np.full(len(idx), dims, np.int32), "block": np.full(len(idx), b, np.int32), "shard": shard, "home": home, "cls": part["cls"].to_numpy()[idx], "n": part["n"].to_numpy()[idx], "x": [raw[i] for i in idx]})
 
     def join(part: pd.DataFrame) -> pd.DataFrame:
         x = np.stack([np.frombuffer(v, kind) for v in part["x"]]).astype(np.float64)
         cls = part["cls"].to_numpy(np.int64)
-        links, parent = search(x, part["home"].to_numpy(bool), part["n"].to_numpy(np.int64), int(part["block"].iloc[0]), threshold, block_dims)
+        links, parent = divided(x, part["home"].to_numpy(bool), part["n"].to_numpy(np.int64), int(part["block"].iloc[0]), threshold, block_dims, shard_rows)
         hit = links > 0
         return pd.DataFrame({"cls": cls[hit], "links": links[hit], "root": cls[parent[hit]]})
 

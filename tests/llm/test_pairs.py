@@ -181,8 +181,8 @@ def test_exact_groups(spark, keep):
     assert exact_dedup.exact_groups(df.limit(0)).collect() == [] and exact_dedup.exact_dedup(df.limit(0)).collect() == []
 
 
-@pytest.mark.parametrize("shard_rows", [50, 4000])
-def test_vectors_against_all_pairs(spark, shard_rows):
+@pytest.mark.parametrize(("shard_rows", "sample_rows"), [(50, 16384), (50, 24), (4000, 16384)])
+def test_vectors_against_all_pairs(spark, shard_rows, sample_rows):
     rng = np.random.default_rng(8)
     base = rng.normal(size=(150, 20))
     rows, k = [], 0
@@ -206,6 +206,20 @@ def test_vectors_against_all_pairs(spark, shard_rows):
                     edges.append((a, b))
     want = closure({r[0] for r in rows}, edges)
     df = spark.createDataFrame([(i, v, lab, "x") for i, v, lab in rows], "vec_id long, embedding array<float>, label int, root string")
-    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in vectors.near_duplicates(df, shard_rows=shard_rows).collect())
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in vectors.near_duplicates(df, shard_rows=shard_rows, sample_rows=sample_rows).collect())
     assert got == sorted((r[0], n, want[r[0]], r[0] == want[r[0]]) for r, n in zip(rows, links))
     assert vectors.near_duplicates(df.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("visitors", [0, 400])
+def test_a_divided_shard_finds_what_a_whole_one_does(visitors):
+    """Links, roots and pairs of visitors, which belong to other shards."""
+    rng = np.random.default_rng(3)
+    x = np.repeat(rng.normal(size=(300, 16)), 4, axis=0) + 0.05 * rng.normal(size=(1200, 16))
+    home, count = np.ones(1200, bool), rng.integers(1, 4, 1200)
+    home[rng.permutation(1200)[:visitors]] = False
+    want = vectors.divided(x, home, count, 0, 0.93, 8, 5000)
+    assert (want[0] > 0).sum() > 100
+    for shard_rows in (20, 300):
+        got = vectors.divided(x, home, count, 0, 0.93, 8, shard_rows)
+        assert np.array_equal(got[0], want[0]) and np.array_equal(got[1], want[1])
