@@ -47,17 +47,17 @@ def correct_numbering(rows: DataFrame) -> DataFrame:
 def resolve_inheritance(styles: DataFrame, attributes: list[str], depth: int = 16) -> DataFrame:
     """(doc_id, style, attributes …): what a style lacks comes from the style that it is based on, nearest first.
 
-    Chains and cycles end at ``depth`` steps.  ``styles`` has doc_id, style, based_on and the attributes.
+    Chains and cycles end at ``depth`` steps.  ``styles`` has doc_id, style, based_on and the attributes; rows that repeat a style
+    stand for one.  Where a chain has ended a style looks at itself, so what is still on its way and what is not is spread alike
+    and no step needs a job of its own.
     """
-    found = styles.select("doc_id", "style", F.col("based_on").alias("_up"), F.lit(0).alias("_d"), *attributes)
-    step, parent = found, styles.select("doc_id", F.col("style").alias("_up"), F.col("based_on").alias("_next"), *attributes)
-    for d in range(1, depth):
-        step = step.where("_up is not null").select("doc_id", "style", "_up").join(parent, ["doc_id", "_up"]).select("doc_id", "style", F.col("_next").alias("_up"), F.lit(d).alias("_d"), *attributes)
-        found = found.unionByName(step)
-        if d >= 4 and step.isEmpty():  # style chains are short; one row tells whether any goes on
-            break
-    near = [F.min_by(F.col(a), F.when(F.col(a).isNotNull(), F.col("_d"))).alias(a) for a in attributes]
-    return found.groupBy("doc_id", "style").agg(*near)
+    own = styles.withColumn("based_on", F.coalesce("based_on", "style")).groupBy("doc_id", "style").agg(F.min(F.struct("based_on", *attributes)).alias("_r"))
+    out = own.select("doc_id", "style", F.col("_r.based_on").alias("_up"), *[F.col(f"_r.{a}").alias(a) for a in attributes])
+    parent = own.select(F.col("doc_id").alias("_doc"), F.col("style").alias("_style"), "_r")
+    for _ in range(1, depth):
+        out = out.join(parent, (F.col("doc_id") == F.col("_doc")) & (F.col("_up") == F.col("_style")), "left")
+        out = out.select("doc_id", "style", F.coalesce("_r.based_on", "style").alias("_up"), *[F.coalesce(a, f"_r.{a}").alias(a) for a in attributes])
+    return out.drop("_up")
 
 
 def display_heading(text: Column, number: Column) -> Column:

@@ -56,8 +56,11 @@ def test_list_numbers(spark):
 
 
 def test_styles(spark):
-    df = spark.createDataFrame([(1, "a", None, "song", 10), (1, "b", "a", None, 12), (1, "c", "b", "hei", None), (1, "x", "y", None, 1), (1, "y", "x", "kai", None)], "doc_id int, style string, based_on string, font string, size int")
-    got = {r.style: (r.font, r["size"]) for r in numbering.resolve_inheritance(df, ["font", "size"]).collect()}
+    df = spark.createDataFrame([(1, "a", None, "song", 10), (1, "b", "a", None, 12), (1, "c", "b", "hei", None), (1, "x", "y", None, 1), (1, "y", "x", "kai", None), (1, "z", "gone", None, 7), (1, "z", "gone", None, 7), (2, "a", None, None, None)], "doc_id int, style string, based_on string, font string, size int")
+    rows = numbering.resolve_inheritance(df, ["font", "size"]).collect()
+    assert len(rows) == 7 and [(r.style, r.font, r["size"]) for r in rows if r.doc_id == 2] == [("a", None, None)]
+    got = {r.style: (r.font, r["size"]) for r in rows if r.doc_id == 1}
+    assert got.pop("z") == (None, 7)
     assert got == {"a": ("song", 10), "b": ("song", 12), "c": ("hei", 12), "x": ("kai", 1), "y": ("kai", 1)}
 
 
