@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexspark.llm.common import fresh
+from lexspark.llm.common import cut, fresh
 
 KEY = ("_digest", "_check")
 
@@ -56,7 +56,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     result.
     """
     best = F.max("_id") if keep == "largest" else F.min("_id")
-    rows = runs_of(docs, id_col, text_col, bits, levels)
+    rows = cut(runs_of(docs, id_col, text_col, bits, levels))  # digests only: the texts are read once
     entries = rows.groupBy("_run", *KEY).agg(best.alias("_keep"), F.count(F.lit(1)).alias("_n"))
     root = entries
     for _ in range(levels):
