@@ -75,7 +75,14 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.3).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_tokens, op3_language, op4_secrets, op5_substrings, op6_vectors, op7_mixing, op8_bpe, op9_toxicity, op10_exact)}
+def op13_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every distinct prefix of the rebuilt conversations, with what its subtree would save."""
+    from lexspark.llm import prefix_trie
+
+    return prefix_trie.prefix_nodes(table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_tokens, op3_language, op4_secrets, op5_substrings, op6_vectors, op7_mixing, op8_bpe, op9_toxicity, op10_exact, op13_prefixes)}
 
 WORDS_SQL = "len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))"
 
@@ -136,4 +143,19 @@ r AS (SELECT vec_id, vec_id AS node FROM embeddings UNION SELECT r.vec_id, p.b F
 n AS (SELECT a AS vec_id, count(*) AS n_links FROM p GROUP BY a)
 SELECT vec_id, coalesce(any_value(n.n_links), 0) AS n_links, min(node) AS component_id, vec_id = min(node) AS kept FROM r LEFT JOIN n USING (vec_id) GROUP BY vec_id"""
 
-ORACLES: dict[str, str] = {"op6_vectors": OP6_SQL, "op4_secrets": OP4_SQL, "op7_mixing": OP7_SQL, "op10_exact": OP10_SQL}
+#: crc32 of a list of bytes, bit by bit.
+CRC_SQL = "xor(list_reduce(list_concat([4294967295::BIGINT], {bytes}), lambda a, b: list_reduce(list_concat([xor(a, b)], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda c, z: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END))), 4294967295)"
+
+OP13_SQL = f"""
+WITH t AS (SELECT conv_id, list({{'r': coalesce(role, ''), 't': coalesce(text, '')}} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS own FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+h AS (SELECT *, ({CRC_SQL.format(bytes="list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)")} % 9)::BIGINT AS h FROM t),
+s AS (SELECT h.conv_id, list_concat(CASE WHEN h = 0 OR b.own IS NULL THEN [] ELSE b.own[1:h] END, h.own[h + 1:]) AS seq FROM h LEFT JOIN t b ON b.conv_id = h.conv_id - h.conv_id % 5),
+p AS (SELECT conv_id, d, CASE WHEN d = 0 THEN [] ELSE seq[1:d] END AS node, len(seq) = d AS ends FROM s, unnest(range(0, len(seq) + 1)) AS u(d)),
+n AS (SELECT node, any_value(d) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '') AS ends FROM p GROUP BY node),
+k AS (SELECT CASE WHEN depth = 1 THEN [] ELSE node[1:depth - 1] END AS node, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1),
+v AS (SELECT n.*, coalesce(n_children, 0) AS n_children, CASE WHEN depth = 0 THEN 0 ELSE (n_convs - 1) * strlen(node[depth].t) END AS saves FROM n LEFT JOIN k USING (node)),
+a AS (SELECT CASE WHEN d = 0 THEN [] ELSE v.node[1:d] END AS node, sum(saves)::BIGINT AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves FROM v, unnest(range(0, depth + 1)) AS u(d) GROUP BY 1)
+SELECT v.conv_id, v.depth, q.conv_id AS parent_conv_id, v.n_convs, v.n_children, a.n_leaves, a.saved_tokens, sha256(v.ends) AS ends_sha256
+FROM v JOIN a USING (node) LEFT JOIN n q ON v.depth > 0 AND q.node = CASE WHEN v.depth = 1 THEN [] ELSE v.node[1:v.depth - 1] END"""
+
+ORACLES: dict[str, str] = {"op13_prefixes": OP13_SQL, "op6_vectors": OP6_SQL, "op4_secrets": OP4_SQL, "op7_mixing": OP7_SQL, "op10_exact": OP10_SQL}
