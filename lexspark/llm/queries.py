@@ -75,6 +75,21 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.3).cast("int").alias("predicted"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all texts with the near word that they are most likely a misspelling of."""
+    from lexspark.llm import spelling
+
+    return spelling.spelling_variants(table(spark, sf_dir, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op12_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    from lexspark.llm import main_text
+
+    out = main_text.main_text(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op13_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every distinct prefix of the rebuilt conversations, with what its subtree would save."""
     from lexspark.llm import prefix_trie
@@ -82,7 +97,7 @@ def op13_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_nodes(table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_tokens, op3_language, op4_secrets, op5_substrings, op6_vectors, op7_mixing, op8_bpe, op9_toxicity, op10_exact, op13_prefixes)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_tokens, op3_language, op4_secrets, op5_substrings, op6_vectors, op7_mixing, op8_bpe, op9_toxicity, op10_exact, op11_spelling, op12_pages, op13_prefixes)}
 
 WORDS_SQL = "len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))"
 
@@ -146,6 +161,20 @@ SELECT vec_id, coalesce(any_value(n.n_links), 0) AS n_links, min(node) AS compon
 #: crc32 of a list of bytes, bit by bit.
 CRC_SQL = "xor(list_reduce(list_concat([4294967295::BIGINT], {bytes}), lambda a, b: list_reduce(list_concat([xor(a, b)], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda c, z: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END))), 4294967295)"
 
+OP11_SQL = f"""
+WITH RECURSIVE o AS (SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS c
+  FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\\x{{C0}}-\\x{{FF}}]+')) AS run FROM documents) WHERE length(run) >= 7 GROUP BY ALL),
+h AS (SELECT run, c, {CRC_SQL.format(bytes="flatten(list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':' || run, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT] ELSE [(192 | (unicode(x) >> 6))::BIGINT, (128 | (unicode(x) & 63))::BIGINT] END))")} AS h FROM o),
+d AS (SELECT CASE WHEN h % 31 = 0 THEN left(run, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, c FROM h),
+w AS (SELECT word, sum(c)::BIGINT AS n FROM d WHERE length(word) >= 7 GROUP BY word HAVING sum(c) >= 2),
+x AS (SELECT word, n, i, left(word, i::INT) || substr(word, i::INT + 2) AS rest FROM w, unnest(range(0, length(word))) AS u(i)),
+l AS (SELECT DISTINCT a.word AS a, b.word AS b, b.n FROM x a JOIN x b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT DISTINCT x.word, w.word, w.n FROM x JOIN w ON x.rest = w.word UNION SELECT DISTINCT w.word, x.word, x.n FROM x JOIN w ON x.rest = w.word),
+f AS (SELECT a AS word, count(*) AS n_near, arg_min({{'b': b, 'n': n}}, {{'k': -n, 'b': b}}) AS best FROM l GROUP BY a),
+g AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN best.n >= 10 * w.n THEN best.b END AS form, CASE WHEN best.n >= 10 * w.n THEN best.n END AS form_n FROM w LEFT JOIN f USING (word)),
+r AS (SELECT word, word AS root, 0 AS d FROM g UNION ALL SELECT r.word, g.form, d + 1 FROM r JOIN g ON g.word = r.root WHERE g.form IS NOT NULL)
+SELECT g.word, g.form, arg_max(r.root, r.d) AS root, g.n, g.n_near, g.form_n FROM g JOIN r USING (word) GROUP BY ALL"""
+
 OP13_SQL = f"""
 WITH t AS (SELECT conv_id, list({{'r': coalesce(role, ''), 't': coalesce(text, '')}} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS own FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
 h AS (SELECT *, ({CRC_SQL.format(bytes="list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)")} % 9)::BIGINT AS h FROM t),
@@ -158,4 +187,4 @@ a AS (SELECT CASE WHEN d = 0 THEN [] ELSE v.node[1:d] END AS node, sum(saves)::B
 SELECT v.conv_id, v.depth, q.conv_id AS parent_conv_id, v.n_convs, v.n_children, a.n_leaves, a.saved_tokens, sha256(v.ends) AS ends_sha256
 FROM v JOIN a USING (node) LEFT JOIN n q ON v.depth > 0 AND q.node = CASE WHEN v.depth = 1 THEN [] ELSE v.node[1:v.depth - 1] END"""
 
-ORACLES: dict[str, str] = {"op13_prefixes": OP13_SQL, "op6_vectors": OP6_SQL, "op4_secrets": OP4_SQL, "op7_mixing": OP7_SQL, "op10_exact": OP10_SQL}
+ORACLES: dict[str, str] = {"op11_spelling": OP11_SQL, "op13_prefixes": OP13_SQL, "op6_vectors": OP6_SQL, "op4_secrets": OP4_SQL, "op7_mixing": OP7_SQL, "op10_exact": OP10_SQL}
