@@ -77,36 +77,40 @@ def piece_links(home: pd.DataFrame, visit: pd.DataFrame) -> pd.DataFrame:
     """(word, n_near, best_n, best) for every word of a piece that has a near word in it.
 
     ``home`` and ``visit`` have (word, n) and ``visit`` also ``step``: 0 for words of the home block itself, which see each other from both
-    sides and therefore count on the home side only.
+    sides and therefore count on the home side only.  Home words are all of one length.
     """
     if home.empty or visit.empty:
         return pd.DataFrame({"word": [], "n_near": [], "best_n": [], "best": []})
-    everything = pd.concat([home[["word", "n"]], visit[["word", "n"]]], ignore_index=True)
+    words_a, words_b = home["word"].tolist(), visit["word"].tolist()
+    names = np.array(words_a + words_b)
+    n = np.concatenate([home["n"].to_numpy(), visit["n"].to_numpy()])
     # a word's place in the order "largest n, then smallest word" decides who is best
-    order = everything.sort_values(["n", "word"], ascending=[False, True]).index.to_numpy()
+    order = np.lexsort((names, -n))
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
     counts, best = np.zeros(len(order), np.int64), np.full(len(order), len(order), np.int64)
 
-    words_a = home["word"].tolist()
     pa = _points(words_a)
     ga, la = _letters(pa), pa.shape[1]
-    na = (ga * ga).sum(1)
-    words_b, steps = visit["word"].tolist(), visit["step"].to_numpy()
+    used = np.nonzero(ga.any(0))[0]  # other letters have no part in a product
+    # squared distance less 1.5 as one product: (-2a, a.a - 1.5, 1) . (b, 1, b.b)
+    left = np.hstack([-2 * ga[:, used], (ga * ga).sum(1)[:, None] - 1.5, np.ones((len(ga), 1))]).astype(ga.dtype)
+    steps = visit["step"].to_numpy()
     lengths = np.fromiter(map(len, words_b), np.int64, len(words_b))
     for step, lb in sorted({*zip(steps.tolist(), lengths.tolist())}):
         rows = np.nonzero((steps == step) & (lengths == lb))[0]
         pb_all = _points([words_b[r] for r in rows])
-        for lo in range(0, len(rows), 2048):
-            pb = pb_all[lo : lo + 2048]
+        for lo in range(0, len(rows), 1024):
+            pb = pb_all[lo : lo + 1024]
             gb = _letters(pb)
-            d = na[:, None] + (gb * gb).sum(1)[None, :] - 2 * (ga @ gb.T)
-            i, j = np.nonzero((d > 0.5) & (d < 2.5))
+            right = np.hstack([gb[:, used], np.ones((len(gb), 1)), (gb * gb).sum(1)[:, None]]).astype(gb.dtype)
+            d = left @ right.T
+            i, j = np.divmod(np.flatnonzero(np.abs(d, out=d) < 1), len(gb))
             size = max(1, CELLS // max(la, 1))
             for k in range(0, len(i), size):
                 x, y = i[k : k + size], j[k : k + size]
                 ok = _near(pa[x], pb[y], la, lb)
-                x, y = x[ok], rows[lo + y[ok]] + len(home)
+                x, y = x[ok], rows[lo + y[ok]] + len(words_a)
                 np.add.at(counts, x, 1)
                 np.minimum.at(best, x, place[y])
                 if step:
@@ -114,12 +118,12 @@ def piece_links(home: pd.DataFrame, visit: pd.DataFrame) -> pd.DataFrame:
                     np.minimum.at(best, y, place[x])
     hit = np.nonzero(counts)[0]
     top = order[best[hit]]
-    return pd.DataFrame({"word": everything["word"].to_numpy()[hit], "n_near": counts[hit], "best_n": everything["n"].to_numpy()[top], "best": everything["word"].to_numpy()[top]})
+    return pd.DataFrame({"word": names[hit].astype(object), "n_near": counts[hit], "best_n": n[top], "best": names[top].astype(object)})
 
 
 def links(words: DataFrame, home: int = HOME, visit: int = VISIT, classes: int | None = None) -> DataFrame:
     """(word, n_near, best_n, best) from a table (word, n) of distinct words; words without a near word are absent."""
-    classes = classes or 1 + math.ceil(max(0.0, math.log(max(1, words.count()) / 8000, 8)))
+    classes = classes or 1 + math.ceil(max(0.0, math.log(max(1, words.count()) / 4000, 8)))
     v = words.select("word", "n", F.array(*class_counts(F.col("word"), classes)).alias("v"))
 
     def moved(*by: tuple[int, int]) -> Column:
