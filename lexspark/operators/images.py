@@ -42,15 +42,53 @@ def caption_before(text: Column, anchor: Column) -> Column:
     return F.coalesce(T.strip(F.get(hits, F.size(hits) - 1)), F.lit(""))
 
 
-def rewrite_refs(docs: DataFrame, renames: DataFrame, prefix: str = "images/") -> DataFrame:
-    """``docs`` with old image names in ``text`` replaced by new ones, longest old name first; ``renames`` has doc_id, old, new."""
-    per = renames.groupBy("doc_id").agg(F.reverse(F.array_sort(F.collect_list(F.struct(F.length("old").alias("n"), "old", "new")))).alias("_r"))
-    fold = F.aggregate("_r", F.col("text"), lambda s, r: F.replace(s, F.concat(F.lit(prefix), r["old"]), F.concat(F.lit(prefix), r["new"])))
-    return docs.join(per, "doc_id", "left").withColumn("text", F.when(F.col("_r").isNull(), F.col("text")).otherwise(fold)).drop("_r")
+#: What may be a reference to an image: a Markdown image, a path below images/, or a bare name that is a hash.
+REFERENCE = r"!\[[^\]]*\]\([^)]*\)|(?:\./|/)?images/[^\s()\[\]<>\"'|]+|(?<![\w./-])[A-Fa-f0-9]{16,}\.[A-Za-z0-9]+"
+
+
+def rewrite_refs(docs: DataFrame, renames: DataFrame, prefix: str = "images") -> DataFrame:
+    """``docs`` with references to old image names in ``text`` turned into ``prefix/new``; ``renames`` has doc_id, old, new.
+
+    A text is cut into references and what is between them once, and each reference is looked up by its name, so a new name is never
+    taken for an old one (a to b and b to c in one text).  The target of a Markdown image is replaced whole, in any case of letters; of a path
+    below ``images/`` a leading ``./`` or ``/`` stays.  Names that ``renames`` lacks stay; of several new names for an old one the smallest counts.
+    """
+    one = renames.where("old is not null and new is not null").groupBy("doc_id", F.lower("old").alias("k"), "old").agg(F.min("new").alias("new"))
+    per = one.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("old", "new"))).alias("_exact"), F.collect_list(F.struct("k", "old", "new")).alias("_l"))
+    # names that differ in their letters' case only: the first by code point speaks for the rest
+    by_case = F.aggregate(F.array_sort("_l"), F.create_map().cast("map<string,string>"), lambda m, x: F.when(F.map_contains_key(m, x["k"]), m).otherwise(F.map_concat(m, F.create_map(x["k"], x["new"]))))
+    per = per.select("doc_id", "_exact", by_case.alias("_any"))
+    path = lambda name: F.concat(F.lit(prefix.strip("/") + "/"), name)
+
+    def rewritten(hit: Column) -> Column:
+        target = F.regexp_extract(hit, r"^!\[[^\]]*\]\(([^)]*)\)$", 1)
+        base = F.element_at(F.split(F.when(hit.startswith("!["), target).otherwise(hit), "/"), -1)
+        new = F.coalesce(F.col("_exact")[base], F.when(hit.startswith("!["), F.col("_any")[F.lower(base)]))
+        label = F.regexp_extract(hit, r"^(!\[[^\]]*\]\()", 1)
+        lead = F.regexp_extract(hit, r"^(\./|/)?images/", 1)
+        return F.when(new.isNull(), hit).when(label != "", F.concat(label, path(new), F.lit(")"))).otherwise(F.concat(lead, path(new)))
+
+    gaps, hits = F.split("text", REFERENCE, -1), F.regexp_extract_all("text", F.lit(REFERENCE), F.lit(0))
+    joined = F.array_join(F.zip_with(gaps, hits, lambda g, h: F.concat(g, F.coalesce(rewritten(h), F.lit("")))), "")
+    return docs.join(per, "doc_id", "left").withColumn("text", F.when(F.col("_exact").isNull(), F.col("text")).otherwise(joined)).drop("_exact", "_any")
+
+
+IMAGE_SUFFIX = r"\.(png|jpe?g|gif|bmp|webp)$"
 
 
 def is_image(member: Column) -> Column:
-    return F.lower(member).rlike(r"(^|/)images/[^/]+\.(png|jpe?g|gif|bmp|webp|svg)$")
+    """An image below images/, or one that is at most one folder deep."""
+    held = F.lower(F.replace(member, F.lit("\\"), F.lit("/")))
+    inside = held.startswith("images/") | held.contains("/images/")
+    return held.rlike(IMAGE_SUFFIX) & (inside | (F.length(held) - F.length(F.replace(held, F.lit("/"), F.lit(""))) <= 1))
+
+
+def image_members(members: DataFrame, by: str = "bundle") -> DataFrame:
+    """Image members of each archive; where none is in its place, all files that are images by their suffix."""
+    any_image = F.lower("member").rlike(IMAGE_SUFFIX)
+    placed = F.coalesce(is_image(F.col("member")), F.lit(False))
+    rows = members.withColumn("_placed", placed).withColumn("_some", F.max("_placed").over(Window.partitionBy(by)))
+    return rows.where(F.when(F.col("_some"), F.col("_placed")).otherwise(any_image)).drop("_placed", "_some")
 
 
 def tiny_images(members: DataFrame, least: int = 100) -> DataFrame:

@@ -6,22 +6,28 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexspark.functions import text as T
+from lexspark.sources.shared import cut
 
 
-def list_numbers(rows: DataFrame, levels: int = 6) -> DataFrame:
+def list_numbers(rows: DataFrame, levels: int | None = None) -> DataFrame:
     """``numbers``: counters of levels 0 .. the row's own, in document order within (doc_id, list_id).
 
-    A level's counter restarts after any shallower row; a level that was never used counts as its start.
-    ``rows`` has doc_id, idx, list_id, level, start (an array, the first number of each level).
+    A level's counter restarts after any shallower row.  A level that a deeper row finds unused takes its start, and its own next row counts on
+    from there.  ``rows`` has doc_id, idx, list_id, level, start (an array, the first number of each level, else 1); ``levels`` is one
+    more than the deepest level and is looked up where it is not given.
     """
+    if levels is None:
+        levels = (rows.agg(F.max("level")).first()[0] or 0) + 1
     out, parts = rows, ["doc_id", "list_id"]
     for k in range(levels):
         w = Window.partitionBy(*parts).orderBy("idx").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        out = out.withColumn(f"_n{k}", F.sum(F.when(F.col("level") == k, 1).otherwise(0)).over(w))
+        mine = F.sum(F.when(F.col("level") == k, 1).otherwise(0)).over(w)
+        # the first row of level k or deeper since the last shallower one: if it is deeper, it made the counter
+        made = F.first(F.when(F.col("level") >= k, (F.col("level") > k).cast("int")), ignorenulls=True).over(w)
+        out = out.withColumns({f"_n{k}": mine, f"_m{k}": mine + made - 1})
         parts = [*parts, f"_n{k}"]  # rows below the same number of level k
-    begin = lambda k: F.coalesce(F.get("start", F.lit(k)), F.lit(1))
-    number = [F.when(F.col(f"_n{k}") > 0, begin(k) + F.col(f"_n{k}") - 1).otherwise(begin(k)) for k in range(levels)]
-    return out.withColumn("numbers", F.slice(F.array(*[n.cast("int") for n in number]), F.lit(1), F.col("level") + 1)).drop(*[f"_n{k}" for k in range(levels)])
+    number = [F.coalesce(F.get("start", F.lit(k)), F.lit(1)) + F.col(f"_m{k}") for k in range(levels)]
+    return out.withColumn("numbers", F.slice(F.array(*[n.cast("int") for n in number]), F.lit(1), F.col("level") + 1)).drop(*[f"_{x}{k}" for k in range(levels) for x in "nm"])
 
 
 def render_number(numbers: Column, pattern: Column, formats: Column) -> Column:
@@ -44,20 +50,25 @@ def correct_numbering(rows: DataFrame) -> DataFrame:
     return rows.withColumn("number", F.when(wrong, F.concat("_c", F.regexp_replace("number", "^[0-9]+", ""))).otherwise(F.col("number"))).drop("_c")
 
 
-def resolve_inheritance(styles: DataFrame, attributes: list[str], depth: int = 16) -> DataFrame:
-    """(doc_id, style, attributes …): what a style lacks comes from the style that it is based on, nearest first.
+def resolve_inheritance(styles: DataFrame, attributes: list[str]) -> DataFrame:
+    """(doc_id, style, attributes …): what a style lacks comes from the style that it is based on, nearest first, however long the chain.
 
-    Chains and cycles end at ``depth`` steps.  ``styles`` has doc_id, style, based_on and the attributes; rows that repeat a style
-    stand for one.  Where a chain has ended a style looks at itself, so what is still on its way and what is not is spread alike
-    and no step needs a job of its own.
+    ``styles`` has doc_id, style, based_on and the attributes; of rows that repeat a style the smallest (based_on, attributes) counts.  Each step
+    doubles what a style's pointer spans: it takes over what the style at its end knows, and that style's pointer.  A chain
+    of n styles ends after log2(n) steps.  In a cycle no pointer ends; there a document's number of styles says when every pointer has
+    gone round, after which nothing can be added, so no list of visited styles is needed.  A style that is based on one that does not exist
+    is based on none.  What has ended leaves the loop and is met from its table.
     """
-    own = styles.withColumn("based_on", F.coalesce("based_on", "style")).groupBy("doc_id", "style").agg(F.min(F.struct("based_on", *attributes)).alias("_r"))
-    out = own.select("doc_id", "style", F.col("_r.based_on").alias("_up"), *[F.col(f"_r.{a}").alias(a) for a in attributes])
-    parent = own.select(F.col("doc_id").alias("_doc"), F.col("style").alias("_style"), "_r")
-    for _ in range(1, depth):
-        out = out.join(parent, (F.col("doc_id") == F.col("_doc")) & (F.col("_up") == F.col("_style")), "left")
-        out = out.select("doc_id", "style", F.coalesce("_r.based_on", "style").alias("_up"), *[F.coalesce(a, f"_r.{a}").alias(a) for a in attributes])
-    return out.drop("_up")
+    one = styles.groupBy("doc_id", "style").agg(F.min(F.struct("based_on", *attributes)).alias("_r"))
+    held = cut(one.select("doc_id", "style", F.col("_r.based_on").alias("_up"), *[F.col(f"_r.{a}").alias(a) for a in attributes]))
+    longest = held.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    done, moving, span = held.where("_up is null"), held.where("_up is not null"), 1
+    while span <= longest and not moving.isEmpty():
+        above = done.unionByName(moving).select(F.col("doc_id").alias("_doc"), F.col("style").alias("_style"), F.col("_up").alias("_next"), *[F.col(a).alias(f"_{a}") for a in attributes])
+        step = moving.join(above, (F.col("doc_id") == F.col("_doc")) & (F.col("_up") == F.col("_style")), "left")
+        step = cut(step.select("doc_id", "style", F.col("_next").alias("_up"), *[F.coalesce(a, f"_{a}").alias(a) for a in attributes]))
+        done, moving, span = done.unionByName(step.where("_up is null")), step.where("_up is not null"), 2 * span
+    return done.unionByName(moving).drop("_up")
 
 
 def display_heading(text: Column, number: Column) -> Column:

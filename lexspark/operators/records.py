@@ -4,21 +4,78 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
 from lexspark.functions import text as T
+from lexspark.operators import nested
 
 SEVERITY = ("critical", "major", "minor", "info")
 STATUS = ("pass", "fail", "warn", "insufficient_context", "info")
 
 
+def _fits(value: Column, kind: DataType, path: str) -> Column:
+    """An array of paths below ``value`` (a variant) that can't be read as ``kind``; numbers in texts and the like are coerced."""
+    if isinstance(kind, ArrayType):
+        inner = value.try_cast("array<variant>")
+        if isinstance(kind.elementType, (ArrayType, StructType, MapType)):
+            deeper = F.flatten(F.transform(inner, lambda v, i: F.transform(_fits(v, kind.elementType, ""), lambda p: F.concat(F.lit(f"{path}["), i.cast("string"), F.lit("]"), p))))
+        else:
+            bad = F.filter(F.transform(inner, lambda v, i: F.when(_wrong(v, kind.elementType), i)), lambda i: i.isNotNull())
+            deeper = F.transform(bad, lambda i: F.concat(F.lit(f"{path}["), i.cast("string"), F.lit("]")))
+        return F.when(_absent(value), _none()).when(inner.isNull(), F.array(F.lit(path))).otherwise(F.coalesce(deeper, _none()))
+    if isinstance(kind, MapType):
+        inner = value.try_cast("map<string,variant>")
+        bad = F.map_keys(F.map_filter(inner, lambda k, v: _wrong(v, kind.valueType)))
+        return F.when(_absent(value), _none()).when(inner.isNull(), F.array(F.lit(path))).otherwise(F.transform(F.array_sort(bad), lambda k: F.concat(F.lit(f"{path}."), k)))
+    if isinstance(kind, StructType):
+        inner = value.try_cast("map<string,variant>")
+        parts = [_fits(F.try_variant_get(value, f"$['{f.name}']", "variant"), f.dataType, f"{path}.{f.name}" if path else f.name) for f in kind.fields]
+        held = F.concat(*parts) if parts else _none()
+        return F.when(_absent(value), _none()).when(inner.isNull(), F.array(F.lit(path or "$"))).otherwise(held)
+    return F.when(_wrong(value, kind), F.array(F.lit(path))).otherwise(_none())
+
+
+def _none() -> Column:
+    return F.array().cast("array<string>")
+
+
+def _absent(value: Column) -> Column:
+    return value.isNull() | F.is_variant_null(value)
+
+
+def _wrong(value: Column, kind: DataType) -> Column:
+    if isinstance(kind, (ArrayType, StructType, MapType)):
+        return F.size(_fits(value, kind, "")) > 0
+    return ~_absent(value) & (nested.kind_of(value).isin("object", "array") | value.try_cast(kind.simpleString()).isNull())
+
+
 def validate(rows: DataFrame, schema: str, json_col: str = "json") -> DataFrame:
-    """``record`` read by the schema and ``error``: null, ``no object`` or the fields that do not fit."""
-    record = F.from_json(json_col, schema)
-    raw = F.from_json(json_col, "map<string,string>")
-    rows = rows.withColumns({"record": record, "_raw": raw})
-    names = [f.split(":")[0] for f in schema.removeprefix("struct<").removesuffix(">").split(",")] if schema.startswith("struct<") else [f.strip().split(" ")[0] for f in schema.split(",")]
-    bad = F.array_compact(F.array(*[F.when(F.col("_raw")[n].isNotNull() & F.col("record")[n].isNull(), n) for n in names]))
-    return rows.withColumn("error", F.when(F.col("_raw").isNull(), "no object").when(F.size(bad) > 0, F.concat(F.lit("bad fields: "), F.array_join(bad, ", ")))).drop("_raw")
+    """``record`` read by the schema and ``error``: null, ``no object``, or the paths that can't be read as their type.
+
+    ``schema`` is DDL or a ``struct<…>``, with types of any depth.  Values are coerced where a cast can (a number in a text, a text of a number);
+    an absent or null value fits any type; fields that the schema lacks are dropped.  Paths name array places (``b[2]``) and map keys (``m.k``).
+    """
+    kind = StructType.fromDDL(schema)
+    if schema.strip().lower().startswith("struct<") and len(kind.fields) == 1 and isinstance(kind.fields[0].dataType, StructType):
+        kind = kind.fields[0].dataType
+    value = F.try_parse_json(F.col(json_col))
+    held = rows.withColumn("_v", value).withColumn("_bad", _fits(F.col("_v"), kind, ""))
+    is_object = F.col("_v").try_cast("map<string,variant>").isNotNull()
+    record = F.struct(*[_read(F.try_variant_get("_v", f"$['{f.name}']", "variant"), f.dataType).alias(f.name) for f in kind.fields])
+    error = F.when(~F.coalesce(is_object, F.lit(False)), "no object").when(F.size("_bad") > 0, F.concat(F.lit("bad fields: "), F.array_join("_bad", ", ")))
+    return held.withColumn("record", F.when(is_object, record)).withColumn("error", error).drop("_v", "_bad")
+
+
+def _read(value: Column, kind: DataType) -> Column:
+    """``value`` as ``kind``; parts that can't be read are null and the rest stays."""
+    if isinstance(kind, ArrayType):
+        return F.transform(value.try_cast("array<variant>"), lambda v: _read(v, kind.elementType))
+    if isinstance(kind, MapType):
+        return F.transform_values(value.try_cast("map<string,variant>"), lambda k, v: _read(v, kind.valueType))
+    if isinstance(kind, StructType):
+        fields = F.struct(*[_read(F.try_variant_get(value, f"$['{f.name}']", "variant"), f.dataType).alias(f.name) for f in kind.fields])
+        return F.when(value.try_cast("map<string,variant>").isNotNull(), fields)
+    return F.when(~_absent(value) & ~nested.kind_of(value).isin("object", "array"), value.try_cast(kind.simpleString()))
 
 
 def validate_issues(issues: DataFrame) -> DataFrame:

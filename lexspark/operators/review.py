@@ -121,12 +121,21 @@ def judge_object(response: Column) -> Column:
 
 
 def judge_issues(answers: DataFrame, floor: float = 0.35) -> DataFrame:
-    """Issues from (doc_id, rule_id, response): a pass gives none, confidence up to ``floor`` is insufficient context, an unreadable answer is a low-confidence record."""
-    held = answers.withColumn("_o", judge_object(F.col("response")))
+    """(doc_id, rule_id, status, severity, confidence, actual) from (doc_id, rule_id, response) and, if there, ``error``.
+
+    A pass gives none, confidence up to ``floor`` is insufficient context, an unreadable or missing answer is a low-confidence record.  A
+    call that failed (``error``) is a failure that a person must look at, with the error's first 200 characters, whatever its answer says.
+    """
+    failed = F.col("error").isNotNull() if "error" in answers.columns else F.lit(False)
+    held = answers.withColumn("_o", F.when(~failed, judge_object(F.col("response")))).withColumn("_failed", failed)
     get = lambda k: F.get_json_object("_o", f"$.{k}")
     confidence = F.when(F.col("_o").isNull(), 0.1).otherwise(F.coalesce(get("confidence").try_cast("double"), F.lit(0.0)))
     rows = held.withColumn("confidence", confidence).where(F.col("_o").isNull() | (F.coalesce(get("pass"), F.lit("false")) != "true"))
-    return rows.select("doc_id", "rule_id", F.when(F.col("confidence") > floor, "fail").otherwise("insufficient_context").alias("status"), F.coalesce(get("severity_level"), get("severity"), F.when(F.col("_o").isNull(), "轻度"), F.lit("中度")).alias("severity"), "confidence")
+    status = F.when(F.col("_failed") | (F.col("confidence") > floor), "fail").otherwise("insufficient_context")
+    severity = F.coalesce(get("severity_level"), get("severity"), F.when(F.col("_o").isNull(), "轻度"), F.lit("中度"))
+    error = F.substring("error", 1, 200) if "error" in answers.columns else F.lit("")
+    actual = F.when(F.col("_failed"), F.concat(F.lit("LLM 审核异常："), error)).when(F.col("_o").isNull(), "无法解析 LLM 响应").otherwise(F.coalesce(F.nullif(get("actual"), F.lit("")), F.lit("未在文档中明确说明")))
+    return rows.select("doc_id", "rule_id", status.alias("status"), severity.alias("severity"), "confidence", actual.alias("actual"))
 
 
 def offline_judge(plans: DataFrame) -> DataFrame:
@@ -163,7 +172,7 @@ def judged(plans: DataFrame, judge=None) -> DataFrame:
     """Issues of the plans that are not skipped."""
     asked = plans.where("strategy <> 'skip'")
     answers = offline_judge(asked) if judge is None else with_judge(asked, judge)
-    return judge_issues(answers.select("doc_id", F.col("chunk_id").alias("rule_id"), "response"))
+    return judge_issues(answers.select("doc_id", F.col("chunk_id").alias("rule_id"), "response", *[c for c in ("error",) if c in answers.columns]))
 
 
 def windows(text: Column, size: int = 2200) -> Column:

@@ -8,6 +8,7 @@ from lexspark.functions import text as T
 from lexspark.operators import images, metadata, review, rulebook
 from lexspark.operators import segment as S
 from lexspark.plans import sql as Q
+from lexspark.sources import derived
 from lexspark.sources.std_corpus import std_corpus
 
 QUERIES: dict = {}
@@ -83,39 +84,41 @@ def front_matter(spark, sf_dir):
 
 
 def _content_lists(spark, sf_dir):
-    line = lambda n: F.coalesce(F.get(F.split("text", "\n"), n - 1), F.lit(""))
-    empty = F.array().cast("array<string>")
+    """A content list of every line of a text, each followed by an image or a table."""
+    empty, none = F.array().cast("array<string>"), F.lit(None).cast("string")
     block = lambda kind, text, path, fig, tab: F.struct(F.lit(kind).alias("type"), text.alias("text"), path.alias("img_path"), fig.alias("image_caption"), tab.alias("table_caption"))
-    none = F.lit(None).cast("string")
-    blocks = F.array(
-        block("text", line(1), none, empty, empty),
-        block("image", none, F.concat(F.lit("images/a"), F.col("doc_id").cast("string"), F.lit(".jpg")), F.array(F.lit("a）")), empty),
-        block("image", none, F.concat(F.lit("images/b"), F.col("doc_id").cast("string"), F.lit(".jpg")), F.array(F.concat(F.lit("图"), F.col("source"))), empty),
-        block("table", none, F.concat(F.lit("images/c"), F.col("doc_id").cast("string"), F.lit(".jpg")), empty, F.array(F.lit("note"), F.concat(F.lit("表"), F.col("source")))),
-    )
-    listed = F.to_json(blocks)
+
+    def around(line, i):
+        path = lambda k: F.concat(F.lit(f"images/{k}"), F.col("doc_id").cast("string"), F.lit("_"), i.cast("string"), F.lit(".jpg"))
+        lettered, figure = block("image", none, path("a"), F.array(F.lit("a）")), empty), block("image", none, path("b"), F.array(F.concat(F.lit("图"), F.col("source"))), empty)
+        table = block("table", none, path("c"), empty, F.array(F.lit("note"), F.concat(F.lit("表"), F.col("source"))))
+        return F.array(block("text", line, none, empty, empty), F.when(i % 4 == 0, lettered).when(i % 4 == 1, figure).when(i % 4 == 2, table).otherwise(block("image", none, path("d"), empty, empty)))
+
+    listed = F.to_json(F.flatten(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), around)))
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.when(F.col("doc_id") % 2 == 0, listed).otherwise(F.concat(F.lit('{"items": '), listed, F.lit("}"))).alias("content_list"))
 
 
-@query("""WITH t AS (SELECT doc_id, source, regexp_replace(trim(split_part(text, chr(10), 1)), '[。，、；：,.;:!?！？]+$', '') AS s, trim(split_part(text, chr(10), 1)) AS r FROM documents)
-SELECT doc_id, 'a' || doc_id || '.jpg' AS old_name, s || 'a）' AS suggested FROM t WHERE r <> '' UNION ALL SELECT doc_id, 'b' || doc_id || '.jpg', '图' || source FROM t UNION ALL SELECT doc_id, 'c' || doc_id || '.jpg', '表' || source FROM t""")
+@query(f"""WITH l AS (SELECT doc_id, source, i, {Q.strip("ls[i + 1]")} AS s FROM (SELECT doc_id, source, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents), unnest(range(0, len(ls))) AS u(i)),
+t AS (SELECT *, last_value(nullif(s, '') IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS r FROM l)
+SELECT doc_id, CASE i % 4 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'c' END || doc_id || '_' || i || '.jpg' AS old_name, CASE i % 4 WHEN 0 THEN regexp_replace(r, '[。，、；：,.;:!?！？]+$', '') || 'a）' WHEN 1 THEN '图' || source ELSE '表' || source END AS suggested FROM t WHERE i % 4 IN (1, 2) OR (i % 4 = 0 AND r IS NOT NULL)""")
 def image_names(spark, sf_dir):
-    """Names from captions, or from the text before."""
+    """Names from captions, or from the last text before, over all lines."""
     return images.image_names(images.content_blocks(_content_lists(spark, sf_dir))).drop("ord")
 
 
-@query(f"WITH {Q.LINES} SELECT doc_id, number AS hint, 'X' || replaced AS actual FROM (SELECT doc_id, regexp_extract(text, 'GB/T [0-9]+-[0-9]{{4}}') AS number, regexp_extract(text, '代替(GB/T [0-9]+-[0-9]{{4}})', 1) AS replaced FROM corpus) WHERE replaced <> ''")
+@query(f"""WITH corpus AS ({derived.duck(derived.COVERS, 'pages')}), {Q.cover('corpus')}, r AS (SELECT *, 'X' || replaced AS num, CASE WHEN doc_id % 3 = 0 THEN '行业标准' ELSE '' END AS lvl FROM cover)
+SELECT doc_id, '标准号' AS field, number AS hint, num AS actual FROM r WHERE number <> '' UNION ALL SELECT doc_id, '标准层级', hierarchy, lvl FROM r WHERE hierarchy <> '' AND lvl <> '' AND hierarchy <> lvl""")
 def hint_conflicts(spark, sf_dir):
     """Cover and record disagree."""
-    cover = std_corpus(spark, sf_dir).withColumns(metadata.cover_fields(F.col("text")))
-    record = cover.where("replaced <> ''").select("doc_id", F.concat(F.lit("X"), "replaced").alias("标准号"), F.lit("").alias("标准层级"))
-    return metadata.hint_conflicts(record, cover.select("doc_id", "number", "hierarchy")).select("doc_id", "hint", "actual")
+    cover = derived.covers(spark, sf_dir).select("doc_id", *[c.alias(k) for k, c in metadata.cover_fields(F.col("text")).items()])
+    record = cover.select("doc_id", F.concat(F.lit("X"), "replaced").alias("标准号"), F.when(F.col("doc_id") % 3 == 0, "行业标准").otherwise("").alias("标准层级"))
+    return metadata.hint_conflicts(record, cover.select("doc_id", "number", "hierarchy")).select("doc_id", "field", "hint", "actual")
 
 
-@query(f"WITH {Q.LINES} SELECT doc_id, regexp_extract(text, '代替(GB/T [0-9]+-[0-9]{{4}})', 1) AS replaced0, coalesce(nullif(regexp_extract(text, '代替(GB/T [0-9]+-[0-9]{{4}})', 1), ''), regexp_extract(text, 'GB/T [0-9]+-[0-9]{{4}}')) AS filled FROM corpus")
+@query(f"WITH corpus AS ({derived.duck(derived.COVERS, 'pages')}), {Q.cover('corpus')} SELECT doc_id, replaced AS replaced0, coalesce(nullif(replaced, ''), number) AS filled FROM cover")
 def filled_blanks(spark, sf_dir):
     """J8."""
-    cover = std_corpus(spark, sf_dir).withColumns(metadata.cover_fields(F.col("text")))
+    cover = derived.covers(spark, sf_dir).select("doc_id", *[c.alias(k) for k, c in metadata.cover_fields(F.col("text")).items()])
     got = metadata.fill_blank(cover.select("doc_id", F.col("replaced").alias("v")), cover.select("doc_id", F.col("number").alias("v")), "doc_id", ["v"])
     return cover.select("doc_id", F.col("replaced").alias("replaced0")).join(got.withColumnRenamed("v", "filled"), "doc_id")
 

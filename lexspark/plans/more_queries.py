@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lexspark.functions import text as T
-from lexspark.operators import audit, images, metadata, numbering, records, rulebook, scopes
+from lexspark.operators import audit, images, metadata, nested, numbering, records, rulebook, scopes
 from lexspark.operators import retrieve as R
 from lexspark.operators import segment as S
 from lexspark.plans import book_queries, record_queries
 from lexspark.plans import sql as Q
-from lexspark.sources import files, sinks
+from lexspark.sources import derived, files, sinks
+from lexspark.sources.shared import new_folder
 from lexspark.sources.std_corpus import rules, std_corpus
 from lexspark.streaming import events as E
 
@@ -173,14 +172,20 @@ def retrieval_texts(spark, sf_dir):
 _LIST = "SELECT l_orderkey AS doc_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice)::INT AS idx, l_returnflag AS list_id, (l_partkey % 3)::INT AS level FROM lineitem"
 
 
-@query(f"""WITH l AS ({_LIST}), g AS (SELECT *, sum((level < 1)::INT) OVER w AS g1, sum((level < 2)::INT) OVER w AS g2 FROM l WINDOW w AS (PARTITION BY doc_id, list_id ORDER BY idx ROWS UNBOUNDED PRECEDING)),
-n AS (SELECT *, sum((level = 0)::INT) OVER (PARTITION BY doc_id, list_id ORDER BY idx ROWS UNBOUNDED PRECEDING) AS n0, sum((level = 1)::INT) OVER (PARTITION BY doc_id, list_id, g1 ORDER BY idx ROWS UNBOUNDED PRECEDING) AS n1, sum((level = 2)::INT) OVER (PARTITION BY doc_id, list_id, g2 ORDER BY idx ROWS UNBOUNDED PRECEDING) AS n2 FROM g)
-SELECT doc_id, idx, greatest(n0, 1)::VARCHAR || CASE WHEN level > 0 THEN '.' || CASE WHEN n1 > 0 THEN 2 + n1 ELSE 3 END ELSE '' END || CASE WHEN level > 1 THEN '.' || greatest(n2, 1) ELSE '' END AS number FROM n""")
+_DEEP = "SELECT l_suppkey AS doc_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice)::INT AS idx, l_returnflag AS list_id, CASE WHEN l_partkey % 5 = 0 THEN l_orderkey % 9 ELSE l_partkey % 3 END::INT AS level FROM lineitem"
+
+
+@query(f"""WITH RECURSIVE l AS (SELECT *, row_number() OVER (PARTITION BY doc_id, list_id ORDER BY idx) AS n FROM ({_DEEP})),
+c AS (SELECT doc_id, list_id, 0::BIGINT AS n, 0 AS idx, 0 AS level, list_transform(range(0, 9), lambda k: NULL::INT) AS held FROM l WHERE n = 1
+  UNION ALL SELECT l.doc_id, l.list_id, l.n, l.idx, l.level, list_transform(range(0, 9), lambda k: CASE WHEN k > l.level THEN NULL WHEN k = l.level THEN coalesce(c.held[k + 1], CASE WHEN k = 1 THEN 3 ELSE 1 END - 1) + 1 ELSE coalesce(c.held[k + 1], CASE WHEN k = 1 THEN 3 ELSE 1 END) END)
+  FROM c JOIN l ON l.doc_id = c.doc_id AND l.list_id = c.list_id AND l.n = c.n + 1)
+SELECT doc_id, idx, array_to_string(held[1:level + 1], '.') AS number FROM c WHERE n > 0""")
 def list_numbers(spark, sf_dir):
-    """Counters of multi-level lists, written as decimals."""
-    idx = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
-    rows = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), idx.alias("idx"), F.col("l_returnflag").alias("list_id"), (F.col("l_partkey") % 3).cast("int").alias("level"), F.array(F.lit(1), F.lit(3), F.lit(1)).alias("start"))
-    return numbering.list_numbers(rows, 3).select("doc_id", "idx", F.array_join(F.col("numbers").cast("array<string>"), ".").alias("number"))
+    """Counters of lists of up to nine levels, written as decimals; the SQL counts row by row."""
+    idx = F.row_number().over(Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"))
+    level = F.when(F.col("l_partkey") % 5 == 0, F.col("l_orderkey") % 9).otherwise(F.col("l_partkey") % 3)
+    rows = _table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("doc_id"), idx.alias("idx"), F.col("l_returnflag").alias("list_id"), level.cast("int").alias("level"), F.array(F.lit(1), F.lit(3), F.lit(1)).alias("start"))
+    return numbering.list_numbers(rows).select("doc_id", "idx", F.array_join(F.col("numbers").cast("array<string>"), ".").alias("number"))
 
 
 @query(f"""WITH l AS ({_LIST}), c AS (SELECT doc_id, idx, level = 0 AS ch, CASE WHEN level = 0 THEN idx::VARCHAR ELSE (idx % 3 + 1) || '.' || level END AS number FROM l),
@@ -195,13 +200,14 @@ def corrected_numbers(spark, sf_dir):
     return numbering.correct_numbering(rows.select("doc_id", "idx", (F.col("level") == 0).alias("is_chapter"), number.alias("number"))).select("doc_id", "idx", "number")
 
 
-@query("""WITH RECURSIVE s AS (SELECT p_partkey % 5 AS doc_id, p_partkey // 5 AS style, CASE WHEN p_partkey // 5 % 10 = 0 THEN CASE WHEN p_partkey % 2 = 0 THEN p_partkey // 5 + 1 END ELSE p_partkey // 5 - 1 END AS based_on, CASE WHEN p_size % 7 = 0 THEN p_brand END AS font, CASE WHEN p_size % 11 = 0 THEN p_size END AS size FROM part),
-c AS (SELECT doc_id, style, style AS at, 0 AS d FROM s UNION ALL SELECT c.doc_id, c.style, s.based_on, d + 1 FROM c JOIN s ON s.doc_id = c.doc_id AND s.style = c.at WHERE s.based_on IS NOT NULL AND d < 15)
+@query("""WITH RECURSIVE s AS (SELECT p_partkey % 5 AS doc_id, p_partkey // 5 AS style, CASE WHEN p_partkey // 5 % 40 = 0 THEN CASE WHEN p_partkey % 2 = 0 THEN p_partkey // 5 + 1 + p_partkey % 20 ELSE -1 END ELSE p_partkey // 5 - 1 END AS based_on, CASE WHEN p_size % 23 = 0 THEN p_brand END AS font, CASE WHEN p_size % 37 = 0 THEN p_size END AS size FROM part),
+c AS (SELECT doc_id, style, style AS at, 0 AS d, [style] AS seen FROM s UNION ALL SELECT c.doc_id, c.style, s.based_on, d + 1, list_append(seen, s.based_on) FROM c JOIN s ON s.doc_id = c.doc_id AND s.style = c.at WHERE s.based_on IS NOT NULL AND NOT list_contains(seen, s.based_on))
 SELECT c.doc_id, c.style, arg_min(font, d) FILTER (font IS NOT NULL) AS font, arg_min(size, d) FILTER (size IS NOT NULL) AS size FROM c JOIN s ON s.doc_id = c.doc_id AND s.style = c.at GROUP BY ALL""")
 def inherited_styles(spark, sf_dir):
-    """Attributes along chains of styles, cycles included."""
+    """Attributes along chains of forty styles and more, cycles and styles that are missing included; the SQL has no cap."""
     key, st = F.col("p_partkey"), F.expr("p_partkey div 5")
-    rows = _table(spark, sf_dir, "part").select((key % 5).alias("doc_id"), st.alias("style"), F.when(st % 10 == 0, F.when(key % 2 == 0, st + 1)).otherwise(st - 1).alias("based_on"), F.when(F.col("p_size") % 7 == 0, F.col("p_brand")).alias("font"), F.when(F.col("p_size") % 11 == 0, F.col("p_size")).alias("size"))
+    above = F.when(st % 40 == 0, F.when(key % 2 == 0, st + 1 + key % 20).otherwise(-1)).otherwise(st - 1)
+    rows = _table(spark, sf_dir, "part").select((key % 5).alias("doc_id"), st.alias("style"), above.alias("based_on"), F.when(F.col("p_size") % 23 == 0, F.col("p_brand")).alias("font"), F.when(F.col("p_size") % 37 == 0, F.col("p_size")).alias("size"))
     return numbering.resolve_inheritance(rows, ["font", "size"])
 
 
@@ -313,13 +319,16 @@ def record_fields(spark, sf_dir):
     )
 
 
-@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'bad fields: id' WHEN 3 THEN 'no object' END AS error, CASE WHEN event_id % 4 IN (1, 2) THEN event_id END AS id FROM events""")
+@query("""SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'bad fields: id' WHEN 3 THEN 'no object' WHEN 4 THEN 'bad fields: price, tags[1], m.b, s.n' WHEN 5 THEN 'bad fields: tags' END AS error, CASE WHEN event_id % 6 IN (1, 2, 5) THEN event_id END AS id,
+CASE WHEN event_id % 6 = 2 THEN (event_id % 1000 + 0.25)::DECIMAL(10, 2) END AS price, CASE event_id % 6 WHEN 2 THEN 'a,7' WHEN 4 THEN '1,' END AS tags, CASE event_id % 6 WHEN 2 THEN 9 END AS n FROM events""")
 def validated_records(spark, sf_dir):
-    """Records read by a schema, and what does not fit."""
-    e = F.col("event_id")
-    json = F.when(e % 4 == 0, F.concat(F.lit('{"id": "x'), e.cast("string"), F.lit('", "name": "n"}'))).when(e % 4 == 3, "nothing").otherwise(F.concat(F.lit('{"id": '), e.cast("string"), F.lit("}")))
-    out = records.validate(_table(spark, sf_dir, "events").select("event_id", json.alias("json")), "id long, name string")
-    return out.select("event_id", "error", F.col("record.id").alias("id"))
+    """Records read by a schema of any types, values coerced, and the paths that do not fit."""
+    e, s = F.col("event_id"), F.col("event_id").cast("string")
+    whole = F.concat(F.lit('{"id": "'), s, F.lit('", "price": "'), (e % 1000).cast("string"), F.lit('.25", "tags": ["a", 7], "m": {"a": "1"}, "s": {"n": 9}, "more": 1}'))
+    json = F.when(e % 6 == 0, F.concat(F.lit('{"id": "x'), s, F.lit('", "price": null}'))).when(e % 6 == 1, F.concat(F.lit('{"id": '), s, F.lit("}"))).when(e % 6 == 2, whole).when(e % 6 == 3, F.when(e % 4 == 3, "[1]").otherwise("nothing"))
+    json = json.when(e % 6 == 4, '{"price": "dear", "tags": [1, {"q": 2}], "m": {"a": 1, "b": "x"}, "s": {"n": "y"}}').otherwise(F.concat(F.lit('{"id": '), s, F.lit(', "tags": "none"}')))
+    out = records.validate(_table(spark, sf_dir, "events").select("event_id", json.alias("json")), "id long, price decimal(10,2), tags array<string>, m map<string,int>, s struct<n:int>")
+    return out.select("event_id", "error", F.col("record.id").alias("id"), F.col("record.price").alias("price"), F.array_join("record.tags", ",", "").alias("tags"), F.col("record.s.n").alias("n"))
 
 
 @query("""SELECT event_id, array_to_string(list_filter([CASE WHEN event_id % 5 = 0 THEN 'severity' END, CASE WHEN event_id % 3 = 0 THEN 'status' END, CASE WHEN value IS NULL OR value / 50 > 1 OR value < 0 THEN 'confidence' END, CASE WHEN event_id % 2 = 0 THEN 'path' END], lambda x: x IS NOT NULL), ',') AS errors FROM events""")
@@ -426,15 +435,22 @@ def tiny_images(spark, sf_dir):
     return images.tiny_images(_table(spark, sf_dir, "documents").select("doc_id", name.alias("member"), F.octet_length(F.coalesce("text", F.lit(""))).alias("size"))).select("doc_id", "member")
 
 
-@query("""SELECT doc_id, coalesce(text, '') || chr(10) || '![](images/b' || doc_id || '.jpg) images/new1' AS text, CASE WHEN doc_id % 2 = 0 THEN '表1 ' || source ELSE '' END AS caption FROM documents""")
+_HASH = "'0123456789ABCDEF' || (doc_id + 10) || '.png'"
+
+
+@query(f"""SELECT doc_id, coalesce(text, '') || chr(10) || '![](img/b' || doc_id || '.jpg) ./img/b' || doc_id || '.jpg /img/c' || doc_id || '.jpg images/none.jpg ![x]( q/A.jpg) ![y](img/c' || doc_id || '.jpg) (img/h' || doc_id || '.png) x' || {_HASH} || ' img/b' || doc_id || '.jpg' AS text, CASE WHEN doc_id % 2 = 0 THEN '表1 ' || source ELSE '' END AS caption FROM documents""")
 def rewritten_refs(spark, sf_dir):
-    """Image references renamed, longest name first; the last table caption before an anchor."""
-    s = F.col("doc_id").cast("string")
-    body = F.concat(F.coalesce("text", F.lit("")), F.lit("\n![](images/a"), s, F.lit(".jpg) images/a"))
+    """Image references of every form renamed, a to b and b to c in one text; the last table caption before an anchor."""
+    s, hashed = F.col("doc_id").cast("string"), F.expr(_HASH)
+    old = lambda k: F.concat(F.lit(k), s, F.lit(".jpg"))
+    parts = ["\n![](images/", old("a"), ") ./images/", old("a"), " /images/", old("b"), " images/none.jpg ![x]( q/A.jpg) ![y](deep/er/", F.upper(old("b")), ") (", hashed, ") x", hashed, " images/", old("a")]
+    body = F.concat(F.coalesce("text", F.lit("")), *[F.lit(x) if isinstance(x, str) else x for x in parts])
     docs = _table(spark, sf_dir, "documents").select("doc_id", body.alias("text"))
-    names = _table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array(F.struct(F.concat(F.lit("a"), s, F.lit(".jpg")).alias("old"), F.concat(F.lit("b"), s, F.lit(".jpg")).alias("new")), F.struct(F.lit("a").alias("old"), F.lit("new1").alias("new")))).alias("r")).select("doc_id", "r.*")
+    pair = lambda a, b: F.struct(a.alias("old"), b.alias("new"))
+    names = F.array(pair(old("a"), old("b")), pair(old("b"), old("c")), pair(F.lit("a"), F.lit("new1")), pair(hashed, F.concat(F.lit("h"), s, F.lit(".png"))))
+    renames = _table(spark, sf_dir, "documents").select("doc_id", F.explode(names).alias("r")).select("doc_id", "r.*")
     caps = _table(spark, sf_dir, "documents").select("doc_id", images.caption_before(F.concat(F.lit("x\n"), F.when(F.col("doc_id") % 2 == 0, "表0 a\n 表1 ").otherwise("图"), F.col("source"), F.lit("\nANCHOR\n表2")), F.lit("ANCHOR")).alias("caption"))
-    return images.rewrite_refs(docs, names).join(caps, "doc_id")
+    return images.rewrite_refs(docs, renames, "img/").join(caps, "doc_id")
 
 
 @query("SELECT event_id AS seq, CASE WHEN event_id % 2 = 0 THEN 'subagent' ELSE 'main' END AS source, CASE WHEN event_id % 2 = 0 THEN 'tools:' || event_id END AS call_id FROM events")
@@ -445,25 +461,43 @@ def event_sources(spark, sf_dir):
     return E.event_source(_table(spark, sf_dir, "events").select(e.alias("seq"), space.alias("namespace"))).select("seq", "source", "call_id")
 
 
-@query(f"WITH r AS ({_RESULTS}), a AS (SELECT id, 'report' AS t, '/out/' || id || '.md' AS p FROM r WHERE tool = 'review') SELECT id, 0::INT AS ord, 'artifact.created' AS event, p AS virtual_path FROM a UNION ALL SELECT id, 1, 'tool.completed', NULL FROM r")
+@query("""WITH r AS (SELECT event_id AS id, event_id % 4 AS n FROM events)
+SELECT id, i::INT AS ord, 'artifact.created' AS event, '/out/' || id || ['.a', '.b', '.c'][i + 1] AS virtual_path FROM r, unnest(range(0, 3)) AS u(i) WHERE i < n UNION ALL SELECT id, n::INT, 'tool.completed', NULL FROM r""")
 def tool_events(spark, sf_dir):
-    """ST9: events of finished tools: an artifact each, then the completion."""
-    e = F.col("event_id")
-    result = F.when(e % 3 == 0, F.concat(F.lit('{"report": "/out/'), e.cast("string"), F.lit('.md"}'))).otherwise("{}")
-    spec = spark.sql("SELECT * FROM VALUES ('review', 'report', 'report') AS s(tool, field, type)")
-    rows = _table(spark, sf_dir, "events").select(e.alias("id"), F.when(e % 3 == 0, "review").when(e % 3 == 1, "parse").otherwise("other").alias("tool"), result.alias("result"))
+    """ST9: events of finished tools: none to three artifacts, then the completion."""
+    e, s = F.col("event_id"), F.col("event_id").cast("string")
+    named = lambda k, least: F.when(e % 4 > least, F.concat(F.lit("/out/"), s, F.lit(f".{k}")))
+    result = F.to_json(F.struct(named("a", 0).alias("a"), F.struct(named("b", 1).alias("b")).alias("files"), named("c", 2).alias("c")))
+    spec = spark.sql("SELECT * FROM VALUES ('review', 'a', 'r1'), ('review', 'files.b', 'r2'), ('review', 'c', 'r3'), ('other', 'a', 'x') AS s(tool, field, type)")
+    rows = _table(spark, sf_dir, "events").select(e.alias("id"), F.lit("review").alias("tool"), result.alias("result"))
     return E.tool_events(rows, spec).select("id", "ord", "event", "virtual_path")
 
 
-@query("""SELECT event_id AS seq, 'm' || event_id AS message_id, 'review' AS tool, '{"n": ' || event_id || '}' AS content FROM events WHERE event_id % 3 <> 2""")
+@query("""SELECT event_id AS seq, 'm' || event_id AS message_id, CASE WHEN event_id % 5 = 3 THEN 'extra' ELSE 'review' END AS tool, '{"n":' || event_id || '}' AS content FROM events WHERE event_id % 5 <> 4
+UNION ALL SELECT event_id, NULL, 'second', '{"q":[1]}' FROM events WHERE event_id % 5 = 1""")
 def tool_messages(spark, sf_dir):
-    """ST11: tool messages found inside nested payloads."""
+    """ST11: tool messages found inside nested payloads, up to thirteen objects deep, in each of the forms."""
     e, s = F.col("event_id"), F.col("event_id").cast("string")
-    inner = F.concat(F.lit('{"id": "m'), s, F.lit('", "name": "review", "content": "{\\"n\\": '), s, F.lit('}"}'))
-    data = F.when(e % 3 == 0, F.concat(F.lit('{"kwargs": '), inner, F.lit("}"))).when(e % 3 == 1, F.concat(F.lit('{"a": ['), inner, F.lit("]}"))).otherwise('{"content": "text"}')
+    name = F.when(e % 5 == 3, '"additional_kwargs": {"name": "extra"}').otherwise('"name": "review"')
+    content = F.when(e % 2 == 0, F.concat(F.lit('"{\\"n\\": '), s, F.lit('}"'))).otherwise(F.concat(F.lit('{"n": '), s, F.lit("}")))
+    inner = F.concat(F.lit('{"id": "m'), s, F.lit('", '), name, F.lit(', "content": '), content, F.lit("}"))
+    deep = F.concat(F.repeat(F.lit('{"a": ['), (e % 7 * 2).cast("int")), inner, F.repeat(F.lit("]}"), (e % 7 * 2).cast("int")))
+    data = F.when(e % 5 == 0, F.concat(F.lit('{"kwargs": '), inner, F.lit("}"))).when(e % 5 == 1, F.concat(F.lit('[{"tool_name": "second", "name": "", "type": "x", "content": {"q": [1]}}, '), deep, F.lit("]"))).when(e % 5 == 4, '{"content": "text", "name": "n"}').otherwise(deep)
     return E.unwrap_messages(_table(spark, sf_dir, "events").select(e.alias("seq"), data.alias("data")))
 
 
+@query("""SELECT doc_id, array_to_string(list_filter([array_to_string(list_filter(ls, lambda x: x <> ''), chr(10)), 'é' || doc_id], lambda x: x <> ''), chr(10)) || chr(10) || chr(10) || 'end' AS text FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)""")
+def layout_texts(spark, sf_dir):
+    """the text of nested layout JSON, in reading order; each line of a text is a span two to six levels down."""
+    span = lambda x, i: F.when(i % 2 == 0, F.struct(x.alias("content"), F.lit(None).cast("string").alias("text"))).otherwise(F.struct(F.lit(None).cast("string").alias("content"), x.alias("text")))
+    spans = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), span)
+    block = F.to_json(F.struct(F.lit("zz").alias("other"), F.array(F.struct(spans.alias("spans"))).alias("lines"), F.lit(3).alias("html")))
+    tail = F.to_json(F.struct(F.concat(F.lit("é"), F.col("doc_id").cast("string")).alias("text")))
+    wrap = F.concat(F.repeat(F.lit('{"blocks": ['), (F.col("doc_id") % 4).cast("int")), block, F.repeat(F.lit("]}"), (F.col("doc_id") % 4).cast("int")))
+    json = F.concat(F.lit('[{"lines": ['), wrap, F.lit(", "), tail, F.lit('], "spans": [null, 5]}, {"unknown": "x"}, "end"]'))
+    return nested.flat_text(_table(spark, sf_dir, "documents").select("doc_id", json.alias("json")), "doc_id")
+
+
 @query("WITH c AS (SELECT user_id AS trace_id, min(ts) AS s, max(ts) AS e, count(*) AS spans FROM events GROUP BY user_id) SELECT trace_id, 'meta.extract.start' AS type, s AS created_at, '' AS extras FROM c UNION ALL SELECT trace_id, 'meta.extract.end', e, 'spans=' || spans FROM c")
 def progress_events(spark, sf_dir):
     """ST12: start and end of an extraction, with its counts."""
@@ -481,21 +515,51 @@ def found_spans(spark, sf_dir):
     return metadata.find_spans(std_corpus(spark, sf_dir)).where("cls <> '引用文件'")
 
 
-@query("""WITH p AS (SELECT page_id, page_id % 5 AS k FROM pages) SELECT page_id AS doc_id, '67.080.' || page_id AS ics, CASE WHEN k = 0 THEN 'B 31' WHEN k = 1 THEN 'X01' ELSE '' END AS ccs, CASE WHEN k = 3 THEN 'GB/T 7-1999' WHEN k = 4 THEN 'GB/T 15034-1994' ELSE '' END AS replaced,
-CASE WHEN k = 2 THEN '中华人民共和国国家标准' WHEN k = 3 THEN '国家标准' ELSE '' END AS hierarchy, CASE WHEN k = 3 THEN 'GB/T 8-2001' WHEN k IN (0, 2) THEN 'GB/T ' || page_id || '-2009' ELSE '' END AS number, CASE WHEN k = 1 THEN 'GB' ELSE '' END AS code FROM p""")
+_NUM = r"^(?:[A-Z]{1,6}[0-9]{0,3}(?:/[A-Z]{1,8}[0-9]{0,3})?)\s+[0-9]+(?:[.][0-9]+)*[—-](?:[0-9]{4}|[0-9]{2})"
+_BARE = "trim(regexp_replace(t, '^(?:代替 *)?(?:替代)?', ''))"
+
+
+_KIND = (("ics", "ics", "t"), ("ccs", "ccs", "t"), ("old", "replaced", "CASE WHEN num <> '' THEN num ELSE t END"), ("num <> ''", "number", "num"), ("lvl", "hierarchy", "t"), ("cod", "code", "t"))
+_PLACE = {"ics": "CASE WHEN NOT ccs THEN t ELSE '' END", "ccs": "CASE WHEN NOT ics THEN t ELSE '' END", "code": "CASE WHEN NOT ics AND NOT ccs AND num = '' THEN t ELSE '' END", "hierarchy": "t", "number": "CASE WHEN num <> '' AND NOT old THEN num ELSE early END", "replaced": "CASE WHEN old THEN CASE WHEN num <> '' THEN num ELSE t END ELSE '' END"}
+_FLAGS = metadata.FIELDS
+_STATE = ", ".join(f"'' AS f_{f}" for f in _FLAGS)
+
+
+def _round(name: str, before: str, pick: str, value) -> str:
+    """One pass over a document's blocks in order, as a recursion that carries the six fields."""
+    fields = ", ".join(f"CASE WHEN p = '{f}' THEN {value(f)} ELSE f_{f} END AS f_{f}" for f in _FLAGS)
+    return f"""{name} AS (SELECT doc_id, 0::BIGINT AS n, {before} UNION ALL SELECT doc_id, n, {fields} FROM (SELECT b.*, {', '.join(f'm.f_{f}' for f in _FLAGS)}, {pick} AS p FROM {name} m JOIN b ON b.doc_id = m.doc_id AND b.n = m.n + 1))"""
+
+
+_LAST = ", ".join(f"arg_max(f_{f}, n) AS f_{f}" for f in _FLAGS)
+_HEADER_SQL = f"""WITH RECURSIVE raw AS ({derived.duck(derived.HEADERS, 'pages')}),
+b0 AS (SELECT doc_id, idx, index, {Q.squeeze('text')} AS t FROM raw WHERE type = 'header'),
+b1 AS (SELECT *, starts_with(upper(t), 'ICS') OR contains(t, '国际标准分类') AS ics, starts_with(upper(t), 'CCS') OR contains(t, '中国标准文献分类') OR regexp_matches(replace(upper(t), ' ', ''), '^[A-Z]{{1,3}}[0-9]{{1,3}}(?:[.][0-9]+)?$') AS ccs,
+  contains(t, '代替') OR contains(t, '替代') AS old, CASE WHEN regexp_matches(upper({_BARE}), '{_NUM}') THEN replace({_BARE}, '—', '-') ELSE '' END AS num,
+  contains(t, '中华人民共和国国家标准') OR contains(t, '国家标准化指导性技术文件') OR contains(t, '行业标准') OR contains(t, '地方标准') AS lvl, regexp_matches(replace(upper(t), ' ', ''), '^[A-Z]{{1,6}}(?:/[A-Z]{{1,6}})?$') AS c0 FROM b0 WHERE t <> ''),
+b AS (SELECT b1.*, c0 AND NOT ics AND NOT ccs AS cod, row_number() OVER (PARTITION BY doc_id ORDER BY idx) AS n, coalesce((SELECT arg_min(CASE WHEN NOT e.old THEN e.num ELSE '' END, e.idx) FROM b1 e WHERE e.doc_id = b1.doc_id AND e.index = 3), '') AS early FROM b1),
+{_round("r1", _STATE + " FROM (SELECT DISTINCT doc_id FROM b)", "CASE " + " ".join(f"WHEN {t} AND f_{f} = '' THEN '{f}'" for t, f, _ in _KIND) + " END", lambda f: next(v for _, g, v in _KIND if g == f))},
+s1 AS (SELECT doc_id, {_LAST} FROM r1 GROUP BY doc_id),
+{_round("r2", ", ".join(f"f_{f}" for f in _FLAGS) + " FROM s1", "CASE WHEN num = '' THEN NULL WHEN old AND f_replaced = '' THEN 'replaced' WHEN NOT old AND f_number = '' THEN 'number' END", lambda f: "num")},
+s2 AS (SELECT doc_id, {_LAST} FROM r2 GROUP BY doc_id),
+{_round("r3", ", ".join(f"f_{f}" for f in _FLAGS) + " FROM s2", "CASE " + " ".join(f"WHEN index = {i} AND f_{f} = '' THEN '{f}'" for i, f in enumerate(metadata.PLACES)) + " END", lambda f: _PLACE[f])},
+s3 AS (SELECT doc_id, {_LAST} FROM r3 GROUP BY doc_id),
+corpus AS ({derived.duck(derived.COVERS, 'pages')}), {Q.cover('corpus')},
+o AS (SELECT doc_id, string_agg(t, ' ' ORDER BY idx) AS organizations FROM (SELECT doc_id, idx, trim(regexp_replace(trim(text), '发布$', '')) AS t FROM raw WHERE type = 'footer') WHERE t <> '' GROUP BY doc_id)
+SELECT doc_id, {', '.join(f"coalesce(nullif({'CASE WHEN contains(f_hierarchy, chr(22269)||chr(23478)||chr(26631)||chr(20934)) THEN chr(22269)||chr(23478)||chr(26631)||chr(20934) ELSE CASE WHEN contains(f_hierarchy, chr(34892)||chr(19994)||chr(26631)||chr(20934)) THEN chr(34892)||chr(19994)||chr(26631)||chr(20934) ELSE f_hierarchy END END' if f == 'hierarchy' else f'f_{f}'}, ''), cover.{f}) AS {f}" for f in _FLAGS)}, coalesce(organizations, '') AS organizations FROM cover LEFT JOIN s3 USING (doc_id) LEFT JOIN o USING (doc_id)"""
+
+
+@query(_HEADER_SQL)
 def header_records(spark, sf_dir):
-    """the cover record from header blocks, then from the text."""
-    s, k = F.col("page_id").cast("string"), F.col("page_id") % 5
-    number = F.concat(F.lit("GB/T "), s, F.lit("—2009"))
-    texts = F.array(F.concat(F.lit("ICS 67.080."), s), F.when(k == 0, "B 31").when(k == 1, "CCS X01").when(k == 2, "中华人民共和国国家标准").otherwise("no kind of header"), F.when(k.isin(0, 2), number).when(k == 1, "GB").when(k == 4, "代替 GB/T 15034—1994").otherwise("2009年"))
-    blocks = _table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.lit(0).alias("page_idx"), F.posexplode(texts).alias("idx", "text"))
-    body = F.when(k == 3, "GB/T 8—2001\n代替GB/T 7—1999").otherwise("")
-    return metadata.header_records(blocks, _table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), body.alias("text")))
+    """the cover record from header blocks by kind, by number and by place, then from the text; who issues, from the footers.  The SQL walks the blocks one by one."""
+    blocks = derived.headers(spark, sf_dir)
+    found = metadata.header_records(blocks, derived.covers(spark, sf_dir))
+    return found.join(metadata.issuing_organizations(blocks), "doc_id", "left").withColumn("organizations", F.coalesce("organizations", F.lit("")))
 
 
 def _written(spark) -> str:
-    """A new folder below the warehouse, which driver and executors share."""
-    return f"{spark.conf.get('spark.sql.warehouse.dir')}/lexspark-{uuid.uuid4().hex}"
+    """A folder of its own in the shared one; it goes with the session."""
+    return new_folder(spark, "written") + "/t"
 
 
 @query(f"WITH {Q.LINES}, {book_queries._BOOK} SELECT doc_id || '/' || chunk_id AS chunk_id, title, scope, content, 'local' AS analysis_mode, scope AS targets FROM chunks")

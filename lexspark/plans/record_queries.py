@@ -92,16 +92,18 @@ def capped_failures(spark, sf_dir):
 _R = {"pass": "true, \"confidence\": 0.9", "fail": "false, \"confidence\": 0.8", "warn": "false, \"confidence\": 0.35", "info": "false"}
 
 
-@query(f"""{_I} SELECT doc_id, rule_name AS rule_id, CASE WHEN status = 'fail' THEN 'fail' ELSE 'insufficient_context' END AS status,
-CASE WHEN status IN ('fail', 'warn', 'info') THEN '中度' ELSE '轻度' END AS severity, (CASE status WHEN 'fail' THEN 0.8 WHEN 'warn' THEN 0.35 WHEN 'info' THEN 0.0 ELSE 0.1 END)::DOUBLE AS confidence FROM i WHERE status <> 'pass'""")
+@query(f"""{_I} SELECT doc_id, rule_name AS rule_id, CASE WHEN status IN ('fail', 'llm_error') THEN 'fail' ELSE 'insufficient_context' END AS status,
+CASE WHEN status IN ('fail', 'warn', 'info') THEN '中度' ELSE '轻度' END AS severity, (CASE status WHEN 'fail' THEN 0.8 WHEN 'warn' THEN 0.35 WHEN 'info' THEN 0.0 ELSE 0.1 END)::DOUBLE AS confidence,
+CASE WHEN status IN ('fail', 'warn', 'info') THEN '未在文档中明确说明' WHEN status = 'llm_error' THEN 'LLM 审核异常：' || left('call ' || event_id || ' ' || repeat('x', (event_id % 400)::INT), 200) ELSE '无法解析 LLM 响应' END AS actual FROM i WHERE status <> 'pass'""")
 def judge_issues(spark, sf_dir):
-    """Answers in a fence, in running text, and unreadable ones."""
+    """Answers in a fence, in running text, unreadable ones, and calls that failed."""
     answer = F.lit("no answer")
     for s, body in _R.items():
         text = '{"pass": ' + body + "}"
         text = f"```json\n{text}\n```" if s == "fail" else f"I think {text} is it." if s == "warn" else text
         answer = F.when(F.col("status") == s, text).otherwise(answer)
-    return review.judge_issues(derived.issues(spark, sf_dir).select("doc_id", F.col("rule_name").alias("rule_id"), answer.alias("response")))
+    error = F.when(F.col("status") == "llm_error", F.concat(F.lit("call "), F.col("event_id").cast("string"), F.lit(" "), F.repeat(F.lit("x"), (F.col("event_id") % 400).cast("int"))))
+    return review.judge_issues(derived.issues(spark, sf_dir).select("doc_id", F.col("rule_name").alias("rule_id"), answer.alias("response"), error.alias("error")))
 
 
 def _facts(spark, sf_dir):
@@ -202,18 +204,73 @@ def fill_counts(spark, sf_dir):
     return metadata.fill_counts(metadata.records(derived.spans(spark, sf_dir))).select("doc_id", F.col("single").cast("long"), F.col("multi").cast("long"))
 
 
-@query(f"WITH {Q.LINES} SELECT doc_id, regexp_extract(text, 'GB/T [0-9]+-[0-9]{{4}}') AS number, regexp_extract(text, '代替(GB/T [0-9]+-[0-9]{{4}})', 1) AS replaced, '国家标准' AS hierarchy, '国家标准' AS category, '推荐性' AS nature FROM corpus")
+_CATEGORY = "CASE WHEN regexp_matches(number, '^GB') OR contains(hierarchy, '国家标准') THEN '国家标准' WHEN regexp_matches(number, '^DB[0-9]') OR contains(hierarchy, '地方标准') THEN '地方标准' WHEN number <> '' OR contains(hierarchy, '行业标准') THEN '行业标准' ELSE '其他' END"
+
+
+@query(f"WITH corpus AS ({derived.duck(derived.COVERS, 'pages')}), {Q.cover('corpus')} SELECT doc_id, number, replaced, ics, ccs, code, hierarchy FROM cover")
 def cover_fields(spark, sf_dir):
-    """What the cover says."""
-    rows = std_corpus(spark, sf_dir).withColumns(metadata.cover_fields(F.col("text")))
-    return rows.select("doc_id", "number", "replaced", "hierarchy", T.category(F.col("number"), F.col("hierarchy")).alias("category"), T.nature(F.col("number")).alias("nature"))
+    """What the text says of the cover: the first number that is not another standard's, and what stands beside it."""
+    rows = derived.covers(spark, sf_dir)
+    return rows.select("doc_id", *[c.alias(k) for k, c in metadata.cover_fields(F.col("text")).items()])
+
+
+@query(f"WITH {Q.LINES}, {Q.cover('corpus')} SELECT doc_id, number, replaced, hierarchy FROM cover")
+def corpus_covers(spark, sf_dir):
+    """F16, F22, over whole texts."""
+    fields = metadata.cover_fields(F.col("text"))
+    return std_corpus(spark, sf_dir).select("doc_id", *[fields[k].alias(k) for k in ("number", "replaced", "hierarchy")])
+
+
+_STEMS = "SELECT doc_id, lang, CASE doc_id % 5 WHEN 0 THEN source WHEN 1 THEN source WHEN 2 THEN source || '{0}' || (doc_id // 5 % 30) || '{1}' WHEN 3 THEN 'Größe' ELSE source || '_x' END AS stem FROM documents"
+
+
+def _unique_sql(lead: str, tail: str, first: int) -> str:
+    """Numbers that no name has, counted off one by one, instead of a gap search."""
+    name = f"stem || '{lead}' || n || '{tail}'"
+    return f"""WITH s AS ({_STEMS.format(lead, tail)}), r AS (SELECT *, row_number() OVER (PARTITION BY lang, stem ORDER BY doc_id) AS k FROM s),
+f AS (SELECT lang, stem, n, row_number() OVER (PARTITION BY lang, stem ORDER BY n) AS j FROM (SELECT DISTINCT lang, stem FROM r WHERE k > 1) d, unnest(range({first}, (SELECT max(k) FROM r) + 60)) AS u(n) WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.lang IS NOT DISTINCT FROM d.lang AND s.stem = d.{name}))
+SELECT doc_id, CASE WHEN k = 1 THEN r.stem ELSE r.{name} END AS unique_stem FROM r LEFT JOIN f ON f.lang IS NOT DISTINCT FROM r.lang AND f.stem = r.stem AND f.j = r.k - 1"""
+
 
+def _stems(spark, sf_dir, lead, tail):
+    return spark.sql(_STEMS.format(lead, tail).replace("//", "div").replace("documents", "{documents}"), documents=spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
-@query("""SELECT doc_id, CASE WHEN r = 1 THEN stem ELSE stem || '_' || r END AS unique_stem FROM (SELECT doc_id, stem, row_number() OVER (PARTITION BY source, stem ORDER BY doc_id) AS r FROM (SELECT doc_id, source, coalesce(nullif(trim(regexp_replace(trim(substr(coalesce(text, ''), 1, 4)), '[^A-Za-z0-9_.\\-\\x{4e00}-\\x{9fff}]+', '_', 'g'), '._'), ''), 'artifact') AS stem FROM documents))""")
+
+@query(_unique_sql("_", "", 2))
 def unique_names(spark, sf_dir):
-    """W10, F1."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", T.safe_name(F.substring(F.coalesce("text", F.lit("")), 1, 4)).alias("stem"))
-    return metadata.unique_names(docs, "source", "stem", "doc_id").select("doc_id", "unique_stem")
+    """The second and later of a name take numbers that no name has."""
+    return metadata.unique_names(_stems(spark, sf_dir, "_", ""), "lang", "stem", "doc_id").select("doc_id", "unique_stem")
+
+
+@query(_unique_sql("（", "）", 1))
+def unique_captions(spark, sf_dir):
+    """Names with the number in brackets."""
+    return metadata.unique_names(_stems(spark, sf_dir, "（", "）"), "lang", "stem", "doc_id", "%s（%d）", 1).select("doc_id", "unique_stem")
+
+
+@query("""WITH t AS (SELECT DISTINCT lang, format('{:03d}', (doc_id // 3 % 50)::INT) AS name FROM documents WHERE doc_id % 3 = 0), r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS k FROM documents WHERE doc_id % 3 <> 0),
+f AS (SELECT lang, format('{:03d}', n::INT) AS name, row_number() OVER (PARTITION BY lang ORDER BY n) AS k FROM (SELECT DISTINCT lang FROM r) d, unnest(range(1, (SELECT max(k) FROM r) + 60)) AS u(n) WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.lang = d.lang AND t.name = format('{:03d}', n::INT)))
+SELECT doc_id, name AS unique_stem FROM r JOIN f USING (lang, k)""")
+def numbered_names(spark, sf_dir):
+    """Running numbers beside names that are there already."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang")
+    taken = docs.where("doc_id % 3 = 0").select("lang", F.format_string("%03d", F.expr("doc_id div 3") % 50).alias("name"))
+    return metadata.numbered_names(docs.where("doc_id % 3 <> 0"), "lang", "doc_id", taken).select("doc_id", "unique_stem")
+
+
+@query("""SELECT doc_id, coalesce(nullif(trim(regexp_replace(trim(coalesce(text, '')), '[^A-Za-z0-9_.\\-\\x{4e00}-\\x{9fff}]+', '_', 'g'), '._'), ''), 'artifact') AS stem FROM documents""")
+def safe_names(spark, sf_dir):
+    """F1."""
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", T.safe_name(F.coalesce("text", F.lit(""))).alias("stem"))
+
+
+@query("""WITH n AS (SELECT doc_id, doc_id % 4 AS k FROM documents) SELECT doc_id, CASE k WHEN 0 THEN '国家标准' WHEN 1 THEN '地方标准' WHEN 2 THEN '行业标准' ELSE '' END AS category, CASE k WHEN 0 THEN '推荐性' ELSE '' END AS nature FROM n WHERE k < 3""")
+def number_categories(spark, sf_dir):
+    """category and nature by number."""
+    k = F.col("doc_id") % 4
+    number = F.when(k == 0, "GB/T 1-2020").when(k == 1, "DB11 2-2020").when(k == 2, "JB 3-2020")
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").where(k < 3).select("doc_id", number.alias("number"))
+    return rows.select("doc_id", T.category(F.col("number"), F.lit("")).alias("category"), T.nature(F.col("number")).alias("nature"))
 
 
 @query("""SELECT doc_id, sha256(coalesce(text, '')) AS sha256, strlen(coalesce(text, ''))::BIGINT AS size, strlen(coalesce(text, '')) <= 4000 AS eligible, 'text/markdown' AS mime, source LIKE '%secret%' AS sensitive FROM documents""")

@@ -87,3 +87,24 @@ def over_zones(query: str) -> str:
 
 def over_sections(query: str, *more: str) -> str:
     return f"WITH {', '.join([LINES, HEAD, SECTIONS, *more])} {query}"
+
+
+W = r"[\p{L}\p{N}_]"
+NUMBER = rf"(?i)(?:GB|GB/T|GB/Z|GH/T|NY/T|DB[0-9]{{2}}/T){B}*[\p{{L}}\p{{N}}_.-]+[-—][0-9]{{4}}"
+
+
+def cover(source: str, key: str = "doc_id") -> str:
+    """CTEs that end in ``cover`` (key, number, replaced, ics, ccs, code, hierarchy) of the texts of ``source``."""
+    number = "regexp_replace(regexp_replace({}, '[—–－]+', '-', 'g'), '^(?:代替|替代)\\x20*', '')".replace("\\\\", "\\")
+    sure = f"NOT regexp_matches(substr(text, greatest(1, pos - 20), pos - greatest(1, pos - 20) + length(hit) + 20), '代替|替代|相比|首次发布|被代替|废止') AND (pos = 1 OR NOT regexp_matches(substr(text, pos - 1, 1), '{W}')) AND NOT regexp_matches(substr(text, pos + length(hit), 1), '{W}')"
+    edge = lambda p: f"(?:^|[^\\p{{L}}\\p{{N}}_]){p}(?:$|[^\\p{{L}}\\p{{N}}_])".replace("\\\\", "\\")
+    pair = edge(f"([A-Z]){B}+([0-9]{{2}})")
+    return f"""cov0 AS (SELECT {key}, text, string_split_regex(text, '{NUMBER}') AS g, regexp_extract_all(text, '{NUMBER}') AS h FROM {source}),
+cov1 AS (SELECT {key}, text, i, h[i] AS hit, (1 + list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(h[1:i - 1], lambda x: length(x))), 0))::BIGINT AS pos FROM cov0, unnest(range(1, len(h) + 1)) AS u(i)),
+cov2 AS (SELECT {key}, arg_min(hit, i) AS hit FROM cov1 WHERE {sure} GROUP BY {key}),
+cov3 AS (SELECT c.{key}, {strip(number.format("coalesce(hit, '')"))} AS number, {strip(number.format(f"regexp_extract(text, '(?i)代替{B}*([A-Z]{{1,5}}/?T?{B}*[\\p{{L}}\\p{{N}}_.-]+[-—][0-9]{{4}})', 1)".replace(chr(92) * 2, chr(92))))} AS replaced,
+  regexp_extract(text, '{edge(f"(?i:ICS){B}*([0-9]{{2}}(?:[.][0-9]+){{0,2}})")}', 1) AS ics, replace(regexp_extract(text, '{edge(f"(?i:CCS){B}*((?i:[A-Z]){B}*[0-9]{{2}})")}', 1), ' ', '') AS ccs1,
+  CASE WHEN regexp_matches(text, '{edge(f"B{B}*31")}') THEN regexp_extract(text, '{pair}', 1) || regexp_extract(text, '{pair}', 2) ELSE '' END AS ccs2,
+  upper(regexp_extract(text, '(?i)(?:^|\\n){B}*(GB|GB/T|GB/Z|DB[0-9]{{2}}/T){B}*(?:\\n|$)', 1)) AS own_code,
+  CASE WHEN contains(text, '国家标准') THEN '国家标准' WHEN contains(text, '行业标准') THEN '行业标准' WHEN contains(text, '地方标准') THEN '地方标准' ELSE '' END AS hierarchy FROM {source} c LEFT JOIN cov2 ON c.{key} = cov2.{key}),
+cover AS (SELECT {key}, number, replaced, ics, CASE WHEN ccs1 <> '' THEN ccs1 WHEN regexp_matches(ccs2, '^[A-H]') THEN ccs2 ELSE '' END AS ccs, CASE WHEN own_code <> '' THEN own_code ELSE coalesce(string_split(string_split_regex(upper(number), '{B}+')[1], '/')[1], '') END AS code, hierarchy FROM cov3)""".replace("\\\\", "\\")

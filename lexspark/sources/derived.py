@@ -30,6 +30,32 @@ FROM {customer}
 """
 
 
+def _pick(of: str, values: list[str]) -> str:
+    """One of ``values`` by the number ``of``, in SQL that both engines read."""
+    cases = " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(values))
+    return f"CASE ({of}) % {len(values)} {cases} END"
+
+
+_PIECES = [f"'{x}'" for x in (
+    "GB/T 2-2020 ", "本标准代替 GB/T 15034—1994《导则》。", "本文件与GB/T 1-2000相比主要变化如下 ", "国家标准 ", "行业标准 ", "ICS 67.080.10 ", "CCS B 31 ", "B 31 ", "地方标准 DB11/T 30.2—2019 ",
+    "NY/T 5010-2016, ", "GH/T A-1.3—2001x ", "GB 7718-2011被代替 ", "很长的一段与编号无关的说明文字，足足超过二十个字才算数。",
+)] + ["chr(10) || 'GB/T' || chr(10)", "''"]
+_HEADERS = [f"'{x}'" for x in (
+    "ICS 67.080.10", "ICS 03.220", "国际标准分类 11", "B 31", "CCS X01", "GB", "DB/T", "中华人民共和国国家标准", "某某行业标准", "GB/T 15034—2009", "DB11/T 1.2-20", "代替 GB/T 15034—1994", "替代Q/X 1-88", "2009年", "  ", "no kind of header",
+)]
+#: Texts and header blocks of covers, put together by numbers, so that every kind meets every other at every place.
+COVERS = f"SELECT page_id AS doc_id, {' || '.join(_pick(f'page_id * {m} + page_id // {d} + {a}', _PIECES) for m, d, a in ((7, 3, 0), (4, 7, 3), (11, 5, 1), (2, 11, 8)))} AS text FROM {{pages}}"
+HEADERS = f"SELECT page_id AS doc_id, 0 AS page_idx, idx, CASE WHEN (page_id + idx) % 9 = 4 THEN 'footer' ELSE 'header' END AS type, CAST((idx * (page_id % 5 + 1) + page_id // 64) % 7 AS INT) AS index, {_pick('page_id * (2 * idx + 3) + page_id // 17 * idx + idx * idx', _HEADERS)} AS text FROM {{pages}} CROSS JOIN (SELECT CAST(n AS INT) AS idx FROM (SELECT 0 AS n UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5 UNION ALL SELECT 6) x) y"
+
+
+def covers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _view(spark, sf_dir, COVERS.replace("//", "div"), "pages")
+
+
+def headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _view(spark, sf_dir, HEADERS.replace("//", "div"), "pages")
+
+
 def _view(spark: SparkSession, sf_dir: str, sql: str, name: str) -> DataFrame:
     return spark.sql(sql.replace("VARCHAR(20)", "STRING"), **{name: spark.read.parquet(f"{sf_dir}/{name}.parquet")})
 

@@ -43,12 +43,12 @@ def read_layout(rows: DataFrame, json_col: str = "json") -> DataFrame:
 
 
 def header_blocks(rows: DataFrame, json_col: str = "layout") -> DataFrame:
-    """(doc_id, page_idx, idx, text): text of the discarded blocks of each page, their spans joined."""
-    schema = "struct<pdf_info:array<struct<page_idx:int,discarded_blocks:array<struct<type:string,lines:array<struct<spans:array<struct<content:string>>>>>>>>>"
+    """(doc_id, page_idx, idx, type, index, text): text of the discarded blocks of each page, their spans joined; ``index`` is the place that a block names."""
+    schema = "struct<pdf_info:array<struct<page_idx:int,discarded_blocks:array<struct<type:string,index:int,lines:array<struct<spans:array<struct<content:string>>>>>>>>>"
     pages = rows.select("doc_id", F.explode(F.from_json(json_col, schema)["pdf_info"]).alias("p"))
     blocks = pages.select("doc_id", "p.page_idx", F.posexplode("p.discarded_blocks").alias("idx", "b"))
     spans = F.flatten(F.transform("b.lines", lambda line: F.transform(line["spans"], lambda s: F.coalesce(s["content"], F.lit("")))))
-    return blocks.select("doc_id", "page_idx", "idx", T.strip(F.array_join(spans, "")).alias("text"))
+    return blocks.select("doc_id", "page_idx", "idx", "b.type", "b.index", T.strip(F.array_join(spans, "")).alias("text"))
 
 
 def explode_bundles(spark: SparkSession, path: str) -> DataFrame:

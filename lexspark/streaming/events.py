@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lexspark.operators import nested
 from lexspark.operators.records import artifacts_of
 
 COMMON = ("type", "trace_id", "component", "created_at", "job_id")
@@ -104,25 +105,23 @@ def stream_corpus(spark: SparkSession, path: str, schema: str = "path string, mo
     return raw.select(F.element_at(F.split("path", "/"), -1).alias("file_name"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
 
 
-def unwrap_messages(rows: DataFrame, depth: int = 4) -> DataFrame:
-    """(seq, message_id, tool, content): tool messages inside ``data`` (JSON), at most ``depth`` objects deep.
+def unwrap_messages(rows: DataFrame) -> DataFrame:
+    """(seq, message_id, tool, content): tool messages inside ``data`` (JSON), however deep.  A batch only: it walks level by level.
 
-    A message is an object's ``kwargs`` or ``lc_kwargs``, or an object that names a tool itself;
-    content that is not a JSON object, or the text of one, is dropped.
+    A message is an object's ``kwargs`` or ``lc_kwargs``, or an object with a type, name, content or id;
+    content that is not a JSON object, or the text of one, is dropped, and so is a message that names no tool.
     """
-    level = rows.select("seq", F.explode(F.array("data")).alias("o"))
-    found = None
-    for _ in range(depth):
-        level = level.where(F.try_parse_json("o").isNotNull())
-        inner = F.coalesce(F.get_json_object("o", "$.kwargs"), F.get_json_object("o", "$.lc_kwargs"), F.col("o"))
-        get = lambda c, k: F.get_json_object(c, f"$.{k}")
-        here = level.select("seq", inner.alias("m"))
-        tool = F.coalesce(get("m", "name"), get("m", "tool_name"), get("m", "additional_kwargs.name"), get("m", "additional_kwargs.tool_name"))
-        part = here.select("seq", get("m", "id").alias("message_id"), tool.alias("tool"), get("m", "content").alias("content")).where("tool is not null and ltrim(content) like '{%'").where(F.try_parse_json("content").isNotNull())
-        found = part if found is None else found.unionByName(part)
-        children = F.coalesce(F.from_json("o", "array<string>"), F.map_values(F.from_json("o", "map<string,string>")))
-        level = level.select("seq", F.explode(children).alias("o")).where("ltrim(o) like '{%' or ltrim(o) like '[%'")
-    return found.distinct()
+    get = lambda c, p, t="string": F.try_variant_get(c, f"$.{p}", t)
+    is_object = lambda v: nested.kind_of(v) == "object"
+    held = nested.objects(rows.select("seq", "data"))
+    kwargs, lc = get("object", "kwargs", "variant"), get("object", "lc_kwargs", "variant")
+    itself = F.when(get("object", "type", "variant").isNotNull() | get("object", "name", "variant").isNotNull() | get("object", "content", "variant").isNotNull() | get("object", "id", "variant").isNotNull(), F.col("object"))
+    found = held.select("seq", F.when(is_object(kwargs), kwargs).when(is_object(lc), lc).otherwise(itself).alias("m")).where("m is not null")
+    tool = F.coalesce(*[F.nullif(get("m", p), F.lit("")) for p in ("name", "tool_name", "additional_kwargs.name", "additional_kwargs.tool_name")])
+    content = get("m", "content", "variant")
+    content = F.when(is_object(content), content).otherwise(F.try_parse_json(get("m", "content")))
+    out = found.select("seq", get("m", "id").alias("message_id"), tool.alias("tool"), content.alias("c")).where("tool is not null and c is not null").where(is_object(F.col("c")))
+    return out.select("seq", "message_id", "tool", F.to_json("c").alias("content")).distinct()
 
 
 def progress_rows(counts: DataFrame, stage: str) -> DataFrame:
@@ -136,5 +135,6 @@ def progress_rows(counts: DataFrame, stage: str) -> DataFrame:
 def tool_events(results: DataFrame, spec: DataFrame) -> DataFrame:
     """(id, ord, event, virtual_path): for each finished tool (id, tool, result) an ``artifact.created`` for every artifact its result names, then ``tool.completed``."""
     made = artifacts_of(results, spec).withColumn("ord", F.row_number().over(Window.partitionBy("id").orderBy("type", "virtual_path")) - 1)
-    made = made.select("id", "ord", F.lit("artifact.created").alias("event"), "virtual_path")
-    return made.unionByName(results.select("id", F.lit(1).alias("ord"), F.lit("tool.completed").alias("event"), F.lit(None).cast("string").alias("virtual_path")))
+    ends = results.select("id").join(made.groupBy("id").agg(F.count(F.lit(1)).cast("int").alias("n")), "id", "left")
+    ends = ends.select("id", F.coalesce("n", F.lit(0)).alias("ord"), F.lit("tool.completed").alias("event"), F.lit(None).cast("string").alias("virtual_path"))
+    return made.select("id", "ord", F.lit("artifact.created").alias("event"), "virtual_path").unionByName(ends)
