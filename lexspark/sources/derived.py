@@ -68,6 +68,13 @@ def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _view(spark, sf_dir, PARTS, "events")
 
 
+def parts_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """:func:`parts` as a stream over the same table."""
+    path = f"{sf_dir}/events.parquet"
+    events = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf_dir}/event[s].parquet")  # a pattern: a path must be a folder
+    return spark.sql(PARTS.replace("VARCHAR(20)", "STRING"), events=events)
+
+
 def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _view(spark, sf_dir, SPANS, "customer")
 
