@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -159,33 +158,37 @@ def heading_facts(facts: DataFrame) -> DataFrame:
 def align_toc(toc: DataFrame, headings: DataFrame) -> DataFrame:
     """(doc_id, toc_idx, heading_idx): each contents row, in order, takes the first free heading that shares a bookmark with it, else one with its key, else with its title.
 
-    Bookmarks are looked at where both sides have an array ``bookmarks``.
+    Bookmarks are looked at where both sides have an array ``bookmarks``.  A document's headings are folded over its contents rows, inside the JVM:
+    what is carried along is the headings that are still free.  Contents rows without a heading, and headings that no row took, are rows too.
     """
-    marks = ["bookmarks"] if "bookmarks" in toc.columns and "bookmarks" in headings.columns else []
-
-    # own names on the right: both sides may come from the same table, whose columns a projection above could then confuse
-    right = headings.select(*[F.col(c).alias(f"h_{c}") for c in ("doc_id", "idx", "key", "title", *marks)])
-
-    def one(rows: pd.DataFrame, heads: pd.DataFrame) -> pd.DataFrame:
-        rows, heads = rows.sort_values("idx"), heads.sort_values("h_idx")
-        doc = rows["doc_id"].iloc[0] if len(rows) else heads["h_doc_id"].iloc[0]
-        free, out = dict.fromkeys(heads["h_idx"].tolist()), []
-        by_key, by_title, by_mark = {}, {}, {}
-        for i, held in zip(heads["h_idx"], heads["h_bookmarks"] if marks else ()):
-            for b in () if held is None else held:
-                by_mark.setdefault(b, []).append(i)
-        for i, k, t in zip(heads["h_idx"], heads["h_key"], heads["h_title"]):
-            by_key.setdefault(k, []).append(i)
-            by_title.setdefault(t, []).append(i)
-        for i, k, t, own in zip(rows["idx"], rows["key"], rows["title"], rows["bookmarks"] if marks else [None] * len(rows)):
-            shared = sorted(h for b in (() if own is None else own) for h in by_mark.get(b, []))
-            hit = next((h for h in [*shared, *by_key.get(k, []), *by_title.get(t, [])] if h in free), None)
-            free.pop(hit, None)
-            out.append((doc, i, hit))
-        out += [(doc, None, h) for h in free]
-        return pd.DataFrame(out, columns=["doc_id", "toc_idx", "heading_idx"])
-
-    return toc.select("doc_id", "idx", "key", "title", *marks).groupBy("doc_id").cogroup(right.groupBy("h_doc_id")).applyInPandas(one, "doc_id long, toc_idx int, heading_idx int")
+    marks = "bookmarks" in toc.columns and "bookmarks" in headings.columns
+    none = F.array().cast("array<string>")
+    name = lambda c: T.match_key(F.lit(""), c)
+
+    def row(names: DataFrame) -> Column:
+        held = F.coalesce(F.col("bookmarks"), none) if marks else none
+        return F.struct(F.col("idx"), F.coalesce("key", F.lit("")).alias("key"), F.coalesce(name(F.col("title")), F.lit("")).alias("title"), held.alias("marks"))
+
+    left = toc.groupBy("doc_id").agg(F.array_sort(F.collect_list(row(toc))).alias("_rows"))
+    right = headings.select(F.col("doc_id").alias("h_doc"), row(headings).alias("_h")).groupBy("h_doc").agg(F.array_sort(F.collect_list("_h")).alias("_heads"))
+    both = left.join(right, F.col("doc_id") == F.col("h_doc"), "full").select(F.coalesce("doc_id", "h_doc").alias("doc_id"), "_rows", "_heads")
+    empty = F.filter(F.coalesce("_heads", F.array()), lambda h: F.lit(False))
+    pair = "array<struct<toc_idx:int,heading_idx:int>>"
+
+    def step(s: Column, t: Column) -> Column:
+        first = lambda test: F.get(F.filter(s["free"], test), 0)["idx"]
+        hit = F.coalesce(
+            F.when(F.size(t["marks"]) > 0, first(lambda h: F.arrays_overlap(h["marks"], t["marks"]))),
+            F.when(t["key"] != "", first(lambda h: h["key"] == t["key"])),
+            F.when(t["title"] != "", first(lambda h: h["title"] == t["title"])),
+        )
+        free = F.when(hit.isNull(), s["free"]).otherwise(F.filter(s["free"], lambda h: h["idx"] != hit))
+        return F.struct(free.alias("free"), F.concat(s["out"], F.array(F.struct(t["idx"].alias("toc_idx"), hit.alias("heading_idx"))).cast(pair)).alias("out"))
+
+    start = F.struct(F.coalesce("_heads", empty).alias("free"), F.array().cast(pair).alias("out"))
+    done = both.select("doc_id", F.when(F.col("_rows").isNull(), start).otherwise(F.aggregate("_rows", start, step)).alias("s"))
+    left_over = F.transform("s.free", lambda h: F.struct(F.lit(None).cast("int").alias("toc_idx"), h["idx"].alias("heading_idx"))).cast(pair)
+    return done.select("doc_id", F.explode(F.concat("s.out", left_over)).alias("p")).select("doc_id", "p.*")
 
 
 def page_estimate(rows: DataFrame, break_col: str = "is_break", table_col: str = "in_table") -> DataFrame:

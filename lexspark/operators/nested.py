@@ -19,6 +19,10 @@ def kind_of(value: Column) -> Column:
     return F.when(schema.startswith("OBJECT"), "object").when(schema.startswith("ARRAY"), "array").when(schema == "STRING", "string").otherwise("other")
 
 
+def is_object(value: Column) -> Column:
+    return F.schema_of_variant(value).startswith("OBJECT")
+
+
 def entries(rows: DataFrame, value: str) -> DataFrame:
     """``rows`` with (pos, key, value): one row an entry of the object or array in ``value``; key is null in an array."""
     held = rows.withColumnRenamed(value, "_value")
@@ -36,15 +40,17 @@ def objects(rows: DataFrame, json_col: str = "data") -> DataFrame:
     A job goes ``STEP`` levels down and writes what it found and what is still to be looked into, until nothing is.  What is no JSON has
     no objects.
     """
-    level = rows.withColumn("object", F.try_parse_json(F.col(json_col))).drop(json_col).where("object is not null")
+    # written first: a filter that meets a parsed column in one plan would parse again
+    level = cut(rows.withColumn("object", F.try_parse_json(F.col(json_col))).drop(json_col)).where("object is not null")
     found = None
     while True:
         reached = []
         for _ in range(STEP):
-            reached.append(level.where(kind_of(F.col("object")) == "object").withColumn("_open", F.lit(False)))
-            level = entries(level.where(kind_of(F.col("object")).isin("object", "array")), "object").drop("pos", "key").withColumnRenamed("value", "object")
-            level = level.where(kind_of(F.col("object")).isin("object", "array"))
-        held = cut(reduce(DataFrame.unionByName, [*reached, level.withColumn("_open", F.lit(True))]))
+            reached.append(level.where(is_object(F.col("object"))).withColumn("_open", F.lit(False)))
+            # what is neither object nor array has no entries
+            level = entries(level, "object").drop("pos", "key").withColumnRenamed("value", "object")
+        rest = level.where(kind_of(F.col("object")).isin("object", "array")).withColumn("_open", F.lit(True))
+        held = cut(reduce(DataFrame.unionByName, [*reached, rest]))
         here, level = held.where("not _open").drop("_open"), held.where("_open").drop("_open")
         found = here if found is None else found.unionByName(here)
         if level.isEmpty():

@@ -164,9 +164,35 @@ def format_issues(spark, sf_dir):
     return audit.format_issues(facts, std_corpus(spark, sf_dir))
 
 
-@query()
+def _marks(x: str) -> str:
+    """A title without marks, white space and punctuation."""
+    return Q.sub(Q.sub(x, r"^#+[\x09-\x0D\x20]*"), Q.B[:-1] + "（）()【】《》\"'：:，,。；;\\-—/、]")
+
+
+def _split_number(text: str) -> str:
+    """SQL columns number, name and key of a heading's text."""
+    held = Q.squeeze(text)
+    number = f"CASE WHEN regexp_matches({held}, '^[0-9]+(?:[.][0-9]+)*[.]? +.+$') THEN regexp_extract({held}, '^([0-9]+(?:[.][0-9]+)*)[.]? +.+$', 1) ELSE regexp_extract({held}, '^([0-9]+(?:[.][0-9]+)+)[^0-9].+$', 1) END"
+    return f"{number} AS num, {held} AS held"
+
+
+_ALIGN = f"""e0 AS (SELECT doc_id, idx, {Q.squeeze('text_excerpt')} AS x FROM facts WHERE role = 'toc_entry'),
+e1 AS (SELECT doc_id, idx, x, CASE WHEN regexp_matches(x, '(?i)^.+?[ .]*(?:[.]{{2,}}| )(?:[IVXLCM]+|[0-9]+)$') THEN trim(regexp_extract(x, '(?i)^(.+?) *(?:[.]{{2,}}| )(?:[IVXLCM]+|[0-9]+)$', 1)) WHEN regexp_matches(x, '(?i)^.+?(?:[IVXLCM]+|[0-9]+)$') THEN trim(regexp_extract(x, '(?i)^(.+?)(?:[IVXLCM]+|[0-9]+)$', 1)) ELSE x END AS t FROM e0),
+e2 AS (SELECT doc_id, idx, {_split_number('t')} FROM e1),
+g2 AS (SELECT doc_id, idx, {_split_number("coalesce(nullif(CASE WHEN role <> 'paragraph' THEN h END, ''), text_excerpt)")} FROM facts WHERE role IN ('chapter', 'clause', 'front_title', 'appendix_title') AND NOT (role = 'clause' AND scope = 'terms_definitions')),
+e3 AS (SELECT doc_id, idx, num, CASE WHEN num = '' THEN held ELSE trim(regexp_replace(substr(held, length(num) + 1), '^[.]? ', '')) END AS name FROM e2), g3 AS (SELECT doc_id, idx, num, CASE WHEN num = '' THEN held ELSE trim(regexp_replace(substr(held, length(num) + 1), '^[.]? ', '')) END AS name FROM g2),
+e4 AS (SELECT doc_id, idx, CASE WHEN num <> '' THEN num || '|' ELSE '' END || {_marks('name')} AS key, {_marks('name')} AS title FROM e3 WHERE {_marks('name')} NOT IN ('目次', '目录')),
+g4 AS (SELECT doc_id, idx, CASE WHEN num <> '' THEN num || '|' ELSE '' END || {_marks('name')} AS key, {_marks('name')} AS title FROM g3),
+t AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY idx) AS n FROM e4),
+hs AS (SELECT doc_id, list({{'idx': idx, 'key': key, 'title': title}} ORDER BY idx) AS free FROM g4 GROUP BY doc_id),
+r AS (SELECT doc_id, 0::BIGINT AS n, NULL::INT AS toc_idx, NULL::INT AS heading_idx, coalesce(free, []) AS free FROM (SELECT DISTINCT doc_id FROM facts) LEFT JOIN hs USING (doc_id)
+  UNION ALL SELECT doc_id, n, idx, hit, list_filter(free, lambda h: hit IS NULL OR h.idx <> hit) FROM (SELECT t.doc_id, t.n, t.idx, r.free, coalesce(CASE WHEN t.key <> '' THEN list_filter(r.free, lambda h: h.key = t.key)[1].idx END, CASE WHEN t.title <> '' THEN list_filter(r.free, lambda h: h.title = t.title)[1].idx END) AS hit FROM r JOIN t ON t.doc_id = r.doc_id AND t.n = r.n + 1))
+SELECT doc_id, toc_idx, heading_idx FROM r WHERE n > 0 UNION ALL SELECT doc_id, NULL, unnest(free).idx FROM (SELECT doc_id, arg_max(free, n) AS free FROM r GROUP BY doc_id)"""
+
+
+@query(_over_facts("").replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + ", " + _ALIGN)
 def toc_alignment(spark, sf_dir):
-    """Contents rows with their headings, and what is left over on either side."""
+    """Contents rows with their headings, and what is left over on either side; the SQL carries the free headings from row to row."""
     f = _facts(spark, sf_dir)
     return audit.align_toc(audit.toc_entries(f), audit.heading_facts(f))
 

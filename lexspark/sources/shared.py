@@ -42,6 +42,19 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(hadoop, True)
 
 
+def numbered_folders(spark: SparkSession, path: str, kind: str) -> list[int]:
+    """Numbers n of the folders ``kind=n`` below ``path`` that were written to their end, in order."""
+    fs, hadoop = file_system(spark, path)
+    if not fs.exists(hadoop):
+        return []
+    out = []
+    for status in fs.listStatus(hadoop):
+        name = status.getPath().getName()
+        if name.startswith(f"{kind}=") and fs.exists(file_system(spark, f"{path}/{name}/_SUCCESS")[1]):
+            out.append(int(name.split("=")[1]))
+    return sorted(out)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write the rows to the shared folder and go on from there: lineage and size estimates start anew, and lost executors cost no recomputation."""
     path = f"{new_folder(df.sparkSession, 'cut')}/t"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexspark.operators import nested
 from lexspark.operators.records import artifacts_of
+from lexspark.sources.shared import cut
 
 COMMON = ("type", "trace_id", "component", "created_at", "job_id")
 #: (node, status) -> type.  Fixed values.
@@ -112,11 +113,11 @@ def unwrap_messages(rows: DataFrame) -> DataFrame:
     content that is not a JSON object, or the text of one, is dropped, and so is a message that names no tool.
     """
     get = lambda c, p, t="string": F.try_variant_get(c, f"$.{p}", t)
-    is_object = lambda v: nested.kind_of(v) == "object"
+    is_object = nested.is_object
     held = nested.objects(rows.select("seq", "data"))
     kwargs, lc = get("object", "kwargs", "variant"), get("object", "lc_kwargs", "variant")
-    itself = F.when(get("object", "type", "variant").isNotNull() | get("object", "name", "variant").isNotNull() | get("object", "content", "variant").isNotNull() | get("object", "id", "variant").isNotNull(), F.col("object"))
-    found = held.select("seq", F.when(is_object(kwargs), kwargs).when(is_object(lc), lc).otherwise(itself).alias("m")).where("m is not null")
+    itself = F.when(F.coalesce(*[get("object", k, "variant") for k in ("type", "name", "content", "id")]).isNotNull(), F.col("object"))
+    found = cut(held.select("seq", F.when(is_object(kwargs), kwargs).when(is_object(lc), lc).otherwise(itself).alias("m"))).where("m is not null")
     tool = F.coalesce(*[F.nullif(get("m", p), F.lit("")) for p in ("name", "tool_name", "additional_kwargs.name", "additional_kwargs.tool_name")])
     content = get("m", "content", "variant")
     content = F.when(is_object(content), content).otherwise(F.try_parse_json(get("m", "content")))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
-from lexspark.sources.shared import file_system, remove
+from lexspark.sources.shared import numbered_folders, remove
 
 RUN = "run_id long, state string, n_events long, artifacts array<string>, version long"
 FAILED, ENDED = ("error", "errors"), "end"
@@ -106,26 +106,13 @@ def upsert(rows: DataFrame, path: str, checkpoint: str, partial: Callable[[DataF
     return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _folders(spark: SparkSession, path: str, kind: str) -> list[int]:
-    """Numbers of the complete folders of a kind, in order."""
-    fs, hadoop = file_system(spark, path)
-    if not fs.exists(hadoop):
-        return []
-    out = []
-    for status in fs.listStatus(hadoop):
-        name = status.getPath().getName()
-        if name.startswith(f"{kind}=") and fs.exists(file_system(spark, f"{path}/{name}/_SUCCESS")[1]):
-            out.append(int(name.split("=")[1]))
-    return sorted(out)
-
-
 def _base(spark: SparkSession, path: str) -> int:
-    return max(_folders(spark, path, "base"), default=-1)
+    return max(numbered_folders(spark, path, "base"), default=-1)
 
 
 def _parts(spark: SparkSession, path: str) -> list[str]:
     base = _base(spark, path)
-    return ([f"{path}/base={base}"] if base >= 0 else []) + [f"{path}/batch={n}" for n in _folders(spark, path, "batch") if n > base]
+    return ([f"{path}/base={base}"] if base >= 0 else []) + [f"{path}/batch={n}" for n in numbered_folders(spark, path, "batch") if n > base]
 
 
 def current(spark: SparkSession, path: str, merge: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -137,7 +124,7 @@ def merge_parts(spark: SparkSession, path: str, merge: Callable[[DataFrame], Dat
     """Replace all parts up to batch ``upto`` by one base; what is interrupted leaves the parts as they were."""
     current(spark, path, merge).write.mode("overwrite").parquet(f"{path}/base={upto}")
     for kind in ("base", "batch"):
-        for n in _folders(spark, path, kind):
+        for n in numbered_folders(spark, path, kind):
             if n < upto or (kind == "batch" and n == upto):
                 remove(spark, f"{path}/{kind}={n}")
 
