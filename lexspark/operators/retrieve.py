@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexspark.sources.shared import cut
+
 
 def tokens(c: Column) -> Column:
     """Word runs in lower case, as an array."""
@@ -35,11 +37,67 @@ def cosine_search(queries: DataFrame, index: DataFrame) -> DataFrame:
     return pairs.groupBy("query_id", "id").agg(F.round(F.sum(F.col("qw") * F.col("w")), 6).alias("score"))
 
 
+#: Scores are compared after rounding to six digits, so a bound must be below the threshold by more than that.
+SLACK = 2e-6
+
+
+def bounded_scores(queries: DataFrame, index: DataFrame, k: int, seeds: int = 4) -> DataFrame:
+    """(query_id, id, score) of every pair that can be among a query's ``k`` best, and perhaps of some that can't: :func:`top_k` of it is that of :func:`cosine_search`.
+
+    1.  A term adds at most ``qw`` times its largest weight in the index.
+    2.  A first threshold: the rarest terms of a query, as many as have about ``seeds * k`` postings together, give rows that are scored in full; the k-th
+        best of them is a score that k rows reach.
+    3.  Terms whose part of the query is shorter than the threshold can't make a row one of the best alone.  Only the postings of the other
+        terms are read; the longest lists, those of common words, are left out first.
+    4.  A row whose score over those terms, with all that the terms left out could add to what is left of its length, stays below the
+        threshold is dropped; the rest is scored in full.
+
+    Tables are written between the steps, as each is used twice.
+    """
+    q = queries.select(F.col("id").alias("query_id"), "term", F.col("w").alias("qw"))
+    terms = index.groupBy("term").agg(F.max("w").alias("_most"), F.count(F.lit(1)).alias("_df"))
+    q = cut(q.join(terms, "term").withColumn("_bound", F.col("qw") * F.col("_most")))
+    index = cut(index)
+
+    rare = Window.partitionBy("query_id").orderBy("_df", "term").rowsBetween(Window.unboundedPreceding, -1)
+    first = q.withColumn("_before", F.coalesce(F.sum("_df").over(rare), F.lit(0))).where(F.col("_before") < seeds * k)
+    some = first.select("query_id", "term").join(index.select("id", "term"), "term").select("query_id", "id").distinct()
+    full = q.select("query_id", "term", "qw").join(some, "query_id").join(index, ["id", "term"]).groupBy("query_id", "id").agg(F.sum(F.col("qw") * F.col("w")).alias("_s"))
+    best = full.withColumn("_r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("_s")))).where(F.col("_r") == k).select("query_id", (F.col("_s") - SLACK).alias("_need"))
+
+    # an index vector is at most 1 long, so terms left out add at most the length of the query's part: the most postings for the least length go
+    least = Window.partitionBy("query_id").orderBy(F.col("qw") * F.col("qw") / F.col("_df"), "term").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    q = q.join(best, "query_id", "left").withColumn("_need", F.coalesce("_need", F.lit(0.0))).withColumn("_length", F.sqrt(F.sum(F.col("qw") * F.col("qw")).over(least)))
+    q = cut(q.select("query_id", "term", "qw", "_need", "_bound", (F.col("_length") >= F.col("_need")).alias("_read")))
+    rest = q.where("not _read").groupBy("query_id").agg(F.sum("_bound").alias("_rest"), F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("_long"))
+    part = q.where("_read").join(index, "term").groupBy("query_id", "id").agg(F.sum(F.col("qw") * F.col("w")).alias("_part"), F.sum(F.col("w") * F.col("w")).alias("_used"), F.first("_need").alias("_need"))
+    at_most = F.least(F.coalesce("_rest", F.lit(0.0)), F.coalesce("_long", F.lit(0.0)) * F.sqrt(F.greatest(F.lit(0.0), 1 - F.col("_used"))))
+    alive = cut(part.join(rest, "query_id", "left").where(F.col("_part") + at_most >= F.col("_need") - SLACK).select("query_id", "id", "_part"))
+    more = alive.select("query_id", "id").join(q.where("not _read").select("query_id", "term", "qw"), "query_id").join(index, ["id", "term"])
+    more = more.groupBy("query_id", "id").agg(F.sum(F.col("qw") * F.col("w")).alias("_more"))
+    return alive.join(more, ["query_id", "id"], "left").select("query_id", "id", F.round(F.col("_part") + F.coalesce("_more", F.lit(0.0)), 6).alias("score"))
+
+
 def top_k(scored: DataFrame, k: int, by: str = "query_id") -> DataFrame:
     order = Window.partitionBy(by).orderBy(F.desc("score"), "id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def search(queries: DataFrame, index: DataFrame, k: int) -> DataFrame:
+    """The ``k`` best rows of each query."""
+    return top_k(bounded_scores(queries, index, k), k)
+
+
+def search_post_filter(queries: DataFrame, index: DataFrame, keep: Column, k: int, over: int = 3) -> DataFrame:
+    """The best ``over * k`` of all, then those that match, then k."""
+    return post_filter(bounded_scores(queries, index, over * k), keep, k, over)
+
+
+def search_pre_filter(queries: DataFrame, index: DataFrame, keep: Column, k: int) -> DataFrame:
+    """Those that match, then k, then those with a score above zero; the threshold is one of rows that match."""
+    return pre_filter(bounded_scores(queries, index.where(keep), k), F.lit(True), k)
+
+
 def post_filter(scored: DataFrame, keep: Column, k: int, over: int = 3) -> DataFrame:
     """The best ``over * k`` of all, then those that match, then k."""
     return top_k(top_k(scored, over * k).where(keep).drop("rank"), k)

@@ -195,34 +195,35 @@ def inverse_frequencies(spark, sf_dir):
     return _index(spark, sf_dir)[1].select("term", "df", F.round("idf", 6).alias("idf"))
 
 
-def _scored(spark, sf_dir):
+def _asked(spark, sf_dir):
+    """The stated query set and the whole index, as vectors."""
     post, weights = _index(spark, sf_dir)
-    ask = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id % 20 = 0")  # the stated query set, against all rows
-    return R.cosine_search(R.tfidf(R.postings(ask, "doc_id", "text"), weights), R.tfidf(post, weights))
+    ask = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id % 20 = 0")
+    return R.tfidf(R.postings(ask, "doc_id", "text"), weights), R.tfidf(post, weights)
 
 
 @query(f"WITH {_TFIDF}, {_INDEX} SELECT query_id, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM score) WHERE rank <= 8")
 def cosine_top_k(spark, sf_dir):
     """R4, R5, L1, W3."""
-    return R.top_k(_scored(spark, sf_dir), 8)
+    return R.search(*_asked(spark, sf_dir), 8)
 
 
 @query(f"WITH {_TFIDF}, {_INDEX}, a AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM score), b AS (SELECT * FROM a WHERE r <= 24 AND id % 3 = 0) SELECT query_id, id, score, rank FROM (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM b) WHERE rank <= 8")
 def search_post_filter(spark, sf_dir):
     """Over-fetch, then match, then k."""
-    return R.post_filter(_scored(spark, sf_dir), F.col("id") % 3 == 0, 8)
+    return R.search_post_filter(*_asked(spark, sf_dir), F.col("id") % 3 == 0, 8)
 
 
 @query(f"WITH {_TFIDF}, {_INDEX}, b AS (SELECT * FROM score WHERE id % 3 = 0) SELECT query_id, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM b) WHERE rank <= 8 AND score > 0")
 def search_pre_filter(spark, sf_dir):
     """Match, then k, then scores above zero."""
-    return R.pre_filter(_scored(spark, sf_dir), F.col("id") % 3 == 0, 8)
+    return R.search_pre_filter(*_asked(spark, sf_dir), F.col("id") % 3 == 0, 8)
 
 
 @query(f"WITH {_TFIDF}, {_INDEX}, a AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM score) SELECT query_id, string_agg(id::VARCHAR, ',' ORDER BY r) AS ids, count(*) AS n FROM a WHERE r <= 8 GROUP BY query_id")
 def retrieval_trace(spark, sf_dir):
     """Ids that each query got."""
-    top = R.top_k(_scored(spark, sf_dir), 8)
+    top = R.search(*_asked(spark, sf_dir), 8)
     return top.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"].cast("string")), ",").alias("ids"), F.count(F.lit(1)).alias("n"))
 
 
