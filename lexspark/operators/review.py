@@ -180,11 +180,11 @@ def windows(text: Column, size: int = 2200) -> Column:
     return F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.length(text) - 1) / size)).cast("int")), lambda i: F.substring(text, i * size + 1, F.lit(size)))
 
 
-def run_review(docs: DataFrame, scopes: DataFrame, rules: DataFrame, max_rounds: int = 2, judge=None, budget: int = 2200) -> DataFrame:
+def run_review(docs: DataFrame, scopes: DataFrame, rules: DataFrame, max_rounds: int = 2, judge=None, budget: int = 2200, whole_chars: int = 3600) -> DataFrame:
     """(doc_id, rule_id, status, round): a first round by scope; documents left with missing context are judged again with their whole text.
 
-    What is judged by ``window``, and every text of a later round, is read in consecutive windows of ``budget`` characters; a rule fails if
-    it fails in any.  Otherwise the judge reads the first ``budget`` characters of the scope, which is the rule's local context.
+    What is judged by ``window``, every text of a later round, and any text longer than ``whole_chars`` is read in consecutive windows of ``budget``
+    characters; a rule fails if it fails in any.  Shorter texts are read whole, in one piece.
     ``max_rounds`` bounds the loop; each round is one more branch of the plan.
     """
     whole = scopes.where("scope <> 'end'").groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_list(F.struct("scope", "text"))).getField("text"), "\n\n").alias("_all"))
@@ -199,7 +199,7 @@ def run_review(docs: DataFrame, scopes: DataFrame, rules: DataFrame, max_rounds:
         plan = plan.withColumn("_text", F.coalesce("_text", F.lit("")))
         plan = plan.withColumn("strategy", strategy(F.col("analysis_mode"), F.length("_text"))).where("strategy <> 'skip'")
         parts = windows(F.col("_text"), budget)
-        plan = plan.withColumn("_part", F.explode(parts if i > 1 else F.when(F.col("strategy") == "window", parts).otherwise(F.array(F.substring("_text", 1, budget)))))
+        plan = plan.withColumn("_part", F.explode(parts if i > 1 else F.when((F.col("strategy") == "window") | (F.length("_text") > whole_chars), parts).otherwise(F.array("_text"))))
         plan = plan.withColumn("prompt", prompt(F.col("strategy"), F.col("title"), F.col("content"), F.col("_part")))
         found = judged(plan.select("doc_id", "chunk_id", "strategy", "prompt"), judge)
         found = found.groupBy("doc_id", "rule_id").agg(F.when(F.bool_or(F.col("status") == "fail"), "fail").otherwise("insufficient_context").alias("status")).withColumn("round", F.lit(i))

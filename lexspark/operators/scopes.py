@@ -120,17 +120,21 @@ def positional_cosine(q: Column, d: Column) -> Column:
 
 
 def context_units(plans: DataFrame, units: DataFrame, limit: int = 2200) -> DataFrame:
-    """The units that :func:`build_context` takes for each (doc_id, chunk_id), with ``_best``: 0 a target, 1 front matter, 2 end matter, 3 the first unit."""
+    """The units that :func:`build_context` takes for each (doc_id, chunk_id), with ``_best``: 0 a target, 1 front matter, 2 end matter, 3 the first unit.
+
+    ``units`` may have ``chars``, the length of a unit's text (0 for a blank one), instead of the text.
+    """
+    sized = "chars" in units.columns
     body = F.array(*[F.lit(s) for s in T.BODY_SCOPES])
     wants_body = F.arrays_overlap("targets", body) | F.array_contains("targets", "body")
-    met = plans.select("doc_id", "chunk_id", "targets").join(units.where(T.strip(F.col("text")) != ""), "doc_id")
+    met = plans.select("doc_id", "chunk_id", "targets").join(units.where(F.col("chars") > 0 if sized else T.strip(F.col("text")) != ""), "doc_id")
     tier = F.when(F.array_contains("targets", F.col("scope")) | (F.col("scope").isin(*T.BODY_SCOPES) & wants_body), 0).when(F.col("scope").isin("foreword", "introduction"), 1).when(F.col("scope").isin(*T.END_SCOPES, "end"), 2).otherwise(3)
     met = met.withColumn("_tier", tier)
     met = met.withColumn("_best", F.min("_tier").over(Window.partitionBy("doc_id", "chunk_id")))
     kept = met.where("_tier = _best")
     w = Window.partitionBy("doc_id", "chunk_id").orderBy("ord")
     run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    n = F.length("text")
+    n = F.col("chars") if sized else F.length("text")
     kept = kept.withColumn("_i", F.row_number().over(w)).withColumn("_sum", F.sum(n).over(run))
     over = F.when(F.col("_best") == 0, (F.col("_sum") > limit) & (F.col("_i") > 1)).when(F.col("_best") == 3, F.col("_i") > 1).otherwise((F.col("_sum") - n > limit))
     return kept.withColumn("_over", F.max(over.cast("int")).over(run)).where("_over = 0").drop("_over", "_i", "_sum", "_tier")

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lexspark.functions import text as T
-from lexspark.operators import audit, images, metadata, nested, numbering, records, rulebook, scopes
+from lexspark.operators import audit, full_review, images, metadata, nested, numbering, records, rulebook, scopes
 from lexspark.operators import retrieve as R
 from lexspark.operators import segment as S
 from lexspark.plans import book_queries, record_queries
@@ -117,6 +117,28 @@ def scope_rules(spark, sf_dir):
     return scopes.retrieve_rules(held, _hits(spark), rules(spark), 8)
 
 
+_PICKS = f"""{_SEARCH}, top AS (SELECT * FROM (SELECT h.scope, h.chunk_id, row_number() OVER (PARTITION BY h.scope ORDER BY score DESC, h.chunk_id) AS rank FROM hits h JOIN rules r USING (chunk_id) WHERE r.analysis_mode <> 'full_document' AND ({_FITS})) WHERE rank <= 8),
+wide AS (SELECT DISTINCT h.chunk_id FROM (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY score DESC, chunk_id) AS rank FROM hits WHERE scope IN ({', '.join(repr(s) for s in scopes.WIDENED)})) h JOIN rules r USING (chunk_id) WHERE rank <= 8 AND r.analysis_mode <> 'full_document' AND ({_FITS})),
+pick1 AS (SELECT DISTINCT s.doc_id, t.chunk_id FROM scopes s JOIN top t USING (scope) UNION SELECT doc_id, chunk_id FROM corpus, rules WHERE analysis_mode = 'full_document'),
+un AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY o) AS ord, scope, length(coalesce(nullif(heading, ''), scope)) AS t, length(text) AS n FROM (SELECT doc_id, CASE scope WHEN 'cover' THEN -2 ELSE -1 END AS o, scope, scope AS heading, text FROM scopes WHERE scope IN ('cover', 'toc') UNION ALL SELECT doc_id, ord, scope, heading, text FROM sections)),
+met AS (SELECT u.*, w.chunk_id, CASE WHEN list_contains(targets, scope) OR (scope IN ({Q.BODY}) AND (list_has_any(targets, [{Q.BODY}]) OR list_contains(targets, 'body'))) THEN 0 WHEN scope IN ('foreword', 'introduction') THEN 1 WHEN scope IN ({Q.END}, 'end') THEN 2 ELSE 3 END AS tier FROM un u, (SELECT chunk_id, CASE WHEN targets = '' THEN []::VARCHAR[] ELSE string_split(targets, ',') END AS targets FROM rules) w),
+taken AS (SELECT *, max((CASE WHEN tier = 0 THEN total > 2200 AND i > 1 WHEN tier = 3 THEN i > 1 ELSE total - n > 2200 END)::INT) OVER (PARTITION BY doc_id, chunk_id ORDER BY ord ROWS UNBOUNDED PRECEDING) AS over FROM (
+    SELECT *, sum(n) OVER (PARTITION BY doc_id, chunk_id ORDER BY ord ROWS UNBOUNDED PRECEDING) AS total, row_number() OVER (PARTITION BY doc_id, chunk_id ORDER BY ord) AS i FROM (SELECT *, min(tier) OVER (PARTITION BY doc_id, chunk_id) AS best FROM met) WHERE tier = best)),
+ctx AS (SELECT doc_id, chunk_id, CASE WHEN max(tier) = 3 THEN least(max(n), 2200) ELSE sum(n + t + 4) + 2 * (count(*) - 1) END AS len FROM taken WHERE over = 0 GROUP BY ALL),
+how AS (SELECT c.doc_id, r.chunk_id, r.scope, CASE WHEN analysis_mode IN ('full_document', 'cross_section') THEN analysis_mode WHEN analysis_mode = 'deterministic' OR coalesce(len, 0) < 40 THEN 'skip' WHEN analysis_mode = 'local' AND len > 3600 THEN 'window' ELSE 'single' END AS strategy FROM corpus c CROSS JOIN rules r LEFT JOIN ctx ON ctx.doc_id = c.doc_id AND ctx.chunk_id = r.chunk_id),
+one AS (SELECT h.* FROM how h JOIN pick1 p ON p.doc_id = h.doc_id AND p.chunk_id = h.chunk_id WHERE strategy <> 'skip'),
+two AS (SELECT h.* FROM how h JOIN (SELECT DISTINCT doc_id FROM one) d USING (doc_id) WHERE strategy <> 'skip' AND (chunk_id IN (SELECT chunk_id FROM wide) OR chunk_id IN (SELECT chunk_id FROM rules WHERE analysis_mode = 'full_document'))),
+need AS (SELECT p.doc_id, u.s AS scope, arg_min(r.chunk_id, r.ord) AS chunk_id FROM pick1 p JOIN rules r USING (chunk_id), LATERAL (SELECT unnest(CASE WHEN targets = '' THEN [scope] ELSE string_split(targets, ',') END) AS s) u GROUP BY ALL)"""
+
+
+@query(Q.over_sections("SELECT doc_id, chunk_id AS rule_id, scope, 'insufficient_context' AS status, strategy, 1::INT AS round FROM one UNION ALL SELECT doc_id, chunk_id, scope, 'insufficient_context', strategy, 2 FROM two UNION ALL SELECT doc_id, chunk_id, scope, 'warn', 'scope_coverage', 1 FROM need WHERE NOT EXISTS (SELECT 1 FROM scopes s WHERE s.doc_id = need.doc_id AND s.scope = need.scope)", _PICKS))
+def full_reviews(spark, sf_dir):
+    """A review from documents to issues: retrieved rules, contexts chosen by length, judged offline, coverage, a widened second round."""
+    zoned = _zoned(spark, sf_dir)
+    found = full_review.full_review(S.units(zoned), S.held_scopes(zoned), rules(spark), _hits(spark))
+    return found.select("doc_id", "rule_id", "scope", "status", "strategy", "round")
+
+
 @query(f"WITH {Q.LINES}, rules AS ({Q.RULES}) SELECT doc_id, chunk_id, 'full_document' AS matched_scope FROM corpus, rules WHERE analysis_mode = 'full_document'")
 def document_rules(spark, sf_dir):
     """Rules of the whole document."""
