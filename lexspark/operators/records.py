@@ -18,7 +18,7 @@ def _fits(value: Column, kind: DataType, path: str) -> Column:
     if isinstance(kind, ArrayType):
         inner = value.try_cast("array<variant>")
         if isinstance(kind.elementType, (ArrayType, StructType, MapType)):
-            deeper = F.flatten(F.transform(inner, lambda v, i: F.transform(_fits(v, kind.elementType, ""), lambda p: F.concat(F.lit(f"{path}["), i.cast("string"), F.lit("]"), p))))
+            deeper = F.flatten(F.transform(inner, lambda v, i: F.transform(_fits(v, kind.elementType, ""), lambda p: F.concat(F.lit(f"{path}["), i.cast("string"), F.lit("]"), _below(p)))))
         else:
             bad = F.filter(F.transform(inner, lambda v, i: F.when(_wrong(v, kind.elementType), i)), lambda i: i.isNotNull())
             deeper = F.transform(bad, lambda i: F.concat(F.lit(f"{path}["), i.cast("string"), F.lit("]")))
@@ -35,6 +35,11 @@ def _fits(value: Column, kind: DataType, path: str) -> Column:
     return F.when(_wrong(value, kind), F.array(F.lit(path))).otherwise(_none())
 
 
+def _below(path: Column) -> Column:
+    """A path inside an array's place, as it goes on behind the bracket."""
+    return F.when(path.isin("", "$"), "").when(path.startswith("[") | path.startswith("."), path).otherwise(F.concat(F.lit("."), path))
+
+
 def _none() -> Column:
     return F.array().cast("array<string>")
 
