@@ -20,17 +20,22 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexspark.llm.common import cut, shuffled, thinned
+from lexspark.llm.common import SMALL, cut, shuffled, thinned
 
 NOT_LETTERS = re.compile(r"[\W\d_]+")
+NUMBERS = regex.compile(r"\p{N}+")
 UNKNOWN = "und"
 
 
 def letters(text: str) -> str:
-    return NOT_LETTERS.sub(" ", text.lower()).strip()
+    """The letters (Unicode category L) of a text in lower case, everything else as spaces."""
+    held = NOT_LETTERS.sub(" ", text.lower())
+    # what \w holds beside letters and digits: superscripts, fractions, numerals
+    return (held if held.isascii() else NUMBERS.sub(" ", held)).strip()
 
 
 @dataclass(frozen=True)
@@ -83,20 +88,25 @@ def pieces_of(text: str, longest: int = 400) -> list[str]:
     return [line[k : k + longest] for line in held for k in range(0, len(line), longest)]
 
 
-def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", docs_per_lang: int = 1500, dict_bytes: int = 131072, most_langs: int = 256, rejected_share: float = 0.002) -> Model:
-    """Fit to at most ``docs_per_lang`` rows of each of the ``most_langs`` most frequent languages, in a fixed shuffled order.
+def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", docs_per_lang: int = 1500, dict_bytes: int = 131072, sample_rows: int = 384000, rejected_share: float = 0.002) -> Model:
+    """Fit to at most ``docs_per_lang`` rows of each language, in a fixed shuffled order; every value of the label is a language.
+
+    ``sample_rows`` bounds the rows of all languages together and ``256 * dict_bytes`` the bytes of all dictionaries: many languages get a smaller
+    part each, of one row and one byte at least.
 
     Three quarters of the rows make the dictionaries: lines of their whole texts are drawn by hash, up to ``dict_bytes`` a language, and
     only those reach the driver.  The last quarter sets ``min_margin``: at most ``rejected_share`` of its rightly named texts have a smaller one.
     Rows whose text or language is null are left out.
     """
     rows = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    found = rows.groupBy(F.col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(most_langs).collect()
-    if not found:
+    counts = cut(rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("total")))
+    langs = sorted(r["lang"] for r in counts.select("lang").collect())  # the labels' values, not their rows
+    if not langs:
         return Model((), ())
-    counts = {r["lang"]: r["count"] for r in found}
-    total = F.create_map(*[F.lit(x) for p in counts.items() for x in p])[F.col("lang")]
-    rows = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("id"), shuffled(F.col(id_col)).alias("k")).where(F.col("lang").isin(*counts))
+    docs_per_lang, dict_bytes = max(1, min(docs_per_lang, sample_rows // len(langs))), max(1, min(dict_bytes, 256 * dict_bytes // len(langs)))
+    rows = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("id"), shuffled(F.col(id_col)).alias("k"))
+    rows = rows.join(F.broadcast(counts) if len(langs) <= SMALL else counts, "lang")
+    total = F.col("total")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("k", "id", F.xxhash64("text")))
     sample = cut(thinned(rows, F.col("k"), docs_per_lang, total).withColumn("r", rank).where(F.col("r") <= docs_per_lang))
 
@@ -109,19 +119,18 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_
     own = lines.groupBy("line").agg(F.min("lang").alias("lang"), F.max("lang").alias("other")).where("lang = other")
     upto = F.sum(F.octet_length("line") + 1).over(Window.partitionBy("lang").orderBy("h", "line"))
     drawn = own.select("lang", "line", F.xxhash64("line", F.lit("line")).alias("h")).withColumn("upto", upto).where(F.col("upto") <= dict_bytes).toPandas().sort_values(["h", "line"])
-    langs = sorted(counts)
     held = {lang: part["line"].tolist() for lang, part in drawn.groupby("lang")}
     model = Model(tuple(langs), tuple(b" ".join(x.encode() for x in held.get(lang, [])) for lang in langs))
     margins = predict(sample.where(~taught), model).where("language.lang_pred = lang").agg(F.percentile("language.margin", F.lit(rejected_share)).alias("m")).first()["m"]
     return replace(model, min_margin=float(margins or 0.0))
 
 
-def predict(docs: DataFrame, model: Model, text_col: str = "text", min_margin: float | None = None) -> DataFrame:
-    """``docs`` with ``language``: a struct of lang_pred, score, margin, rejected.
+def predict(docs: DataFrame, model: Model, text_col: str = "text", min_margin: float | None = None, out_col: str = "language") -> DataFrame:
+    """``docs`` with ``out_col``: a struct of lang_pred, score, margin, rejected.
 
     A null text, or one without a letter, is ``und`` and rejected; so is a text whose margin is
     below ``min_margin`` (by default the model's own), and one that two languages fit equally.  Only the text is read; every text
-    is encoded whole.  An existing column ``language`` is replaced.
+    is encoded whole.  An existing column ``out_col`` is replaced.
     """
     least = model.min_margin if min_margin is None else min_margin
 
@@ -134,4 +143,4 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", min_margin: f
             yield pd.DataFrame({"lang_pred": pd.Series(lang, dtype=object), "score": np.array([s for _, s, _ in found], dtype=float), "margin": margin, "rejected": (margin < least) | (margin == 0) | (np.array(lang, dtype=object) == UNKNOWN)})
 
     fn = F.pandas_udf(typed, "lang_pred string, score double, margin double, rejected boolean")
-    return docs.withColumn("language", fn(F.coalesce(F.col(text_col), F.lit(""))))
+    return docs.withColumn(out_col, fn(F.coalesce(F.col(text_col), F.lit(""))))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexspark.llm import exact_dedup, mixing, secrets, simhash
-from lexspark.llm.common import fold, table
+from lexspark.llm.common import cut, fold, table
 
 
 def tokenizer_path(name: str) -> str:
@@ -16,35 +16,45 @@ def tokenizer_path(name: str) -> str:
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all texts and the components of those within three bits."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, radius=3)
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = secrets.report(secrets.scan(table(spark, sf_dir, "documents")))
+    """Spans of secrets in all texts, in two runs over one ledger: the second scans only the blobs that the first did not see."""
+    docs = table(spark, sf_dir, "documents")
+    first = secrets.scan(docs.where(fold(F.col("doc_id"), 2) == 0))
+    ledger = (cut(first["scanned"]), cut(first["findings"]))
+    out = secrets.report(secrets.scan(docs, ledger))
     return out.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("spans", 256).alias("base_sha256"), "spans")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of every document the schedule takes, and the slot that first reads it."""
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "first_slot")
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every text's ids and of what they decode to."""
     from lexspark.llm import bpe
 
     return bpe.bpe_digests(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json")).select("doc_id", "bpe.*")
 
 
 def op10_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the one of its equal texts that stays."""
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"), keep="largest").drop("__same")
 
 
 def op2_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all texts, without their tokens."""
     from lexspark.llm import token_count
 
     return token_count.token_counts(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model")).select("doc_id", "n_tokens")
 
 
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every text by a model that sees two thirds of the labelled rows."""
     from lexspark.llm import langid
 
     docs = table(spark, sf_dir, "documents")
@@ -55,18 +65,21 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every passage that repeats, with the document that owns it."""
     from lexspark.llm import substring
 
     return substring.repeated_passages(table(spark, sf_dir, "documents"))
 
 
 def op6_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors of a label."""
     from lexspark.llm import vectors
 
     return vectors.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.93)
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score for every text by a model that sees three quarters of the labelled rows."""
     from lexspark.llm import toxicity
 
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")

@@ -169,6 +169,9 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     sound = F.col("v").isNotNull() & F.forall("v", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))) & F.exists("v", lambda e: e != 0)
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"), F.col(label_col).alias("label"))
     rows = rows.withColumn("ok", F.coalesce(sound & F.col("label").isNotNull(), F.lit(False)))
+    if dict(vectors.dtypes)[vector_col] == "array<double>":  # squares of such components would overflow or vanish; a cosine does not mind the scale
+        most = F.array_max(F.transform("v", lambda e: F.abs(e)))
+        rows = rows.withColumn("v", F.when(F.col("ok") & ((most > 1e100) | (most < 1e-100)), F.transform("v", lambda e: e / most)).otherwise(F.col("v")))
     # a class's number is written with the table, so it is one whatever happens to a task
     classes = cut(rows.where("ok").groupBy("label", "v").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).withColumn("cls", F.monotonically_increasing_id()))
     n = classes.count()

@@ -223,3 +223,9 @@ def test_a_divided_shard_finds_what_a_whole_one_does(visitors):
     for shard_rows in (20, 300):
         got = vectors.divided(x, home, count, 0, 0.93, 8, shard_rows)
         assert np.array_equal(got[0], want[0]) and np.array_equal(got[1], want[1])
+
+
+def test_vectors_of_extreme_size(spark):
+    rows = [(1, [1e200, 1e200], 0), (2, [2e200, 2.1e200], 0), (3, [1e-200, 1e-200], 0), (4, [-1e-200, 1e-200], 0), (5, [5e-324, 5e-324], 0), (6, [1.0, 1.0], 0)]
+    out = vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))
+    assert {r.vec_id: (r.n_links, r.component_id) for r in out.collect()} == {1: (4, 1), 2: (4, 1), 3: (4, 1), 5: (4, 1), 6: (4, 1), 4: (0, 4)}

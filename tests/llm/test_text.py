@@ -357,3 +357,36 @@ def test_folds_are_crc32(spark):
 @pytest.mark.parametrize("n", [0, 1, 15, 16, 17, 24, 25, 100])
 def test_windows_cover(n):
     assert set().union(*[range(a, b) for a, b in toxicity.windows(n, 16)], set()) == set(range(n))
+
+
+def test_signs_that_are_no_letters_are_no_language(spark):
+    from lexspark.llm import langid
+
+    rows = [(i, "the quick brown fox jumps over it " * 3, "en") for i in range(30)] + [(100 + i, "der schnelle braune fuchs springt " * 3, "de") for i in range(30)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    odd = ["²", "½ ¼", "Ⅷ ³", "١٢", "_ - 1", "", None]
+    docs = spark.createDataFrame([(i, t, "mine") for i, t in enumerate([*odd, "das ist ½ der braune fuchs", "一"])], "doc_id long, text string, language string")
+    got = {r.doc_id: r for r in langid.predict(docs, model, out_col="found").collect()}
+    assert all(got[i].found.lang_pred == "und" and got[i].found.score == 0 and got[i].language == "mine" for i in range(len(odd)))
+    assert got[len(odd)].found.lang_pred == "de" and got[len(odd) + 1].found.lang_pred != "und"
+
+
+def test_any_number_of_languages(spark):
+    from lexspark.llm import langid
+
+    word = lambda i: "".join(chr(97 + (i // 26**k) % 26) * 3 for k in range(3))
+    rows = [(i * 10 + j, f"{word(i)} " * 40, f"l{i:03d}") for i in range(300) for j in range(2)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample_rows=400)
+    assert len(model.langs) == 300 and all(model.content)
+
+
+def test_second_run_scans_only_what_is_new(spark):
+    from lexspark.llm import secrets
+
+    docs = spark.createDataFrame([(i, f"token = abcdefghijkl{i % 7}") for i in range(20)], "doc_id long, text string")
+    first = secrets.scan(docs.where("doc_id % 7 < 3"))
+    held = (first["scanned"].cache(), first["findings"].cache())
+    assert held[0].count() == 3 * len(secrets.KINDS)
+    second = secrets.scan(docs, held)
+    assert second["scanned"].exceptAll(held[0]).count() == 4 * len(secrets.KINDS)
+    assert sorted(map(tuple, secrets.report(second).collect())) == sorted(map(tuple, secrets.report(secrets.scan(docs)).collect()))
