@@ -8,14 +8,35 @@ from pyspark.sql import functions as F
 from lexspark.sources.shared import cut
 
 
-def tokens(c: Column) -> Column:
-    """Word runs in lower case, as an array."""
-    return F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+def tokens(c: Column, mode: str = "words") -> Column:
+    """Terms of a text in lower case, as an array: runs of letters, digits and underscores, or (``spaces``) of anything but white space."""
+    if mode not in ("words", "spaces"):
+        raise ValueError(f"unknown mode: {mode}")
+    return F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}_]+" if mode == "words" else r"(?U)\S+"), F.lit(0))
 
 
-def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def postings(docs: DataFrame, id_col: str, text_col: str, mode: str = "words") -> DataFrame:
     """(id, term, tf)."""
-    return docs.select(F.col(id_col).alias("id"), F.explode(tokens(F.col(text_col))).alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    return docs.select(F.col(id_col).alias("id"), F.explode(tokens(F.col(text_col), mode)).alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def positional(docs: DataFrame, id_col: str, text_col: str, weights: DataFrame, dim: int, counted: bool = False) -> DataFrame:
+    """(id, pos, w): slot i of a text holds the idf of its i-th term (``counted``: times how often the text has it), for the first ``dim`` terms.
+
+    That is the vector the fallback index compares, slot by slot; a term that ``weights`` lacks weighs 1.  The first ``dim`` slots are the vector's
+    length, not a cut of the text: counts are of the whole text.
+    """
+    terms = docs.select(F.col(id_col).alias("id"), F.posexplode(tokens(F.col(text_col), "spaces")).alias("pos", "term"))
+    n = F.count(F.lit(1)).over(Window.partitionBy("id", "term")) if counted else F.lit(1)
+    slots = terms.withColumn("n", n).where(F.col("pos") < dim).join(weights.select("term", "idf"), "term", "left")
+    return slots.select("id", "pos", (F.col("n") * F.coalesce("idf", F.lit(1.0))).alias("w"))
+
+
+def positional_search(queries: DataFrame, index: DataFrame, k: int) -> DataFrame:
+    """The ``k`` best rows of each query by the cosine of two :func:`positional` vectors."""
+    unit = lambda v: v.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id"))))
+    met = unit(queries).select(F.col("id").alias("query_id"), "pos", F.col("w").alias("qw")).join(unit(index), "pos")
+    return top_k(met.groupBy("query_id", "id").agg(F.round(F.sum(F.col("qw") * F.col("w")), 6).alias("score")), k)
 
 
 def idf(post: DataFrame, n_docs: DataFrame) -> DataFrame:

@@ -93,15 +93,25 @@ def insufficient_scopes(issues: DataFrame) -> DataFrame:
     return first.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "scope"))), lambda x: x["scope"]).alias("scopes"))
 
 
-def issue_digest(issues: DataFrame) -> DataFrame:
-    """Per document: total, the three scopes with most issues (ties: first seen), the first six rules without enough context."""
+def issue_digest(issues: DataFrame, most: int = 6) -> DataFrame:
+    """Per document: total, issues by severity (in the order first seen), the three scopes with most issues (ties: first seen), what the first ``most``
+    issues suggest, and the first ``most`` different rules without enough context.
+
+    ``issues`` has doc_id, ord, scope, status, severity, rule_name and, if there, suggestion.
+    """
+    listed = lambda order, text: F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), text.alias("s")))), lambda x: x["s"])
+    levels = issues.groupBy("doc_id", F.coalesce("severity", F.lit("")).alias("severity")).agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("first"))
+    levels = levels.groupBy("doc_id").agg(F.array_join(listed("first", F.concat_ws(" ", "severity", "n")), ", ").alias("severities"))
     by = issues.groupBy("doc_id", "scope").agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("o"))
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("n"), "o"))
-    tops = by.withColumn("r", rank).where("r <= 3").groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", F.concat("scope", F.lit("（"), F.col("n").cast("string"), F.lit(" 项）")).alias("s")))), lambda x: x["s"]), "、").alias("top_scopes"))
-    thin = issues.where("status = 'insufficient_context'").groupBy("doc_id", "rule_name").agg(F.min("ord").alias("o"))
-    thin = thin.groupBy("doc_id").agg(F.array_join(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("o", "rule_name"))), lambda x: x["rule_name"]), 1, 6), "、").alias("insufficient"))
-    total = issues.groupBy("doc_id").agg(F.count(F.lit(1)).alias("total"))
-    return total.join(tops, "doc_id", "left").join(thin, "doc_id", "left").withColumn("insufficient", F.coalesce("insufficient", F.lit("")))
+    tops = by.withColumn("r", rank).where("r <= 3").groupBy("doc_id").agg(F.array_join(listed("r", F.concat("scope", F.lit("（"), F.col("n").cast("string"), F.lit(" 项）"))), "、").alias("top_scopes"))
+    thin = issues.where("status = 'insufficient_context'").groupBy("doc_id", "rule_name").agg(F.min("ord").alias("first"))
+    thin = thin.groupBy("doc_id").agg(F.array_join(F.slice(listed("first", F.col("rule_name")), 1, most), "、").alias("insufficient"))
+    out = issues.groupBy("doc_id").agg(F.count(F.lit(1)).alias("total")).join(levels, "doc_id").join(tops, "doc_id", "left").join(thin, "doc_id", "left")
+    if "suggestion" in issues.columns:
+        first = issues.withColumn("r", F.row_number().over(Window.partitionBy("doc_id").orderBy("ord"))).where((F.col("r") <= most) & (F.coalesce("suggestion", F.lit("")) != ""))
+        out = out.join(first.groupBy("doc_id").agg(F.array_join(listed("r", F.col("suggestion")), "；").alias("suggestions")), "doc_id", "left").withColumn("suggestions", F.coalesce("suggestions", F.lit("")))
+    return out.withColumn("insufficient", F.coalesce("insufficient", F.lit("")))
 
 
 def render_report(issues: DataFrame, per_page: int = 500) -> DataFrame:

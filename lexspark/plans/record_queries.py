@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lexspark.functions import text as T
-from lexspark.operators import audit, metadata, review
+from lexspark.operators import audit, batches, metadata, review
 from lexspark.operators import segment as S
 from lexspark.plans import sql as Q
 from lexspark.sources import derived
@@ -58,10 +58,15 @@ def insufficient_scopes(spark, sf_dir):
     return review.insufficient_scopes(derived.issues(spark, sf_dir)).select("doc_id", F.array_join("scopes", ",").alias("scopes"))
 
 
-@query(f"{_I}, b AS (SELECT doc_id, coalesce(scope, '') AS scope, count(*) AS n, min(ord) AS o FROM i GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, o) AS r FROM b), t AS (SELECT doc_id, string_agg(scope || '（' || n || ' 项）', '、' ORDER BY r) AS top_scopes FROM r WHERE r <= 3 GROUP BY 1), x AS (SELECT doc_id, rule_name, min(ord) AS o FROM i WHERE status = 'insufficient_context' GROUP BY 1, 2), y AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY o) AS r FROM x), z AS (SELECT doc_id, string_agg(rule_name, '、' ORDER BY o) AS insufficient FROM y WHERE r <= 6 GROUP BY 1) SELECT doc_id, count(*) AS total, any_value(top_scopes) AS top_scopes, coalesce(any_value(insufficient), '') AS insufficient FROM i LEFT JOIN t USING (doc_id) LEFT JOIN z USING (doc_id) GROUP BY doc_id")
+@query(f"""{_I}, b AS (SELECT doc_id, coalesce(scope, '') AS scope, count(*) AS n, min(ord) AS o FROM i GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, o) AS r FROM b), t AS (SELECT doc_id, string_agg(scope || '（' || n || ' 项）', '、' ORDER BY r) AS top_scopes FROM r WHERE r <= 3 GROUP BY 1),
+x AS (SELECT doc_id, rule_name, min(ord) AS o FROM i WHERE status = 'insufficient_context' GROUP BY 1, 2), y AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY o) AS r FROM x), z AS (SELECT doc_id, string_agg(rule_name, '、' ORDER BY o) AS insufficient FROM y WHERE r <= 6 GROUP BY 1),
+v AS (SELECT doc_id, string_agg(s || ' ' || n, ', ' ORDER BY o) AS severities FROM (SELECT doc_id, coalesce(severity, '') AS s, count(*) AS n, min(ord) AS o FROM i GROUP BY 1, 2) GROUP BY 1),
+g AS (SELECT doc_id, string_agg('fix ' || event_id, '；' ORDER BY r) FILTER (event_id % 3 <> 0) AS suggestions FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS r FROM i) WHERE r <= 6 GROUP BY 1)
+SELECT doc_id, count(*) AS total, any_value(top_scopes) AS top_scopes, coalesce(any_value(insufficient), '') AS insufficient, any_value(severities) AS severities, coalesce(any_value(suggestions), '') AS suggestions FROM i LEFT JOIN t USING (doc_id) LEFT JOIN z USING (doc_id) LEFT JOIN v USING (doc_id) LEFT JOIN g USING (doc_id) GROUP BY doc_id""")
 def issue_digest(spark, sf_dir):
-    """G13, L3."""
-    return review.issue_digest(derived.issues(spark, sf_dir).withColumn("scope", F.coalesce("scope", F.lit(""))))
+    """Totals, severities, scopes, suggestions, and rules without context."""
+    fix = F.when(F.col("event_id") % 3 == 0, "").otherwise(F.concat_ws(" ", F.lit("fix"), "event_id"))
+    return review.issue_digest(derived.issues(spark, sf_dir).withColumn("scope", F.coalesce("scope", F.lit(""))).withColumn("suggestion", fix))
 
 
 @query(f"{_I} SELECT doc_id, count(*) FILTER (status = 'fail' OR severity IN ('严重', 'critical')) = 0 AS passed FROM i GROUP BY doc_id")
@@ -85,8 +90,7 @@ def public_issues(spark, sf_dir):
 @query(f"{_I}, n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS r FROM i WHERE status = 'fail') SELECT doc_id, ord, lpad(r::VARCHAR, 3, '0') AS no FROM n WHERE r <= 20")
 def capped_failures(spark, sf_dir):
     """The first twenty failures of a document, numbered; the cap is the rule's own."""
-    n = F.row_number().over(Window.partitionBy("doc_id").orderBy("ord"))
-    return derived.issues(spark, sf_dir).where("status = 'fail'").withColumn("r", n).where("r <= 20").select("doc_id", "ord", F.lpad(F.col("r").cast("string"), 3, "0").alias("no"))
+    return batches.capped(derived.issues(spark, sf_dir).where("status = 'fail'").select("doc_id", "ord"), "doc_id", "ord")
 
 
 _R = {"pass": "true, \"confidence\": 0.9", "fail": "false, \"confidence\": 0.8", "warn": "false, \"confidence\": 0.35", "info": "false"}
@@ -311,22 +315,25 @@ def file_inventory(spark, sf_dir):
 def pending_inputs(spark, sf_dir):
     """Inputs without every selected output."""
     done = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_linenumber >= 3").select(F.col("l_orderkey").alias("o_orderkey"))
-    return spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey").join(done, "o_orderkey", "left_anti")
+    return batches.pending(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey"), done, "o_orderkey")
+
+
+def _run_log(spark, sf_dir):
+    k = F.col("event_id") % 3
+    outcome = F.when(F.col("value") < 50, "oversized").when(F.col("value") >= 50, F.when(k == 0, "skipped").when(k == 1, "succeeded").otherwise("failed"))
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "event_id", outcome.alias("outcome"))
 
 
 @query("SELECT user_id, count(*) AS total, count(*) FILTER (value < 50) AS oversized, count(*) FILTER (value >= 50 AND event_id % 3 = 0) AS skipped, count(*) FILTER (value >= 50 AND event_id % 3 = 1) AS succeeded, count(*) FILTER (value >= 50 AND event_id % 3 = 2) AS failed FROM events GROUP BY user_id")
 def batch_summary(spark, sf_dir):
     """G18."""
-    ok = F.col("value") >= 50
-    log = spark.read.parquet(f"{sf_dir}/events.parquet")
-    n = lambda r: F.count_if(ok & (F.col("event_id") % 3 == r))
-    return log.groupBy("user_id").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("value") < 50).alias("oversized"), n(0).alias("skipped"), n(1).alias("succeeded"), n(2).alias("failed"))
+    return batches.summary(_run_log(spark, sf_dir), "user_id")
 
 
 @query("SELECT user_id, event_id FROM events WHERE value >= 50 AND event_id % 3 = 2")
 def batch_failures(spark, sf_dir):
     """The failed inputs of a batch, a row each."""
-    return spark.read.parquet(f"{sf_dir}/events.parquet").where((F.col("value") >= 50) & (F.col("event_id") % 3 == 2)).select("user_id", "event_id")
+    return batches.failures(_run_log(spark, sf_dir))
 
 
 @query(f"{_P} SELECT seq, CASE WHEN event = 'custom' THEN 'agent.progress' WHEN data LIKE '%__interrupt__\"%' THEN 'approval.required' WHEN data LIKE '%\"todos\"%' THEN 'plan.updated' WHEN event IN ('messages', 'updates', 'values') THEN 'message.delta' WHEN event = 'error' THEN 'run.failed' ELSE 'langgraph.event' END AS routed FROM p")
@@ -387,5 +394,5 @@ def numerals(spark, sf_dir):
 @query("""SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS asked FROM conversations""")
 def carried_forward(spark, sf_dir):
     """The last question before each turn."""
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", F.last(F.when(F.col("role") == "user", F.col("turn")), ignorenulls=True).over(w).alias("asked"))
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return batches.carried(rows, "conv_id", "turn", F.when(F.col("role") == "user", F.col("turn")), "asked").select("conv_id", "turn", "asked")

@@ -195,6 +195,35 @@ def inverse_frequencies(spark, sf_dir):
     return _index(spark, sf_dir)[1].select("term", "df", F.round("idf", 6).alias("idf"))
 
 
+_SPACED = """stok AS (SELECT item_id AS id, unnest(list_filter(string_split_regex(lower(text), '[\\x09-\\x0D\\x1C-\\x20\\x{85}\\x{A0}\\x{3000}]+'), lambda x: x <> '')) AS term FROM benchmark),
+sw AS (SELECT term, count(DISTINCT id) AS df, ln((1 + (SELECT count(*) FROM benchmark)) / (1 + count(DISTINCT id))) + 1 AS idf FROM stok GROUP BY term)""".replace("\\\\", "\\")
+
+
+def _spaced(spark, sf_dir):
+    bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return bench, R.idf(R.postings(bench, "item_id", "text", "spaces"), bench.agg(F.count(F.lit(1)).alias("n")))
+
+
+@query(f"WITH {_SPACED} SELECT term, df, round(idf, 6) AS idf FROM sw")
+def spaced_frequencies(spark, sf_dir):
+    """R2: terms between white space, as the fallback index has them."""
+    return _spaced(spark, sf_dir)[1].select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+@query(f"""WITH {_SPACED}, d AS (SELECT item_id AS id, list_filter(string_split_regex(lower(text), '[\\x09-\\x0D\\x1C-\\x20\\x{{85}}\\x{{A0}}\\x{{3000}}]+'), lambda x: x <> '') AS ts FROM benchmark),
+q AS (SELECT doc_id AS id, list_filter(string_split_regex(lower(text), '[\\x09-\\x0D\\x1C-\\x20\\x{{85}}\\x{{A0}}\\x{{3000}}]+'), lambda x: x <> '') AS ts FROM documents WHERE doc_id % 20 = 0),
+dv AS (SELECT d.id, i AS pos, coalesce(idf, 1.0)::DOUBLE AS w FROM d, unnest(range(1, least(32, len(ts)) + 1)) AS u(i) LEFT JOIN sw ON sw.term = ts[i]),
+qv AS (SELECT q.id, i AS pos, len(list_filter(ts, lambda x: x = ts[i])) * coalesce(idf, 1.0)::DOUBLE AS w FROM q, unnest(range(1, least(32, len(ts)) + 1)) AS u(i) LEFT JOIN sw ON sw.term = ts[i]),
+s AS (SELECT a.id AS query_id, b.id, round(sum(a.w * b.w) / sqrt(any_value(a.n)) / sqrt(any_value(b.n)), 6) AS score FROM (SELECT *, sum(w * w) OVER (PARTITION BY id) AS n FROM qv) a JOIN (SELECT *, sum(w * w) OVER (PARTITION BY id) AS n FROM dv) b USING (pos) GROUP BY ALL)
+SELECT query_id, count(*) AS n, max(score) AS best FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 5 GROUP BY query_id""".replace("\\\\", "\\"))
+def positional_top_k(spark, sf_dir):
+    """Vectors by position, the fallback's slots, every twentieth document against all items."""
+    bench, weights = _spaced(spark, sf_dir)
+    ask = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id % 20 = 0")
+    top = R.positional_search(R.positional(ask, "doc_id", "text", weights, 32, counted=True), R.positional(bench, "item_id", "text", weights, 32), 5)
+    return top.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("best"))
+
+
 def _asked(spark, sf_dir):
     """The stated query set and the whole index, as vectors."""
     post, weights = _index(spark, sf_dir)
