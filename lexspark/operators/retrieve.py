@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -127,3 +129,42 @@ def post_filter(scored: DataFrame, keep: Column, k: int, over: int = 3) -> DataF
 def pre_filter(scored: DataFrame, keep: Column, k: int) -> DataFrame:
     """Those that match, then k, then those with a score above zero."""
     return top_k(scored.where(keep), k).where("score > 0")
+
+
+def dense_search(base: DataFrame, queries: DataFrame, k: int, piece: int = 4096, block: int = 1024) -> DataFrame:
+    """(query_id, id, score): of each query the ``k`` rows of its own label with the largest cosine, itself left out; ties go to the smallest id.
+
+    ``base`` and ``queries`` have id, label, v (an array of numbers, all of a label of one length).  A label's rows are dealt over pieces and its queries over
+    blocks, by counted sizes, and every block meets every piece in a task of its own: however many rows a label has, a task holds ``piece`` of them, and
+    returns ``k`` a query instead of its pairs.  A null label or vector meets nothing; a vector without length has cosine 0 with all.
+    """
+    sound = lambda t: t.where("label is not null and v is not null").select("id", "label", F.col("v").cast("array<double>").alias("v"))
+    base, queries = sound(base), sound(queries)
+    sizes = base.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / piece).cast("int").alias("_p")).join(queries.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_b")), "label")
+    sizes = cut(sizes)
+    part = lambda of: F.pmod(F.xxhash64("id"), F.col(of)).cast("int")
+    every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+    left = base.join(sizes, "label").withColumn("i", part("_p")).withColumn("j", every("_b")).withColumn("asks", F.lit(False))
+    right = queries.join(sizes, "label").withColumn("j", part("_b")).withColumn("i", every("_p")).withColumn("asks", F.lit(True))
+    columns = ["label", "i", "j", "asks", "id", "v"]
+
+    def best(rows: pd.DataFrame) -> pd.DataFrame:
+        asks = rows["asks"].to_numpy(bool)
+        ids = rows["id"].to_numpy()
+        x = np.stack(rows["v"].to_numpy()).astype(float)
+        norm = np.sqrt((x * x).sum(1))
+        x = x / np.where(norm > 0, norm, 1.0)[:, None]
+        held, who = ids[~asks], ids[asks]
+        out = []
+        if len(held):
+            score = np.round(x[asks] @ x[~asks].T, 6) + 0.0
+            for q, row in zip(who, score):
+                row[held == q] = -np.inf
+                near = np.flatnonzero(row >= np.partition(row, -min(k, len(row)))[-min(k, len(row))])  # ties included
+                near = near[np.lexsort((held[near], -row[near]))][:k]
+                out += [(q, held[n], row[n]) for n in near if row[n] > -np.inf]
+        return pd.DataFrame(out, columns=["query_id", "id", "score"])
+
+    kind = dict(base.dtypes)["id"]
+    found = left.select(*columns).unionByName(right.select(*columns)).groupBy("label", "i", "j").applyInPandas(best, f"query_id {kind}, id {kind}, score double")
+    return top_k(found, k).drop("rank")

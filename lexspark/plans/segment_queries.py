@@ -6,7 +6,6 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lexspark.functions import text as T
-from lexspark.functions import vectors as V
 from lexspark.operators import retrieve as R
 from lexspark.operators import review
 from lexspark.operators import segment as S
@@ -261,6 +260,5 @@ FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_i
 def dense_top_k(spark, sf_dir):
     """Cosine of dense vectors, every twentieth row against all rows of its label."""
     vec = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    ask = vec.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "label", F.col("embedding").alias("q"))
-    pairs = vec.join(ask, "label").where("vec_id <> query_id").select("query_id", F.col("vec_id").alias("id"), F.round(V.cosine(F.col("q"), F.col("embedding")), 6).alias("score"))
-    return R.top_k(pairs, 5).drop("rank")
+    rows = vec.select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("v"))
+    return R.dense_search(rows, rows.where("id % 20 = 0"), 5)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from lexspark.functions import text as T
 from lexspark.operators.rulebook import rule_chunks
 from lexspark.operators.segment import lines
-from lexspark.sources.shared import numbered_folders, remove
+from lexspark.sources.shared import cut, numbered_folders, remove
 
 
 def cut_books(books: DataFrame) -> DataFrame:
@@ -43,11 +43,11 @@ def refresh(books: DataFrame, path: str, force: bool = False, rows_of: Callable[
     """
     spark = books.sparkSession
     named = books.select("book", F.coalesce("text", F.lit("")).alias("text")).withColumn("digest", F.sha2("text", 256))
-    now = named.groupBy("book").agg(F.min("digest").alias("digest"))
+    now = cut(named.groupBy("book").agg(F.min("digest").alias("digest")))  # texts are read once more, for what is due
     old = manifest(spark, path)
     usable = old is not None and not force and not old.where("titled").isEmpty()
     n = latest(spark, path) + 1
-    due = now if not usable else now.join(old.select("book", "digest"), ["book", "digest"], "left_anti")
+    due = now if not usable else cut(now.join(old.select("book", "digest"), ["book", "digest"], "left_anti"))
     fresh = named.join(due, ["book", "digest"], "left_semi").dropDuplicates(["book"])
     rows_of(fresh.select("book", "text")).write.mode("overwrite").parquet(f"{path}/rows={n}")
     titled = spark.read.parquet(f"{path}/rows={n}").groupBy("book").agg(F.bool_or(T.strip(F.col("title")) != "").alias("titled"))

@@ -230,3 +230,29 @@ def test_the_judge_reads_all_of_a_context(spark):
     book = rules.unionByName(spark.createDataFrame([("R4", "跨", "scope", "c4", "cross_section", ["scope", "normative_references"], 4)], rules.schema))
     warned = full_review.full_review(units, held, book, wide, judge=judge).where("status = 'warn'")
     assert {(r.doc_id, r.rule_id, r.scope, r.audit_track) for r in warned.collect()} == {(1, "R4", "normative_references", "content_llm"), (2, "R4", "normative_references", "content_llm")}
+
+
+def test_dense_search_in_pieces_of_any_size(spark):
+    rng = random.Random(7)
+    rows = [(i, 0 if i % 3 else 1, [float(rng.randint(-2, 2)) for _ in range(3)]) for i in range(200)] + [(300, None, [1.0, 0.0, 0.0]), (301, 0, None), (302, 5, [1.0, 2.0, 3.0])]
+    base = spark.createDataFrame(rows, "id long, label int, v array<double>")
+
+    def cosine(a, b):
+        n = sum(x * x for x in a) ** 0.5 * sum(x * x for x in b) ** 0.5
+        return round(sum(x * y for x, y in zip(a, b)) / n, 6) + 0.0 if n else 0.0
+
+    want = []
+    for q, label, v in rows:
+        if q % 20 == 0 and label is not None and v:
+            near = sorted((-cosine(v, w), i) for i, other, w in rows if other == label and i != q and w)[:5]
+            want += [(q, i, -s + 0.0) for s, i in near]
+    for piece, block in ((4096, 1024), (7, 3)):
+        got = [tuple(r) for r in retrieve.dense_search(base, base.where("id % 20 = 0"), 5, piece, block).collect()]
+        assert sorted(got) == sorted(want)
+
+
+def test_cosine_of_arrays(spark):
+    from lexspark.functions import vectors
+
+    rows = spark.createDataFrame([([1.0, 0.0], [2.0, 0.0]), ([1.0, 0.0], [0.0, 3.0]), ([0.0, 0.0], [1.0, 1.0])], "a array<double>, b array<double>")
+    assert [r[0] for r in rows.select(vectors.cosine(F.col("a"), F.col("b"))).collect()] == [1.0, 0.0, 0.0]
