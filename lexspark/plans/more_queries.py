@@ -450,10 +450,11 @@ def layout_headers(spark, sf_dir):
     return files.header_blocks(files.read_layout(rows)).select(F.col("doc_id").alias("page_id"), "page_idx", "idx", "text")
 
 
-@query("SELECT doc_id, 'doc/images/' || doc_id || '.png' AS member FROM documents WHERE strlen(coalesce(text, '')) <= 100 AND doc_id % 2 = 0")
+@query("SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'doc/images/' ELSE 'doc/' END || doc_id || '.png' AS member FROM documents WHERE strlen(coalesce(text, '')) <= 100 AND doc_id % 3 <> 2")
 def tiny_images(spark, sf_dir):
-    """V4: image members of at most a hundred bytes."""
-    name = F.concat(F.when(F.col("doc_id") % 2 == 0, "doc/images/").otherwise("doc/"), F.col("doc_id").cast("string"), F.lit(".png"))
+    """Image members of at most a hundred bytes, below images/ or at most one folder deep."""
+    k = F.col("doc_id") % 3
+    name = F.concat(F.when(k == 0, "doc/images/").when(k == 1, "doc/").otherwise("doc/deep/"), F.col("doc_id").cast("string"), F.lit(".png"))
     return images.tiny_images(_table(spark, sf_dir, "documents").select("doc_id", name.alias("member"), F.octet_length(F.coalesce("text", F.lit(""))).alias("size"))).select("doc_id", "member")
 
 
@@ -495,7 +496,7 @@ def tool_events(spark, sf_dir):
     return E.tool_events(rows, spec).select("id", "ord", "event", "virtual_path")
 
 
-@query("""SELECT event_id AS seq, 'm' || event_id AS message_id, CASE WHEN event_id % 5 = 3 THEN 'extra' ELSE 'review' END AS tool, '{"n":' || event_id || '}' AS content FROM events WHERE event_id % 5 <> 4
+@query("""SELECT event_id AS seq, 'm' || event_id AS message_id, CASE WHEN event_id % 5 = 3 THEN 'extra' ELSE 'review' END AS tool, '{"n":' || CASE WHEN event_id % 2 = 0 THEN ' ' ELSE '' END || event_id || '}' AS content FROM events WHERE event_id % 5 <> 4
 UNION ALL SELECT event_id, NULL, 'second', '{"q":[1]}' FROM events WHERE event_id % 5 = 1""")
 def tool_messages(spark, sf_dir):
     """ST11: tool messages found inside nested payloads, up to thirteen objects deep, in each of the forms."""

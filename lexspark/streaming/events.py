@@ -120,9 +120,9 @@ def unwrap_messages(rows: DataFrame) -> DataFrame:
     found = cut(held.select("seq", F.when(is_object(kwargs), kwargs).when(is_object(lc), lc).otherwise(itself).alias("m"))).where("m is not null")
     tool = F.coalesce(*[F.nullif(get("m", p), F.lit("")) for p in ("name", "tool_name", "additional_kwargs.name", "additional_kwargs.tool_name")])
     content = get("m", "content", "variant")
-    content = F.when(is_object(content), content).otherwise(F.try_parse_json(get("m", "content")))
-    out = found.select("seq", get("m", "id").alias("message_id"), tool.alias("tool"), content.alias("c")).where("tool is not null and c is not null").where(is_object(F.col("c")))
-    return out.select("seq", "message_id", "tool", F.to_json("c").alias("content")).distinct()
+    text = get("m", "content")  # of an object, its JSON; of a text, itself
+    out = found.select("seq", get("m", "id").alias("message_id"), tool.alias("tool"), text.alias("content"), is_object(content).alias("_o"), F.try_parse_json(text).alias("_c")).where("tool is not null and _c is not null")
+    return out.where(F.col("_o") | is_object(F.col("_c"))).select("seq", "message_id", "tool", "content").distinct()
 
 
 def progress_rows(counts: DataFrame, stage: str) -> DataFrame:

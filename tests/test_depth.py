@@ -86,7 +86,7 @@ def test_messages_at_any_depth(spark):
         message = '{"a": [%s]}' % message
     rows = [(1, message), (2, '{"kwargs": {"id": "k", "tool_name": "t", "content": {"q": [1]}}}'), (3, '{"content": "text"}'), (4, "x"), (5, None), (6, '[{"type": "tool", "additional_kwargs": {"name": "z"}, "content": "{}"}]')]
     got = {(r.seq, r.message_id, r.tool, r.content) for r in E.unwrap_messages(spark.createDataFrame(rows, "seq int, data string")).collect()}
-    assert got == {(1, "m1", "review", '{"n":1}'), (2, "k", "t", '{"q":[1]}'), (6, None, "z", "{}")}
+    assert got == {(1, "m1", "review", '{"n": 1}'), (2, "k", "t", '{"q":[1]}'), (6, None, "z", "{}")}
 
 
 def test_flat_text_in_reading_order(spark):

@@ -154,7 +154,7 @@ def test_judges(spark):
             raise RuntimeError("down")
         return 'so: {"pass": false, "confidence": 0.9}'
 
-    assert sorted((r.doc_id, r.status) for r in review.judged(plans, judge).collect()) == [(1, "fail"), (2, "insufficient_context")]
+    assert sorted((r.doc_id, r.status) for r in review.judged(plans, judge).collect()) == [(1, "fail"), (2, "fail")]
     assert [r.error for r in review.with_judge(plans.where("doc_id = 2"), judge).collect()] == ["down"]
 
 
