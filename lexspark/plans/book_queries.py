@@ -135,3 +135,17 @@ def review_loop(spark, sf_dir):
     zoned = S.zones(S.lines(docs))
     scopes = S.scope_text(zoned)
     return review.run_review(docs.select("doc_id"), scopes, rules(spark))
+
+
+_MARKED = "CASE WHEN line LIKE '# %' THEN CASE line_no % 3 WHEN 0 THEN '## [ab-' || CAST(line_no % 100 AS VARCHAR(20)) || '] ' WHEN 1 THEN '### ' ELSE '#### R_' || CAST(line_no % 10 AS VARCHAR(20)) || ' ' END || substr(line, 3) ELSE line END"
+_RULE_TITLE = Q.strip(r"regexp_extract(line, '^#{2,6}[\x09-\x0D\x20]*([^#\x09-\x0D\x20].*?)[\x09-\x0D\x20]*$', 1)")
+
+
+@query(f"""WITH {Q.LINES}, k0 AS (SELECT doc_id, line_no, {_MARKED} AS line FROM ln), k1 AS (SELECT *, {_RULE_TITLE} AS title FROM k0),
+k2 AS (SELECT *, sum((title <> '')::INT) OVER (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS n FROM k1),
+k3 AS (SELECT doc_id, n, max(title) AS title, coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (title = ''), '') AS body FROM k2 WHERE n > 0 GROUP BY doc_id, n)
+SELECT doc_id, coalesce(nullif(upper(regexp_extract(title, '(?i)([A-Z]{{1,4}}[-_][0-9]{{1,4}})', 1)), ''), format('R-{{:03d}}', n::INT)) AS rule_id, coalesce(nullif({Q.strip("regexp_replace(title, '^[\\[【]?[A-Za-z0-9_.-]+[\\]】]?[\\x09-\\x0D\\x20]*', '')")}, ''), title) AS rule_name, {Q.strip('body')} AS text FROM k3""".replace("\\\\", "\\"))
+def rule_headings(spark, sf_dir):
+    """The other form of a book: a rule at each heading of level two to six, by the id in its title or its number."""
+    rows = S.lines(std_corpus(spark, sf_dir)).select("doc_id", "line_no", F.expr(_MARKED.replace("VARCHAR(20)", "STRING")).alias("line"))
+    return rulebook.rule_headings(rows)
