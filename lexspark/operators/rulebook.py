@@ -80,7 +80,7 @@ def rule_chunks(lines: DataFrame) -> DataFrame:
     p = F.row_number().over(Window.partitionBy("doc_id", "sec").orderBy("para"))
     return rows.select(
         "doc_id",
-        F.concat(F.lit("RAG-"), F.lpad(n.cast("string"), 4, "0")).alias("chunk_id"),
+        F.format_string("RAG-%04d", n).alias("chunk_id"),
         "title",
         "scope",
         "content",

@@ -32,7 +32,7 @@ m2 AS (SELECT *, max(own) OVER (PARTITION BY doc_id, sec) AS title FROM m1 WHERE
 m3 AS (SELECT *, {Q.strip('line')} = '' AND sum(starts_with({Q.strip('line')}, '```')::INT) OVER (PARTITION BY doc_id, sec ORDER BY line_no ROWS UNBOUNDED PRECEDING) % 2 = 0 AS gap FROM m2 WHERE mark = ''),
 m4 AS (SELECT *, sum(gap::INT) OVER (PARTITION BY doc_id, sec ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS para FROM m3),
 m5 AS (SELECT doc_id, sec, title, para, {Q.strip("string_agg(line, chr(10) ORDER BY line_no)")} AS content FROM m4 WHERE NOT gap GROUP BY ALL),
-chunks AS (SELECT doc_id, 'RAG-' || lpad(row_number() OVER (PARTITION BY doc_id ORDER BY sec, para)::VARCHAR, 4, '0') AS chunk_id, title, {_TITLE} AS scope, content, '#' || title || '-p' || row_number() OVER (PARTITION BY doc_id, sec ORDER BY para) AS source_ref FROM m5 WHERE content <> '')"""
+chunks AS (SELECT doc_id, format('RAG-{{:04d}}', row_number() OVER (PARTITION BY doc_id ORDER BY sec, para)) AS chunk_id, title, {_TITLE} AS scope, content, '#' || title || '-p' || row_number() OVER (PARTITION BY doc_id, sec ORDER BY para) AS source_ref FROM m5 WHERE content <> '')"""
 
 
 def _chunks(spark, sf_dir):

@@ -185,7 +185,7 @@ def rule_contexts(spark, sf_dir):
     return kept.groupBy("doc_id", "chunk_id").agg(F.count(F.lit(1)).alias("n_units"), F.sum(F.when(F.col("_best") == 3, F.least(F.length("text"), F.lit(2200))).otherwise(F.length("text"))).cast("long").alias("chars"), F.array_join(F.array_sort(F.collect_list("ord")).cast("array<string>"), ",").alias("taken"))
 
 
-@query(f"WITH {Q.LINES}, {book_queries._BOOK}, t AS (SELECT *, arg_max(own, sec) FILTER (mark = '#') OVER (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS h1 FROM m1 WHERE mark <> ''), h AS (SELECT doc_id, sec, mark, h1 FROM t), k AS (SELECT c.*, h.mark, h.h1 FROM chunks c JOIN (SELECT doc_id, sec, para, row_number() OVER (PARTITION BY doc_id ORDER BY sec, para) AS r FROM m5 WHERE content <> '') x ON x.doc_id = c.doc_id AND 'RAG-' || lpad(x.r::VARCHAR, 4, '0') = c.chunk_id JOIN h ON h.doc_id = x.doc_id AND h.sec = x.sec) SELECT doc_id, chunk_id, concat_ws(chr(10), title, content, scope, 'local', scope, scope || ' ' || title || CASE WHEN mark = '##' AND h1 IS NOT NULL AND h1 <> title AND h1 <> scope THEN ' ' || h1 ELSE '' END) AS text FROM k")
+@query(f"WITH {Q.LINES}, {book_queries._BOOK}, t AS (SELECT *, arg_max(own, sec) FILTER (mark = '#') OVER (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS h1 FROM m1 WHERE mark <> ''), h AS (SELECT doc_id, sec, mark, h1 FROM t), k AS (SELECT c.*, h.mark, h.h1 FROM chunks c JOIN (SELECT doc_id, sec, para, row_number() OVER (PARTITION BY doc_id ORDER BY sec, para) AS r FROM m5 WHERE content <> '') x ON x.doc_id = c.doc_id AND format('RAG-{{:04d}}', x.r) = c.chunk_id JOIN h ON h.doc_id = x.doc_id AND h.sec = x.sec) SELECT doc_id, chunk_id, concat_ws(chr(10), title, content, scope, 'local', scope, scope || ' ' || title || CASE WHEN mark = '##' AND h1 IS NOT NULL AND h1 <> title AND h1 <> scope THEN ' ' || h1 ELSE '' END) AS text FROM k")
 def retrieval_texts(spark, sf_dir):
     """What the index reads of a rule."""
     return rulebook.rule_chunks(S.lines(std_corpus(spark, sf_dir))).select("doc_id", "chunk_id", rulebook.retrieval_text().alias("text"))

@@ -256,3 +256,9 @@ def test_cosine_of_arrays(spark):
 
     rows = spark.createDataFrame([([1.0, 0.0], [2.0, 0.0]), ([1.0, 0.0], [0.0, 3.0]), ([0.0, 0.0], [1.0, 1.0])], "a array<double>, b array<double>")
     assert [r[0] for r in rows.select(vectors.cosine(F.col("a"), F.col("b"))).collect()] == [1.0, 0.0, 0.0]
+
+
+def test_rules_of_a_long_book_have_their_own_ids(spark):
+    text = "# 范围\n" + "\n\n".join(f"p{i}" for i in range(10050))
+    out = index.cut_books(spark.createDataFrame([("b", text)], "book string, text string"))
+    assert out.count() == out.select("chunk_id").distinct().count() == 10050
