@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexspark.functions import text as T
+from lexspark.sources.shared import shuffled
 
 #: Names of scopes in use -> key.  Fixed values.
 ALIASES = {
@@ -127,7 +128,7 @@ def context_units(plans: DataFrame, units: DataFrame, limit: int = 2200) -> Data
     sized = "chars" in units.columns
     body = F.array(*[F.lit(s) for s in T.BODY_SCOPES])
     wants_body = F.arrays_overlap("targets", body) | F.array_contains("targets", "body")
-    met = plans.select("doc_id", "chunk_id", "targets").join(units.where(F.col("chars") > 0 if sized else T.strip(F.col("text")) != ""), "doc_id")
+    met = plans.select("doc_id", "chunk_id", "targets").join(shuffled(units.where(F.col("chars") > 0 if sized else T.strip(F.col("text")) != "")), "doc_id")
     tier = F.when(F.array_contains("targets", F.col("scope")) | (F.col("scope").isin(*T.BODY_SCOPES) & wants_body), 0).when(F.col("scope").isin("foreword", "introduction"), 1).when(F.col("scope").isin(*T.END_SCOPES, "end"), 2).otherwise(3)
     met = met.withColumn("_tier", tier)
     met = met.withColumn("_best", F.min("_tier").over(Window.partitionBy("doc_id", "chunk_id")))

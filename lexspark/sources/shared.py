@@ -62,6 +62,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df`` as a join's side that is never gathered for a broadcast: files that compress well would pass for a small table."""
+    return df.hint("merge")
+
+
 def ranked(rows: DataFrame, by: list[str], order: list[str], name: str) -> DataFrame:
     """``rows`` with ``name``: the row number within ``by`` in ``order``, which must tell all rows of a group apart.
 
