@@ -18,16 +18,21 @@ def list_numbers(rows: DataFrame, levels: int | None = None) -> DataFrame:
     """
     if levels is None:
         levels = (rows.agg(F.max("level")).first()[0] or 0) + 1
-    out, parts = rows, ["doc_id", "list_id"]
+    row, level = Window.partitionBy("doc_id", "list_id").orderBy("idx"), F.col("level")
+    run = row.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = F.last("level", ignorenulls=True).over(row.rowsBetween(Window.unboundedPreceding, -1))
+    # all windows share one order, so rows are sorted once whatever the levels
+    out = rows.withColumns({"_b": before, **{f"_c{k}": F.sum(F.when(level == k, 1).otherwise(0)).over(run) for k in range(levels)}})
+    held = {}
     for k in range(levels):
-        w = Window.partitionBy(*parts).orderBy("idx").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        mine = F.sum(F.when(F.col("level") == k, 1).otherwise(0)).over(w)
+        since = F.coalesce(F.last(F.when(level < k, F.col(f"_c{k}")), ignorenulls=True).over(run), F.lit(0))
         # the first row of level k or deeper since the last shallower one: if it is deeper, it made the counter
-        made = F.first(F.when(F.col("level") >= k, (F.col("level") > k).cast("int")), ignorenulls=True).over(w)
-        out = out.withColumns({f"_n{k}": mine, f"_m{k}": mine + made - 1})
-        parts = [*parts, f"_n{k}"]  # rows below the same number of level k
+        first = (level >= k) & (F.col("_b").isNull() | (F.col("_b") < k))
+        made = F.last(F.when(first, (level > k).cast("int")), ignorenulls=True).over(run)
+        held[f"_m{k}"] = F.col(f"_c{k}") - since + made - 1
+    out = out.withColumns(held)
     number = [F.coalesce(F.get("start", F.lit(k)), F.lit(1)) + F.col(f"_m{k}") for k in range(levels)]
-    return out.withColumn("numbers", F.slice(F.array(*[n.cast("int") for n in number]), F.lit(1), F.col("level") + 1)).drop(*[f"_{x}{k}" for k in range(levels) for x in "nm"])
+    return out.withColumn("numbers", F.slice(F.array(*[n.cast("int") for n in number]), F.lit(1), level + 1)).drop("_b", *[f"_{x}{k}" for k in range(levels) for x in "cm"])
 
 
 def render_number(numbers: Column, pattern: Column, formats: Column) -> Column:

@@ -12,7 +12,7 @@ from lexspark.operators import segment as S
 from lexspark.plans import book_queries, record_queries
 from lexspark.plans import sql as Q
 from lexspark.sources import derived, files, sinks
-from lexspark.sources.shared import new_folder
+from lexspark.sources.shared import dealt, new_folder
 from lexspark.sources.std_corpus import rules, std_corpus
 from lexspark.streaming import events as E
 
@@ -206,7 +206,8 @@ def list_numbers(spark, sf_dir):
     """Counters of lists of up to nine levels, written as decimals; the SQL counts row by row."""
     idx = F.row_number().over(Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"))
     level = F.when(F.col("l_partkey") % 5 == 0, F.col("l_orderkey") % 9).otherwise(F.col("l_partkey") % 3)
-    rows = _table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("doc_id"), idx.alias("idx"), F.col("l_returnflag").alias("list_id"), level.cast("int").alias("level"), F.array(F.lit(1), F.lit(3), F.lit(1)).alias("start"))
+    lines = dealt(_table(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_returnflag"), "l_suppkey")
+    rows = lines.select(F.col("l_suppkey").alias("doc_id"), idx.alias("idx"), F.col("l_returnflag").alias("list_id"), level.cast("int").alias("level"), F.array(F.lit(1), F.lit(3), F.lit(1)).alias("start"))
     return numbering.list_numbers(rows).select("doc_id", "idx", F.array_join(F.col("numbers").cast("array<string>"), ".").alias("number"))
 
 

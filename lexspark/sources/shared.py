@@ -62,6 +62,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dealt(df: DataFrame, *keys: str, rows: int = 1 << 20) -> DataFrame:
+    """``df`` dealt by ``keys`` for the windows that follow: where the session's partitions would hold more than ``rows`` rows each, over more of them."""
+    n = -(-df.count() // rows)
+    return df.repartition(n, *keys) if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def shuffled(df: DataFrame) -> DataFrame:
     """``df`` as a join's side that is never gathered for a broadcast: files that compress well would pass for a small table."""
     return df.hint("merge")

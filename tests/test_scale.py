@@ -1,9 +1,14 @@
 """What a step must not do as its tables grow, seen on small ones."""
 
+from types import SimpleNamespace
+
 from pyspark.sql import functions as F
 
-from lexspark.operators import full_review
-from lexspark.sources.shared import cut
+from lexspark.operators import full_review, nested, numbering, retrieve, review, rulebook
+from lexspark.operators.segment import lines
+from lexspark.plans import more_queries
+from lexspark.sources.shared import cut, dealt
+from lexspark.streaming.lifecycle import RunProcessor
 
 
 def plan(df):
@@ -19,3 +24,14 @@ def test_a_review_gathers_no_table_that_grows_for_a_broadcast(spark):
     sizes = units.select("doc_id", "ord", "scope", F.length("text").alias("chars"), F.length("heading").alias("title_chars"))
     aimed = planned.select("doc_id", "chunk_id", F.array(F.lit("scope")).alias("targets"))
     assert "Broadcast" not in plan(full_review.contexts(aimed, sizes))
+
+
+def test_list_numbers_sort_rows_once_whatever_the_levels(spark):
+    rows = spark.createDataFrame([(1, 1, "a", 0, [1])], "doc_id long, idx int, list_id string, level int, start array<int>")
+    assert plan(numbering.list_numbers(rows, levels=9)).count("Sort [") == 1
+
+
+def test_rows_are_dealt_over_more_partitions_as_they_grow(spark):
+    rows = spark.range(100)
+    assert dealt(rows, "id", rows=10).rdd.getNumPartitions() == 10
+    assert dealt(rows, "id") is rows
