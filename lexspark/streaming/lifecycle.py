@@ -19,7 +19,7 @@ class RunProcessor(StatefulProcessor):
     """The life of one run: how many different events it had, whether one of them failed or ended it, and its artifacts.
 
     An event is known by its ``seq``; one that comes again changes nothing, and since only counts, flags and a set are kept, the
-    order of arrival does not matter.  ``quiet_ms`` after a run's last event (processing time) a run that neither failed nor ended is ``timed_out``; its
+    order of arrival does not matter.  A batch asks the state a few times a run, not once an event.  ``quiet_ms`` after a run's last event (processing time) a run that neither failed nor ended is ``timed_out``; its
     state stays, so a late event takes it up again.  What is remembered of a run goes ``keep_ms`` after its last change; 0 keeps it.
     """
 
@@ -29,31 +29,36 @@ class RunProcessor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         ttl = self._keep or None
         self._handle = handle
-        self._run = handle.getValueState("run", "n_events long, failed boolean, ended boolean, version long", ttl)
+        self._run = handle.getValueState("run", "n_events long, failed boolean, ended boolean, version long, top long", ttl)
         self._artifacts = handle.getListState("artifacts", "artifact_id string", ttl)
-        self._seen = handle.getMapState("seen", "seq long", "first boolean", ttl)
+        self._seen = handle.getListState("seen", "seq long", ttl)
 
     def _row(self, key: tuple, silent: bool = False) -> Row:
-        n, failed, ended, version = self._run.get()
+        n, failed, ended, version, _ = self._run.get()
         state = "failed" if failed else "completed" if ended else "timed_out" if silent else "running"
         return Row(run_id=key[0], state=state, n_events=n, artifacts=sorted(r[0] for r in self._artifacts.get()), version=version)
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        n, failed, ended, version = self._run.get() if self._run.exists() else (0, False, False, 0)
+        n, failed, ended, version, top = self._run.get() if self._run.exists() else (0, False, False, 0, None)
         held = {r[0] for r in self._artifacts.get()} if self._artifacts.exists() else set()
-        fresh = False
+        seen, new, most = None, set(), top
         for r in rows:
-            if self._seen.containsKey((r.seq,)):
+            if r.seq in new:
                 continue
-            self._seen.updateValue((r.seq,), (True,))
-            fresh, n = True, n + 1
+            if top is not None and r.seq <= top:  # what lies beyond all that was seen is new; only an older one has them looked up
+                seen = {x[0] for x in self._seen.get()} if seen is None else seen
+                if r.seq in seen:
+                    continue
+            new.add(r.seq)
+            most, n = r.seq if most is None else max(most, r.seq), n + 1
             failed, ended = failed or r.event in FAILED, ended or r.event == ENDED
             if r.artifact_id is not None and r.artifact_id not in held:
                 held.add(r.artifact_id)
                 self._artifacts.appendValue((r.artifact_id,))
-        if not fresh:
+        if not new:
             return
-        self._run.update((n, failed, ended, version + 1))
+        self._seen.appendList([(x,) for x in new])
+        self._run.update((n, failed, ended, version + 1, most))
         if self._quiet:
             for t in list(self._handle.listTimers()):
                 self._handle.deleteTimer(t)
@@ -63,8 +68,8 @@ class RunProcessor(StatefulProcessor):
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
         if self._run.exists():
-            n, failed, ended, version = self._run.get()
-            self._run.update((n, failed, ended, version + 1))
+            n, failed, ended, version, top = self._run.get()
+            self._run.update((n, failed, ended, version + 1, top))
             yield self._row(key, silent=True)
 
     def close(self) -> None:

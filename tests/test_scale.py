@@ -35,3 +35,39 @@ def test_rows_are_dealt_over_more_partitions_as_they_grow(spark):
     rows = spark.range(100)
     assert dealt(rows, "id", rows=10).rdd.getNumPartitions() == 10
     assert dealt(rows, "id") is rows
+
+
+class _Calls:
+    """A state handle that counts what is asked of it."""
+
+    def __init__(self):
+        self.n, self.held = 0, {}
+
+    def state(self, name, *_):
+        def ask(fn):
+            def call(*a):
+                self.n += 1
+                return fn(*a)
+
+            return call
+
+        held = self.held
+        put = lambda v: held.__setitem__(name, v)
+        add = lambda v: held.setdefault(name, []).extend(v)
+        return SimpleNamespace(
+            exists=ask(lambda: name in held), get=ask(lambda *k: iter(held[name]) if isinstance(held.get(name), list) else held.get(name)), update=ask(put), appendList=ask(add), appendValue=ask(lambda v: add([v])),
+            containsKey=ask(lambda k: k in held.get(name, {})), updateValue=ask(lambda k, v: held.setdefault(name, {}).update({k: v})),
+        )
+
+    getValueState = getListState = getMapState = state
+
+
+def test_a_run_asks_its_state_a_few_times_a_batch(spark):
+    calls, run = _Calls(), RunProcessor()
+    run.init(calls)
+    event = lambda i: SimpleNamespace(seq=i, event="values", artifact_id="a")
+    last = lambda rows: [(r.n_events, r.version) for r in run.handleInputRows((1,), iter(rows), None)]
+    assert last([event(i) for i in range(0, 2000, 2)]) == [(1000, 1)]
+    assert last([event(i) for i in [7, 7, 8, 3000, 3000]]) == [(1002, 2)]  # late, late again, seen, new, new again
+    assert last([event(i) for i in [7, 3000]]) == []
+    assert calls.n < 30
