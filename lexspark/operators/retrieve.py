@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -131,6 +132,58 @@ def pre_filter(scored: DataFrame, keep: Column, k: int) -> DataFrame:
     return top_k(scored.where(keep), k).where("score > 0")
 
 
+def _met(base: DataFrame, queries: DataFrame, piece: int, block: int):
+    """Rows (asks, id, v) of ``base`` and ``queries`` grouped so that every query meets every row of its label: a label's rows are dealt over pieces and its
+    queries over blocks, by counted sizes, and each block meets each piece in a group of its own."""
+    sizes = base.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / piece).cast("int").alias("_p")).join(queries.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_b")), "label")
+    sizes = cut(sizes)
+    part = lambda of: F.pmod(F.xxhash64("id"), F.col(of)).cast("int")
+    every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+    left = base.join(sizes, "label").withColumn("i", part("_p")).withColumn("j", every("_b")).withColumn("asks", F.lit(False))
+    right = queries.join(sizes, "label").withColumn("j", part("_b")).withColumn("i", every("_p")).withColumn("asks", F.lit(True))
+    columns = ["label", "i", "j", "asks", "id", "v"]
+    return left.select(*columns).unionByName(right.select(*columns)).groupBy("label", "i", "j")
+
+
+def best_products(base: DataFrame, queries: DataFrame, piece: int = 16384, block: int = 8192) -> DataFrame:
+    """(query_id, n, best): how many rows of its label other than itself a query meets, and the largest inner product by position, rounded to six digits.
+
+    ``base`` and ``queries`` have id, label, v (an array of numbers).  The shorter of two arrays is padded with zeros and a null number is zero; a null array is
+    counted and has no product.  Every pair is computed, by matrix products of a piece of rows and a block of queries; a task returns a row a query.
+    """
+    filled = lambda t: t.where("label is not null").select("id", "label", F.transform("v", lambda x: F.coalesce(x, F.lit(0))).alias("v"))
+    base, queries = filled(base), filled(queries)
+
+    def products(rows: pd.DataFrame) -> pd.DataFrame:
+        asks, ids = rows["asks"].to_numpy(bool), rows["id"].to_numpy()
+        has = rows["v"].notna().to_numpy()
+        x = np.zeros((len(rows), max((len(v) for v in rows["v"][has]), default=0)))
+        for i, v in zip(np.flatnonzero(has), rows["v"][has]):
+            x[i, : len(v)] = v
+        held, who = ids[~asks], ids[asks]
+        if not len(held) or not len(who):
+            return pd.DataFrame({"query_id": who[:0], "n": np.zeros(0, int), "best": np.zeros(0)})
+        order = np.argsort(held, kind="stable")
+        first, past = (np.searchsorted(held[order], who, side) for side in ("left", "right"))  # the rows that are the query itself
+        best, right = [], x[~asks].T
+        right_has = has[~asks]
+        for k in range(0, len(who), 512):
+            score = x[asks][k : k + 512] @ right
+            score[:, ~right_has] = -np.inf
+            for i, (a, z) in enumerate(zip(first[k : k + 512], past[k : k + 512])):
+                score[i, order[a:z]] = -np.inf
+            best.append(score.max(1))
+        n = len(held) - (past - first)
+        usable = right_has.sum() - np.array([right_has[order[a:z]].sum() for a, z in zip(first, past)])
+        top = pd.array(np.concatenate(best), dtype=pd.ArrowDtype(pa.float64()))
+        top[~has[asks] | (usable == 0)] = pd.NA
+        return pd.DataFrame({"query_id": who, "n": n, "best": top})
+
+    kind = dict(base.dtypes)["id"]
+    found = _met(base, queries, piece, block).applyInPandas(products, f"query_id {kind}, n long, best double")
+    return found.groupBy("query_id").agg(F.sum("n").alias("n"), F.round(F.max("best"), 6).alias("best")).where("n > 0")
+
+
 def dense_search(base: DataFrame, queries: DataFrame, k: int, piece: int = 4096, block: int = 1024) -> DataFrame:
     """(query_id, id, score): of each query the ``k`` rows of its own label with the largest cosine, itself left out; ties go to the smallest id.
 
@@ -140,13 +193,6 @@ def dense_search(base: DataFrame, queries: DataFrame, k: int, piece: int = 4096,
     """
     sound = lambda t: t.where("label is not null and v is not null").select("id", "label", F.col("v").cast("array<double>").alias("v"))
     base, queries = sound(base), sound(queries)
-    sizes = base.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / piece).cast("int").alias("_p")).join(queries.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_b")), "label")
-    sizes = cut(sizes)
-    part = lambda of: F.pmod(F.xxhash64("id"), F.col(of)).cast("int")
-    every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
-    left = base.join(sizes, "label").withColumn("i", part("_p")).withColumn("j", every("_b")).withColumn("asks", F.lit(False))
-    right = queries.join(sizes, "label").withColumn("j", part("_b")).withColumn("i", every("_p")).withColumn("asks", F.lit(True))
-    columns = ["label", "i", "j", "asks", "id", "v"]
 
     def best(rows: pd.DataFrame) -> pd.DataFrame:
         asks = rows["asks"].to_numpy(bool)
@@ -166,5 +212,5 @@ def dense_search(base: DataFrame, queries: DataFrame, k: int, piece: int = 4096,
         return pd.DataFrame(out, columns=["query_id", "id", "score"])
 
     kind = dict(base.dtypes)["id"]
-    found = left.select(*columns).unionByName(right.select(*columns)).groupBy("label", "i", "j").applyInPandas(best, f"query_id {kind}, id {kind}, score double")
+    found = _met(base, queries, piece, block).applyInPandas(best, f"query_id {kind}, id {kind}, score double")
     return top_k(found, k).drop("rank")

@@ -166,10 +166,8 @@ def keyword_hits(spark, sf_dir):
 @query("""SELECT a.vec_id AS query_id, count(*) AS n, round(max(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[])), 6) AS best FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0 GROUP BY a.vec_id""")
 def positional_scores(spark, sf_dir):
     """Inner products by position, every twentieth row against all rows of its label."""
-    vec = _table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("d"))
-    ask = vec.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "label", F.col("d").alias("q"))
-    pairs = vec.join(ask, "label").where("vec_id <> query_id").select("query_id", scopes.positional_cosine(F.col("q"), F.col("d")).alias("s"))
-    return pairs.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("s"), 6).alias("best"))
+    vec = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("v"))
+    return R.best_products(vec, vec.where("id % 20 = 0"))
 
 
 @query(Q.over_sections(f"""SELECT doc_id, chunk_id, count(*) AS n_units, sum(CASE WHEN tier = 3 THEN least(n, 2200) ELSE n END)::BIGINT AS chars, string_agg(ord::VARCHAR, ',' ORDER BY ord) AS taken FROM (

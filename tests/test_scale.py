@@ -37,6 +37,20 @@ def test_rows_are_dealt_over_more_partitions_as_they_grow(spark):
     assert dealt(rows, "id") is rows
 
 
+def test_best_products_over_pieces_and_blocks(spark):
+    held = [(i, i % 2, None if i == 3 else [float(i), None, 2.0][: 1 + i % 3]) for i in range(30)] + [(40, None, [1.0]), (41, 7, [1.0])]
+    rows = spark.createDataFrame(held, "id long, label int, v array<double>")
+    got = {r.query_id: (r.n, r.best) for r in retrieve.best_products(rows, rows.where("id % 3 = 0 or id > 30"), piece=4, block=3).collect()}
+    dot = lambda a, b: None if a is None or b is None else sum((x or 0) * (y or 0) for x, y in zip(a, b))
+    want = {}
+    for i, label, v in held:
+        if label is not None and (i % 3 == 0 or i > 30):
+            met = [dot(v, w) for j, other, w in held if other == label and j != i]
+            if met:
+                want[i] = (len(met), max((x for x in met if x is not None), default=None))
+    assert got == want
+
+
 class _Calls:
     """A state handle that counts what is asked of it."""
 
