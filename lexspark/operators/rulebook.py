@@ -69,11 +69,9 @@ def infer_mode(title: Column, scope: Column) -> tuple[Column, Column]:
 
 def rule_chunks(lines: DataFrame) -> DataFrame:
     """One row a paragraph of each section, numbered within its book: chunk_id, title, scope, content, source_ref, tags, analysis_mode, target_scopes."""
-    body = rule_sections(lines)
-    titles = body.groupBy("doc_id", "sec").agg(F.first("title").alias("title"), F.first("tags").alias("_tags"))
-    keyed = body.select(F.struct("doc_id", "sec").alias("doc_id"), "line_no", "line")
-    paras = paragraphs(keyed).where(T.strip(F.col("text")) != "")
-    rows = paras.select("doc_id.doc_id", "doc_id.sec", "para", T.strip(F.col("text")).alias("content")).join(titles, ["doc_id", "sec"])
+    # everything is grouped within the document, so its lines are shuffled once
+    paras = paragraphs(rule_sections(lines), "sec", ("title", "tags")).where(T.strip(F.col("text")) != "")
+    rows = paras.select("doc_id", "sec", "para", T.strip(F.col("text")).alias("content"), "title", F.col("tags").alias("_tags"))
     rows = rows.withColumn("scope", title_scope(F.col("title")))
     mode, targets = infer_mode(F.col("title"), F.col("scope"))
     n = F.row_number().over(Window.partitionBy("doc_id").orderBy("sec", "para"))

@@ -42,20 +42,22 @@ def slice_lines(rows: DataFrame, start: int | None = None, end: int | None = Non
     return kept if end is None else kept.where(F.col("line_no") <= end)
 
 
-def paragraph_ids(rows: DataFrame) -> DataFrame:
+def paragraph_ids(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
     """``rows`` with ``fenced`` and ``para``: blank lines part paragraphs unless they stand inside a code fence."""
     mark = T.strip(F.col("line")).startswith("```")
-    rows = rows.withColumn("_fences", F.sum(mark.cast("int")).over(_so_far()))
+    so_far = Window.partitionBy(*(by or ["doc_id"])).orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("_fences", F.sum(mark.cast("int")).over(so_far))
     rows = rows.withColumn("fenced", (F.col("_fences") % 2 == 1) | mark)
     gap = (T.strip(F.col("line")) == "") & ~F.col("fenced")
-    return rows.withColumn("para", F.sum(gap.cast("int")).over(_so_far())).withColumn("_gap", gap).drop("_fences")
+    return rows.withColumn("para", F.sum(gap.cast("int")).over(so_far)).withColumn("_gap", gap).drop("_fences")
 
 
-def paragraphs(rows: DataFrame) -> DataFrame:
-    """(doc_id, para, text): paragraphs in order, numbered from 1."""
-    kept = paragraph_ids(rows).where(~F.col("_gap"))
-    joined = kept.groupBy("doc_id", "para").agg(_joined("line", "line_no", "\n").alias("text"))
-    return joined.withColumn("para", F.row_number().over(_doc().orderBy("para")))
+def paragraphs(rows: DataFrame, part: str | None = None, held: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, para, text): paragraphs in order, numbered from 1; with ``part``, those of each part of a document, and the columns ``held`` that are one value a part."""
+    by = ["doc_id", *([part] if part else [])]
+    kept = paragraph_ids(rows, by).where(~F.col("_gap"))
+    joined = kept.groupBy(*by, "para").agg(_joined("line", "line_no", "\n").alias("text"), *[F.first(c).alias(c) for c in held])
+    return joined.withColumn("para", F.row_number().over(Window.partitionBy(*by).orderBy("para")))
 
 
 def _joined(value: str, order: str, sep: str) -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from lexspark.functions import text as T
 from lexspark.operators.rulebook import rule_chunks
 from lexspark.operators.segment import lines
-from lexspark.sources.shared import cut, numbered_folders, remove
+from lexspark.sources.shared import cut, numbered_folders, remove, shuffled
 
 
 def cut_books(books: DataFrame) -> DataFrame:
@@ -47,12 +47,13 @@ def refresh(books: DataFrame, path: str, force: bool = False, rows_of: Callable[
     old = manifest(spark, path)
     usable = old is not None and not force and not old.where("titled").isEmpty()
     n = latest(spark, path) + 1
-    due = now if not usable else cut(now.join(old.select("book", "digest"), ["book", "digest"], "left_anti"))
-    fresh = named.join(due, ["book", "digest"], "left_semi").dropDuplicates(["book"])
+    due = now if not usable else cut(now.join(shuffled(old.select("book", "digest")), ["book", "digest"], "left_anti"))
+    # one shuffle by book serves the join, the repeats and the cutting
+    fresh = named.join(shuffled(due.withColumnRenamed("digest", "_due")), "book").where("digest = _due").dropDuplicates(["book"])
     rows_of(fresh.select("book", "text")).write.mode("overwrite").parquet(f"{path}/rows={n}")
     titled = spark.read.parquet(f"{path}/rows={n}").groupBy("book").agg(F.bool_or(T.strip(F.col("title")) != "").alias("titled"))
-    cut_now = due.join(titled, "book", "left").select("book", "digest", F.lit(n).alias("cut_by"), F.coalesce("titled", F.lit(False)).alias("titled"))
-    kept = old.join(now, ["book", "digest"], "left_semi").select("book", "digest", "cut_by", "titled") if usable else None
+    cut_now = due.join(shuffled(titled), "book", "left").select("book", "digest", F.lit(n).alias("cut_by"), F.coalesce("titled", F.lit(False)).alias("titled"))
+    kept = old.join(shuffled(now), ["book", "digest"], "left_semi").select("book", "digest", "cut_by", "titled") if usable else None
     (cut_now if kept is None else cut_now.unionByName(kept)).write.mode("overwrite").parquet(f"{path}/manifest={n}")
     return n
 
@@ -64,7 +65,7 @@ def load(spark: SparkSession, path: str) -> DataFrame:
         raise FileNotFoundError(f"no index at {path}")
     used = [r[0] for r in held.select("cut_by").distinct().collect()]  # one a refresh
     parts = spark.read.option("basePath", path).parquet(*[f"{path}/rows={n}" for n in used] or [f"{path}/rows={latest(spark, path)}"])
-    return parts.withColumnRenamed("rows", "cut_by").join(held.select("book", "cut_by"), ["book", "cut_by"], "left_semi")
+    return parts.withColumnRenamed("rows", "cut_by").join(shuffled(held.select("book", "cut_by")), ["book", "cut_by"], "left_semi")
 
 
 def tidy(spark: SparkSession, path: str) -> None:

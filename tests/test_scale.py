@@ -99,3 +99,10 @@ def test_a_walk_goes_down_in_one_pass(spark, monkeypatch):
     got = sorted((r.id, r.o) for r in nested.objects(rows).select("id", F.to_json("object").alias("o")).collect())
     assert got == sorted([(1, '{"a":[1,{"b":{}}],"c":"{}"}'), (1, '{"b":{}}'), (1, "{}"), (3, '{"d":[[[[{"e":[[[[{"f":1}]]]]}]]]]}'), (3, '{"e":[[[[{"f":1}]]]]}'), (3, '{"f":1}')])
     assert not any("Union" in p for p in seen[:2])
+
+
+def test_rules_are_cut_by_one_shuffle(spark):
+    books = spark.createDataFrame([(1, "# A\nx\n\ny\n## B\nz\n")], "doc_id long, text string")
+    rules = rulebook.rule_chunks(lines(books))
+    assert plan(rules).count("Exchange") == 1
+    assert [(r.chunk_id, r.title, r.content, r.source_ref) for r in rules.orderBy("chunk_id").collect()] == [("RAG-0001", "A", "x", "#A-p1"), ("RAG-0002", "A", "y", "#A-p2"), ("RAG-0003", "B", "z", "#B-p1")]
