@@ -177,10 +177,11 @@ un AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY o) AS ord,
 met AS (SELECT u.*, w.chunk_id, CASE WHEN list_contains(targets, scope) OR (scope IN ({Q.BODY}) AND (list_has_any(targets, [{Q.BODY}]) OR list_contains(targets, 'body'))) THEN 0 WHEN scope IN ('foreword', 'introduction') THEN 1 WHEN scope IN ({Q.END}, 'end') THEN 2 ELSE 3 END AS tier FROM un u, want w)"""))
 def rule_contexts(spark, sf_dir):
     """The units that a rule's judge reads, within the budget, with the fallbacks."""
-    units = S.units(_zoned(spark, sf_dir))
+    chars = F.when(T.strip(F.col("text")) == "", 0).otherwise(F.length("text"))  # a context is chosen by lengths, so no text meets the rules
+    units = S.units(_zoned(spark, sf_dir)).select("doc_id", "ord", "scope", chars.alias("chars"))
     plans = std_corpus(spark, sf_dir).select("doc_id").crossJoin(F.broadcast(rules(spark).select("chunk_id", F.col("target_scopes").alias("targets"))))
     kept = scopes.context_units(plans, units, 2200)
-    return kept.groupBy("doc_id", "chunk_id").agg(F.count(F.lit(1)).alias("n_units"), F.sum(F.when(F.col("_best") == 3, F.least(F.length("text"), F.lit(2200))).otherwise(F.length("text"))).cast("long").alias("chars"), F.array_join(F.array_sort(F.collect_list("ord")).cast("array<string>"), ",").alias("taken"))
+    return kept.groupBy("doc_id", "chunk_id").agg(F.count(F.lit(1)).alias("n_units"), F.sum(F.when(F.col("_best") == 3, F.least("chars", F.lit(2200))).otherwise(F.col("chars"))).cast("long").alias("chars"), F.array_join(F.array_sort(F.collect_list("ord")).cast("array<string>"), ",").alias("taken"))
 
 
 @query(f"WITH {Q.LINES}, {book_queries._BOOK}, t AS (SELECT *, arg_max(own, sec) FILTER (mark = '#') OVER (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS h1 FROM m1 WHERE mark <> ''), h AS (SELECT doc_id, sec, mark, h1 FROM t), k AS (SELECT c.*, h.mark, h.h1 FROM chunks c JOIN (SELECT doc_id, sec, para, row_number() OVER (PARTITION BY doc_id ORDER BY sec, para) AS r FROM m5 WHERE content <> '') x ON x.doc_id = c.doc_id AND format('RAG-{{:04d}}', x.r) = c.chunk_id JOIN h ON h.doc_id = x.doc_id AND h.sec = x.sec) SELECT doc_id, chunk_id, concat_ws(chr(10), title, content, scope, 'local', scope, scope || ' ' || title || CASE WHEN mark = '##' AND h1 IS NOT NULL AND h1 <> title AND h1 <> scope THEN ' ' || h1 ELSE '' END) AS text FROM k")

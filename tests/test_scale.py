@@ -125,3 +125,10 @@ def test_rules_are_cut_by_one_shuffle(spark):
     rules = rulebook.rule_chunks(lines(books))
     assert plan(rules).count("Exchange") == 1
     assert [(r.chunk_id, r.title, r.content, r.source_ref) for r in rules.orderBy("chunk_id").collect()] == [("RAG-0001", "A", "x", "#A-p1"), ("RAG-0002", "A", "y", "#A-p2"), ("RAG-0003", "B", "z", "#B-p1")]
+
+
+def test_rule_contexts_are_chosen_by_lengths(spark, monkeypatch):
+    seen, real = [], more_queries.scopes.context_units
+    monkeypatch.setattr(more_queries.scopes, "context_units", lambda plans, units, limit: (seen.append(units.columns), real(plans, units, limit))[1])
+    more_queries.rule_contexts(spark, "/root/testdata/sf0.001")
+    assert seen == [["doc_id", "ord", "scope", "chars"]]
