@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexspark.functions import text as T
+from lexspark.sources.shared import cut, shuffled
 
 
 def targets(rules: DataFrame) -> DataFrame:
@@ -195,17 +196,18 @@ def run_review(docs: DataFrame, scopes: DataFrame, rules: DataFrame, max_rounds:
 
     What is judged by ``window``, every text of a later round, and any text longer than ``whole_chars`` is read in consecutive windows of ``budget``
     characters; a rule fails if it fails in any.  Shorter texts are read whole, in one piece.
-    ``max_rounds`` bounds the loop; each round is one more branch of the plan.
+    ``max_rounds`` bounds the loop.  The scopes' texts and each round's issues are written, so nothing is computed or judged twice.
     """
+    scopes = cut(scopes)
     whole = scopes.where("scope <> 'end'").groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_list(F.struct("scope", "text"))).getField("text"), "\n\n").alias("_all"))
     out, todo = None, docs.select("doc_id")
     want = F.broadcast(rules.select("chunk_id", "scope", "analysis_mode", "title", "content"))
     for i in range(1, max_rounds + 1):
         plan = todo.crossJoin(want)
         if i == 1:
-            plan = plan.join(scopes.select("doc_id", "scope", F.col("text").alias("_text")), ["doc_id", "scope"], "left")
+            plan = plan.join(shuffled(scopes.select("doc_id", "scope", F.col("text").alias("_text"))), ["doc_id", "scope"], "left")
         else:
-            plan = plan.join(whole.withColumnRenamed("_all", "_text"), "doc_id", "left")
+            plan = plan.join(shuffled(whole.withColumnRenamed("_all", "_text")), "doc_id", "left")
         plan = plan.withColumn("_text", F.coalesce("_text", F.lit("")))
         plan = plan.withColumn("strategy", strategy(F.col("analysis_mode"), F.length("_text"))).where("strategy <> 'skip'")
         parts = windows(F.col("_text"), budget)
@@ -213,6 +215,7 @@ def run_review(docs: DataFrame, scopes: DataFrame, rules: DataFrame, max_rounds:
         plan = plan.withColumn("prompt", prompt(F.col("strategy"), F.col("title"), F.col("content"), F.col("_part")))
         found = judged(plan.select("doc_id", "chunk_id", "strategy", "prompt"), judge)
         found = found.groupBy("doc_id", "rule_id").agg(F.when(F.bool_or(F.col("status") == "fail"), "fail").otherwise("insufficient_context").alias("status")).withColumn("round", F.lit(i))
+        found = cut(found)
         out = found if out is None else out.unionByName(found)
-        todo = docs.select("doc_id").join(found.where("status = 'insufficient_context'").select("doc_id"), "doc_id", "left_semi")
+        todo = docs.select("doc_id").join(shuffled(found.where("status = 'insufficient_context'").select("doc_id")), "doc_id", "left_semi")
     return out.select("doc_id", "rule_id", "status", "round")

@@ -132,3 +132,17 @@ def test_rule_contexts_are_chosen_by_lengths(spark, monkeypatch):
     monkeypatch.setattr(more_queries.scopes, "context_units", lambda plans, units, limit: (seen.append(units.columns), real(plans, units, limit))[1])
     more_queries.rule_contexts(spark, "/root/testdata/sf0.001")
     assert seen == [["doc_id", "ord", "scope", "chars"]]
+
+
+def test_a_judge_is_asked_once_a_prompt(spark, tmp_path):
+    def judge(prompt, path=str(tmp_path)):
+        import uuid
+
+        open(f"{path}/{uuid.uuid4().hex}", "w").close()
+        return '{"pass": false, "confidence": 0.1}'
+
+    rules = spark.createDataFrame([("N-01", "scope", "local", "t", "c")], "chunk_id string, scope string, analysis_mode string, title string, content string")
+    held = spark.createDataFrame([(1, "scope", "x" * 50)], "doc_id long, scope string, text string")
+    out = review.run_review(held.select("doc_id"), held, rules, judge=judge)
+    assert sorted(r.round for r in out.collect()) == [1, 2]
+    assert len(list(tmp_path.iterdir())) == 2
