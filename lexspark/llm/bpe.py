@@ -31,6 +31,10 @@ from pyspark.sql import types as T
 
 BLANK = b" \t\n\r\x0b\x0c"
 FRAGMENT = 16384
+#: Fragments that a worker remembers, and characters that it encodes together, where it returns ids and texts.  Workers stay when their task ends, more of them than an
+#: executor has cores, and each keeps what it remembers.
+REMEMBERED = 1 << 16
+TOGETHER = 1 << 18
 
 
 def byte_of_char() -> dict[str, int]:
@@ -204,8 +208,8 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def _encoder(path: str) -> Encoder:
-    return Encoder(path)
+def _encoder(path: str, most: int = 400_000) -> Encoder:
+    return Encoder(path, most)
 
 
 def _groups(texts, chars: int = 1 << 20) -> Iterator[list[str]]:
@@ -228,7 +232,7 @@ def _ids_rows(path: str, text_col: str, rows: int = 64):
         for batch in batches:
             for k in range(0, batch.num_rows, rows):  # ids and text of a few rows at a time
                 part = batch.slice(k, rows)
-                ids = [x for g in _groups(part.column(text_col).to_pylist()) for x in _encoder(path).encode(g)]
+                ids = [x for g in _groups(part.column(text_col).to_pylist(), TOGETHER) for x in _encoder(path, REMEMBERED).encode(g)]
                 made = pa.StructArray.from_arrays([pa.array(ids, pa.list_(pa.int32())), pa.array([decode(x, path) for x in ids], pa.string())], ["ids", "decoded"])
                 yield pa.RecordBatch.from_arrays([*part.columns, made], [*part.schema.names, "bpe"])
 
@@ -253,7 +257,8 @@ def bpe_encode(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     """``docs`` with ``bpe``: a struct of ``ids`` and ``decoded``.
 
     A null or empty text has no ids and decodes to the empty string.  Every text is encoded whole.
-    ``path`` is the tokenizer file on the executors.  An existing column ``bpe`` is replaced.
+    ``path`` is the tokenizer file on the executors.  An existing column ``bpe`` is replaced.  A worker remembers at most
+    :data:`REMEMBERED` fragments; what it doesn't remember is encoded anew, with the same ids.
     """
     rest = docs.drop("bpe")
     made = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])

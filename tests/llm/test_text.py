@@ -50,6 +50,31 @@ def test_bpe_is_the_library(spark):
     assert bpe.bpe_digests(df.limit(0), WORD_BPE).collect() == []
 
 
+def test_a_worker_that_returns_ids_remembers_little(monkeypatch):
+    """Workers outlive their tasks, and the pipeline's executors hold up to four of them: more new words than are remembered, the same ids."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    made = []
+
+    class Seen(bpe.Encoder):
+        def __init__(self, *args, **named):
+            super().__init__(*args, **named)
+            made.append(self)
+
+    monkeypatch.setattr(bpe, "Encoder", Seen)
+    bpe._encoder.cache_clear()
+    words = ["".join(w) for w in itertools.product("aeiourst", repeat=6)][:90000]
+    texts = [" ".join(words[k : k + 1500]) for k in range(0, len(words), 1500)] + [None, " ".join(words[-20:] + words[:20])]
+    batches = [pa.RecordBatch.from_pydict({"text": pa.array(texts[k : k + 20], pa.string())}) for k in range(0, len(texts), 20)]
+    got = [r["bpe"] for b in bpe._ids_rows(WORD_BPE, "text")(iter(batches)) for r in b.to_pylist()]
+    bpe._encoder.cache_clear()
+    lib = Tokenizer.from_file(WORD_BPE)
+    want = [lib.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert [r["ids"] for r in got] == want and [r["decoded"] for r in got] == [lib.decode(x, skip_special_tokens=False) for x in want]
+    assert len(made) == 1 and len(made[0].known) == 1 << 16
+
+
 def test_token_counts_are_the_librarys(spark):
     from tokenizers import Tokenizer, models
 
